@@ -14,6 +14,8 @@ any template are left out before hashing: that loses nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,11 @@ def shingles(w: str | Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(w) < size, none).otherwise(F.transform(at, lambda i: F.xxhash64(F.slice(w, i, size))))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once: as a lambda's variable, not copied into the lambdas of ``f``."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def minhashes(x: Column, bands: int = BANDS) -> Column:
     """The smallest of all hashes under each of ``bands`` hash functions: multiply-xor permutations of 64-bit hashes."""
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(x, lambda h: F.xxhash64(h, b))))
@@ -78,21 +85,22 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     """
     spark = docs.sparkSession
     known = (notices(spark) if templates is None else templates.select("license", "text")).select("license", words(F.col("text")).alias("tw"))
-    known = known.where(F.size("tw") >= SHINGLE).distinct().withColumn("ts", F.array_distinct(shingles("tw")))
+    known = known.where(F.size("tw") >= SHINGLE).distinct().withColumn("ts", let(F.col("tw"), lambda w: F.array_distinct(shingles(w))))
     assert known.count() <= MOST_TEMPLATES, "too many templates for the plan; scan in several runs"
     vocabulary = F.lit([r[0] for r in known.select(F.explode("ts")).distinct().collect()]).cast("array<bigint>")
-    plain = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= SHINGLE).withColumn("s", shingles("w"))
-    likely = plain.where(F.arrays_overlap("s", vocabulary))
+    likely = docs.select(F.col(id_col).alias("id"), let(words(F.col(text_col)), shingles).alias("s")).where(F.arrays_overlap("s", vocabulary))
     # A long template is known by all its successive spans; the window that holds one retrieves it.
     n = F.size("tw")
     span = F.when(n >= 2 * SPANS[2], SPANS[2]).when(n >= 2 * SPANS[1], SPANS[1]).otherwise(SPANS[0])
     spans = known.withColumn("span", span).select("license", "tw", "ts", "span", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tw") - F.col("span") + 1), F.greatest(F.lit(1), F.col("span") - SHINGLE + 1))).alias("at"))
-    spans = spans.select("license", "tw", "ts", "span", F.posexplode(minhashes(F.array_distinct(shingles(F.expr("slice(tw, at, span)"))), bands)).alias("band", "low"))
+    spans = spans.select("license", "tw", "ts", "span", F.posexplode(let(let(F.expr("slice(tw, at, span)"), lambda w: F.array_distinct(shingles(w))), lambda x: minhashes(x, bands))).alias("band", "low"))
     spans = spans.groupBy("band", "low", "span", "license", "tw", "ts").agg(F.lit(1).alias("one")).drop("one")
     # Windows of 2 * span words at every span-th word: whatever is up to span words long lies whole in one.
-    sized = likely.select("id", "w", "s", F.explode(F.array(*map(F.lit, SPANS))).alias("size"))
-    windows = sized.select("id", "w", "s", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - F.col("size") - 1), F.col("size"))).alias("from"))
-    windows = windows.withColumn("part", F.array_distinct(F.expr(f"slice(s, from + 1, 2 * size - {SHINGLE - 1})"))).where(F.arrays_overlap("part", vocabulary))
+    sized = likely.select("id", "s", F.explode(F.array(*map(F.lit, SPANS))).alias("size"))
+    begins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") + SHINGLE - 2 - F.col("size")), F.col("size"))
+    windows = sized.select("id", "s", "size", F.explode(begins).alias("from"))
+    # A generated column is computed once, however often it is used.
+    windows = windows.select("id", "s", "size", "from", F.explode(F.array(F.array_distinct(F.expr(f"slice(s, from + 1, 2 * size - {SHINGLE - 1})")))).alias("part")).where(F.arrays_overlap("part", vocabulary))
     # What a template can span around the window goes along; it is a few hundred words at most.
     longest = known.agg(F.max(F.size("tw"))).first()[0] or 0
     lead = F.greatest(F.lit(0), F.col("from") - longest)
@@ -105,9 +113,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
         stretch = F.slice("near", i + 1, F.size("tw") - SHINGLE + 1)
         return F.struct((F.size(F.array_intersect("ts", stretch)) / m).alias("share"), (-i).alias("back"))
 
-    begins = F.filter(F.transform("near", lambda h, i: F.when(F.array_contains("ts", h), i)), lambda i: i.isNotNull())
+    places = F.filter(F.transform("near", lambda h, i: F.when(F.array_contains("ts", h), i)), lambda i: i.isNotNull())
     met = met.dropDuplicates(["id", "lead", "license", "tw"])
-    best = met.withColumn("b", F.array_max(F.transform(begins, share)))
+    best = met.withColumn("b", F.array_max(F.transform(places, share)))
     held = best.where(F.col("b.share") >= least).select("id", "license", F.col("b.share").alias("share"), (F.col("lead") - F.col("b.back")).alias("start"), F.size("tw").alias("len"))
     top = held.groupBy("id", "license").agg(F.max(F.struct("share", (-F.col("start")).alias("back"), "len")).alias("x"))
     return top.select(F.col("id").alias(id_col), "license", F.col("x.share").alias("containment"), (-F.col("x.back")).cast("long").alias("start"), (F.col("x.len") - F.col("x.back")).cast("long").alias("stop"))
