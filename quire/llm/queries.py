@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.chat import read_back, windows
 from quire.llm.decontaminate import decontaminate
+from quire.llm.embedding_dedup import embedding_dedup
 from quire.llm.html_extract import extract
 from quire.llm.licenses import scan
 from quire.llm.near_dedup import near_dedup
@@ -39,6 +40,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -73,5 +78,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_embedding_dedup, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format)
 }
