@@ -88,7 +88,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     known = known.where(F.size("tw") >= SHINGLE).distinct().withColumn("ts", let(F.col("tw"), lambda w: F.array_distinct(shingles(w))))
     assert known.count() <= MOST_TEMPLATES, "too many templates for the plan; scan in several runs"
     vocabulary = F.lit([r[0] for r in known.select(F.explode("ts")).distinct().collect()]).cast("array<bigint>")
-    likely = docs.select(F.col(id_col).alias("id"), let(words(F.col(text_col)), shingles).alias("s")).where(F.arrays_overlap("s", vocabulary))
+    likely = docs.select(F.col(id_col).alias("id"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.arrays_overlap("s", vocabulary))
     # A long template is known by all its successive spans; the window that holds one retrieves it.
     n = F.size("tw")
     span = F.when(n >= 2 * SPANS[2], SPANS[2]).when(n >= 2 * SPANS[1], SPANS[1]).otherwise(SPANS[0])
