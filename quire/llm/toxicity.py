@@ -156,8 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(table, *fit(matrix(toxic_rows), matrix(other_rows), prior))
 
 
-def score(docs: DataFrame, model: Model, text_col: str, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score`` of every row, from the whole text alone; null and empty texts score as wordless."""
+def score(docs: DataFrame, model: Model, text_col: str, *keep: str, out: str = "score") -> DataFrame:
+    """``keep`` columns and ``out``, the score, of every row, from the whole text alone; null and empty texts score as wordless."""
     table, weights, bias = model.table, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +168,10 @@ def score(docs: DataFrame, model: Model, text_col: str, *keep: str) -> DataFrame
                 z[w.first : w.first + len(w.begins)] += np.bincount(row, weights=weights[feature], minlength=len(w.begins))
             s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             s[np.isneginf(z)] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*keep, out])
 
-    schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(out, "double")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **bounds: int) -> DataFrame:
