@@ -60,9 +60,9 @@ def section_headers(groups: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.orderBy("section_ord")
     changed = [~F.lag(F.struct(*keys[: i + 1])).over(order).eqNullSafe(F.struct(*keys[: i + 1])) for i in range(len(keys))]
     first = reduce(lambda rest, i: F.when(changed[i], F.lit(i)).otherwise(rest), reversed(range(len(keys))), F.lit(len(keys) - 1))
-    levels = F.explode(F.sequence(first, F.lit(len(keys) - 1)))
     text = reduce(lambda rest, i: F.when(F.col("level") == i, F.coalesce(F.col(keys[i]).cast("string"), F.lit(""))).otherwise(rest), range(len(keys)), F.lit(""))
-    return groups.select("section_ord", *keys, levels.alias("level")).select("section_ord", "level", text.alias("text"), (F.col("level") == len(keys) - 1).alias("leaf"))
+    levels = F.explode(F.sequence(F.col("first"), F.lit(len(keys) - 1)))
+    return groups.select("section_ord", *keys, first.alias("first")).select("section_ord", *keys, levels.alias("level")).select("section_ord", "level", text.alias("text"), (F.col("level") == len(keys) - 1).alias("leaf"))
 
 
 def section_stream(df: DataFrame, keys: list[str], template: list[tuple[str, Fx]], footer_label: str | None = None, footer_field: str | None = None, agg: str = "sum") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,12 @@ def publish(df: DataFrame, root: str, dataset_id: str, category: str) -> tuple[s
     row = [(dataset_id, category, rev, int(rev.split("-")[0]), df.schema.json())]
     spark.createDataFrame(row, "id string, category string, revision string, row_count long, schema string").write.mode("overwrite").json(f"{base}/manifest")
     return rev, True
+
+
+def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, name, n_filled``: values of each live column that are not null, one aggregate for each table."""
+    parts = []
+    for t, df in tables.items():
+        pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+        parts.append(df.agg(*(F.count(F.col(c)).alias(c) for c in df.columns)).selectExpr(f"'{t}' AS table_name", f"stack({len(df.columns)}, {pairs}) AS (name, n_filled)"))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ class ParamDecl:
     required: bool = False
 
 
-_CASTS = {"text": "string", "number": "double", "bool": "boolean", "date": "date"}
+_CASTS = {"text": str, "number": float, "bool": bool, "date": lambda v: v if isinstance(v, date) else date.fromisoformat(v)}
 
 
 def parameterised(spark: SparkSession, sql: str, decls: list[ParamDecl], params: dict[str, object]) -> DataFrame:
@@ -28,7 +29,7 @@ def parameterised(spark: SparkSession, sql: str, decls: list[ParamDecl], params:
     missing = [d.name for d in decls if d.required and params.get(d.name) is None]
     if missing:
         raise ValueError(f"missing parameters: {', '.join(missing)}")
-    return spark.sql(sql, args={d.name: F.lit(params.get(d.name)).cast(_CASTS[d.kind]) for d in decls})
+    return spark.sql(sql, args={d.name: None if params.get(d.name) is None else _CASTS[d.kind](params[d.name]) for d in decls})
 
 
 def known(df: DataFrame, keys: list[str]) -> list[str]:
