@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+_OP3 = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+place AS (SELECT doc_id, l, i, array_to_string(w[i : i + l - 1], ' ') AS t FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM doc, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)),
+hit AS (SELECT doc_id, i, place.l AS l, item_id FROM place JOIN win ON place.t = win.t AND place.l = win.l),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(deg.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN deg USING (vec_id)
+"""
+
+_OP5 = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM doc WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM pair JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM part LEFT JOIN n USING (doc_id)
+"""
+
+_ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;')"
+
+_OP10 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+k AS (SELECT *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]')) + 4 AS t, row_number() OVER w AS seq FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY seq) AS stop FROM k),
+q AS (SELECT *, (stop - t) // 512 AS lo, (stop - 1) // 512 AS hi, max(seq) OVER (PARTITION BY conv_id) AS last FROM p),
+r AS (SELECT *, min(seq) OVER g AS first, count(*) OVER g AS wn, max(stop) OVER g - stop + t AS tail FROM q WINDOW g AS (PARTITION BY conv_id, lo, hi)),
+u AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS win FROM r),
+x AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win, seq = 1 AND role = 'system' AS sys FROM u),
+y AS (SELECT *, 1 + CASE WHEN sys THEN last_win WHEN win < last_win AND first + wn - seq <= 2 AND tail <= 128 THEN 1 ELSE 0 END AS copies FROM x)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(copies * (length({_ESC.format("text")}) + length({_ESC.format("role")}) + 11)) AS BIGINT) AS formatted_chars
+FROM y GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_embedding_dedup": _OP4, "op5_near_dedup": _OP5, "op10_chat_format": _OP10}
