@@ -29,6 +29,9 @@ from quire.llm.textkit import mix
 
 #: A unit begins at each run of spaces; a line feed, and the character that stands for a space, are units of their own.
 UNIT = re.compile(" +[^ \n▁]*|[^ \n▁]+|\n|▁")
+#: So do runs of letters and digits, and of other characters, in vocabularies without pieces of both.
+LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏͰ-῿"
+FINE_UNIT = re.compile(f" *[{LETTER}]+| *[^{LETTER} \n▁]+| +|\n|▁")
 SPACE = "▁"
 #: Stands for a text's own ▁; past the last code point.
 ESCAPED = 0x110000
@@ -43,13 +46,22 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def _spans(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n code points from each place."""
-    h = np.zeros(len(at), dtype=np.uint64)
-    for i in range(n):
-        h = (h ^ points[at + i]) * _ONE
-        h ^= h >> np.uint64(29)
-    return h
+def _further(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of spans that are one code point longer."""
+    h = (h ^ points) * _ONE
+    return h ^ (h >> np.uint64(29))
+
+
+class Index(dict):
+    """Numbers of units; one that is not there gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = n = len(self)
+        return n
 
 
 class Units:
@@ -67,18 +79,23 @@ class Units:
         # A merge list has ranks for scores: the chance of a piece then falls as one over its rank.
         self.weight = theta * (-np.log(2 - np.maximum(score, -len(score))) if ranks else score)
         self.byte_weight = float(self.weight[plain].min())
-        # Pieces by the hash of their code points (64 bits, for a vocabulary of some ten thousands), by length.
+        # Beginnings of pieces by the hash of their code points (64 bits, for some ten thousands), by length, and the piece
+        # that each one is, or -1.
         self.longest = max(map(len, self.pieces))
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
-            own = [p for p in self.pieces if len(p) == n]
-            h = _spans(_points("".join(own)), np.arange(len(own)) * n, n)
+            own = sorted({p[:n] for p in self.pieces if len(p) >= n})
+            points, h = _points("".join(own)), np.zeros(len(own), dtype=np.uint64)
+            for i in range(n):
+                h = _further(h, points[i::n])
             order = np.argsort(h)
-            self.by_length.append((h[order], np.array([self.pieces[p] for p in own], dtype=np.int32)[order]))
+            self.by_length.append((h[order], np.array([self.pieces.get(p, -1) for p in own], dtype=np.int32)[order]))
+        mixed = re.compile(f"[{LETTER}][^{LETTER}]|[^{LETTER}▁][{LETTER}]")
+        self.unit = UNIT if any(mixed.search(p) for p in self.pieces) else FINE_UNIT
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Index()
         self.extra: list[list[int]] = []  # characters outside the vocabulary, as byte pieces
         self.extra_of: dict[int, int] = {}
         self.state = np.empty(0, dtype=np.int64)
@@ -92,13 +109,11 @@ class Units:
 
     def lookup(self, units: list[str]) -> np.ndarray:
         """Numbers of the units; new ones enter the table."""
-        index = self.index
-        new = [u for u in dict.fromkeys(units) if u not in index]
-        if new:
-            for u in new:
-                index[u] = len(index)
+        out = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+        if self.index.new:
+            new, self.index.new = self.index.new, []
             self._add(new)
-        return np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
+        return out
 
     def _best(self, new: list[str]) -> list[list[int]]:
         """The model's own segmentation of each unit."""
@@ -127,17 +142,16 @@ class Units:
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters to the unit's end
         base = len(points) + len(new)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places, pieces, log weights, by length
-        at = np.arange(len(points))
+        at, h = np.arange(len(points)), np.zeros(len(points), dtype=np.uint64)
         for n in range(1, self.longest + 1):
-            at = at[left[at] >= n]
+            inside = left[at] >= n
+            at, h = at[inside], h[inside]
+            h = _further(h, points[at + n - 1])
             hashes, ids = self.by_length[n - 1]
-            if not len(at) or not len(ids):
-                found.append((at[:0], ids[:0], self.weight[:0]))
-                continue
-            h = _spans(points, at, n)
             i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[i] == h
-            src, of = at[hit], ids[i[hit]]
+            begun = hashes[i] == h
+            of = np.where(begun, ids[i], -1)
+            src, of = (at[hit], of[hit]) if not (hit := of >= 0).all() else (at, of)
             w = self.weight[of]
             if n == 1:
                 odd = np.flatnonzero(~hit)
@@ -145,6 +159,7 @@ class Units:
                 src, of = np.concatenate((src, at[odd])), np.concatenate((of, np.array(extra, dtype=np.int32) + table))
                 w = np.concatenate((w, [self.byte_weight * len(self.extra[x]) for x in extra]))
             found.append((place[src], of.astype(np.int32), w))
+            at, h = at[begun], h[begun]
         counts = np.zeros(base, dtype=np.int64)
         for src, _, _ in found:
             counts[src] += 1
@@ -225,9 +240,9 @@ class Units:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         of = self.piece[edges]
         table = len(self.weight)
+        if not len(of) or of.max() < table:
+            return of
         odd = np.flatnonzero(of >= table)
-        if not len(odd):
-            return of.astype(np.int32)
         parts, last = [], 0
         for i in odd.tolist():
             parts += [of[last:i], self.extra[of[i] - table]]
@@ -241,7 +256,7 @@ def uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _below(phi: np.ndarray, u: np.ndarray, limit: float) -> np.ndarray:
+def _below(phi: np.ndarray, u: np.ndarray, limit: float | np.ndarray) -> np.ndarray:
     """Gumbel variables of log mass ``phi``, truncated at ``limit``."""
     g = phi - np.log(-np.log(u))
     return -np.logaddexp(-g, -limit)
@@ -253,23 +268,9 @@ class Search:
     def __init__(self, units: Units, base: np.uint64) -> None:
         self.units, self.base = units, base
         self.paths: list[tuple[np.ndarray, float, float]] = []  # edges, log probability, perturbed
-        self.sets: list[tuple[np.ndarray, np.ndarray]] = []  # of each path: place keys
+        self.sets: list[tuple[np.ndarray, np.ndarray]] = []  # of each path: place keys, log mass before each place
         self.gone: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, edges: np.ndarray, fresh: int, value: float) -> None:
-        """A path that came out with ``value``; from place ``fresh`` on, leaving it is a new set of paths."""
-        r = len(self.paths)
-        logp = self.units.logp[edges].astype(np.float64)
-        before = np.cumsum(logp) - logp
-        far = max(fresh, int(np.searchsorted(-before, -NONE_LEFT)))
-        before, lead = before[:far], logp[:far]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            phi = before + np.log(-np.expm1(lead))
-            phi[:fresh] = -np.inf
-            keys = np.where(np.isneginf(phi), -np.inf, _below(phi, uniform(mix(self.base + np.arange(far, dtype=np.uint64) * _ONE), 1000 + r), value))
-        self.paths.append((edges, float(logp.sum()), value))
-        self.sets.append((keys, before))
-
     def best(self) -> tuple[int, int, float]:
         """Path, place and key of the best set left."""
         tops = [(float(k.max()), r) for r, (k, _) in enumerate(self.sets) if len(k)]
@@ -301,25 +302,52 @@ class Search:
         return e
 
 
+def opened(units: Units, searches: list[Search], paths: list[np.ndarray], fresh: list[int], values: list[float]) -> None:
+    """Add a path to each search. From place ``fresh`` on, leaving the path is a new set of paths; its key is a Gumbel
+    variable of its mass, truncated at the path's value. Places that next to no mass reaches have no sets."""
+    sizes = np.array([len(p) for p in paths])
+    begin = np.cumsum(sizes) - sizes
+    logp = units.logp[np.concatenate(paths)].astype(np.float64)
+    run = np.cumsum(logp)
+    before = run - logp - np.repeat(run[begin] - logp[begin], sizes)
+    place = np.arange(len(logp)) - np.repeat(begin, sizes)
+    near = np.flatnonzero((before > NONE_LEFT) | (place < np.repeat(fresh, sizes)))
+    row = np.searchsorted(begin, near, side="right") - 1
+    lead, before_near = logp[near], before[near]
+    base = np.array([s.base for s in searches], dtype=np.uint64)[row]
+    turn = len(searches[0].paths)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        phi = before_near + np.log(-np.expm1(lead))
+        phi[place[near] < np.array(fresh)[row]] = -np.inf
+        u = uniform(mix(base + place[near].astype(np.uint64) * _ONE), 1000 + turn)
+        keys = np.where(np.isneginf(phi), -np.inf, _below(phi, u, np.array(values)[row]))
+    total = np.add.reduceat(logp, begin)
+    cuts = np.searchsorted(row, np.arange(len(paths) + 1))
+    for s, path, p, v, a, z in zip(searches, paths, total.tolist(), values, cuts[:-1], cuts[1:], strict=True):
+        s.paths.append((path, p, v))
+        s.sets.append((keys[a:z].copy(), before_near[a:z]))
+
+
 def sample(units: Units, rows: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each row of units, up to k distinct segmentations: ids, log probability, log of the inclusion score."""
     searches = [Search(units, key) for key in keys]
     # What is to be drawn in this round: row, edges so far, state within a unit (or -1), units left, fresh place, value.
     todo = [(i, np.empty(0, dtype=np.int64), -1, rows[i], 0, float(-np.log(-np.log(uniform(keys[i : i + 1], 0)[0])))) for i in range(len(rows)) if len(rows[i])]
     for turn in range(k):
-        starts, noise, cuts = [], [], [0]
-        for i, _, state, left, _, _ in todo:
-            s = units.state[left]
-            s = np.concatenate(([state], s)) if state >= 0 else s
-            at = len(rows[i]) - len(left) + np.arange(-(state >= 0), len(left))
-            starts.append(s), noise.append(mix(keys[i] + (at + 2).astype(np.uint64) * _ONE) + np.uint64(turn << 32))
-            cuts.append(cuts[-1] + len(s))
         if not todo:
             break
-        edges, n = units.draw(np.concatenate(starts), np.concatenate(noise))
+        starts, places, cuts = [], [], [0]
+        for i, _, state, left, _, _ in todo:
+            if state >= 0:
+                starts.append(np.array([state]))
+            starts.append(units.state[left])
+            places.append(np.arange(len(rows[i]) - len(left) + 2 - (state >= 0), len(rows[i]) + 2, dtype=np.uint64))
+            cuts.append(cuts[-1] + len(places[-1]))
+        owner = np.repeat(keys[[x[0] for x in todo]], np.diff(cuts))
+        edges, n = units.draw(np.concatenate(starts), mix(owner + np.concatenate(places) * _ONE) + np.uint64(turn << 32))
         ends = np.concatenate(([0], np.cumsum(n)))
-        for (i, so_far, _, _, fresh, value), a, z in zip(todo, cuts[:-1], cuts[1:], strict=True):
-            searches[i].add(np.concatenate((so_far, edges[ends[a] : ends[z]])), fresh, value)
+        paths = [np.concatenate((x[1], edges[ends[a] : ends[z]])) for x, a, z in zip(todo, cuts[:-1], cuts[1:], strict=True)]
+        opened(units, [searches[x[0]] for x in todo], paths, [x[4] for x in todo], [x[5] for x in todo])
         if turn + 1 == k:
             break
         todo, before = [], todo
@@ -384,7 +412,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             for first, texts in _rows(batch):
                 if len(units.index) > UNITS_KEPT:
                     units.clear()
-                split = [UNIT.findall(" " + t) if t else [] for t in texts]
+                split = [units.unit.findall(" " + t) if t else [] for t in texts]
                 cuts = np.cumsum([0, *map(len, split)])
                 every = units.lookup([u for s in split for u in s])
                 rows = [every[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
