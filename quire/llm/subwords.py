@@ -189,9 +189,11 @@ class Units:
             beta[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), start))
         src = np.repeat(np.arange(base), counts)
         logp = np.minimum(w + beta[dst] - beta[src], 0.0)
-        p = np.exp(logp)
-        run = np.cumsum(p)
-        cum = run - np.repeat((run - p)[np.minimum(begin, total - 1)], counts)
+        cum = np.exp(logp)
+        more = np.flatnonzero(counts > 1)
+        for k in range(1, int(counts.max())):  # state by state, so that sums don't depend on what else is in the table
+            more = more[counts[more] > k]
+            cum[begin[more] + k] += cum[begin[more] + k - 1]
         cum[(begin + counts - 1)[counts > 0]] = 2.0  # rounding never passes a state's last edge
         self.state = np.concatenate((self.state, first + states))
         self.begin = np.concatenate((self.begin, begin + edges))
@@ -308,8 +310,10 @@ def opened(units: Units, searches: list[Search], paths: list[np.ndarray], fresh:
     sizes = np.array([len(p) for p in paths])
     begin = np.cumsum(sizes) - sizes
     logp = units.logp[np.concatenate(paths)].astype(np.float64)
-    run = np.cumsum(logp)
-    before = run - logp - np.repeat(run[begin] - logp[begin], sizes)
+    run = np.empty(len(logp))
+    for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):  # row by row: sums don't depend on the rows around
+        np.cumsum(logp[a : a + n], out=run[a : a + n])
+    before = run - logp
     place = np.arange(len(logp)) - np.repeat(begin, sizes)
     near = np.flatnonzero((before > NONE_LEFT) | (place < np.repeat(fresh, sizes)))
     row = np.searchsorted(begin, near, side="right") - 1
@@ -321,7 +325,7 @@ def opened(units: Units, searches: list[Search], paths: list[np.ndarray], fresh:
         phi[place[near] < np.array(fresh)[row]] = -np.inf
         u = uniform(mix(base + place[near].astype(np.uint64) * _ONE), 1000 + turn)
         keys = np.where(np.isneginf(phi), -np.inf, _below(phi, u, np.array(values)[row]))
-    total = np.add.reduceat(logp, begin)
+    total = run[begin + sizes - 1]
     cuts = np.searchsorted(row, np.arange(len(paths) + 1))
     for s, path, p, v, a, z in zip(searches, paths, total.tolist(), values, cuts[:-1], cuts[1:], strict=True):
         s.paths.append((path, p, v))
