@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1_000_000)) / 1e6
     chosen = seen.where("toxic = 1").select(F.col("l_id").alias("id")).where(draw < positives / n_toxic)
     # The unlabelled texts are drawn from all rows, so that their share of toxic ones is the prior.
-    toxic_rows = written(plain.join(chosen, "id", "left_semi").select("text"), "positive")
+    # About ``positives`` ids at most, whatever the input's size: they are broadcast, and no text is shuffled.
+    toxic_rows = written(plain.join(F.broadcast(chosen), "id", "left_semi").select("text"), "positive")
     other_rows = written(plain.where(draw < unlabelled / n_docs).select("text"), "unlabelled")
     n_p, n_u = toxic_rows.count(), other_rows.count()
     if not n_p or not n_u:
