@@ -1 +1 @@
-"""."""
+"""Operators over query results."""

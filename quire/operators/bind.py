@@ -97,7 +97,12 @@ def image_reference(c: Column, policy: str = "flag", fallback: str | None = None
 
 
 # Fit modes and their names in the host's vocabulary.
-FITS = {"fit": "proportional", "fill": "fillProportional", "stretch": "stretch", "none": "none"}
+FITS = {"fit": "Proportionally", "fill": "FillProportionally", "crop": "FitContentToFrame"}
+
+
+def fitting(mode: Column) -> Column:
+    """The host's name of a fit mode; null if there is no such mode."""
+    return reduce(lambda rest, kv: F.when(mode == kv[0], F.lit(kv[1])).otherwise(rest), FITS.items(), F.lit(None).cast("string"))
 
 
 def placeable(image: Column) -> Column:
@@ -127,9 +132,10 @@ def rule_totals(df: DataFrame, predicates: dict[str, Fx]) -> DataFrame:
 def suggestions(catalog: DataFrame) -> DataFrame:
     """For each column of a catalogue (``table_name, name, data_type``): a header, an expression, whether it can be mapped.
 
-    Headers split at ``_`` and capitals, with each word's first letter upper; a name that is no identifier is bracketed.
+    Headers split at ``_``, ``-`` and blanks, with each part's first letter upper and the rest as it is; a name of separators
+    alone is its own header. A name that is no identifier, or TRUE, FALSE or NULL, has the empty expression.
     """
-    spaced = F.trim(F.regexp_replace(F.regexp_replace("name", r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\s]+", " "))
-    header = F.array_join(F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
-    plain = F.col("name").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~F.upper("name").isin("TRUE", "FALSE", "NULL")
-    return catalog.select("table_name", "name", header.alias("header"), F.when(plain, F.col("name")).alias("expr"), "data_type", (plain & (F.col("data_type") != "bytes")).alias("mappable"))
+    parts = F.filter(F.split("name", "[_\\- ]"), lambda w: w != "")
+    header = F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+    plain = F.col("name").rlike(r"^[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{IsDigit}_]*$") & ~F.col("name").isin("TRUE", "FALSE", "NULL")
+    return catalog.select("table_name", "name", F.when(header == "", F.col("name")).otherwise(header).alias("header"), F.when(plain, F.col("name")).otherwise("").alias("expr"), "data_type", plain.alias("mappable"))

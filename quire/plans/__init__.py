@@ -1 +1 @@
-"""."""
+"""Layout and batch plans."""

@@ -1 +1 @@
-"""."""
+"""Scheduled refresh as Structured Streaming."""

@@ -105,6 +105,16 @@ def test_governance(spark, shop):
     assert spark.read.parquet(f"{root}/shop/rev={rev}").count() == 3
 
 
+def test_suggestions(spark):
+    names = ["unit_price", "SKU", "1st", "TRUE", "naïve-col", "__", "true"]
+    df = spark.createDataFrame([("t", n, "text") for n in names], "table_name string, name string, data_type string")
+    got = {r.name: (r.header, r.expr, r.mappable) for r in bind.suggestions(df).collect()}
+    assert got["unit_price"] == ("Unit Price", "unit_price", True) and got["SKU"][0] == "SKU" and got["1st"] == ("1st", "", False) and got["TRUE"][2] is False
+    assert got["naïve-col"] == ("Naïve Col", "", False) and got["__"][0] == "__" and got["true"][2] is True
+    fits = spark.createDataFrame([("fit",), ("crop",), ("x",)], "m string").select(bind.fitting(F.col("m")).alias("f"))
+    assert [r.f for r in fits.collect()] == ["Proportionally", "FitContentToFrame", None]
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("400638133393",), ("4006381333931",), ("4006381333930",), ("40063813339x",), ("123",), ("",), (None,)], "c string")
     assert [r.a.reason for r in df.select(codes.gtin_audit(F.col("c")).alias("a")).collect()] == ["ok", "ok", "checkDigit", "nonDigit", "wrongLength", "empty", "empty"]
