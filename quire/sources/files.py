@@ -66,9 +66,21 @@ def redacted(target: Column) -> Column:
 
 
 def inventory(sources: DataFrame) -> DataFrame:
-    """``id, kind, capability, target`` from descriptors ``id, kind, target, credential_ref``; targets are redacted."""
-    capability = F.when(F.col("kind") == "inline", "none").when(F.col("kind").isin("file", "governedExtract"), "read").when(F.col("kind") == "remote", "network").when(F.col("kind") == "dbAttach", "database").otherwise("unknown")
-    return sources.select("id", "kind", capability.alias("capability"), redacted(F.coalesce("target", F.lit(""))).alias("target"), F.col("credential_ref").isNotNull().alias("has_credential"))
+    """``id, kind, capability, origin, target, credential_redacted`` from descriptors ``id, kind, target, db``.
+
+    What a source needs: nothing, a file import, the network, or the network with a credential. SQLite is a file, and an
+    extract is remote if its place is a web address. Remote sources show their origin only, databases no credentials.
+    """
+    kind, target = F.col("kind"), F.coalesce("target", F.lit(""))
+    web = target.rlike("^https?://")
+    capability = (
+        F.when(kind == "inline", "none").when(kind == "file", "fileImport").when(kind == "remote", "network")
+        .when(kind == "dbAttach", F.when(F.col("db") == "sqlite", "fileImport").otherwise("networkCredential"))
+        .when(kind == "governedExtract", F.when(web, "network").otherwise("fileImport")).otherwise("none")
+    )
+    origin = F.when(capability.startswith("network"), origin_of(target))
+    shown = F.when(kind == "remote", F.coalesce(origin_of(target), target)).when(kind == "dbAttach", redacted(target)).when(kind == "inline", F.concat(F.lit("inline:"), target)).otherwise(target)
+    return sources.select("id", "kind", capability.alias("capability"), origin.alias("origin"), shown.alias("target"), (kind == "dbAttach").alias("credential_redacted"))
 
 
 def origin_of(url: Column) -> Column:

@@ -144,8 +144,9 @@ def test_sources(spark, monkeypatch):
     urls = spark.createDataFrame([("https://a.com/x",), ("http://b:8080",), ("ftp://c",), ("d.com",), ("https:///x",), ("https://u:p@e.com/",), (None,)], "u string")
     assert [r.r for r in urls.select(files.url_reason(F.col("u")).alias("r")).collect()] == ["ok", "ok", "badScheme", "noScheme", "emptyHost", "embeddedCredentials", "empty"]
     assert [r.o for r in urls.select(files.origin_of(F.col("u")).alias("o")).collect()] == ["https://a.com", "http://b:8080", "ftp://c", None, None, "https://e.com", None]
-    listed = spark.createDataFrame([(1, "dbAttach", "postgres://u:p@h/db", "PG"), (2, "file", "s3://b/x.csv", None)], "id long, kind string, target string, credential_ref string")
-    assert [(r.capability, r.target, r.has_credential) for r in files.inventory(listed).orderBy("id").collect()] == [("database", "postgres://h/db", True), ("read", "s3://b/x.csv", False)]
+    listed = [(1, "dbAttach", "postgres://u:p@h/db", "postgres"), (2, "file", "s3://b/x.csv", None), (3, "dbAttach", "x.db", "sqlite"), (4, "remote", "https://u:p@a.com/x?y", None), (5, "governedExtract", "https://a.com/x", None), (6, "inline", "seed", None)]
+    got = files.inventory(spark.createDataFrame(listed, "id long, kind string, target string, db string")).orderBy("id").collect()
+    assert [(r.capability, r.target) for r in got] == [("networkCredential", "postgres://h/db"), ("fileImport", "s3://b/x.csv"), ("fileImport", "x.db"), ("network", "https://a.com"), ("network", "https://a.com/x"), ("none", "inline:seed")]
     files.write_documents(df.withColumn("unit", F.col("sku")), "unit", f"{root}/docs")
     assert spark.read.json(f"{root}/docs").count() == 2
     assert trigger_of("interval", 30) == {"processingTime": "30 seconds"} and trigger_of("onOpen") == {"availableNow": True}
