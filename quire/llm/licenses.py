@@ -1,12 +1,11 @@
 """License scans in DataFrame functions alone.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. Templates and texts are compared by
-five-word shingles. A text is cut into overlapping windows twice as long as a template's span, so that every occurrence of
-up to a span lies whole in one of them. MinHash bands of one row each retrieve templates: a template whose shingles are a
-share J of a window's union meets it in one of b bands with a chance of 1 - (1 - J)^b. A span of s words is cut from every
-longer template, so J is at least about a third where all of it is there, and 48 bands miss with a chance of about 1e-8
-(a window of 2s words holds at most 2s - 4 shingles, s - 4 of them the template's). Retrieved templates are verified by exact
-containment of all their shingles in the text around the window.
+five-word shingles. A text is cut into overlapping windows that are a little longer than a template's span, at so small steps
+that every occurrence of a span lies whole in one of them. MinHash bands of one row each retrieve templates: a span whose
+shingles are a share J of a window's union meets it in one of b bands with a chance of 1 - (1 - J)^b. A window around an
+unaltered span has J of 0.8 or more, and even where half of the union differs, 32 bands miss with a chance of 2e-10.
+Retrieved templates are verified by exact containment of all their shingles in the text around the window.
 
 A band can only meet if its smallest hash belongs to a shingle that both sides have. So windows that share no shingle with
 any template are left out before hashing: that loses nothing.
@@ -20,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS = 48
-#: Words of a template that one window has to hold, by template length: short templates are taken whole.
-SPANS = (8, 16, 32)
+BANDS = 32
+#: Words of a template that one window has to hold whole, and the step from window to window. A template has the longest span
+#: of which it holds two; the shorter ones have 8 or 5.
+SPANS = ((5, 1), (8, 2), (16, 4), (32, 8))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Templates that may be broadcast and put into the plan: some megabytes.
 MOST_TEMPLATES = 2_000
@@ -89,18 +89,25 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     assert known.count() <= MOST_TEMPLATES, "too many templates for the plan; scan in several runs"
     vocabulary = F.lit([r[0] for r in known.select(F.explode("ts")).distinct().collect()]).cast("array<bigint>")
     likely = docs.select(F.col(id_col).alias("id"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.arrays_overlap("s", vocabulary))
-    # A long template is known by all its successive spans; the window that holds one retrieves it.
+    # A template is known by its successive spans; a window that holds one retrieves it.
     n = F.size("tw")
-    span = F.when(n >= 2 * SPANS[2], SPANS[2]).when(n >= 2 * SPANS[1], SPANS[1]).otherwise(SPANS[0])
-    spans = known.withColumn("span", span).select("license", "tw", "ts", "span", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tw") - F.col("span") + 1), F.greatest(F.lit(1), F.col("span") - SHINGLE + 1))).alias("at"))
+    span = F.when(n >= 64, 32).when(n >= 32, 16).when(n >= 8, 8).otherwise(5)
+    step = F.greatest(F.lit(1), F.floor(F.col("span") / 2).cast("int"))
+    spans = known.withColumn("span", span).select("license", "tw", "ts", "span", F.explode(F.sequence(F.lit(1), F.size("tw") - F.col("span") + 1, step)).alias("at"))
     spans = spans.select("license", "tw", "ts", "span", F.posexplode(let(let(F.expr("slice(tw, at, span)"), lambda w: F.array_distinct(shingles(w))), lambda x: minhashes(x, bands))).alias("band", "low"))
-    spans = spans.groupBy("band", "low", "span", "license", "tw", "ts").agg(F.lit(1).alias("one")).drop("one")
-    # Windows of 2 * span words at every span-th word: whatever is up to span words long lies whole in one.
-    sized = likely.select("id", "s", F.explode(F.array(*map(F.lit, SPANS))).alias("size"))
-    begins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") + SHINGLE - 2 - F.col("size")), F.col("size"))
-    windows = sized.select("id", "s", "size", F.explode(begins).alias("from"))
+    spans = spans.distinct()
+    # Windows of span + step - 1 words at every step-th word, as far as they hold a shingle of any template.
+    hits = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())
+    found = likely.select("id", "s", F.explode(F.array(hits)).alias("hits"))
+
+    def begins(size: int, step: int) -> Column:
+        room = size + step - 1 - SHINGLE
+        around = F.transform("hits", lambda i: F.sequence(F.ceil(F.greatest(F.lit(0), i - room) / step).cast("int"), F.floor(i / step).cast("int")))
+        return F.transform(F.array_distinct(F.flatten(around)), lambda k: F.struct(F.lit(size).alias("size"), F.lit(size + step - 1 - SHINGLE + 1).alias("width"), (k * step).alias("from")))
+
+    windows = found.select("id", "s", F.explode(F.flatten(F.array(*(begins(*x) for x in SPANS)))).alias("w")).select("id", "s", "w.*")
     # A generated column is computed once, however often it is used.
-    windows = windows.select("id", "s", "size", "from", F.explode(F.array(F.array_distinct(F.expr(f"slice(s, from + 1, 2 * size - {SHINGLE - 1})")))).alias("part")).where(F.arrays_overlap("part", vocabulary))
+    windows = windows.select("id", "s", "size", "from", F.explode(F.array(F.array_distinct(F.expr("slice(s, from + 1, width)")))).alias("part"))
     # What a template can span around the window goes along; it is a few hundred words at most.
     longest = known.agg(F.max(F.size("tw"))).first()[0] or 0
     lead = F.greatest(F.lit(0), F.col("from") - longest)
