@@ -31,10 +31,12 @@ DROPPED = frozenset("nav footer aside form head button select svg math canvas au
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav\w*|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|notification|alert|"
-    r"comments?|commentlist|disqus|replies|reply|reactions?|respond|header|masthead|footer|foot|copyright|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|sign-up|login|popup|modal|overlay|"
+    r"comments?|commentlist|disqus|replies|reply|reactions?|respond|footer|foot|copyright|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|sign-up|login|popup|modal|overlay|"
     r"toolbar|pagination|pager|widget|skip|search\w*|form|tags?|legal|disclaimer)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Outside articles alone: inside one they hold its heading.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.DOTALL)
@@ -57,7 +59,7 @@ def _furniture(name: str, attributes: str, inside: bool) -> bool:
     got = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     if name in ("html", "body", "article", "main"):
         return False
-    return bool("hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or got.get("role", "").lower() in ROLES or FURNITURE.search(got.get("class", "")) or FURNITURE.search(got.get("id", "")))
+    return bool("hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or got.get("role", "").lower() in ROLES or any(FURNITURE.search(x) or (not inside and HEADER.search(x)) for x in (got.get("class", ""), got.get("id", ""))))
 
 
 def lines_of(html: str) -> list[Line]:
@@ -113,6 +115,8 @@ def lines_of(html: str) -> list[Line]:
         elif name == "br":
             parts.append(" ")
         if name not in VOID and not (attributes or "").rstrip().endswith("/"):
+            if name == "main":  # what holds the main part is a frame of the page, whatever its class says
+                stack = [(x[0], x[1] and x[0] in DROPPED, x[2]) for x in stack]
             inside = any(x[2] for x in stack)
             stack.append((name, _furniture(name, attributes or "", inside), name in ("article", "main")))
     end_line()

@@ -144,6 +144,8 @@ def test_html(spark):
     plain = "<div><a>Home</a> <a>About</a></div><div><p>" + "Words of the text. " * 30 + "</p><p>Short.</p></div><div><a>Next</a></div>"
     assert main_text(plain) == ("Words of the text. " * 30).strip() + "\nShort."
     assert len(main_text("<article>" + "<p>x y</p>" * 20_000)) == 4 * 20_000 - 1
+    framed = '<div class="page-with-sidebar"><div class="site-header">Site</div><main><div class="entry-header"><h1>Head</h1></div><p>Body.</p></main><div class="sidebar">Side</div></div>'
+    assert main_text(framed) == "Head\nBody."
     df = spark.createDataFrame([(1, "u", page, "old"), (None, None, None, "old"), (1, "u", page, "old")], "page_id long, url string, html string, text string")
     assert [r.text for r in extract(df).collect()].count("") == 1 and extract(df.where("false")).count() == 0 and extract(df).columns == ["page_id", "url", "text"]
 
