@@ -86,7 +86,7 @@ NUMBER = re.compile(
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
+    r"|(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})"
     r")(?![\w-]|\.\d)",
     re.ASCII,
 )

@@ -100,6 +100,9 @@ def test_pii(spark, docs, none):
         assert value not in new
     assert "4111111111111112" in new and "999.1.1.1" in new and "2023-02-29" in new and new.startswith("Call +1 (")
     assert replace_in(new, Pseudonyms(key, back=True))[0] == text
+    for text, n in (("4111111111111111 42 units", 1), ("4111111111111111 4111111111111111", 2), ("4111-1111-1111-1111!!", 1), ("3782 822463 10005", 1), ("12345678901234567890123", 0), ("v1.2.3.4.5", 0), ("a@b, x@y.z1", 0)):
+        new, kinds = replace_in(text, Pseudonyms(key))
+        assert len(kinds) == n and replace_in(new, Pseudonyms(key, back=True))[0] == text and (new != text) == (n > 0), text
     got = pseudonymise(docs, key)
     assert got.columns == [*docs.columns, "pii_kinds"] and got.count() == len(TEXTS)
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in TEXTS)
