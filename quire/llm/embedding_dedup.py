@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quire.llm.graph import components
 from quire.llm.shared import written
@@ -28,6 +28,28 @@ GRID = 128
 SLACK = 1e-9
 
 
+def unit_vectors(classes: DataFrame) -> DataFrame:
+    """``classes`` (with vectors ``v``) with ``d``, their length, and ``u``, the unit vector, instead of ``v``. The largest
+    component is divided out first, so that norms neither overflow nor vanish."""
+    keep = [c for c in classes.columns if c != "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(batch.num_columns - 1)
+            at = np.asarray(vectors.offsets)
+            x = vectors.values.to_numpy()[at[0] : at[-1]]
+            at = at - at[0]
+            if len(x):
+                d = np.diff(at)
+                x = x / np.repeat(np.maximum.reduceat(np.abs(x), at[:-1]), d)
+                x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, at[:-1])), d)
+            units = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), units], [*keep, "d", "u"])
+
+    schema = StructType([*(classes.schema[c] for c in keep), StructField("d", LongType()), StructField("u", ArrayType(DoubleType()))])
+    return classes.select(*keep, "v").mapInArrow(run, schema)
+
+
 def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension count, an orthogonal matrix whose columns are the axes, widest first, of ``d, u`` (unit vectors).
     Tasks add up their own second moments; d*d numbers for each d reach the driver."""
@@ -124,13 +146,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.when(sound, top > 0).otherwise(F.lit(False))
     rows = written(x.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.col("v"))), "vectors")
     good = rows.where("ok")
-    # The largest component is divided out first, so that norms neither overflow nor vanish.
-    scaled = F.transform("v", lambda c: c / F.array_max(F.transform("v", F.abs)))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda t, c: t + c * c))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    units = classes.select("rep", "label", "m", scaled.alias("s")).select("rep", "label", "m", F.size("s").cast("long").alias("d"), "s", norm.alias("norm"))
-    units = units.select("rep", "label", "m", "d", F.transform("s", lambda c: c / F.col("norm")).alias("u"))
-    units = written(units, "units")
+    units = written(unit_vectors(classes.select("rep", "label", "m", "v")), "units")
     placed = written(turned(units, principal_axes(units)).withColumn("x", F.element_at("p", 1)), "turned")
     # Tiles: ranges along the first axis, and where too many vectors share a range, shares of it by hash.
     quantiles = F.percentile_approx("x", F.array(*(F.lit(i / GRID) for i in range(1, GRID))), F.lit(2000))
