@@ -75,6 +75,10 @@ SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS state
     "date_kernels": """
 SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS VARCHAR) AS m, CAST(day(o_orderdate) AS VARCHAR) AS d, CAST(dayofweek(o_orderdate) + 1 AS VARCHAR) AS wd,
   strftime(o_orderdate, '%Y-%m-%d') AS shown, strftime(o_orderdate, '%d.%m.%Y') AS de, strftime(o_orderdate, '%d/%m/%y') AS own, '2026-06-08' AS run FROM orders""",
+    "sql_recipe": """
+SELECT p_partkey, '$' || format('{:,.2f}', p_retailprice) AS price, format('{:,.1f}', p_size / 50.0::DOUBLE * 100) || '%' AS share, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS rounded, CAST(ceil(-p_retailprice) AS BIGINT) AS cut,
+  (7 - p_partkey % 7) % 7 AS rest, CAST(NULL AS DOUBLE) AS none, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS kind,
+  CAST(nullif(instr(p_brand, '#'), 0) AS INTEGER) AS at, substr(p_name, 2, 4) AS part, right(p_name, 3) AS end, TRUE AS blank FROM part""",
     "catalog_join_params": """
 SELECT p.p_brand, n.n_name, count(*) AS n_lines, CAST(round(sum(l.l_quantity)) AS BIGINT) AS qty
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey

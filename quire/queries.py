@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import formats, logic, maths, temporal, text
 from quire.functions.fx import add, compare, concat, display, div, equal, field, mul
+from quire.functions.sql import register
 from quire.operators import bind, codes, govern, shape, sync
 from quire.plans import batch, layout
 from quire.sources import files
@@ -121,6 +122,17 @@ def date_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", *(display(x).alias(k) for k, x in cells.items()))
 
 
+@query
+def sql_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe as SQL text, with the functions registered for the session."""
+    register(spark)
+    cells = {
+        "price": "fx_currency(p_retailprice)", "share": "fx_percent(p_size / 50D, 1)", "rounded": "CAST(fx_round(p_retailprice) AS BIGINT)", "cut": "CAST(fx_trunc(-p_retailprice) AS BIGINT)", "rest": "CAST(fx_mod(-p_partkey, 7) AS BIGINT)",
+        "none": "fx_mod(p_partkey, 0)", "kind": "fx_proper(p_type)", "at": "fx_find('#', p_brand)", "part": "fx_mid(p_name, 2, 4)", "end": "fx_right(p_name, 3)", "blank": "fx_isblank(nullif(p_type, p_type))",
+    }
+    return load(spark, sf_dir, "part").selectExpr("p_partkey", *(f"{e} AS {n}" for n, e in cells.items()))
+
+
 @query
 def catalog_join_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("lineitem", "part", "supplier", "nation"):

@@ -35,3 +35,11 @@ def test_operators(spark):
 
 def test_all_functions_are_there():
     assert len(REGISTRY) == 42
+
+
+def test_sql_functions(spark):
+    from quire.functions.sql import register
+
+    assert len(register(spark)) == 20
+    row = spark.sql("SELECT fx_number(1234.567D, 2), fx_number(-0.001D, 2), fx_round(1.005D, 2), fx_datefmt(DATE'2026-06-08', 'DD/MM/YY'), fx_trim('  a '), fx_find('z', 'abc'), fx_rept('ab', -1), fx_proper('o''brien-sMITH'), fx_power(-8D, 0.5D), fx_left('abc', -1)").first()
+    assert list(row) == ["1,234.57", "0.00", 1.0, "08/06/26", "a", None, None, "O'Brien-Smith", None, ""]
