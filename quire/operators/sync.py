@@ -27,13 +27,14 @@ def row_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
         raise ValueError("old and new differ in schema")
     if not key:
         return _whole_row_diff(old, new)
-    rest = [c for c in known(new, key) and new.columns if c not in key]
-    o = old.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__old"), F.lit(True).alias("__in_old")) if rest else old.select(*key).distinct().withColumns({"__old": F.lit(1), "__in_old": F.lit(True)})
-    o = o.select(*(F.col(k).alias(f"__k_{k}") for k in key), "__old", "__in_old")
-    n = new.select(*key, (F.struct(*rest) if rest else F.lit(1)).alias("__new"), F.lit(True).alias("__in_new"))
-    both = o.join(n, _all([o[f"__k_{k}"].eqNullSafe(n[k]) for k in key]), "full_outer")
+    rest = [c for c in new.columns if c not in known(new, key)]
+    # The key as one struct compares null-safely, and grouping the old side and joining share its partitioning.
+    whole = F.struct(*rest) if rest else F.lit(1)
+    o = old.select(F.struct(*key).alias("__key"), whole.alias("__old")).groupBy("__key").agg(F.max("__old").alias("__old"), F.lit(True).alias("__in_old"))
+    n = new.select(F.struct(*key).alias("__key"), whole.alias("__new"), F.lit(True).alias("__in_new"))
+    both = o.join(n, "__key", "full_outer")
     change = F.when(F.col("__in_old").isNull(), "inserted").when(F.col("__in_new").isNull(), "removed").when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("updated")
-    return both.select(*(F.when(F.col("__in_new").isNull(), F.col(f"__k_{k}")).otherwise(F.col(k)).alias(k) for k in key), change.alias("change_type"))
+    return both.select(*(F.col("__key")[k].alias(k) for k in key), change.alias("change_type"))
 
 
 def _whole_row_diff(old: DataFrame, new: DataFrame) -> DataFrame:
