@@ -35,7 +35,10 @@ FINE_UNIT = re.compile(f" *[{LETTER}]+| *[^{LETTER} \n▁]+| +|\n|▁")
 SPACE = "▁"
 #: Stands for a text's own ▁; past the last code point.
 ESCAPED = 0x110000
-UNITS_KEPT = 400_000
+#: Units of a task's table; beyond it the most frequent quarter stays. Some 400 bytes each.
+UNITS_KEPT = 250_000
+#: Units that a worker keeps from one task to the next.
+UNITS_BETWEEN = 40_000
 #: Log mass, against a row's whole mass, below which sets of paths are not told from none: far under double precision.
 NONE_LEFT = -80.0
 CHUNK_CHARS = 1_000_000
@@ -98,6 +101,7 @@ class Units:
         self.index = Index()
         self.extra: list[list[int]] = []  # characters outside the vocabulary, as byte pieces
         self.extra_of: dict[int, int] = {}
+        self.seen, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.state = np.empty(0, dtype=np.int64)
         self.begin = np.empty(0, dtype=np.int64)
         self.to, self.piece = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
@@ -113,8 +117,33 @@ class Units:
         if self.index.new:
             new, self.index.new = self.index.new, []
             self._add(new)
+        self.seen += np.bincount(out, minlength=len(self.seen))
         return out
 
+    def shrink(self, most: int) -> None:
+        """Keep the most frequent units only. What a unit's lattice holds doesn't depend on the others."""
+        if len(self.index) <= most:
+            return
+        keep = np.sort(np.argpartition(-self.seen, most)[:most])
+        names = list(self.index)
+        self.index = Index()
+        self.index.update((names[i], n) for n, i in enumerate(keep.tolist()))
+        edge_at = np.append(self.begin, len(self.to))
+        first, states = self.state[keep], self.size[keep] + 1
+        lo = edge_at[first]
+        edges = edge_at[first + states] - lo
+        new_first, new_lo = np.cumsum(states) - states, np.cumsum(edges) - edges
+        s = np.repeat(first - new_first, states) + np.arange(states.sum())
+        e = np.repeat(lo - new_lo, edges) + np.arange(edges.sum())
+        self.begin = self.begin[s] - np.repeat(lo - new_lo, states)
+        to = self.to[e]
+        self.to = np.where(to < 0, to, to - np.repeat(first - new_first, edges)).astype(np.int32)
+        self.piece, self.cum, self.logp = self.piece[e], self.cum[e], self.logp[e]
+        n = self.best_at[keep + 1] - self.best_at[keep]
+        new_at = np.concatenate(([0], np.cumsum(n)))
+        self.best = self.best[np.repeat(self.best_at[keep] - new_at[:-1], n) + np.arange(n.sum())]
+        self.best_at, self.state, self.size, self.seen = new_at, new_first, self.size[keep], self.seen[keep]
+
     def _best(self, new: list[str]) -> list[list[int]]:
         """The model's own segmentation of each unit."""
         shown = [u[1:] if u[0] == " " else "\n" + u for u in new]
@@ -195,7 +224,8 @@ class Units:
             more = more[counts[more] > k]
             cum[begin[more] + k] += cum[begin[more] + k - 1]
         cum[(begin + counts - 1)[counts > 0]] = 2.0  # rounding never passes a state's last edge
-        self.state = np.concatenate((self.state, first + states))
+        self.state, self.size = np.concatenate((self.state, first + states)), np.concatenate((self.size, sizes))
+        self.seen = np.concatenate((self.seen, np.zeros(len(new), dtype=np.int64)))
         self.begin = np.concatenate((self.begin, begin + edges))
         self.to = np.concatenate((self.to, np.where(dst == ends[dst], -1, dst + states).astype(np.int32)))
         self.piece = np.concatenate((self.piece, piece))
@@ -415,7 +445,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         for batch in batches:
             for first, texts in _rows(batch):
                 if len(units.index) > UNITS_KEPT:
-                    units.clear()
+                    units.shrink(UNITS_KEPT // 4)
                 split = [units.unit.findall(" " + t) if t else [] for t in texts]
                 cuts = np.cumsum([0, *map(len, split)])
                 every = units.lookup([u for s in split for u in s])
@@ -431,6 +461,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 parts = pa.StructArray.from_arrays([lists([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())], fields=list(sampled))
                 columns = [batch.column(0).slice(first, len(texts)), lists(best), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), parts)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "round_trip", "samples"])
+        units.shrink(UNITS_BETWEEN)
 
     kind = docs.schema[id_col].dataType.simpleString()
     seeded = docs.select(id_col, F.col(text_col), F.xxhash64(id_col).alias("__key"))

@@ -95,3 +95,14 @@ def test_samples_follow_the_lattice():
         assert abs(first[path] / n - p) < 5 * np.sqrt(p / n) + 1e-3
     # Inclusion scores make sums over samples unbiased: here of all chances, which is 1.
     assert abs(np.mean([sum(np.exp(x[1] - x[2]) for x in r) for r in drawn]) - 1) < 0.01
+
+
+def test_a_smaller_table_changes_nothing():
+    units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    text, keys = [" than", " xylophonically", "\n", "ñandú"], mix(np.arange(50, dtype=np.uint64))
+    row = units.lookup(text)
+    before = str(sample(units, [row] * 50, keys, 2)), units.encode(row)[0].tolist()
+    units.lookup([f" other{i}" for i in range(500)])
+    units.shrink(100)
+    row = units.lookup([" new", *text])[1:]
+    assert (str(sample(units, [row] * 50, keys, 2)), units.encode(row)[0].tolist()) == before and len(units.index) <= 105
