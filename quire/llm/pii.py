@@ -90,6 +90,8 @@ NUMBER = re.compile(
     r")(?![\w-]|\.\d)",
     re.ASCII,
 )
+#: What every value has: a character of an address, two digits in a row or, in an IP of single digits, a dot between two.
+MAY_HOLD = r"@|[0-9]{2}|[0-9][.][0-9]"
 
 
 class Pseudonyms:
@@ -215,7 +217,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
         for batch in batches:
             column = batch.column(at)
             kinds: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            rows = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, r"[0-9]{2}|@"), False)).to_pylist()
+            rows = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, MAY_HOLD), False)).to_pylist()
             if rows:
                 texts = column.to_pylist()
                 for i in rows:

@@ -109,6 +109,14 @@ def test_pii(spark, docs, none):
     assert pseudonymise(none, key).count() == 0
 
 
+def test_pii_short_ips(spark):
+    """Addresses of single digits are replaced where the text holds nothing else, and as in any other text."""
+    rows = [(1, "resolver 8.8.8.8 answered"), (2, "42 times resolver 8.8.8.8 answered"), (3, "1.1.1.1"), (4, "v 1 . 2")]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"secret").collect()}
+    assert [got[i].pii_kinds for i in (1, 2, 3, 4)] == [["ip"], ["ip"], ["ip"], []]
+    assert "8.8.8.8" not in got[1].text and got[2].text == "42 times " + got[1].text and got[4].text == "v 1 . 2"
+
+
 def test_feistel_permutes():
     for size in (1, 2, 7, 100, 366, 1000):
         net = Feistel(b"k", "t", size)
