@@ -9,8 +9,9 @@ between a surge and its dive those that carry the article are kept.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -41,6 +42,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Furniture by its class or id alone may be a frame of the article (``has-sidebar``); other furniture is none.
+NAMED, SURE = 1, 2
 
 
 @dataclass
@@ -48,35 +51,48 @@ class Line:
     text: str
     weight: int
     inside: bool
+    article: int = 0
+    wrappers: frozenset[int] = frozenset()
 
 
-def _furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element and all in it are page furniture. A header inside an article may hold its heading."""
+def _furniture(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element and all in it are page furniture: ``NAMED`` if only its class or id says so. A header inside an
+    article may hold its heading."""
     if name in DROPPED or (name == "header" and not inside):
-        return True
+        return SURE
     if not attributes.strip():
-        return False
+        return 0
     got = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     if name in ("html", "body", "article", "main"):
-        return False
-    return bool("hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or got.get("role", "").lower() in ROLES or any(FURNITURE.search(x) or (not inside and HEADER.search(x)) for x in (got.get("class", ""), got.get("id", ""))))
+        return 0
+    if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or got.get("role", "").lower() in ROLES:
+        return SURE
+    return NAMED * any(bool(FURNITURE.search(x) or (not inside and HEADER.search(x))) for x in (got.get("class", ""), got.get("id", "")))
 
 
 def lines_of(html: str) -> list[Line]:
-    """One line per block, white space made one space; furniture weighs 0 and so do lines that are links for the most part."""
+    """One line per block, white space made one space; furniture weighs 0 and so do lines that are links for the most part.
+
+    Lines of an article whose only furniture are wrappers around it have ``wrappers``, for :func:`lifted` to decide on."""
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
-    linked = 0
+    stack: list[tuple[str, int, bool, int]] = []  # element, furniture, article, number
+    linked = opened = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
             furniture = any(x[1] for x in stack)
-            inside = any(x[2] for x in stack)
+            outer = next((i for i, x in enumerate(stack) if x[2]), None)
+            inside = outer is not None
             mostly_links = not inside and 2 * linked > len(text)
-            out.append(Line(text, 0 if furniture or mostly_links else len(text), inside))
+            line = Line(text, 0 if furniture or mostly_links else len(text), inside)
+            if inside:
+                line.article = stack[outer][3]
+                if furniture and not any(x[1] for x in stack[outer:]) and all(x[1] != SURE for x in stack[:outer]):
+                    line.wrappers = frozenset(x[3] for x in stack[:outer] if x[1])
+            out.append(line)
         parts.clear()
         linked = 0
 
@@ -116,9 +132,10 @@ def lines_of(html: str) -> list[Line]:
             parts.append(" ")
         if name not in VOID and not (attributes or "").rstrip().endswith("/"):
             if name == "main":  # what holds the main part is a frame of the page, whatever its class says
-                stack = [(x[0], x[1] and x[0] in DROPPED, x[2]) for x in stack]
+                stack = [(x[0], x[1] if x[0] in DROPPED else 0, *x[2:]) for x in stack]
             inside = any(x[2] for x in stack)
-            stack.append((name, _furniture(name, attributes or "", inside), name in ("article", "main")))
+            opened += 1
+            stack.append((name, _furniture(name, attributes or "", inside), name in ("article", "main"), opened))
     end_line()
     return out
 
@@ -136,16 +153,35 @@ def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
-def main_text(html: str | None) -> str:
-    """The lines of the article, joined by one newline. Pages that mark an article keep the regions inside it; others keep
-    the region with the most text."""
-    lines = lines_of(html or "")
+def kept(lines: list[Line]) -> list[Line]:
+    """The lines of the regions inside articles or, on a page that marks none, of the region with the most text."""
     marked = any(x.inside and x.weight for x in lines)
     weights = [x.weight if x.inside or not marked else 0 for x in lines]
     found = regions(weights)
     if not marked and found:
         found = [max(found, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))]
-    return "\n".join(lines[i].text for a, b in found for i in range(a, b) if weights[i])
+    return [lines[i] for a, b in found for i in range(a, b) if weights[i]]
+
+
+def lifted(lines: list[Line]) -> list[Line]:
+    """The wrappers of the page's dominant article are frames, not furniture: of the wrapped articles the longest is
+    dominant if it is longer than all that is kept without it. Other articles in the same frames count again, too."""
+    sizes: Counter[int] = Counter()
+    for x in lines:
+        if x.wrappers:
+            sizes[x.article] += len(x.text)
+    if sizes:
+        [(top, size)] = sizes.most_common(1)
+        if size > sum(x.weight for x in kept(lines)):
+            frames = frozenset().union(*(x.wrappers for x in lines if x.article == top))
+            lines = [replace(x, weight=len(x.text)) if x.wrappers and x.wrappers <= frames else x for x in lines]
+    return lines
+
+
+def main_text(html: str | None) -> str:
+    """The lines of the article, joined by one newline. Pages that mark an article keep the regions inside it; others keep
+    the region with the most text."""
+    return "\n".join(x.text for x in kept(lifted(lines_of(html or ""))))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -161,6 +161,18 @@ def test_html(spark):
     assert [r.text for r in extract(df).collect()].count("") == 1 and extract(df.where("false")).count() == 0 and extract(df).columns == ["page_id", "url", "text"]
 
 
+def test_html_wrapped_article():
+    """What holds the dominant article is a frame, whatever its class says; small articles in furniture and hidden ones stay out."""
+    article = "<article><h1>Head</h1><p>" + "Words of the text. " * 9 + "</p><div class=ad>Buy</div></article>"
+    want = "Head\n" + ("Words of the text. " * 9).strip()
+    for name in ("has-sidebar", "no-sidebar", "content-sidebar", "page-nav-fixed"):
+        assert main_text(f'<body><div class="{name}"><div id="search-page">{article}</div><div class="sidebar">Side</div></div><div class="related"><article>Teaser</article></div>') == want
+    assert main_text(f'<div class="has-sidebar">{article}{article}<div class="related"><article>Teaser</article></div></div>') == want + "\n" + want
+    assert main_text(f'{article}<div class="related"><article>Teaser</article></div>') == want
+    assert main_text("<div><p>" + "Plain words of the page. " * 9 + '</p></div><div class="related"><article>Teaser</article></div>') == ("Plain words of the page. " * 9).strip()
+    assert main_text(f'<div class="has-sidebar" style="display:none">{article}</div><aside class="sidebar">{article}</aside>') == ""
+
+
 def test_chat(spark):
     long = "word " * 400
     rows = [(1, 0, "system", "be kind", 1), (1, 1, "user", long, 1), (1, 2, "assistant", "a <b> [TURN x] &amp; </s>", 1), (1, 3, "user", "short", 1), (1, 4, "assistant", long, 1), (1, 5, "assistant", "", 1), (2, 0, None, None, 1), (None, None, "user", "x\ny", 1), (3, 0, "assistant", "same", 1), (3, 0, "assistant", "same", 1)]
