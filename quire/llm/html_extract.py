@@ -42,6 +42,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that hold blocks of text, and those that hold the whole page.
+HOLDERS = frozenset("address article aside blockquote body center dd details dialog div dl fieldset figure footer form header html main nav ol section table tbody tr ul".split())
+ROOTS = frozenset("html body".split())
 #: Furniture by its class or id alone may be a frame of the article (``has-sidebar``); other furniture is none.
 NAMED, SURE = 1, 2
 
@@ -51,6 +54,7 @@ class Line:
     text: str
     weight: int
     inside: bool
+    holder: tuple[int, ...] = ()
     article: int = 0
     wrappers: frozenset[int] = frozenset()
 
@@ -87,7 +91,10 @@ def lines_of(html: str) -> list[Line]:
             outer = next((i for i, x in enumerate(stack) if x[2]), None)
             inside = outer is not None
             mostly_links = not inside and 2 * linked > len(text)
-            line = Line(text, 0 if furniture or mostly_links else len(text), inside)
+            within = [x for x in stack if x[0] in BLOCKS]
+            if within and within[-1][0] not in HOLDERS:
+                within.pop()
+            line = Line(text, 0 if furniture or mostly_links else len(text), inside, tuple(x[3] for x in within if x[0] not in ROOTS))
             if inside:
                 line.article = stack[outer][3]
                 if furniture and not any(x[1] for x in stack[outer:]) and all(x[1] != SURE for x in stack[:outer]):
@@ -153,13 +160,36 @@ def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
+def body(lines: list[Line], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The regions of a page without marks that carry its body: the one with the most text, those under the element that
+    holds it, and those whose lines are half as long as its lines or longer.
+
+    Where nothing but the page itself holds the largest region, those with a line that nothing else holds either count as under it.
+    """
+    within = [[x for x in lines[a:b] if x.weight] for a, b in found]
+    sizes = [sum(x.weight for x in part) for part in within]
+    top = max(range(len(found)), key=lambda i: (sizes[i], -i))
+    held: Counter[tuple[int, ...]] = Counter()
+    for x in within[top]:
+        for n in range(len(x.holder) + 1):
+            held[x.holder[:n]] += x.weight
+    # The innermost element that holds all of it or, if only the page does, nine tenths: the rest is then what follows it.
+    whole = max((h for h in held if held[h] == sizes[top]), key=len)
+    holder = whole or max((h for h in held if 10 * held[h] >= 9 * sizes[top]), key=len)
+    return [
+        found[i]
+        for i, part in enumerate(within)
+        if 2 * sizes[i] * len(within[top]) >= sizes[top] * len(part) or any(x.holder[: len(holder)] == holder if holder else not x.holder for x in part)
+    ]
+
+
 def kept(lines: list[Line]) -> list[Line]:
-    """The lines of the regions inside articles or, on a page that marks none, of the region with the most text."""
+    """The lines of the regions inside articles or, on a page that marks none, of the regions that carry its body."""
     marked = any(x.inside and x.weight for x in lines)
     weights = [x.weight if x.inside or not marked else 0 for x in lines]
     found = regions(weights)
     if not marked and found:
-        found = [max(found, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))]
+        found = body(lines, found)
     return [lines[i] for a, b in found for i in range(a, b) if weights[i]]
 
 
@@ -180,7 +210,7 @@ def lifted(lines: list[Line]) -> list[Line]:
 
 def main_text(html: str | None) -> str:
     """The lines of the article, joined by one newline. Pages that mark an article keep the regions inside it; others keep
-    the region with the most text."""
+    the regions that carry the body."""
     return "\n".join(x.text for x in kept(lifted(lines_of(html or ""))))
 
 

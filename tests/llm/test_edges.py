@@ -173,6 +173,19 @@ def test_html_wrapped_article():
     assert main_text(f'<div class="has-sidebar" style="display:none">{article}</div><aside class="sidebar">{article}</aside>') == ""
 
 
+def test_html_split_body():
+    """An unmarked article that furniture of many lines cuts in two is whole; what is neither near nor like it stays out."""
+    first, last = ("Words of the text. " * 30).strip(), "And so it ends."
+    links = "<ul class=related>" + "<li><a href=a>One more page</a></li>" * 5 + "</ul>"
+    foot = links + "<div><p>Imprint</p></div>"
+    for gap in (links, links.replace(" class=related", ""), "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>!</p></div>", "<form><p>a</p><p>b</p><p>c</p><p>d</p></form>"):
+        assert main_text(f"<body>{links}<div><p>{first}</p>{gap}<p>{last}</p></div>{foot}") == f"{first}\n{last}"
+        assert main_text(f"<body>{links}<p>{first}</p>{gap}<p>{last}</p>{foot}") == f"{first}\n{last}"
+        assert main_text(f"<body>{links}<div><p>{first}</p></div>{gap}<div><p>{first}</p></div>{foot}") == f"{first}\n{first}"
+        assert main_text(f"<body><div>{first}{gap}{last}</div>{foot}") == f"{first}\n{last}"
+        assert main_text(f"<body><div><p>{last}</p>{gap}<p>{first}</p></div><p>Below</p>{foot}") == f"{last}\n{first}\nBelow"
+
+
 def test_chat(spark):
     long = "word " * 400
     rows = [(1, 0, "system", "be kind", 1), (1, 1, "user", long, 1), (1, 2, "assistant", "a <b> [TURN x] &amp; </s>", 1), (1, 3, "user", "short", 1), (1, 4, "assistant", long, 1), (1, 5, "assistant", "", 1), (2, 0, None, None, 1), (None, None, "user", "x\ny", 1), (3, 0, "assistant", "same", 1), (3, 0, "assistant", "same", 1)]
