@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.shape import grouped, known, stable_index, total_order
-from quire.plans.layout import FlowOptions, Frame, numbered_records, paginate, placed_records, section_rows
+from quire.plans.layout import FlowOptions, Frame, Pages, numbered_records, paginate, placed_records, section_rows
 from quire.sources.files import read_file, write_documents
 
 
@@ -40,7 +40,7 @@ def plan_per_group(df: DataFrame, by: list[str]) -> DataFrame:
     return indexed.join(units, same).select(*df.columns, "row_idx", "unit", "unit_label")
 
 
-def run_batch(df: DataFrame, unit: str, by: list[str], chain: list[Frame], options: FlowOptions = FlowOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_batch(df: DataFrame, unit: str, by: list[str], chain: list[Frame] | Pages, options: FlowOptions = FlowOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records placed in frames, the pieces, and the section rows, of all documents in one job."""
     numbered = numbered_records(df, unit, by)
     rows = section_rows(numbered, unit)

@@ -29,6 +29,23 @@ class FlowOptions:
     continued_marker: bool = True
 
 
+@dataclass(frozen=True)
+class Pages:
+    """A chain of equal frames, as long as each document needs."""
+
+    height_pt: float
+    per_page: int = 2
+
+    def frames(self, sections: list[tuple[int, bool, int, int, bool]], o: FlowOptions) -> list[Frame]:
+        """Enough frames for the sections: a header, a footer and the first record of a section may each begin a frame, and
+        a frame that begins within a section holds its repeated headers and then records, one at least."""
+        n = 1
+        for _, header, level, records, footer in sections:
+            each = max(1, int((self.height_pt - (level + 1) * o.header_pt) / o.record_pt) - 1) if o.record_pt > 0 else max(1, records)
+            n += header + footer + (records > 0) - (-records // each)
+        return [Frame(f"f{i}", f"p{i // self.per_page}", self.height_pt) for i in range(int(n))]
+
+
 def column_widths(df: DataFrame, columns: dict[str, str], char_pt: float = 6.0, pad_pt: float = 4.0) -> DataFrame:
     """``ord, name, width_pt, x_pt`` from column name to header: the longest text of header and cells, in one aggregate."""
     longest = [F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0))).alias(c) for c, h in columns.items()]
@@ -97,23 +114,28 @@ def place_sections(sections: Iterator[tuple[int, bool, int, int, bool]], chain:
     return out, False
 
 
+#: Records of a section that are looked up together.
+BLOCK = 64
 PIECES = "section_ord long, kind string, level int, rec_from long, rec_to long, frame_no int, frame string, page string, y_pt double, continued boolean, overflow boolean"
 
 
-def paginate(sections: DataFrame, unit: str, chain: list[Frame], o: FlowOptions = FlowOptions()) -> DataFrame:
+def paginate(sections: DataFrame, unit: str, chain: list[Frame] | Pages, o: FlowOptions = FlowOptions()) -> DataFrame:
     """Pieces of every document (``unit``) from its section rows ``section_ord, header, level, n, footer``.
 
     Each document is walked on its own, in parallel; a walk sees a row for each section, never records, and its work is
-    bounded by sections and frames. Documents without sections have no pieces.
+    bounded by sections and frames. Documents without sections have no pieces. A list of frames may run out
+    (``overflow``), ``Pages`` never do.
     """
     kind = sections.schema[unit].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("section_ord")
-        pieces, overflow = place_sections(zip(rows.section_ord, rows.header, rows.level, rows.n, rows.footer, strict=True), chain, o)
+        parts = list(zip(rows.section_ord, rows.header, rows.level, rows.n, rows.footer, strict=True))
+        frames = chain.frames(parts, o) if isinstance(chain, Pages) else chain
+        pieces, overflow = place_sections(iter(parts), frames, o)
         out = pd.DataFrame(pieces, columns=["section_ord", "kind", "level", "rec_from", "rec_to", "frame_no", "y_pt", "continued"])
-        out["frame"] = [chain[i].frame for i in out.frame_no]
-        out["page"] = [chain[i].page for i in out.frame_no]
+        out["frame"] = [frames[i].frame for i in out.frame_no]
+        out["page"] = [frames[i].page for i in out.frame_no]
         out["overflow"] = overflow
         out[unit] = rows[unit].iloc[0]
         return out[[unit, *(c.split()[0] for c in PIECES.split(", "))]]
@@ -140,11 +162,12 @@ def section_rows(numbered: DataFrame, unit: str, footer: bool = False) -> DataFr
 
 
 def placed_records(numbered: DataFrame, pieces: DataFrame, unit: str, record_pt: float) -> DataFrame:
-    """Each placed record with its frame and y: runs join their section's records by range. A hot section is split by the
-    join's own skew handling, since both sides are shuffled for it alone."""
+    """Each placed record with its frame and y: runs join their section's records by range, block by block, so that a section
+    of many frames costs no more than its records. A hot section is split by its blocks and the join's own skew handling."""
     runs = pieces.where("kind = 'records'").select(F.col(unit).alias("__unit"), F.col("section_ord").alias("__ord"), "rec_from", "rec_to", "frame_no", "frame", "page", "y_pt")
-    on = numbered[unit].eqNullSafe(runs["__unit"]) & (numbered["section_ord"] == runs["__ord"]) & (numbered["rec_no"] >= runs["rec_from"]) & (numbered["rec_no"] < runs["rec_to"])
-    return numbered.join(runs, on).withColumn("y_pt", F.col("y_pt") + (F.col("rec_no") - F.col("rec_from")) * record_pt).drop("__unit", "__ord", "rec_from", "rec_to")
+    runs = runs.withColumn("__block", F.explode(F.sequence(F.floor(F.col("rec_from") / BLOCK), F.floor((F.col("rec_to") - 1) / BLOCK))))
+    on = (F.floor(numbered["rec_no"] / BLOCK) == runs["__block"]) & numbered[unit].eqNullSafe(runs["__unit"]) & (numbered["section_ord"] == runs["__ord"]) & (numbered["rec_no"] >= runs["rec_from"]) & (numbered["rec_no"] < runs["rec_to"])
+    return numbered.join(runs, on).withColumn("y_pt", F.col("y_pt") + (F.col("rec_no") - F.col("rec_from")) * record_pt).drop("__unit", "__ord", "__block", "rec_from", "rec_to")
 
 
 def flow_summary(pieces: DataFrame, sections: DataFrame, unit: str) -> DataFrame:

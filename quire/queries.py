@@ -19,7 +19,7 @@ from quire.sources import files
 from quire.streaming.refresh import refresh
 
 RUN_DATE = date(2026, 6, 8)
-CHAIN = [layout.Frame(f"f{i}", f"p{i // 2}", 400.0) for i in range(200)]
+CHAIN = layout.Pages(400.0)
 ALLOWED = ("https://therin.example.net", "http://therha.example.com", "https://m.thther.example.org")
 DIMENSIONS = ("part", "orders", "customer", "supplier")
 

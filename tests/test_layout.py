@@ -3,7 +3,8 @@
 import random
 
 from quire.plans.batch import run_batch
-from quire.plans.layout import FlowOptions, Frame, column_widths, flow_summary, paginate, place_sections
+from quire.plans.layout import FlowOptions, Frame, Pages, column_widths, flow_summary, paginate, place_sections
+from quire.queries import QUERIES
 
 
 def model(sections, chain, o):
@@ -85,6 +86,25 @@ def test_batch_places_every_record_once(spark):
     assert {(r.placed == r.total, r.overflow) for r in flow_summary(pieces, rows, "unit").collect()} == {(True, False)}
 
 
+def test_catalog_of_any_length_is_whole(spark, tmp_path):
+    """One type with more records than 200 frames hold, in sections of many frames."""
+    rows = spark.range(9000).selectExpr("'t' AS p_type", "concat('b', id % 2) AS p_brand", "'n' AS p_name", "id AS p_partkey")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["paginate_catalog"](spark, str(tmp_path)).collect()
+    assert len({r.p_partkey for r in got}) == len(got) == 9000 and len({(r.frame, r.y_pt) for r in got}) == 9000
+    assert [(r.placed, r.total, r.overflow) for r in QUERIES["paginate_summary"](spark, str(tmp_path)).collect()] == [(9000, 9000, False)]
+
+
+def test_pages_are_enough():
+    rng = random.Random(8)
+    for _ in range(3000):
+        o = FlowOptions(rng.choice([1.1, 7.3, 20.0, 70.0]), rng.choice([0.1, 5.0, 16.0]), rng.choice([3.0, 20.0]), rng.random() < 0.8, rng.random() < 0.5)
+        sections = [(i, rng.random() < 0.8, rng.randrange(3), rng.choice([0, 1, 2, 5, 30, 500]), rng.random() < 0.5) for i in range(rng.randrange(6))]
+        pages = Pages(rng.choice([20.0, 33.3, 60.0, 100.1, 400.0]))
+        pieces, over = place_sections(iter(sections), pages.frames(sections, o), o)
+        assert not over and sum(p[4] - p[3] for p in pieces if p[1] == "records") == sum(s[3] for s in sections)
+
+
 def test_widths(spark):
     df = spark.createDataFrame([("abc", 1), ("", 12345)], "a string, b long")
     assert [(r.name, r.width_pt, r.x_pt) for r in column_widths(df, {"a": "A", "b": "B"}).orderBy("ord").collect()] == [("a", 26.0, 0.0), ("b", 38.0, 26.0)]
