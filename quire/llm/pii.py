@@ -92,6 +92,28 @@ NUMBER = re.compile(
 )
 #: What every value has: a character of an address, two digits in a row or, in an IP of single digits, a dot between two.
 MAY_HOLD = r"@|[0-9]{2}|[0-9][.][0-9]"
+# Lengths of IBANs by country, from the public registry.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def iban_valid(value: str) -> bool:
+    plain = value.replace(" ", "")
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def iban_in(match: str) -> str | None:
+    """The IBAN that ``match`` begins with. The pattern takes words along that look like groups, so all borders of groups are
+    tried: first the country's length, then the others from the longest."""
+    ends = [i for i, c in enumerate(match) if c == " "] + [len(match)]
+    ends.sort(key=lambda e: (len(match[:e].replace(" ", "")) != IBAN_LENGTHS.get(match[:2]), -e))
+    return next((match[:e] for e in ends if iban_valid(match[:e])), None)
 
 
 class Pseudonyms:
@@ -160,7 +182,7 @@ class Pseudonyms:
         """Country and letters stay, the digits of the account are permuted, the check digits are made anew."""
         plain = value.replace(" ", "")
         country, rest = plain[:2], plain[4:]
-        if not 15 <= len(plain) <= 34 or iban_check(country, rest) != plain[2:4]:
+        if not iban_valid(value):
             return None
         shape = re.sub(r"\d", "0", rest)
         new = _refill(rest, self._digits("iban" + country + shape, re.sub(r"\D", "", rest)))
@@ -198,7 +220,24 @@ def replace_in(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
 
     if "@" in text:
         text = EMAIL.sub(lambda m: put("email", m[0]), text)
-    return NUMBER.sub(lambda m: put(m.lastgroup, m[0]), text), kinds
+    out, done, at = [], 0, 0
+    while m := NUMBER.search(text, at):
+        value, at = m[0], m.end()
+        if m.lastgroup == "iban":
+            # What follows the IBAN, or its first four characters if it is none, may hold other values.
+            value = iban_in(m[0])
+            at = m.start() + (len(value) if value else 4)
+            if value is None:
+                continue
+            new = names.of("iban", value)
+            while iban_in(new + m[0][len(value) :]) != new:  # undoing has to find the same place
+                new = names.of("iban", new)
+            kinds.append("iban")
+        else:
+            new = put(m.lastgroup, value)
+        out += (text[done : m.start()], new)
+        done = at
+    return "".join([*out, text[done:]]), kinds
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col: str = "pii_kinds", back: bool = False) -> DataFrame:

@@ -117,6 +117,20 @@ def test_pii_short_ips(spark):
     assert "8.8.8.8" not in got[1].text and got[2].text == "42 times " + got[1].text and got[4].text == "v 1 . 2"
 
 
+def test_pii_words_after_an_iban():
+    """Words and numbers that look like a group of an IBAN are not taken along; values among them are found too."""
+    names, back = Pseudonyms(b"secret"), Pseudonyms(b"secret", back=True)
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68539007547034", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"]
+    for iban in ibans:
+        alone = replace_in(iban, names)[0]
+        assert alone != iban
+        for tail, kinds in (("", []), (" EUR", []), (" 42", []), (" 1250 EUR", []), (" ABCD EFGH 12", []), (" 4111 1111 1111 1111", ["card"]), (" " + iban, ["iban"]), (" 2024-02-29", ["date"])):
+            new, found = replace_in(iban + tail, names)
+            assert found == ["iban", *kinds] and new.startswith(alone) and replace_in(new, back)[0] == iban + tail, (iban, tail)
+            assert kinds or new == alone + tail
+    assert replace_in("AB12 4111 1111 1111 1111", names)[1] == ["card"]
+
+
 def test_feistel_permutes():
     for size in (1, 2, 7, 100, 366, 1000):
         net = Feistel(b"k", "t", size)
