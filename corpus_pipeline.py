@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; its result is written as Parquet and
 read again as the next one's documents. All but the last return the columns of ``docs``, extra ones included. Null and
-empty texts pass every filter. ``doc_id`` identifies a document: rows that share it are kept or dropped together.
+empty texts pass every filter. ``doc_id`` identifies a document: rows that share it are kept or dropped together, but
+decontamination judges each text, and rows without an id are documents of their own.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    dropped = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("__id"))
-    return docs.join(dropped, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that hold a window of a benchmark item go; of rows that share an id, or have none, those whose text does."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), key_col="__key").where("n_hit > 0")
+    dropped = found.select(F.col("doc_id").alias("__id"), "__key")
+    return docs.join(dropped, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__key")), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,14 +115,15 @@ def candidates(docs: DataFrame, sizes: list[int], window: int, bits: np.ndarray)
     return docs.mapInArrow(run, "id long, key long, n_words long, at int, shingle long, size int, lead int, context string")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, key_col: str | None = None) -> DataFrame:
     """Contamination of each document: ``<id>, n_words, n_hit, items, spans``.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters, in whole texts. ``items`` are the
     ids, in order, of the items of which a window occurs; ``spans`` the occurrences as ``start, stop`` word numbers,
     ``n_hit`` the words inside any of them. Null, empty and wordless texts have no words and no hits; such items have no
     windows. Repeated rows (same id, same text) give one row; rows that share an id but not the text stay apart, a null
-    id is an id of its own. Other columns, whatever their names, are not read.
+    id is an id of its own. ``key_col`` names a further column with the ``xxhash64`` of the text, which tells such rows
+    apart. Other columns, whatever their names, are not read.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     table = written(window_table(items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")), window).distinct(), "windows")
@@ -141,4 +142,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     span = F.when(F.col("ok"), F.struct(start.alias("start"), (start + F.col("len")).alias("stop")))
     per = checked.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, x: F.struct((s.n + F.greatest(F.lit(0), x.stop - F.greatest(x.start, s.to))).alias("n"), F.greatest(s.to, x.stop).alias("to")))
-    return per.select(F.col("id").alias(id_col), "n_words", covered.n.cast("long").alias("n_hit"), "items", "spans")
+    return per.select(F.col("id").alias(id_col), *([F.col("key").alias(key_col)] if key_col else []), "n_words", covered.n.cast("long").alias("n_hit"), "items", "spans")

@@ -88,7 +88,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     known = known.where(F.size("tw") >= SHINGLE).distinct().withColumn("ts", let(F.col("tw"), lambda w: F.array_distinct(shingles(w))))
     assert known.count() <= MOST_TEMPLATES, "too many templates for the plan; scan in several runs"
     vocabulary = F.lit([r[0] for r in known.select(F.explode("ts")).distinct().collect()]).cast("array<bigint>")
-    likely = docs.select(F.col(id_col).alias("id"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.arrays_overlap("s", vocabulary))
+    likely = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.arrays_overlap("s", vocabulary))
     # A template is known by its successive spans; a window that holds one retrieves it.
     n = F.size("tw")
     span = F.when(n >= 64, 32).when(n >= 32, 16).when(n >= 8, 8).otherwise(5)
@@ -98,20 +98,20 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     spans = spans.distinct()
     # Windows of span + step - 1 words at every step-th word, as far as they hold a shingle of any template.
     hits = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())
-    found = likely.select("id", "s", F.explode(F.array(hits)).alias("hits"))
+    found = likely.select("id", "key", "s", F.explode(F.array(hits)).alias("hits"))
 
     def begins(size: int, step: int) -> Column:
         room = size + step - 1 - SHINGLE
         around = F.transform("hits", lambda i: F.sequence(F.ceil(F.greatest(F.lit(0), i - room) / step).cast("int"), F.floor(i / step).cast("int")))
         return F.transform(F.array_distinct(F.flatten(around)), lambda k: F.struct(F.lit(size).alias("size"), F.lit(size + step - 1 - SHINGLE + 1).alias("width"), (k * step).alias("from")))
 
-    windows = found.select("id", "s", F.explode(F.flatten(F.array(*(begins(*x) for x in SPANS)))).alias("w")).select("id", "s", "w.*")
+    windows = found.select("id", "key", "s", F.explode(F.flatten(F.array(*(begins(*x) for x in SPANS)))).alias("w")).select("id", "key", "s", "w.*")
     # A generated column is computed once, however often it is used.
-    windows = windows.select("id", "s", "size", "from", F.explode(F.array(F.array_distinct(F.expr("slice(s, from + 1, width)")))).alias("part"))
+    windows = windows.select("id", "key", "s", "size", "from", F.explode(F.array(F.array_distinct(F.expr("slice(s, from + 1, width)")))).alias("part"))
     # What a template can span around the window goes along; it is a few hundred words at most.
     longest = known.agg(F.max(F.size("tw"))).first()[0] or 0
     lead = F.greatest(F.lit(0), F.col("from") - longest)
-    windows = windows.select("id", "size", lead.alias("lead"), F.slice("s", lead + 1, F.lit(2 * longest) + 2 * F.col("size")).alias("near"), F.posexplode(minhashes(F.col("part"), bands)).alias("band", "low"))
+    windows = windows.select("id", "key", "size", lead.alias("lead"), F.slice("s", lead + 1, F.lit(2 * longest) + 2 * F.col("size")).alias("near"), F.posexplode(minhashes(F.col("part"), bands)).alias("band", "low"))
     met = windows.join(F.broadcast(spans), ["band", "low"]).where(F.col("size") == F.col("span"))
     # Exact containment at the best place: of all stretches as long as the template that begin with one of its shingles.
     m = F.size("ts")
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
         return F.struct((F.size(F.array_intersect("ts", stretch)) / m).alias("share"), (-i).alias("back"))
 
     places = F.filter(F.transform("near", lambda h, i: F.when(F.array_contains("ts", h), i)), lambda i: i.isNotNull())
-    met = met.dropDuplicates(["id", "lead", "license", "tw"])
+    met = met.dropDuplicates(["id", "key", "lead", "license", "tw"])  # texts that share an id, or have none, are verified each
     best = met.withColumn("b", F.array_max(F.transform(places, share)))
     held = best.where(F.col("b.share") >= least).select("id", "license", F.col("b.share").alias("share"), (F.col("lead") - F.col("b.back")).alias("start"), F.size("tw").alias("len"))
     top = held.groupBy("id", "license").agg(F.max(F.struct("share", (-F.col("start")).alias("back"), "len")).alias("x"))

@@ -224,6 +224,22 @@ def test_licenses(spark, docs, none):
     assert scan(docs).count() == 0 and scan(none).count() == 0
 
 
+def test_licenses_of_shared_ids(spark):
+    """Texts that share an id, or have none, are searched each, whichever comes first."""
+    part, whole = " ".join(NOTICES["MIT"].split()[:30]), NOTICES["MIT"]
+    rows = [(i, t) for i in range(20) for t in ((part, whole) if i % 2 else (whole, part))] + [(None, part), (None, whole), (None, part + " more")]
+    got = {(r.doc_id, r.license): r.containment for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, "MIT"): 1.0 for i in [*range(20), None]}
+
+
+def test_decontamination_stage_judges_texts(spark, sf):
+    """A contaminated text takes no clean ones along that have its id or, like it, none."""
+    bad = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, bad), (None, "clean words"), (None, None), (7, bad), (7, "other clean words"), (8, bad)]
+    got = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[2], rows[4]], "doc_id long, text string").collect())
+
+
 def test_pipeline_stages(spark, docs, none, sf):
     frame = docs
     for name, stage in corpus_pipeline.STAGES:
