@@ -367,7 +367,7 @@ def event_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     after = e.where("event_id % 20 <> 0").withColumn("value", F.when(F.col("event_id") % 20 == 1, F.col("value") + 1).otherwise(F.col("value")))
     for frame in (e, after):
-        frame.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        frame.write.mode("append").parquet(f"{root}/landed")
         refresh(spark, f"{root}/landed", e.schema, ["event_id"], f"{root}/state").awaitTermination()
     changes = spark.read.parquet(f"{root}/state/changes")
     return changes.select("batch", "change_type", "n")

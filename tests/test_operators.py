@@ -1,5 +1,6 @@
 """Shaping, binding, synchronisation, governance and sources on small fixtures."""
 
+import glob
 import os
 import tempfile
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.fx import field
 from quire.operators import bind, codes, govern, shape, sync
 from quire.plans import batch
+from quire.queries import QUERIES
 from quire.sources import files
 from quire.streaming.refresh import trigger_of
 
@@ -169,3 +171,14 @@ def test_plans(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_event_refresh_lands_in_parallel(spark, tmp_path):
+    """Snapshots of several partitions land as several files, which one batch reads together."""
+    spark.range(0, 1000, 1, 4).selectExpr("id AS event_id", "id AS user_id", "'t' AS event_type", "double(id) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    old = set(glob.glob(f"{root}/quire-refresh-*"))
+    got = {(r.batch, r.change_type): r.n for r in QUERIES["event_refresh"](spark, str(tmp_path)).collect()}
+    (new,) = set(glob.glob(f"{root}/quire-refresh-*")) - old
+    assert len(glob.glob(f"{new}/landed/*.parquet")) > 2
+    assert {n for (_, kind), n in got.items() if kind == "removed"} == {50} and len({batch for batch, _ in got}) == 2, got
