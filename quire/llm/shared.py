@@ -3,30 +3,44 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds between collections on the driver.
+COLLECT_EVERY = 2.0
+_collected = [0.0]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where the cluster names none."""
+    """The shared folder of the session. Without one, a job on a cluster ends here: tables in machine-local folders would be
+    scattered. Local masters get a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-checkpoint"
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names like ``names`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * i for i in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that nothing before it runs again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # Shuffle files of finished steps go when the driver's JVM collects the plans that made them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() > _collected[0] + COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import quire.llm.near_dedup as near_dedup_module
 from quire.llm.chat import read_back, windows
 from quire.llm.decontaminate import decontaminate
 from quire.llm.embedding_dedup import embedding_dedup
@@ -55,6 +58,54 @@ def test_near_dedup_threshold(spark):
     assert got == label
 
 
+def families(n_families, n, words=150):
+    """Altered copies of one text and of texts that differ from it in a run of words: linked within a family, near 0.7 across."""
+    r = random.Random(5)
+    base, out = [f"w{r.randrange(10**6)}" for _ in range(words)], []
+    for f in range(n_families):
+        text, at = base[:], r.randrange(5, words - 25)
+        if f:
+            text[at : at + 19] = [f"f{f}x{r.randrange(10**6)}" for _ in range(19)]
+        for _ in range(n):
+            copy = text[:]
+            copy[r.randrange(words)] = f"e{r.randrange(10**7)}"
+            out.append(copy)
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def linked_groups(rows):
+    sets = {i: {tuple(x[j : j + 5]) for j in range(len(x) - 4)} for i, x in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and label[a] != label[b]:
+                c = len(sets[a] & sets[b])
+                if 100 * c >= 75 * (len(sets[a]) + len(sets[b]) - c):
+                    old, new = max(label[a], label[b]), min(label[a], label[b])
+                    label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("n_families, n", [(2, 60), (5, 40)])
+def test_near_dedup_families(spark, monkeypatch, n_families, n):
+    """Components are those of all pairs; the pairs compared grow with the texts, not with their square."""
+    compared, verified = [], near_dedup_module.verified
+    monkeypatch.setattr(near_dedup_module, "verified", lambda pairs, *a, **b: compared.append(pairs.count()) or verified(pairs, *a, **b))
+    rows = families(n_families, n)
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()}
+    assert got == linked_groups(rows) and len(set(got.values())) == n_families
+    assert sum(compared) <= 16 * len(rows)
+
+
+def test_near_dedup_shared_ids(spark):
+    """Rows that share an id but not the text are linked each by its own text."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(5, x), (5, y), (3, x + " end"), (4, y + " end"), (9, y), (7, None), (7, x), (5, y)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 4, False), (5, 4, False), (7, 3, False), (7, 7, True), (9, 4, False)]
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, "beta GAMMA delta"), (2, ""), (3, None), (4, LONG[:200]), (11, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda nu"), (11, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda nu")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
