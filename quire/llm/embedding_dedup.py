@@ -4,7 +4,10 @@ Unit vectors are turned into the principal axes of all of them, which keeps thei
 into the leading dimensions. Vectors of one label are dealt into tiles along the first axis, and tiles that are too far
 apart there cannot hold links. For two tiles, products are summed over leading dimensions; what the others can add is at most
 the product of the two vectors' suffix norms, so a pair ends as soon as its sum and that bound stay below the threshold.
-Pairs that come through are decided by the cosine of the vectors themselves, in double precision.
+Pairs that come through have all dimensions added up: their cosine in double precision, since turning keeps products.
+
+Every pair of tiles is a task of its own, and only turned vectors are shuffled: a vector once for each tile of its label that
+is near enough. Tiles are as large as a task's memory allows, so a label needs few of them.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from quire.llm.graph import components
 from quire.llm.shared import written
 
-#: Vectors of a tile, about.
-TILE = 2048
+#: Vectors of a tile, about, and the bytes that they may have.
+TILE = 8192
+TILE_BYTES = 16 << 20
 #: Rows of a tile that are compared with another tile at a time.
 STRIP = 256
 GRID = 128
@@ -96,7 +100,7 @@ def stages(d: int) -> list[tuple[int, int]]:
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of two blocks of turned unit vectors whose product may reach ``least``, strip by strip."""
+    """Row pairs of two blocks of turned unit vectors whose product is ``least`` or more, strip by strip."""
     d = a.shape[1]
     norms = [(np.sqrt((a[:, z:] ** 2).sum(axis=1)), np.sqrt((b[:, z:] ** 2).sum(axis=1))) for _, z in stages(d)]
     for s in range(0, len(a), STRIP):
@@ -110,7 +114,8 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndar
                 total = total + np.einsum("ij,ij->i", block[i, lo:hi], b[j, lo:hi])
                 stay = total + na[s + i] * nb[j] >= least - SLACK
                 i, j, total = i[stay], j[stay], total[stay]
-        yield i + s, j
+        reach = total >= least
+        yield i[reach] + s, j[reach]
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -138,25 +143,30 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Two vectors of one label and one length are linked when their cosine, in double precision, is ``least`` or more.
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest id reachable, itself included.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with
-    nothing. Equal vectors are one class that is compared once; repeated rows count as linked rows. Other columns are not read.
+    nothing. Equal vectors of one label are one class that is compared once; repeated rows count as linked rows. Rows that
+    share an id but not the label or vector are linked each by its own. Ties at the threshold are links, as far as doubles
+    tell. An empty table gives no rows. Other columns are not read.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
     top = F.array_max(F.transform("v", F.abs))
     usable = F.when(sound, top > 0).otherwise(F.lit(False))
-    rows = written(x.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.col("v"))), "vectors")
+    # Classes of equal vectors by 128 bits of label and vector; a class is known by the number of one of its rows.
+    keys = {f"h{i}": F.xxhash64(F.lit(i), "label", "v") for i in (1, 2)}
+    rows = written(x.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumns(keys).withColumn("row", F.monotonically_increasing_id()), "vectors")
     good = rows.where("ok")
-    classes = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    units = written(unit_vectors(classes.select("rep", "label", "m", "v")), "units")
-    placed = written(turned(units, principal_axes(units)).withColumn("x", F.element_at("p", 1)), "turned")
+    classes = written(good.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("x"), F.count("*").alias("m")).select("h1", "h2", F.col("x.row").alias("rep"), F.col("x.id").alias("least_id"), "m"), "classes")
+    units = written(unit_vectors(good.join(classes.select("rep", "m"), good.row == F.col("rep")).select("rep", "label", "m", "v")), "units")
+    placed = written(turned(units, principal_axes(units)).drop("u").withColumn("x", F.element_at("p", 1)), "turned")
     # Tiles: ranges along the first axis, and where too many vectors share a range, shares of it by hash.
     quantiles = F.percentile_approx("x", F.array(*(F.lit(i / GRID) for i in range(1, GRID))), F.lit(2000))
     of = placed.groupBy("label", "d").agg(F.count("*").alias("n"), quantiles.alias("q"))
     share = F.aggregate("q", F.lit(0), lambda t, c: t + (F.col("x") > c).cast("int"))
-    tiles = placed.join(of, ["label", "d"]).withColumn("range", F.floor(share * F.least(F.ceil(F.col("n") / tile), F.lit(GRID)) / GRID))
-    full = tiles.groupBy("label", "d", "range").agg(F.count("*").alias("c"))
-    tiles = tiles.join(full, ["label", "d", "range"]).withColumn("tile", F.col("range") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / tile)))
-    tiles = written(tiles.select("label", "d", "tile", "rep", "m", "x", "u", "p"), "tiles")
+    room = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / (8 * F.col("d")))))
+    tiles = placed.join(written(of, "labels"), ["label", "d"]).withColumn("range", F.floor(share * F.least(F.ceil(F.col("n") / room), F.lit(GRID)) / GRID))
+    full = written(tiles.groupBy("label", "d", "range").agg(F.count("*").alias("c")), "ranges")
+    tiles = tiles.join(full, ["label", "d", "range"]).withColumn("tile", F.col("range") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / room)))
+    tiles = written(tiles.select("label", "d", "tile", "rep", "m", "x", "p"), "tiles")
     spans = tiles.groupBy("label", "d", "tile").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     # Unit vectors with cosine c are sqrt(2 - 2c) apart, and so are at most their first coordinates.
     gap = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
@@ -164,22 +174,18 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("b.lo") - F.col("a.hi") <= gap) & (F.col("a.lo") - F.col("b.hi") <= gap))
     near = near.select("a.label", "a.d", F.col("a.tile").alias("t"), F.col("b.tile").alias("o"))
     sides = near.select("label", "d", "t", "o", F.col("t").alias("tile")).union(near.where("t <> o").select("label", "d", "t", "o", F.col("o").alias("tile")))
-    dealt = tiles.join(sides, ["label", "d", "tile"]).select("label", "d", "t", "o", "tile", "rep", "m", "u", "p")
+    dealt = tiles.join(sides, ["label", "d", "tile"]).select("label", "d", "t", "o", "tile", "rep", "m", "p")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         d, t, o = (key[i].as_py() for i in (1, 2, 3))
         group = group.combine_chunks()
         side = group["tile"].to_numpy()
         ids, m = group["rep"].to_numpy(), group["m"].to_numpy()
-        u, p = (group[c].combine_chunks().values.to_numpy().reshape(-1, d) for c in ("u", "p"))
+        p = group["p"].combine_chunks().values.to_numpy().reshape(-1, d)
         left, right = np.flatnonzero(side == t), np.flatnonzero(side == o)
         links = np.zeros((len(left), len(right)), dtype=bool)
-        pa_, pb = np.ascontiguousarray(p[left]), np.ascontiguousarray(p[right])
-        for i, j in linked(pa_, pb, least):
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                exact = np.einsum("ij,ij->i", u[left[x]], u[right[y]])
-                links[x, y] = exact >= least
+        for i, j in linked(np.ascontiguousarray(p[left]), np.ascontiguousarray(p[right]), least):
+            links[i, j] = True
         if t == o:
             np.fill_diagonal(links, False)
         edges = forest(links)
@@ -194,7 +200,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = written(dealt.groupBy("label", "d", "t", "o").applyInArrow(compare, "a long, b long, n long"), "found")
     labels = components(found.where("b is not null"))
     counts = found.groupBy("a").agg(F.sum("n").alias("links"))
-    known = classes.join(counts, classes.rep == counts.a, "left").join(labels.withColumnRenamed("label", "smallest"), classes.rep == F.col("node"), "left")
-    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
-    out = good.join(known, ["label", "v"]).select("id", "n_links", "component_id").unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    known = classes.join(counts, classes.rep == counts.a, "left").join(labels, classes.rep == labels.node, "left")
+    known = known.select("h1", "h2", "least_id", F.coalesce("label", "rep").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    smallest = written(known.groupBy("part").agg(F.min("least_id").alias("component_id")), "smallest")
+    known = written(known.join(smallest, "part").select("h1", "h2", "n_links", "component_id"), "known")
+    out = good.select("id", "h1", "h2").join(known, ["h1", "h2"]).select("id", "n_links", "component_id").unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
