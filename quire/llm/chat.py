@@ -4,11 +4,14 @@ Turn template: ``[TURN role]text</s>`` for a turn that is new in its window, ``[
 ``&``, ``<``, ``[`` and ``]`` inside roles and texts are written as character references, so that no text can hold a
 marker of this or another template, and reading back restores it exactly.
 
-Windows: prefix sums of turn tokens place every turn on a line cut into stretches of ``budget`` tokens. Turns that lie
-within one stretch share a window, and a turn that crosses a cut is a window of its own; so no window has more than
-``budget`` new tokens unless a single turn has. A window repeats the system turn and the last turns of the window before,
-as far as ``history`` tokens and ``history_turns`` turns; repeated turns are out of the loss, and each assistant turn is in
-the loss once.
+Windows: a window has the system turn, repeated history and new turns, all within ``budget`` tokens. What the system turn
+and ``history`` leave is the room for new turns. Prefix sums of turn tokens place every turn on a line that is cut into cells
+of half that room: turns of at most half the room that begin in one cell share a window, and a longer turn is a window of
+its own. So new turns never pass the room, no two windows in a row are needlessly small, and no window depends on how the
+ones before it were filled. A window repeats the last turns of the window before, as far as ``history`` tokens,
+``history_turns`` turns and its own budget allow; repeated turns are out of the loss, and each assistant turn is in the loss
+once. The one exception to the budget: a turn that passes it alone, or with the system turn, has a window with the system turn
+and nothing else.
 """
 
 from __future__ import annotations
@@ -38,39 +41,46 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """``<conv>, window, formatted, losses``: the windows of each conversation, and the spans (``start, length`` in
     characters of ``formatted``) that are in the loss.
 
-    Rows of a conversation are ordered by turn, then role and text. A null role or text is empty, a null conversation id is
-    an id of its own, null turns come first. Repeated rows are repeated turns. Other columns are not read. A conversation
-    of any length is cut in blocks of turns, so that prefix sums need no whole conversation at once.
+    ``window`` is the number, from 0, of the window's first new turn. Rows of a conversation are ordered by turn, then role
+    and text; the first is the system turn if its role says so. A null role or text is empty, a null conversation id is an id
+    of its own, null turns come first. Repeated rows are repeated turns, and texts of any length stay whole. Without rows there
+    are no windows. Other columns are not read. A conversation of any length is cut in blocks of turns, so that prefix sums need
+    no whole conversation at once.
     """
     base = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKENS)) if tokens is None else tokens).cast("long").alias("t"),
     ).withColumn("t", F.col("t") + 4).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))))
     order = ["turn", "role", "text"]
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = base.groupBy("conv", "block").agg(F.sum("t").alias("bt"), F.count("*").alias("bn"))
-    blocks = blocks.select("conv", "block", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"))
-    inner = Window.partitionBy("conv", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = base.alias("b").join(blocks.alias("k"), F.col("b.conv").eqNullSafe(F.col("k.conv")) & (F.col("b.block") == F.col("k.block"))).select("b.*", "t0", "n0")
-    placed = b.withColumns({"seq": F.count("*").over(inner) + F.col("n0"), "stop": F.sum("t").over(inner) + F.col("t0")})
-    placed = placed.withColumns({"lo": F.floor((F.col("stop") - F.col("t")) / budget), "hi": F.floor((F.col("stop") - 1) / budget)})
-    # Windows in order: turns with the same (lo, hi) within one stretch share one, a crossing turn (lo < hi) is alone.
-    spans = placed.groupBy("conv", "lo", "hi").agg(F.count("*").alias("wn"), F.sum("t").alias("wt"), F.min("seq").alias("first"))
-    chain = Window.partitionBy("conv").orderBy("first")
-    spans = spans.withColumns({"window": F.row_number().over(chain) - 1, "more": F.lead("first").over(chain).isNotNull()})
-    last = spans.groupBy("conv").agg(F.max("window").alias("last"))
-    spans = spans.alias("s").join(last.alias("l"), F.col("s.conv").eqNullSafe(F.col("l.conv"))).select("s.*", "l.last")
-    p = placed.alias("p").join(spans.alias("s"), F.col("p.conv").eqNullSafe(F.col("s.conv")) & (F.col("p.lo") == F.col("s.lo")) & (F.col("p.hi") == F.col("s.hi")))
-    p = p.select("p.conv", "p.seq", "p.role", "p.text", "p.t", "p.stop", "s.window", "s.more", "s.wn", "s.first", "s.last")
-    ends = Window.partitionBy("conv", "window")
-    tail = F.max("stop").over(ends) - F.col("stop") + F.col("t")
-    system = (F.col("seq") == 1) & (F.col("role") == "system")
-    repeat = F.col("more") & (F.col("first") + F.col("wn") - F.col("seq") <= history_turns) & (tail <= history) & ~system
-    into = F.when(system & (F.col("last") > 0), F.sequence(F.lit(0), F.col("last"))).when(repeat, F.array("window", F.col("window") + 1)).otherwise(F.array("window"))
-    rows = p.withColumn("into", into).select("conv", "seq", "role", "text", F.col("window").alias("own"), F.explode("into").alias("window"))
-    new = F.col("own") == F.col("window")
-    head = F.concat(F.when(new, F.lit("[TURN ")).otherwise(F.lit("[HIST ")), escaped(F.col("role")), F.lit("]"))
-    parts = rows.select("conv", "window", F.struct("seq", head.alias("head"), escaped(F.col("text")).alias("body"), (new & (F.col("role") == "assistant")).alias("loss")).alias("x"))
+    every = Window.partitionBy("conv").orderBy("block")
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = base.groupBy("conv", "block").agg(F.sum("t").alias("bt"), F.count("*").alias("bn"), F.min(F.struct(*order, "t")).alias("first"))
+    system = F.when(F.col("first.role") == "system", F.col("first.t")).otherwise(0)
+    blocks = blocks.select("conv", "block", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"), F.first(system).over(every).alias("sys"))
+    blocks = blocks.withColumn("half", F.greatest(F.lit(1), F.floor((budget - F.col("sys") - history) / 2)))
+    inner = Window.partitionBy("conv", "block").orderBy(*order)
+    running = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = base.alias("b").join(blocks.alias("k"), F.col("b.conv").eqNullSafe(F.col("k.conv")) & (F.col("b.block") == F.col("k.block"))).select("b.*", "t0", "n0", "sys", "half")
+    placed = b.withColumns({"seq": F.count("*").over(running) + F.col("n0") - 1, "stop": F.sum("t").over(running) + F.col("t0"), "next": F.lead("t").over(inner)})
+    first = (F.col("seq") == 0) & (F.col("sys") > 0)
+    # The system turn goes with the turn after it.
+    placed = placed.withColumns({"first": first, "cell": F.floor(F.when(first, F.col("stop")).otherwise(F.col("stop") - F.col("t")) / F.col("half")), "long": F.coalesce(F.when(first, F.col("next")).otherwise(F.col("t")) > F.col("half"), F.lit(False))})
+    keys = ["cell", "long"]
+    new = F.when(~F.col("first"), F.col("t")).otherwise(0)
+    spans = placed.groupBy("conv", *keys).agg(F.min("seq").alias("window"), F.count("*").alias("n"), F.max("stop").alias("end"), (budget - F.max("sys") - F.sum(new)).alias("room"))
+    after = spans.select(F.col("conv").alias("a_conv"), F.col("window").alias("after"), F.col("room").alias("after_room"))
+    spans = spans.join(after, F.col("conv").eqNullSafe(F.col("a_conv")) & (F.col("window") + F.col("n") == F.col("after")), "left").drop("a_conv", "room")
+    s = spans.alias("s")
+    p = placed.alias("p").join(s, F.col("p.conv").eqNullSafe(F.col("s.conv")) & (F.col("p.cell") == F.col("s.cell")) & (F.col("p.long") == F.col("s.long")))
+    p = p.select("p.conv", "p.seq", "p.role", "p.text", "p.first", (F.col("s.end") - F.col("p.stop") + F.col("p.t")).alias("tail"), "s.window", "s.n", "s.after", "s.after_room")
+    repeat = F.col("after").isNotNull() & (F.col("window") + F.col("n") - F.col("seq") <= history_turns) & (F.col("tail") <= F.least(F.lit(history), F.col("after_room"))) & ~F.col("first")
+    into = F.when(repeat, F.array(F.struct("window", F.lit(True).alias("new")), F.struct(F.col("after").alias("window"), F.lit(False).alias("new")))).otherwise(F.array(F.struct("window", F.lit(True).alias("new"))))
+    rows = p.select("conv", "seq", "role", "text", F.explode(into).alias("w")).select("conv", "seq", "role", "text", "w.window", "w.new")
+    kept = p.where("first").select(F.col("conv").alias("k_conv"), "seq", "role", "text", F.col("window").alias("own"))
+    again = spans.select("conv", "window").join(kept, F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("window") != F.col("own")))
+    rows = rows.unionByName(again.select("conv", "seq", "role", "text", "window", F.lit(False).alias("new")))
+    head = F.concat(F.when(F.col("new"), F.lit("[TURN ")).otherwise(F.lit("[HIST ")), escaped(F.col("role")), F.lit("]"))
+    parts = rows.select("conv", "window", F.struct("seq", head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("new") & (F.col("role") == "assistant")).alias("loss")).alias("x"))
     whole = parts.groupBy("conv", "window").agg(F.array_sort(F.collect_list("x")).alias("x"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
 

@@ -49,12 +49,13 @@ _OP10 = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 k AS (SELECT *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]')) + 4 AS t, row_number() OVER w AS seq FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-p AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY seq) AS stop FROM k),
-q AS (SELECT *, (stop - t) // 512 AS lo, (stop - 1) // 512 AS hi, max(seq) OVER (PARTITION BY conv_id) AS last FROM p),
-r AS (SELECT *, min(seq) OVER g AS first, count(*) OVER g AS wn, max(stop) OVER g - stop + t AS tail FROM q WINDOW g AS (PARTITION BY conv_id, lo, hi)),
-u AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS win FROM r),
-x AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win, seq = 1 AND role = 'system' AS sys FROM u),
-y AS (SELECT *, 1 + CASE WHEN sys THEN last_win WHEN win < last_win AND first + wn - seq <= 2 AND tail <= 128 THEN 1 ELSE 0 END AS copies FROM x)
+p AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY seq) AS stop, coalesce(max(t) FILTER (seq = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS sys, lead(t) OVER (PARTITION BY conv_id ORDER BY seq) AS next FROM k),
+q AS (SELECT *, seq = 1 AND sys > 0 AS first, greatest(1, (512 - sys - 128) // 2) AS half FROM p),
+c AS (SELECT *, CAST(CASE WHEN first THEN stop ELSE stop - t END AS BIGINT) // half AS cell, coalesce(CASE WHEN first THEN next ELSE t END > half, FALSE) AS long FROM q),
+r AS (SELECT *, min(seq) OVER g AS win, count(*) OVER g AS wn, max(stop) OVER g - stop + t AS tail, 512 - sys - coalesce(sum(t) FILTER (NOT first) OVER g, 0) AS room FROM c WINDOW g AS (PARTITION BY conv_id, cell, long)),
+w AS (SELECT DISTINCT conv_id, win + wn AS after, win, room FROM r),
+x AS (SELECT r.*, n.room AS after_room, count(DISTINCT r.win) OVER (PARTITION BY r.conv_id) AS n_win FROM r LEFT JOIN w n ON r.conv_id = n.conv_id AND r.win + r.wn = n.win),
+y AS (SELECT *, 1 + CASE WHEN first THEN n_win - 1 WHEN win + wn - seq <= 2 AND after_room IS NOT NULL AND tail <= least(128, after_room) THEN 1 ELSE 0 END AS copies FROM x)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(copies * (length({_ESC.format("text")}) + length({_ESC.format("role")}) + 11)) AS BIGINT) AS formatted_chars

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -288,6 +289,29 @@ def test_chat(spark):
     assert windows(df.where("false")).count() == 0
 
 
+def test_chat_budget(spark):
+    """No window passes the budget, system turn and history counted, but those of a single turn that does so alone."""
+    r = random.Random(11)
+    rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], "w " * r.choice([0, 3, 20, 60, 90, 150, 400] if c % 3 else [1, 5, 30])) for c in range(30) for t in range(r.randrange(1, 60))]
+    rows.append((99, 0, "assistant", "word " * 200_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = windows(df, budget=256, history=64).cache()
+    repeated = 0
+    for w in made.collect():
+        turns = [(m[1], m[2], len(m[3].split()) + 4) for m in re.finditer(r"\[(TURN|HIST) ([^]]*)\]([^<]*)</s>", w.formatted)]
+        new = [t for kind, role, t in turns if kind == "TURN" and role != "system"]
+        history = [t for kind, role, t in turns if kind == "HIST" and role != "system"]
+        system = sum(t for _, role, t in turns if role == "system")
+        assert len(history) <= 2 and sum(history) <= 64
+        assert system + sum(new) + sum(history) <= 256 or (len(new) == 1 and not history), turns
+        repeated += len(history)
+    assert repeated > 20 and made.count() < 0.7 * len(rows)
+    back = {r.conv_id: r for r in read_back(made).collect()}
+    for c in {r[0] for r in rows}:
+        assert [(t.role, t.text) for t in back[c].turns] == [r[2:] for r in rows if r[0] == c]
+        assert back[c].losses == [r[3] for r in rows if r[0] == c and r[2] == "assistant"]
+
+
 def test_licenses(spark, docs, none):
     rows = [(1, "Some text. " + NOTICES["MIT-notice"] + " More."), (2, LONG + " " + NOTICES["Apache-2.0"].upper() + " " + LONG), (3, "released under the"), (4, None), (None, NOTICES["CC-BY-NC-4.0-notice"]), (5, NOTICES["ISC"].replace("granted", "given"))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit(1))
