@@ -1,9 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block element. Lines of page furniture (menus, headers, footers, adverts, forms, ...)
-and lines outside the article that are mostly links weigh nothing; all others weigh their length. Over windows of three
-lines the weights are summed: the text surges where the sum leaves zero and dives where it comes back, and of the regions
-between a surge and its dive those that carry the article are kept.
+1. Markup is stripped to one line per block element. Scripts, styles, menus, footers, sidebars, forms, adverts, notices and
+   reader comments go by their element or class; a class that only sounds like furniture (``related``, ``share``) counts where
+   most of the element's text is links.
+2. A line weighs the length of its text without links, and a quarter of it outside the articles of a page that marks some.
+   Weights are summed over sliding windows of lines. The text surges where a sum reaches a tenth of the page's highest, and
+   dives where it falls below.
+3. Of the regions between a surge and its dive, those that carry the body are kept: the heaviest, those under the same
+   element, and those with lines half as long. Surge and dive points move to the ends of the article that a region lies in, or
+   of the element that holds it, so that short lines at the edges stay.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -19,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Lines of a window. Furniture of fewer lines inside an article does not end it.
+#: Lines of a window, and the share of the highest sum at which text surges and dives.
 WINDOW = 3
+SURGE = 0.1
+#: What text outside the articles of a page weighs that marks some.
+OUTSIDE = 0.25
 
 # Element and attribute names of HTML.
 BLOCKS = frozenset(
@@ -28,81 +36,101 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp".split())
-DROPPED = frozenset("nav footer aside form head button select svg math canvas audio video object dialog menu".split())
+DROPPED = frozenset("nav footer aside head button select svg math canvas audio video object dialog menu".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav\w*|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|notification|alert|"
-    r"comments?|commentlist|disqus|replies|reply|reactions?|respond|footer|foot|copyright|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|sign-up|login|popup|modal|overlay|"
-    r"toolbar|pagination|pager|widget|skip|search\w*|form|tags?|legal|disclaimer)(?=$|[\s_-])",
-    re.IGNORECASE,
-)
-#: Outside articles alone: inside one they hold its heading.
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
+#: Elements that hold blocks of text, and those that hold the whole page.
+HOLDERS = frozenset("address article aside blockquote body center dd details dialog div dl fieldset figure footer form header html main nav ol section table tbody tr ul".split())
+ROOTS = frozenset("html body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+# Words in classes and ids.
+#: Adverts, cookie notices and reader comments, whatever the element.
+NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr comment comments commentlist disqus notice".split())
+#: Furniture of the page, where elements hold others. What holds the page's dominant text is a frame and not furniture.
+NAMED = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs notification banner promo footer copyright newsletter subscribe signup login popup modal overlay".split())
+#: The same outside articles alone: inside one they hold its heading.
+HEADER = frozenset("header masthead topbar".split())
+#: Furniture where most of the text is links.
+LINKED = frozenset("related share sharing social recommended recommendations toolbar pagination pager widget skip search legal disclaimer tags respond form".split())
+#: Words that turn a class into a statement about the page (``has-sidebar``).
+ABOUT = frozenset("has no with without is".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Elements that hold blocks of text, and those that hold the whole page.
-HOLDERS = frozenset("address article aside blockquote body center dd details dialog div dl fieldset figure footer form header html main nav ol section table tbody tr ul".split())
-ROOTS = frozenset("html body".split())
-#: Furniture by its class or id alone may be a frame of the article (``has-sidebar``); other furniture is none.
-NAMED, SURE = 1, 2
+SOFT, FRAME, SURE = 1, 2, 3
 
 
 @dataclass
 class Line:
     text: str
-    weight: int
-    inside: bool
-    holder: tuple[int, ...] = ()
-    article: int = 0
-    wrappers: frozenset[int] = frozenset()
+    links: int
+    element: int
+    article: int
+    outer: int
+    inner: int
+    wrapper: int
 
 
-def _furniture(name: str, attributes: str, inside: bool) -> int:
-    """Whether an element and all in it are page furniture: ``NAMED`` if only its class or id says so. A header inside an
-    article may hold its heading."""
-    if name in DROPPED or (name == "header" and not inside):
-        return SURE
-    if not attributes.strip():
-        return 0
+@dataclass
+class Page:
+    """Lines, and the elements they are in: the parent of each (0 is the page), and whether it is furniture if mostly links."""
+
+    lines: list[Line] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    named_parent: dict[int, int] = field(default_factory=dict)
+    soft: set[int] = field(default_factory=set)
+    roots: set[int] = field(default_factory=lambda: {0})
+
+
+def furniture(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element and all in it are page furniture: ``SURE``; ``FRAME`` unless it holds the dominant text; ``SOFT`` if
+    mostly links. A header inside an article may hold its heading."""
+    level = SURE if name in DROPPED or (name == "header" and not inside) else FRAME if name == "form" else 0
+    if level == SURE or not attributes.strip() or name in ROOTS:
+        return level
     got = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
-    if name in ("html", "body", "article", "main"):
-        return 0
-    if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or got.get("role", "").lower() in ROLES:
+    if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) or (name not in ("article", "main") and got.get("role", "").lower() in ROLES):
         return SURE
-    return NAMED * any(bool(FURNITURE.search(x) or (not inside and HEADER.search(x))) for x in (got.get("class", ""), got.get("id", "")))
-
-
-def lines_of(html: str) -> list[Line]:
-    """One line per block, white space made one space; furniture weighs 0 and so do lines that are links for the most part.
-
-    Lines of an article whose only furniture are wrappers around it have ``wrappers``, for :func:`lifted` to decide on."""
-    out: list[Line] = []
+    for token in (got.get("class", "") + " " + got.get("id", "")).lower().split():
+        words = re.split(r"[-_]+", token)
+        if words[0] in ABOUT:
+            continue
+        if NEVER.intersection(words[:1] if name in ("article", "main") else words):
+            return SURE
+        if name in HOLDERS and name not in ("article", "main", "blockquote"):
+            if NAMED.intersection(words) or "side-bar" in token or (not inside and HEADER.intersection(words)):
+                level = max(level, FRAME)
+            elif LINKED.intersection(words):
+                level = max(level, SOFT)
+    return level
+
+
+def lines_of(html: str) -> Page:
+    """One line per block, white space made one space, with where it is. Work is in proportion to the page, at any depth."""
+    page = Page()
     parts: list[str] = []
-    stack: list[tuple[str, int, bool, int]] = []  # element, furniture, article, number
-    linked = opened = 0
+    # Element, number, innermost holder, article, furniture outside it and inside it, innermost FRAME outside it.
+    top = ("", 0, 0, 0, 0, 0, 0)
+    stack: list[tuple[str, int, int, int, int, int, int]] = []
+    opened: Counter[str] = Counter()
+    linked, link_depth = 0, -1  # characters of the line inside links, and the depth at which the open link began
 
     def end_line() -> None:
         nonlocal linked
-        text = " ".join(unescape("".join(parts)).split())
+        text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            furniture = any(x[1] for x in stack)
-            outer = next((i for i, x in enumerate(stack) if x[2]), None)
-            inside = outer is not None
-            mostly_links = not inside and 2 * linked > len(text)
-            within = [x for x in stack if x[0] in BLOCKS]
-            if within and within[-1][0] not in HOLDERS:
-                within.pop()
-            line = Line(text, 0 if furniture or mostly_links else len(text), inside, tuple(x[3] for x in within if x[0] not in ROOTS))
-            if inside:
-                line.article = stack[outer][3]
-                if furniture and not any(x[1] for x in stack[outer:]) and all(x[1] != SURE for x in stack[:outer]):
-                    line.wrappers = frozenset(x[3] for x in stack[:outer] if x[1])
-            out.append(line)
+            _, _, holder, article, outer, inner, wrapper = stack[-1] if stack else top
+            page.lines.append(Line(text, min(linked, len(text)), holder, article, outer, inner, wrapper))
         parts.clear()
         linked = 0
 
+    def close(n: int) -> None:
+        nonlocal link_depth
+        for x in stack[n:]:
+            opened[x[0]] -= 1
+        del stack[n:]
+        if link_depth > len(stack):
+            link_depth = -1
+
     at = 0
     while at < len(html):
         m = TOKEN.match(html, at)
@@ -111,19 +139,21 @@ def lines_of(html: str) -> list[Line]:
         if not name:
             if not m[0].startswith("<!--") and not re.match(r"<[!?]", m[0]):
                 parts.append(m[0])
-                linked += len(m[0]) if any(x[0] == "a" for x in stack) else 0
+                linked += len(m[0]) if link_depth >= 0 else 0
             continue
         attributes = m[3] if m[2] else m[6]
         if m[1] or m[4]:
             if name in BLOCKS:
                 end_line()
-            places = [i for i, x in enumerate(stack) if x[0] == name]
-            if places:
-                # An end tag closes its element and what was left open within, but an inline one no block.
-                if name in BLOCKS or not any(x[0] in BLOCKS for x in stack[places[-1] + 1 :]):
-                    del stack[places[-1] :]
-                else:
-                    del stack[places[-1]]
+            elif name == "a":
+                link_depth = -1
+            if opened[name]:
+                # An end tag closes its element and what was left open within; an inline one closes no block.
+                i = len(stack) - 1
+                while i >= 0 and stack[i][0] != name and (name in BLOCKS or stack[i][0] not in BLOCKS):
+                    i -= 1
+                if i >= 0 and stack[i][0] == name:
+                    close(i)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
@@ -131,94 +161,153 @@ def lines_of(html: str) -> list[Line]:
             continue
         if name in BLOCKS:
             end_line()
-            while stack and stack[-1][0] in CLOSED_BY_BLOCK and name != "br":
-                stack.pop()
+            while stack and stack[-1][0] in CLOSED_BY_BLOCK:
+                close(len(stack) - 1)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                close(len(stack) - 1)
         elif name == "br":
             parts.append(" ")
         if name not in VOID and not (attributes or "").rstrip().endswith("/"):
-            if name == "main":  # what holds the main part is a frame of the page, whatever its class says
-                stack = [(x[0], x[1] if x[0] in DROPPED else 0, *x[2:]) for x in stack]
-            inside = any(x[2] for x in stack)
-            opened += 1
-            stack.append((name, _furniture(name, attributes or "", inside), name in ("article", "main"), opened))
+            _, _, holder, article, outer, inner, wrapper = stack[-1] if stack else top
+            level = furniture(name, attributes or "", article > 0)
+            number = 0
+            if level or name in HOLDERS:
+                number = len(page.parent)
+                page.parent.append(holder)
+                if name in ROOTS:
+                    page.roots.add(number)
+            if not article and name in ("article", "main"):
+                article, inner = number, level
+                if name == "main" and outer == FRAME:  # what holds the main part is a frame of the page
+                    outer = 0
+            elif level == SOFT:
+                page.soft.add(number)
+            elif article:
+                inner = max(inner, level)
+            else:
+                outer = max(outer, level)
+                if level == FRAME:
+                    page.named_parent[number] = wrapper
+                    wrapper = number
+            stack.append((name, number, number or holder, article, outer, inner, wrapper))
+            opened[name] += 1
+            if name == "a":
+                link_depth = len(stack)
     end_line()
-    return out
-
-
-def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of lines between a surge and a dive of the summed weights of ``window`` successive lines."""
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    return page
+
+
+def subtree(parent: list[int], own: Counter[int]) -> list[int]:
+    """For each element the sum over it and all in it."""
+    total = [own[i] for i in range(len(parent))]
+    for i in range(len(parent) - 1, 0, -1):
+        total[parent[i]] += total[i]
+    return total
+
+
+def shown(page: Page) -> list[bool]:
+    """Which lines are no furniture. Frames around the dominant text are lifted: of the wrapped text in one frame, or one
+    article, the longest is dominant if it is longer than all that is shown without it."""
+    size, links = (Counter[int]() for _ in range(2))
+    for x in page.lines:
+        size[x.element] += len(x.text)
+        links[x.element] += x.links
+    size, links = subtree(page.parent, size), subtree(page.parent, links)
+    lost = [False] * len(page.parent)
+    for i in range(1, len(lost)):
+        lost[i] = lost[page.parent[i]] or (i in page.soft and 2 * links[i] > size[i])
+    # Outside articles a line of links is part of some menu.
+    fits = [not (x.inner or lost[x.element] or (not x.article and 2 * x.links > len(x.text))) for x in page.lines]
+    plain = sum(len(x.text) for x, ok in zip(page.lines, fits, strict=True) if ok and not x.outer)
+    wrapped: Counter[tuple[int, int]] = Counter()
+    for x, ok in zip(page.lines, fits, strict=True):
+        if ok and x.outer == FRAME:
+            wrapped[x.article, x.wrapper] += len(x.text)
+    frames: set[int] = set()
+    if wrapped:
+        [((_, wrapper), most)] = wrapped.most_common(1)
+        while most > plain and wrapper:
+            frames.add(wrapper)
+            wrapper = page.named_parent[wrapper]
+    return [ok and (not x.outer or (x.outer == FRAME and x.wrapper in frames)) for x, ok in zip(page.lines, fits, strict=True)]
+
+
+def regions(weights: list[float], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """Runs of lines between a surge and a dive of the summed weights of ``window`` lines around each."""
+    before = [0.0]
+    for w in weights:
+        before.append(before[-1] + w)
+    half = window // 2
+    sums = [before[min(len(weights), i + window - half)] - before[max(0, i - half)] for i in range(len(weights))]
+    least = surge * max(sums, default=0.0)
     found, begin = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and begin is None:
+    for i, s in enumerate([*sums, -1.0]):
+        if s >= least > 0 and begin is None:
             begin = i
-        elif not s and begin is not None:
+        elif s < least and begin is not None:
             found.append((begin, i))
             begin = None
     return found
 
 
-def body(lines: list[Line], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The regions of a page without marks that carry its body: the one with the most text, those under the element that
-    holds it, and those whose lines are half as long as its lines or longer.
-
-    Where nothing but the page itself holds the largest region, those with a line that nothing else holds either count as under it.
-    """
-    within = [[x for x in lines[a:b] if x.weight] for a, b in found]
-    sizes = [sum(x.weight for x in part) for part in within]
-    top = max(range(len(found)), key=lambda i: (sizes[i], -i))
-    held: Counter[tuple[int, ...]] = Counter()
-    for x in within[top]:
-        for n in range(len(x.holder) + 1):
-            held[x.holder[:n]] += x.weight
-    # The innermost element that holds all of it or, if only the page does, nine tenths: the rest is then what follows it.
-    whole = max((h for h in held if held[h] == sizes[top]), key=len)
-    holder = whole or max((h for h in held if 10 * held[h] >= 9 * sizes[top]), key=len)
-    return [
-        found[i]
-        for i, part in enumerate(within)
-        if 2 * sizes[i] * len(within[top]) >= sizes[top] * len(part) or any(x.holder[: len(holder)] == holder if holder else not x.holder for x in part)
-    ]
-
-
-def kept(lines: list[Line]) -> list[Line]:
-    """The lines of the regions inside articles or, on a page that marks none, of the regions that carry its body."""
-    marked = any(x.inside and x.weight for x in lines)
-    weights = [x.weight if x.inside or not marked else 0 for x in lines]
-    found = regions(weights)
-    if not marked and found:
-        found = body(lines, found)
-    return [lines[i] for a, b in found for i in range(a, b) if weights[i]]
-
-
-def lifted(lines: list[Line]) -> list[Line]:
-    """The wrappers of the page's dominant article are frames, not furniture: of the wrapped articles the longest is
-    dominant if it is longer than all that is kept without it. Other articles in the same frames count again, too."""
-    sizes: Counter[int] = Counter()
-    for x in lines:
-        if x.wrappers:
-            sizes[x.article] += len(x.text)
-    if sizes:
-        [(top, size)] = sizes.most_common(1)
-        if size > sum(x.weight for x in kept(lines)):
-            frames = frozenset().union(*(x.wrappers for x in lines if x.article == top))
-            lines = [replace(x, weight=len(x.text)) if x.wrappers and x.wrappers <= frames else x for x in lines]
-    return lines
+def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> list[Line]:
+    """The lines of the regions that carry the body, up to the ends of their articles or of the element that holds them."""
+    lines, show = page.lines, shown(page)
+    marked = any(ok and x.article for x, ok in zip(lines, show, strict=True))
+    weights = [0.0 if not ok else (len(x.text) - x.links * (not x.article)) * (OUTSIDE if marked and not x.article else 1.0) for x, ok in zip(lines, show, strict=True)]
+    found = regions(weights, window, surge)
+    if not found:
+        return []
+    within = [[i for i in range(a, b) if weights[i]] for a, b in found]
+    sizes = [sum(weights[i] for i in part) for part in within]
+    best = max(range(len(found)), key=lambda k: (sizes[k], -k))
+    # A window reaches over the edge: lines there that are short themselves belong to what is beyond it, unless only the page holds them.
+    core = [i for i in within[best] if 2 * weights[i] * len(within[best]) >= sizes[best] or lines[i].element in page.roots]
+    within[best] = [i for i in within[best] if core[0] <= i <= core[-1]]
+    sizes[best] = sum(weights[i] for i in within[best])
+
+    def holder_of(part: list[int], size: float) -> int:
+        """The innermost element that holds all of it or, if only the page does, nine tenths: the rest is then what follows it."""
+        held: Counter[int] = Counter()
+        for i in part:
+            held[lines[i].element] += weights[i]
+        held_in = subtree(page.parent, held)
+        for least in (size, 0.9 * size):
+            element = max((i for i in range(len(held_in)) if held_in[i] >= least - 1e-6), default=0)
+            if element not in page.roots:
+                break
+        return element
+
+    def under(element: int) -> list[bool]:
+        """Which elements are in it; in the page itself are only those that nothing else holds."""
+        if element in page.roots:
+            return [i in page.roots for i in range(len(page.parent))]
+        out = [i == element for i in range(len(page.parent))]
+        for i in range(element + 1, len(out)):
+            out[i] = out[page.parent[i]]
+        return out
+
+    body = under(holder_of(within[best], sizes[best]))
+    good = [k for k, part in enumerate(within) if 2 * sizes[k] * len(within[best]) >= sizes[best] * len(part) or any(body[lines[i].element] for i in part)]
+    chosen = {i for k in good for i in within[k]}
+    articles = {lines[i].article for i in chosen} - {0}
+    if 2 * sum(weights[i] for i in within[best] if lines[i].article) > sizes[best]:
+        return [x for x, ok in zip(lines, show, strict=True) if ok and x.article in articles]
+    return [x for i, x in enumerate(lines) if show[i] and (i in chosen or body[x.element] or x.article in articles)]
 
 
 def main_text(html: str | None) -> str:
-    """The lines of the article, joined by one newline. Pages that mark an article keep the regions inside it; others keep
-    the regions that carry the body."""
-    return "\n".join(x.text for x in kept(lifted(lines_of(html or ""))))
+    """The lines that carry the page's body, joined by one newline."""
+    return "\n".join(x.text for x in kept(lines_of(html or "")))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text in ``out_col`` instead of ``html_col``; other columns and all rows stay.
 
     Null and empty pages, and pages of furniture only, have the empty text. Character references are decoded, white space
-    inside a block becomes one space. A column that is already named ``out_col`` is replaced.
+    inside a block becomes one space. Pages of any length and depth are read whole, in time in proportion to them. Of regions
+    that tie, the first is the heaviest. Repeated rows stay, each with its text; an empty table gives no rows. A column
+    that is already named ``out_col`` is replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, out_col)]
     schema = pages.select(*keep).schema.add(out_col, StringType())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import quire.llm.near_dedup as near_dedup_module
 from quire.llm.chat import read_back, windows
 from quire.llm.decontaminate import decontaminate
 from quire.llm.embedding_dedup import embedding_dedup
-from quire.llm.html_extract import extract, main_text
+from quire.llm.html_extract import extract, kept, lines_of, main_text, regions
 from quire.llm.licenses import NOTICES, scan
 from quire.llm.near_dedup import near_dedup
 from quire.llm.pii import DATE_ORDERS, Feistel, Pseudonyms, luhn_digit, pseudonymise, replace_in
@@ -274,6 +275,40 @@ def test_html_split_body():
         assert main_text(f"<body><div><p>{last}</p>{gap}<p>{first}</p></div><p>Below</p>{foot}") == f"{last}\n{first}\nBelow"
 
 
+def test_html_furniture_names():
+    """Classes of body paragraphs take nothing away; comments go even as articles; frames of the whole page are none."""
+    body = "Words of the text. " * 9
+    for name in ("form", "note form", "search-term", "related-work", "share", "tags", "intro widget", "no-comments"):
+        assert main_text(f'<article><h1>Head</h1><p class="{name}">{body}</p><p>End</p></article>') == f"Head\n{body.strip()}\nEnd"
+    assert main_text(f'<article><p>{body}</p></article><article class="comment"><p>{body}</p></article><section id="comments"><p>{body}</p></section>') == body.strip()
+    assert main_text(f'<article><p>{body}</p><p class="cookie-notice">We use cookies</p><div class="share"><a href=a>Post</a> <a href=b>Mail</a></div><div class="sidebar">Side</div></article>') == body.strip()
+    for frame in ('<form action="/">{}</form>', '<form><div class="wrapper">{}</div></form>', '<div class="search-page">{}</div>', '<div class="sidebar-layout">{}</div>'):
+        assert main_text("<body><nav><a href=a>Home</a></nav>" + frame.format(f"<main><h1>Head</h1><p>{body}</p></main>") + "<footer>Foot</footer></body>") == f"Head\n{body.strip()}"
+        assert main_text("<body><nav><a href=a>Home</a></nav>" + frame.format(f"<div><h1>Head</h1><p>{body}</p></div>") + "<footer>Foot</footer></body>") == f"Head\n{body.strip()}"
+
+
+def test_html_windows_decide():
+    """Without marks and names, surge and dive points decide; other windows and thresholds give other texts."""
+    body = "Words of the text. " * 9
+    page = "<div><p>Top</p></div><div><p>Line</p></div><div><p>More</p></div><div><p>Far</p></div><div>" + f"<p>{body}</p>" * 4 + "<p>End</p></div>" + "<div><p>Small words down here</p></div>" * 4
+    assert main_text(page) == "\n".join([body.strip()] * 4 + ["End"])
+    assert regions([1.0, 1.0, 40.0, 40.0, 1.0, 1.0]) == [(1, 5)] and regions([1.0, 1.0, 40.0, 40.0, 1.0, 1.0], surge=0.01) == [(0, 6)]
+    split = "".join(f"<div><p>{body}</p></div>" + "<div><p>tiny</p></div>" * 4 for _ in range(3))
+    assert main_text(split) == "\n".join([body.strip()] * 3)
+    assert len(kept(lines_of(split), window=9)) > 3 and len(kept(lines_of(split), surge=0.01)) > 3
+
+
+def test_html_deep():
+    """Depth and stray end tags cost no more than their number."""
+    n = 100_000
+    start = time.time()
+    assert main_text("<div>" * n + "deep text" + "</div>" * n) == "deep text"
+    assert main_text("<div class=sidebar-x>" * n + "deep text") == "deep text"
+    assert main_text("<div>x" * n).count("x") == n
+    assert main_text("<b><div>" * 1000 + "y" + "</i></b>" * n) == "y"
+    assert time.time() - start < 60
+
+
 def test_chat(spark):
     long = "word " * 400
     rows = [(1, 0, "system", "be kind", 1), (1, 1, "user", long, 1), (1, 2, "assistant", "a <b> [TURN x] &amp; </s>", 1), (1, 3, "user", "short", 1), (1, 4, "assistant", long, 1), (1, 5, "assistant", "", 1), (2, 0, None, None, 1), (None, None, "user", "x\ny", 1), (3, 0, "assistant", "same", 1), (3, 0, "assistant", "same", 1)]
