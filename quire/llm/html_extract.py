@@ -258,13 +258,17 @@ def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> list[Line]:
     found = regions(weights, window, surge)
     if not found:
         return []
-    within = [[i for i in range(a, b) if weights[i]] for a, b in found]
+    within = []
+    for a, b in found:
+        part = [i for i in range(a, b) if weights[i]]
+        mean = sum(weights[i] for i in part) / len(part)
+        # A window reaches over the edge: lines there that are short themselves belong to what is beyond it, unless they are in
+        # the element of a longer one, or only the page holds them.
+        holders = {lines[i].element for i in part if 2 * weights[i] >= mean} | page.roots
+        core = [i for i in part if lines[i].element in holders]
+        within.append([i for i in part if core[0] <= i <= core[-1]])
     sizes = [sum(weights[i] for i in part) for part in within]
     best = max(range(len(found)), key=lambda k: (sizes[k], -k))
-    # A window reaches over the edge: lines there that are short themselves belong to what is beyond it, unless only the page holds them.
-    core = [i for i in within[best] if 2 * weights[i] * len(within[best]) >= sizes[best] or lines[i].element in page.roots]
-    within[best] = [i for i in within[best] if core[0] <= i <= core[-1]]
-    sizes[best] = sum(weights[i] for i in within[best])
 
     def holder_of(part: list[int], size: float) -> int:
         """The innermost element that holds all of it or, if only the page does, nine tenths: the rest is then what follows it."""
