@@ -80,16 +80,18 @@ DATE_ORDERS = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?)@([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})")
 NUMBER = re.compile(
-    r"(?<![\w.+-])(?:"
+    r"(?<![\w+])(?<!\d\.)(?<!\w-)(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4})"
+    r"|(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|(?<!\d )[2-9]\d\d \d{3} \d{4}(?! \d))"
+    r"|(?P<abroad>\+\d(?:[ .-]?\(?\d\)?){6,14})"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
+    r"|(?P<ssn>\d{3}(?P<gap>[ -])\d{2}(?P=gap)\d{4})"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
     r"|(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})"
-    r")(?![\w-]|\.\d)",
+    r")(?:(?=T\d{2}:\d{2})|(?!\w|-\w|\.\d))",
     re.ASCII,
 )
+KINDS = ("iban", "phone", "abroad", "ip", "ssn", "date", "card")
 #: What every value has: a character of an address, two digits in a row or, in an IP of single digits, a dot between two.
 MAY_HOLD = r"@|[0-9]{2}|[0-9][.][0-9]"
 # Lengths of IBANs by country, from the public registry.
@@ -103,6 +105,14 @@ IBAN_LENGTHS = {
 }
 
 
+# Country calling codes, from the public numbering plan.
+CALLING_CODES = frozenset(
+    str(c)
+    for part in "1 7 20 27 30-34 36 39 40 41 43-49 51-58 60-66 81 82 84 86 90-95 98 211-213 216 218 220-269 290 291 297-299 350-359 370-389 420 421 423 500-509 590-599 670 672-692 850 852 853 855 856 880 886 960-968 970-979 992-996 998".split()
+    for c in range(int(part.split("-")[0]), int(part.split("-")[-1]) + 1)
+)
+
+
 def iban_valid(value: str) -> bool:
     plain = value.replace(" ", "")
     return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
@@ -141,26 +151,48 @@ class Pseudonyms:
         new = d[0] + self._digits("card" + d[0], d[1:-1])
         return _refill(value, new + str(luhn_digit(new)))
 
+    def _national(self, ten: str) -> str:
+        """Ten digits; those that may begin an area code stay among such numbers, others among others."""
+        first, low = (2, 8) if ten[0] >= "2" else (0, 2)
+        return f"{first * 10**9 + self._move(f'phone{first}', low * 10**9, int(ten) - first * 10**9):010d}"
+
     def _phone(self, value: str) -> str | None:
         """The ten national digits; a country code stays."""
         d = re.sub(r"\D", "", value)
-        return _refill(value, d[:-10] + self._digits("phone", d[-10:]))
+        return _refill(value, d[:-10] + self._national(d[-10:]))
+
+    def _abroad(self, value: str) -> str | None:
+        """A number of 8 to 15 digits with an assigned country code, which stays; one of ten digits in North America is the
+        same there as without a code."""
+        d = re.sub(r"\D", "", value)
+        code = next((d[:n] for n in (1, 2, 3) if d[:n] in CALLING_CODES), None)
+        if code is None or not 8 <= len(d) <= 15 or (code == "1" and len(d) != 11):
+            return None
+        return _refill(value, code + (self._national(d[1:]) if code == "1" else self._digits("abroad" + code, d[len(code) :])))
 
     def _ip(self, value: str) -> str | None:
+        """An address; the three that name no one (any, this host, all) stay, and are no pseudonyms."""
         parts = [int(x) for x in value.split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
             return None
-        x = self._move("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
+        general = lambda x: x in (0, 127 << 24 | 1, (1 << 32) - 1)
+        x = int.from_bytes(bytes(parts), "big")
+        if general(x):
+            return None
+        x = self._move("ip", 1 << 32, x)
+        while general(x):
+            x = self._move("ip", 1 << 32, x)
         return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
     def _ssn(self, value: str) -> str | None:
-        area, group, serial = map(int, value.split("-"))
+        gap = value[3]
+        area, group, serial = map(int, value.split(gap))
         if area in (0, 666) or area > 899 or not group or not serial:
             return None
         x = self._move("ssn", 898 * 99 * 9999, ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1)
         x, serial = divmod(x, 9999)
         area, group = divmod(x, 99)
-        return f"{area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
+        return f"{area + 1 + (area + 1 >= 666):03d}{gap}{group + 1:02d}{gap}{serial + 1:04d}"
 
     def _date(self, value: str) -> str | None:
         """Year-month-day, month/day/year or day.month.year between 1900 and 2099."""
@@ -222,8 +254,9 @@ def replace_in(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
         text = EMAIL.sub(lambda m: put("email", m[0]), text)
     out, done, at = [], 0, 0
     while m := NUMBER.search(text, at):
+        kind = next(k for k in KINDS if m[k] is not None)
         value, at = m[0], m.end()
-        if m.lastgroup == "iban":
+        if kind == "iban":
             # What follows the IBAN, or its first four characters if it is none, may hold other values.
             value = iban_in(m[0])
             at = m.start() + (len(value) if value else 4)
@@ -234,7 +267,12 @@ def replace_in(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
                 new = names.of("iban", new)
             kinds.append("iban")
         else:
-            new = put(m.lastgroup, value)
+            new = names.of(kind, value)
+            if new is None:
+                # What looks like one kind and isn't valid may begin with a sign or a number that another value follows.
+                at = m.start() + next((i for i, c in enumerate(value) if not c.isdigit() and i), len(value)) if kind == "abroad" else at
+                continue
+            kinds.append("phone" if kind == "abroad" else kind)
         out += (text[done : m.start()], new)
         done = at
     return "".join([*out, text[done:]]), kinds
@@ -244,8 +282,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
     """``docs`` with the text replaced and a column of the kinds found, in order of the kind's pass and then of the text.
 
     All columns and rows stay (a clashing ``kinds_col`` is replaced). A null text stays null and an empty one empty, with
-    no kinds. Values that are not valid in their format stay as they are. ``key`` must be secret and at most 64 bytes;
-    ``back=True`` undoes the pseudonyms.
+    no kinds. Values that are not valid in their format stay as they are. Texts of any length are read whole; repeated rows
+    stay, all with the same pseudonyms, and an empty table gives no rows. Values that overlap are taken from the left. ``key``
+    must be secret and at most 64 bytes; ``back=True`` undoes the pseudonyms.
     """
     keep = [c for c in docs.columns if c != kinds_col]
     at = keep.index(text_col)

@@ -9,7 +9,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from quire.llm.licenses import NOTICES
-from quire.llm.queries import QUERIES
+from quire.llm.pii import Pseudonyms
+from quire.llm.queries import DEMO_KEY, QUERIES
 from quire.llm.subwords import Units, sample
 from quire.llm.textkit import mix
 
@@ -76,6 +77,27 @@ def test_pii_values_go_and_stay_linked(spark, sf):
     assert len(pairs) > 5 and len(set(pairs.values())) == len(pairs)
 
 
+def test_pii_derived_again(spark, sf):
+    """The query over the whole table against one plain pass for each kind that the table holds."""
+    names, changed = Pseudonyms(DEMO_KEY), 0
+    got = {r.doc_id: r for r in QUERIES["op7_pii"](spark, sf).collect()}
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    mod97 = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    octets = lambda v: all(int(x) < 256 and str(int(x)) == x for x in v.split(".")) and v != "127.0.0.1"
+    kinds = [
+        ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", lambda v: True), ("phone", r"\+1 \(\d{3}\) \d{3}-\d{4}", lambda v: True), ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", octets),
+        ("card", r"(?<!\w)\d{16}(?!\w)", luhn), ("iban", r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)", mod97), ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", lambda v: True), ("date", r"(?<![\w-])\d{4}-\d\d-\d\d(?![\w-])", lambda v: True),
+    ]
+    for r in rows_of(spark, sf, "documents"):
+        spans = sorted((m.start(), m.end(), kind) for kind, pattern, valid in kinds for m in re.finditer(pattern, r.text or "", re.A) if valid(m[0]))
+        want, at = "", 0
+        for a, b, kind in spans:
+            want, at = want + r.text[at:a] + names.of(kind, r.text[a:b]), b
+        assert got[r.doc_id].text == want + r.text[at:] and got[r.doc_id].n_pii == len(spans), (r.doc_id, spans)
+        changed += len(spans)
+    assert changed > 10
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in rows_of(spark, sf, "labels")}
