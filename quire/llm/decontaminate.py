@@ -2,7 +2,7 @@
 
 An item is cut into windows of ``window`` consecutive words (an item of fewer words is one window). A document holds a
 window when it holds all its shingles in place, so a window's necessary prefix is one shingle: its rarest, by how often
-the whole corpus has it. Documents' shingles are looked up in a bitmap of fixed size that holds the prefix shingles;
+the whole corpus has it. Documents' shingles are looked up in a bitmap of bounded size that holds the prefix shingles;
 survivors join the windows on the shingle, have to leave room for the window within the document (positional and length
 bounds), and are verified word by word.
 """
@@ -20,8 +20,8 @@ from quire.llm.shared import written
 from quire.llm.textkit import ALPHANUMERIC, Words, chain, words
 
 SHINGLE = 5
-#: Bits of the bitmap: 1 MB, whatever the benchmark's size.
-BITMAP_BITS = 23
+#: Log of the bits of the bitmap, which follow the benchmark's size: 1 to 64 MB. A fuller one lets more through to the join.
+BITMAP_BITS = (23, 29)
 #: Windows that may be broadcast (some 300 bytes each); beyond it the join is shuffled.
 BROADCAST_WINDOWS = 100_000
 
@@ -47,11 +47,13 @@ def window_table(items: DataFrame, window: int) -> DataFrame:
 
 
 def bitmap(shingles: DataFrame) -> np.ndarray:
-    """The lowest bits of all shingles as a bitmap; at most ``2**BITMAP_BITS`` bits reach the driver."""
-    low = F.col("shingle").bitwiseAND((1 << BITMAP_BITS) - 1)
+    """The lowest bits of all shingles as a bitmap of some eight bits for each, within ``BITMAP_BITS``; it reaches the driver."""
+    least, most = BITMAP_BITS
+    size = min(most, max(least, (8 * shingles.count()).bit_length()))
+    low = F.col("shingle").bitwiseAND((1 << size) - 1)
     parts = shingles.select(low.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    for k, bits in parts.collect():
+    out = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for k, bits in parts.toLocalIterator():
         # Buckets are numbered from 1; the first holds values 1..32768, and value 0 is in bucket 0's last place.
         at = (k - 1) * 4096
         if 0 <= at < len(out):
@@ -61,7 +63,7 @@ def bitmap(shingles: DataFrame) -> np.ndarray:
 
 def members(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Positions of the hashes that the bitmap may hold. Bit v-1 stands for value v, and value 0 always passes."""
-    low = (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64) - 1
+    low = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64) - 1
     return np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 | (low < 0))
 
 
@@ -121,7 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters, in whole texts. ``items`` are the
     ids, in order, of the items of which a window occurs; ``spans`` the occurrences as ``start, stop`` word numbers,
     ``n_hit`` the words inside any of them. Null, empty and wordless texts have no words and no hits; such items have no
-    windows. Repeated rows (same id, same text) give one row; rows that share an id but not the text stay apart, a null
+    windows. Without items no text has hits, and an empty table gives no rows. Items that share a window are all named. Repeated rows (same id, same text) give one row; rows that share an id but not the text stay apart, a null
     id is an id of its own. ``key_col`` names a further column with the ``xxhash64`` of the text, which tells such rows
     apart. Other columns, whatever their names, are not read.
     """
@@ -131,15 +133,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     df = frequencies(plain, sizes, bitmap(table.select("shingle")))
     ranked = table.join(df, "shingle", "left").groupBy("item", "length", "window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "shingle")).alias("r"))
     prefix = written(ranked.select("item", F.col("length").alias("len"), "window", F.col("r.off").alias("off"), F.col("r.shingle").alias("p_shingle")), "prefix")
-    found = candidates(plain, sizes, window, bitmap(prefix.select(F.col("p_shingle").alias("shingle"))))
+    every = written(candidates(plain, sizes, window, bitmap(prefix.select(F.col("p_shingle").alias("shingle")))), "candidates")
+    # Only candidates are joined; the rows of the documents themselves have no shingle to meet on.
+    found, base = every.where("shingle is not null"), every.where("shingle is null").select("id", "key", "n_words")
     small = prefix.count() <= BROADCAST_WINDOWS
     start = F.col("at") - F.col("off")
     bounds = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("context", " "), F.col("lead") - F.col("off") + 1, F.col("len")), " ") == F.col("window")
-    joined = found.join(F.broadcast(prefix) if small else prefix, (F.col("shingle") == F.col("p_shingle")) & (F.least("len", F.lit(SHINGLE)) == F.col("size")), "left")
-    ok = F.coalesce((F.col("lead") >= F.col("off")) & bounds, F.lit(False))
-    checked = joined.withColumn("ok", F.when(ok, same).otherwise(F.lit(False)))
-    span = F.when(F.col("ok"), F.struct(start.alias("start"), (start + F.col("len")).alias("stop")))
-    per = checked.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("items"))
+    joined = found.join(F.broadcast(prefix) if small else prefix, (F.col("shingle") == F.col("p_shingle")) & (F.least("len", F.lit(SHINGLE)) == F.col("size")))
+    fits = F.when((F.col("lead") >= F.col("off")) & bounds, same).otherwise(F.lit(False))
+    hits = joined.where(fits).select("id", "key", "n_words", F.struct(start.alias("start"), (start + F.col("len")).alias("stop")).alias("span"), "item")
+    rows = hits.unionByName(base, allowMissingColumns=True)
+    per = rows.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, x: F.struct((s.n + F.greatest(F.lit(0), x.stop - F.greatest(x.start, s.to))).alias("n"), F.greatest(s.to, x.stop).alias("to")))
     return per.select(F.col("id").alias(id_col), *([F.col("key").alias(key_col)] if key_col else []), "n_words", covered.n.cast("long").alias("n_hit"), "items", "spans")

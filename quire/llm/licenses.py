@@ -79,16 +79,17 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     """``<id>, license, containment, start, stop``: each template (``license, text``) that a text holds, once per row of
     ``docs``, with the share of the template's shingles that the best place holds (``least`` or more) and that place's words.
 
-    Whole texts are searched. Null, empty and short texts (under five words) hold nothing, and templates under five words
-    are never found. Repeated rows with one id give one result; a null id is an id of its own. Templates with one name are
+    Whole texts of any length are searched. Null, empty and short texts (under five words) hold nothing, and templates under
+    five words are never found; an empty table gives no rows. Repeated rows with one id give one result, of texts that share
+    an id each is searched, and a null id is an id of its own. Of places that tie the first counts. Templates with one name are
     one template with several texts. Other columns are not read.
     """
     spark = docs.sparkSession
     known = (notices(spark) if templates is None else templates.select("license", "text")).select("license", words(F.col("text")).alias("tw"))
     known = known.where(F.size("tw") >= SHINGLE).distinct().withColumn("ts", let(F.col("tw"), lambda w: F.array_distinct(shingles(w))))
     assert known.count() <= MOST_TEMPLATES, "too many templates for the plan; scan in several runs"
-    vocabulary = F.lit([r[0] for r in known.select(F.explode("ts")).distinct().collect()]).cast("array<bigint>")
-    likely = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.arrays_overlap("s", vocabulary))
+    vocabulary = [r[0] for r in known.select(F.explode("ts")).distinct().collect()]  # a hash set in the plan: one look-up for a shingle
+    likely = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), let(words(F.col(text_col)), lambda w: shingles(w)).alias("s")).where(F.exists("s", lambda h: h.isin(vocabulary)))
     # A template is known by its successive spans; a window that holds one retrieves it.
     n = F.size("tw")
     span = F.when(n >= 64, 32).when(n >= 32, 16).when(n >= 8, 8).otherwise(5)
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     spans = spans.select("license", "tw", "ts", "span", F.posexplode(let(let(F.expr("slice(tw, at, span)"), lambda w: F.array_distinct(shingles(w))), lambda x: minhashes(x, bands))).alias("band", "low"))
     spans = spans.distinct()
     # Windows of span + step - 1 words at every step-th word, as far as they hold a shingle of any template.
-    hits = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform("s", lambda h, i: F.when(h.isin(vocabulary), i)), lambda i: i.isNotNull())
     found = likely.select("id", "key", "s", F.explode(F.array(hits)).alias("hits"))
 
     def begins(size: int, step: int) -> Column:

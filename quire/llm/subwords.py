@@ -25,6 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import fresh
 from quire.llm.textkit import mix
 
 #: A unit begins at each run of spaces; a line feed, and the character that stands for a space, are units of their own.
@@ -428,7 +429,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     """``<id>, ids, round_trip, samples`` for every row: the model's segmentation of the whole text, whether decoding it gives
     the text again, and ``k`` distinct sampled ones (``ids, log_prob, log_inclusion``), from the largest perturbed down.
 
-    A null or empty text has no pieces and no samples; a text with fewer than ``k`` segmentations has them all. A text that
+    A null or empty text has no pieces and no samples; a text with fewer than ``k`` segmentations has them all. Texts of any
+    length are read whole, and an empty table gives no rows. Segmentations that tie in probability are told apart by their noise. A text that
     holds the character that stands for a space has it as bytes, so that it comes back. Noise is seeded by the id: repeated
     rows and rows with one id and text get the same samples. ``theta`` sharpens (above 1) or flattens the distribution.
     ``path`` is a model file that executors can open. Other columns are not read.
@@ -464,7 +466,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         units.shrink(UNITS_BETWEEN)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    seeded = docs.select(id_col, F.col(text_col), F.xxhash64(id_col).alias("__key"))
+    seeded = docs.select(id_col, F.col(text_col), F.xxhash64(id_col).alias(*fresh(docs, "seed")))
     return seeded.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, round_trip boolean, samples array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>")
 
 

@@ -53,8 +53,9 @@ def attribute(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``<id>, n_tokens, sections``: per row, the tokens of the whole text and ``start, stop, n_tokens`` of its sections.
 
     Sections end after each ``separator`` (one character) and at the text's end; ``start`` and ``stop`` are characters. Every
-    token is in one section, so counts add up to ``n_tokens``. A null or empty text has no tokens and no sections. Repeated
-    rows and null ids stay. Other columns are not read. ``path`` is a rank file that executors can open.
+    token is in one section, so counts add up to ``n_tokens``; of sections that hold as much of a token the first gets it. A null
+    or empty text has no tokens and no sections. Texts of any length are encoded whole. Repeated rows and null ids stay, and an
+    empty table gives no rows. Other columns are not read. ``path`` is a rank file that executors can open.
     """
     assert rule in RULES and len(separator) == 1 and separator.isascii()
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import fresh, written
 from quire.llm.textkit import _TABLE, ALPHANUMERIC, Words, mix, powers, words
 
 BUCKET_BITS = 20
@@ -172,11 +172,14 @@ def score(docs: DataFrame, model: Model, text_col: str, *keep: str, out: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*keep, out])
 
     schema = docs.select(*keep).schema.add(out, "double")
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(*fresh(docs, "text"))).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **bounds: int) -> DataFrame:
-    """``<id>, held_out, score, predicted`` for every row of ``docs``, repeated rows and null ids included; other columns
-    are not read. ``bounds`` go to :func:`train`."""
+    """``<id>, held_out, score, predicted`` for every row of ``docs``, repeated rows and null ids included.
+
+    Null and empty texts score as wordless ones: by the class prior alone, low where toxic texts are rare. Texts of any length are
+    read whole. Equal texts have equal scores; a score at the threshold is predicted 1. An empty table gives no rows, and
+    without toxic labels all scores are 0. Other columns, whatever their names, are not read. ``bounds`` go to :func:`train`."""
     scored = score(docs, train(docs, labels, id_col, text_col, label_col, **bounds), text_col, id_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from tokenizers import Tokenizer
 
 from quire.llm.licenses import NOTICES
@@ -13,6 +14,7 @@ from quire.llm.pii import Pseudonyms
 from quire.llm.queries import DEMO_KEY, QUERIES
 from quire.llm.subwords import Units, sample
 from quire.llm.textkit import mix
+from quire.llm.toxicity import fit, score, train
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -107,6 +109,86 @@ def test_toxicity_held_out(spark):
     assert sum(p for t, p in held if t == 0) <= 0.02 * len(held)
 
 
+def test_toxicity_risk():
+    """The gradient that the fit follows, against numeric differences of the risk as it is defined."""
+    r = np.random.default_rng(2)
+    p, u, prior = (r.random((40, 3)) < 0.5).astype(float), (r.random((60, 3)) < 0.3).astype(float), 0.2
+    loss = lambda z: 1 / (1 + np.exp(z))  # noqa: E731  sigmoid loss of a margin
+
+    def risk(theta, kept_non_negative=True):
+        zp, zu = p @ theta[:-1] + theta[-1], u @ theta[:-1] + theta[-1]
+        clean = loss(-zu).mean() - prior * loss(-zp).mean()
+        return prior * loss(zp).mean() + (max(0.0, clean) if kept_non_negative else clean)
+
+    weights, bias = fit(p, u, prior, steps=800, rate=0.05, decay=0.0)
+    theta = np.append(weights, bias)
+    start = np.zeros(4)
+    start[-1] = np.log(prior / (1 - prior))
+    assert risk(theta) < risk(start) - 0.01
+    # Near a minimum of the risk: no step along an axis lowers it by much.
+    for i in range(4):
+        for d in (-0.5, 0.5):
+            step = theta.copy()
+            step[i] += d
+            assert risk(step) > risk(theta) - 0.01
+
+
+def test_toxicity_scores_derived_again(spark, sf):
+    """Every score over the table from the model's weights, word by word, in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    table, up = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64).astype(object) * 2 + 1, 0x9E3779B97F4A7C15
+    whole = (1 << 64) - 1
+
+    def bucket(word, size):
+        x = (sum(int(table[c]) * pow(up, i, 1 << 64) for i, c in enumerate(word)) + size) & whole
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * factor) & whole
+        return (x ^ x >> 33) >> 44
+
+    got = {r.doc_id: r.score for r in score(docs, model, "text", "doc_id").collect()}
+    for r in docs.collect():
+        found = set()
+        for w in plain_words(r.text):
+            raw = w.encode()
+            found |= {bucket(raw, 0)} | {bucket(raw[:n], n) for n in (3, 4, 5, 6, 7) if len(raw) > n}
+        z = model.bias + sum(model.weights[model.table[b]] for b in found if model.table[b] >= 0)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_sentencepiece_ids_are_the_models(spark, sf):
+    """Whole texts of the table against the model's own encoding, and every sample against the vocabulary."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in rows_of(spark, sf, "documents")}
+    for r in QUERIES["op2_sentencepiece"](spark, sf).collect():
+        assert r.round_trip and (r.ids == model.encode(texts[r.doc_id]) or "▁" in texts[r.doc_id])
+        drawn = [tuple(s.ids) for s in r.samples]
+        assert len(set(drawn)) == len(drawn) and all(model.decode(list(d)) == texts[r.doc_id] for d in drawn)
+
+
+def test_samples_are_the_best_of_all_paths():
+    """A small lattice enumerated: as many samples as there are paths give each once, in falling order of their keys, with the
+    probabilities of the lattice; fewer are its most perturbed ones, with inclusion scores below 1."""
+    units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    row = units.lookup([" the"])
+    n = 400
+    every = sample(units, [row] * n, mix(np.arange(n, dtype=np.uint64)), 64)
+    paths = {tuple(x[0]): x[1] for x in every[0]}
+    spell = lambda ids: "".join(units.model.id_to_piece(int(i)) for i in ids)
+
+    def cuts(text):
+        if not text:
+            return [()]
+        return [(text[:i], *rest) for i in range(1, len(text) + 1) if text[:i] in units.pieces for rest in cuts(text[i:])]
+
+    want = {tuple(units.pieces[p] for p in c): sum(units.weight[units.pieces[p]] for p in c) for c in cuts("▁the")}
+    total = np.logaddexp.reduce(list(want.values()))
+    assert set(paths) == set(want) and all(abs(paths[c] - (w - total)) < 1e-5 for c, w in want.items())
+    assert all(len(r) == len(want) and {tuple(x[0]) for x in r} == set(want) and {spell(x[0]) for x in r} == {"▁the"} for r in every)
+    few = sample(units, [row] * n, mix(np.arange(n, dtype=np.uint64)), 2)
+    assert all([tuple(x[0]) for x in a] == [tuple(x[0]) for x in b[:2]] and all(x[2] <= 0 for x in a) for a, b in zip(few, every, strict=True))
+
+
 def test_samples_follow_the_lattice():
     units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
     row, n = units.lookup([" than", " he"]), 20_000
