@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 # The error codes.
 TYPE, MISSING, PARSE, NAME, VALUE, DIV0, NA = "#TYPE", "#MISSING", "#PARSE", "#NAME", "#VALUE", "#DIV/0", "#N/A"
 
+#: Days from 1970-01-01 to the first and last date of the years 1 to 9999.
+DAY_NUMBERS = (-719_162, 2_932_896)
 NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 ISO_DATE = r"^(\d{1,4})-(\d{1,2})-(\d{1,2})$"
 
@@ -148,7 +150,8 @@ def as_bool(x: object) -> Fx:
 
 
 def as_date(x: object) -> Fx:
-    """Dates, the day of a time, day numbers and lenient ISO text (31 February is 3 March); null ``#MISSING``."""
+    """Dates, the day of a time, day numbers of the years 1 to 9999 (others ``#VALUE``) and lenient ISO text (31 February is
+    3 March); null ``#MISSING``."""
     x = of(x)
     missing = F.when(x.value.isNull(), F.lit(MISSING))
     if x.kind == "date":
@@ -157,7 +160,8 @@ def as_date(x: object) -> Fx:
         return made(x.value.cast("date"), F.coalesce(x.err, missing), "date")
     if x.kind in ("num", "int"):
         whole = F.when(x.value >= 0, F.floor(x.value)).otherwise(F.ceil(x.value))
-        return made(F.date_from_unix_date(whole.cast("int")), F.coalesce(x.err, missing), "date")
+        fits = whole.between(*DAY_NUMBERS)
+        return made(F.date_from_unix_date(F.when(fits, whole).cast("int")), F.coalesce(x.err, missing, F.when(~fits, F.lit(VALUE))), "date")
     if x.kind == "null":
         return Fx(F.lit(None).cast("date"), F.coalesce(x.err, F.lit(MISSING)), "date")
     if x.kind in ("bool", "bytes"):

@@ -27,9 +27,15 @@ def ceiling(x: object) -> Fx:
 
 
 def round_(x: object, digits: int = 0) -> Fx:
-    """``round(x * 10^d) / 10^d``, halves away from zero."""
+    """``round(x * 10^d) / 10^d``, halves away from zero: the fraction is compared with a half, as adding one would round."""
     scale = 10.0**digits
-    return _numbers(lambda v: F.signum(v) * _whole(F.floor, F.abs(v * scale) + 0.5) / scale, x)
+
+    def rounded(v):
+        size = F.abs(v * scale)
+        below = _whole(F.floor, size)
+        return F.signum(v) * F.when(size - below >= 0.5, below + 1).otherwise(below) / scale
+
+    return _numbers(rounded, x)
 
 
 def trunc(x: object, digits: int = 0) -> Fx:

@@ -7,6 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+
+def _whole(f: str, x: str) -> str:
+    """Floor and ceil give bigint; beyond its range a double is whole already."""
+    return f"CASE WHEN abs({x}) < 4e18 THEN CAST({f}({x}) AS DOUBLE) ELSE {x} END"
+
+
 #: Name, parameters, result and body. Defaults are given where an argument may be left out.
 FUNCTIONS: tuple[tuple[str, str, str, str], ...] = (
     ("fx_number", "x DOUBLE, d INT DEFAULT 0", "STRING", "regexp_replace(format_number(x, d), '^-([0.,]*)$', '$1')"),
@@ -14,11 +20,11 @@ FUNCTIONS: tuple[tuple[str, str, str, str], ...] = (
     ("fx_percent", "x DOUBLE, d INT DEFAULT 0", "STRING", "concat(regexp_replace(format_number(x * 100, d), '^-([0.,]*)$', '$1'), '%')"),
     ("fx_datefmt", "x DATE, pattern STRING DEFAULT 'YYYY-MM-DD'", "STRING", "replace(replace(replace(replace(pattern, 'YYYY', lpad(year(x), 4, '0')), 'YY', right(lpad(year(x), 4, '0'), 2)), 'MM', lpad(month(x), 2, '0')), 'DD', lpad(day(x), 2, '0'))"),
     ("fx_isblank", "x STRING", "BOOLEAN", "x IS NULL OR x = ''"),
-    ("fx_round", "x DOUBLE, d INT DEFAULT 0", "DOUBLE", "sign(x) * CAST(floor(abs(x * pow(10, d)) + 0.5) AS DOUBLE) / pow(10, d)"),
-    ("fx_trunc", "x DOUBLE, d INT DEFAULT 0", "DOUBLE", "CAST(CASE WHEN x < 0 THEN ceil(x * pow(10, d)) ELSE floor(x * pow(10, d)) END AS DOUBLE) / pow(10, d)"),
-    ("fx_floor", "x DOUBLE", "DOUBLE", "CAST(floor(x) AS DOUBLE)"),
-    ("fx_ceiling", "x DOUBLE", "DOUBLE", "CAST(ceil(x) AS DOUBLE)"),
-    ("fx_mod", "a DOUBLE, b DOUBLE", "DOUBLE", "a - b * CAST(floor(try_divide(a, b)) AS DOUBLE)"),
+    ("fx_round", "x DOUBLE, d INT DEFAULT 0", "DOUBLE", f"sign(x) * (CASE WHEN abs(x * pow(10, d)) - {_whole('floor', 'abs(x * pow(10, d))')} >= 0.5 THEN 1D ELSE 0D END + {_whole('floor', 'abs(x * pow(10, d))')}) / pow(10, d)"),
+    ("fx_trunc", "x DOUBLE, d INT DEFAULT 0", "DOUBLE", f"CASE WHEN x < 0 THEN {_whole('ceil', 'x * pow(10, d)')} ELSE {_whole('floor', 'x * pow(10, d)')} END / pow(10, d)"),
+    ("fx_floor", "x DOUBLE", "DOUBLE", _whole("floor", "x")),
+    ("fx_ceiling", "x DOUBLE", "DOUBLE", _whole("ceil", "x")),
+    ("fx_mod", "a DOUBLE, b DOUBLE", "DOUBLE", f"a - b * {_whole('floor', 'try_divide(a, b)')}"),
     ("fx_power", "a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN NOT (isnan(pow(a, b)) OR abs(pow(a, b)) = double('Infinity')) THEN pow(a, b) END"),
     ("fx_sign", "x DOUBLE", "DOUBLE", "CASE WHEN x > 0 THEN 1D WHEN x < 0 THEN -1D ELSE 0D END"),
     ("fx_weekday", "x DATE", "INT", "dayofweek(x)"),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.fx import VALUE, Fx, as_number, concat, display, first_error, made, of
 
+#: Bytes of the longest text that REPT makes.
+MOST_BYTES = 1 << 27
+
 __all__ = "concat upper lower trim len_ left right substitute mid proper find textjoin rept".split()
 
 
@@ -16,8 +19,10 @@ def _text(f, x: object, kind: str = "text") -> Fx:
 
 
 def _int(x: object) -> tuple[Column, Fx]:
+    """The whole part, held within the range of an int: no text is longer than that."""
     n = as_number(x)
-    return F.when(n.value >= 0, F.floor(n.value)).otherwise(F.ceil(n.value)).cast("int"), n
+    whole = F.when(n.value >= 0, F.floor(n.value)).otherwise(F.ceil(n.value))
+    return F.greatest(F.least(whole, F.lit(2**31 - 1)), F.lit(-(2**31))).cast("int"), n
 
 
 def upper(x: object) -> Fx:
@@ -85,4 +90,7 @@ def textjoin(delimiter: object, *xs: object) -> Fx:
 
 def rept(x: object, n: object) -> Fx:
     x, (k, m) = of(x), _int(n)
-    return made(F.repeat(display(x), k), F.coalesce(first_error(x, m), F.when(k < 0, F.lit(VALUE))), "text")
+    """A negative count is ``#VALUE``, and so is a result that no value can hold."""
+    too_long = F.octet_length(display(x)).cast("double") * k > MOST_BYTES
+    bad = F.when((k < 0) | too_long, F.lit(VALUE))
+    return made(F.repeat(display(x), F.when(~too_long, k)), F.coalesce(first_error(x, m), bad), "text")

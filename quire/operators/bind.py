@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.formats import grouped as grouped_number
@@ -57,8 +57,10 @@ def _ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
 def section_headers(groups: DataFrame, keys: list[str]) -> DataFrame:
     """``section_ord, level, text, leaf``: for each section a header at each level from the first key that changed down to the
     last; all but the last are header-only parents. ``groups`` has a row for each section, not for each record."""
-    order = Window.orderBy("section_ord")
-    changed = [~F.lag(F.struct(*keys[: i + 1])).over(order).eqNullSafe(F.struct(*keys[: i + 1])) for i in range(len(keys))]
+    # Sections are numbered without gaps, so the one before is found by a join and no task sees all of them.
+    before = groups.select((F.col("section_ord") + 1).alias("section_ord"), F.struct(*keys).alias("__before"))
+    groups = groups.join(before, "section_ord", "left")
+    changed = [~reduce(lambda a, b: a & b, (F.col("__before").isNotNull() & F.col("__before")[k].eqNullSafe(F.col(k)) for k in keys[: i + 1])) for i in range(len(keys))]
     first = reduce(lambda rest, i: F.when(changed[i], F.lit(i)).otherwise(rest), reversed(range(len(keys))), F.lit(len(keys) - 1))
     text = reduce(lambda rest, i: F.when(F.col("level") == i, F.coalesce(F.col(keys[i]).cast("string"), F.lit(""))).otherwise(rest), range(len(keys)), F.lit(""))
     levels = F.explode(F.sequence(F.col("first"), F.lit(len(keys) - 1)))

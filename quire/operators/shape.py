@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 from dataclasses import dataclass
 from datetime import date
 
@@ -21,7 +20,21 @@ class ParamDecl:
     required: bool = False
 
 
-_CASTS = {"text": str, "number": float, "bool": bool, "date": lambda v: v if isinstance(v, date) else date.fromisoformat(v)}
+def _number(v: object) -> int | float:
+    """Whole numbers stay whole: keys beyond 2**53 are exact."""
+    if isinstance(v, str):
+        return int(v) if v.strip().lstrip("+-").isdigit() else float(v)
+    return v if isinstance(v, (int, float)) and not isinstance(v, bool) else float(v)
+
+
+def _bool(v: object) -> bool:
+    known = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False, "": False}
+    if isinstance(v, str) and v.strip().lower() not in known:
+        raise ValueError(f"not a boolean: {v!r}")
+    return known[v.strip().lower()] if isinstance(v, str) else bool(v)
+
+
+_CASTS = {"text": str, "number": _number, "bool": _bool, "date": lambda v: v if isinstance(v, date) else date.fromisoformat(v)}
 
 
 def parameterised(spark: SparkSession, sql: str, decls: list[ParamDecl], params: dict[str, object]) -> DataFrame:
@@ -79,10 +92,20 @@ def stable_index(df: DataFrame, keys: list[str], out: str = "row_idx", partition
     return numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(out, place + F.col("__before")).drop("__part", "__before", "__id")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for intermediate tables; a local master without one gets the warehouse's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-checkpoint"
+    return folder.rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

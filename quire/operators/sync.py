@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.shape import content_hash, known, row_hash
@@ -13,10 +11,6 @@ from quire.operators.shape import content_hash, known, row_hash
 LINKED, PINNED, OVERRIDDEN, STALE, ERROR = "linked", "pinned", "overridden", "stale", "error"
 
 
-def _all(xs: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, xs)
-
-
 def row_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``key columns, change_type``: inserted, updated, removed or unchanged. Keys and values compare null-safely and by type.
 
@@ -38,11 +32,12 @@ def row_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _whole_row_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One aggregate over both sides: rows are grouped null-safely, and counts combine before the shuffle."""
     columns = new.columns
-    o, n = old.distinct().alias("o"), new.alias("n")
-    same = _all([F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in columns])
-    tagged = [n.join(o, same, how).select("n.*", F.lit(what).alias("change_type")) for how, what in (("left_semi", "unchanged"), ("left_anti", "inserted"))]
-    return tagged[0].unionByName(tagged[1]).unionByName(o.join(n, same, "left_anti").select("o.*", F.lit("removed").alias("change_type")))
+    both = new.select(*columns, F.lit(1).alias("__new")).unionByName(old.select(*columns, F.lit(0).alias("__new")))
+    each = both.groupBy(*columns).agg(F.sum("__new").alias("__n"), F.min("__new").alias("__old"))
+    change = F.when(F.col("__n") == 0, "removed").when(F.col("__old") == 0, "unchanged").otherwise("inserted")
+    return each.withColumn("change_type", F.explode(F.array_repeat(change, F.greatest(F.lit(1), F.col("__n")).cast("int")))).select(*columns, "change_type")
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _de(x: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "brand_sections": "SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY p_brand) - 1 AS section_ord, count(*) || ' items' AS label, format('{:,.2f}', sum(p_retailprice)) AS total FROM part GROUP BY p_brand",
+    "brand_sections": "SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY p_brand) - 1 AS section_ord, count(*) || ' items' AS label, format('{:,.2f}', sum(l_extendedprice)) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "section_aggregates": " UNION ALL ".join(f"SELECT p_brand, p_type, count(*) AS n, '{f}' AS agg, format('{{:,.2f}}', CAST({f}(p_size) AS DOUBLE)) AS total FROM part GROUP BY p_brand, p_type" for f in ("avg", "min", "max")),
     "nested_section_headers": """
 WITH g AS (SELECT p_brand, p_type, row_number() OVER (ORDER BY p_brand, p_type) - 1 AS section_ord FROM (SELECT DISTINCT p_brand, p_type FROM part)),
@@ -89,8 +89,14 @@ WHERE p.p_size >= 10 AND l.l_shipdate >= DATE '1995-01-01' GROUP BY p.p_brand, n
     "stable_row_index": "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_idx FROM lineitem",
     "grouped_first_seen": "SELECT o_orderpriority, count(*) AS n, min(i) AS first_seen FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_orderpriority) - 1 AS i FROM orders) GROUP BY o_orderpriority",
     "rule_fires": """
-WITH r AS (SELECT *, row_number() OVER (ORDER BY p_brand, p_partkey, p_size, p_retailprice) - 1 AS row_idx FROM part)
-SELECT 'small' AS rule, row_idx, row_idx + 1 AS table_row FROM r WHERE p_size < 5 UNION ALL SELECT 'dear', row_idx, row_idx + 1 FROM r WHERE p_retailprice > 1500""",
+WITH r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS row_idx FROM lineitem)
+SELECT 'small' AS rule, row_idx, row_idx + 1 AS table_row FROM r WHERE l_quantity < 5 UNION ALL SELECT 'dear', row_idx, row_idx + 1 FROM r WHERE l_extendedprice > 50000""",
+    "content_revision": """
+SELECT count(*) AS n_rows, (SELECT left(sha256('["' || string_agg(column_name, '", "' ORDER BY column_index) || '"]'), 16) FROM duckdb_columns() WHERE table_name = 'lineitem') AS schema_hash,
+  TRUE AS same_in_other_order, count(*) FILTER (l_orderkey % 1000 = 1 AND l_quantity IS NOT NULL) = 0 AS same_after_change FROM lineitem""",
+    "event_refresh": """
+SELECT 0 AS batch, 'inserted' AS change_type, count(*) AS n FROM events
+UNION ALL SELECT 1, CASE WHEN event_id % 20 = 0 THEN 'removed' WHEN event_id % 20 = 1 AND value IS NOT NULL THEN 'updated' ELSE 'unchanged' END, count(*) FROM events GROUP BY 2""",
     "rule_totals": " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(count(*) FILTER ({c}) AS BIGINT) AS fired, count(*) AS total FROM lineitem" for n, c in (("few", "l_quantity < 5"), ("many", "l_quantity >= 45"), ("returned", "l_returnflag = 'R'"))),
     "image_reference_audit": """
 WITH r AS (SELECT CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'asset:' || page_id WHEN 3 THEN 'img/a.png' ELSE url END AS ref FROM pages),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -47,7 +46,9 @@ def sidecar(spark: SparkSession) -> DataFrame:
 
 @query
 def brand_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bind.sections(load(spark, sf_dir, "part"), ["p_brand"], "{count} items", "p_retailprice")
+    lines, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
+    sold = lines.join(part, lines.l_partkey == part.p_partkey).select("p_brand", "l_extendedprice")
+    s = bind.sections(sold, ["p_brand"], "{count} items", "l_extendedprice")
     return s.select("p_brand", "n", "section_ord", F.col("footer")[0].alias("label"), F.col("footer")[1].alias("total"))
 
 
@@ -174,14 +175,19 @@ def grouped_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def content_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.content_hash(load(spark, sf_dir, "lineitem"))
+    """The revision of a table, of its rows in another order, and of a table in which some rows differ."""
+    df = load(spark, sf_dir, "lineitem")
+    changed = df.withColumn("l_quantity", F.when(F.col("l_orderkey") % 1000 == 1, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    h = {name: shape.content_hash(x).select(F.col("n_rows").alias(f"n_{name}"), F.struct("h1", "h2").alias(name), F.col("schema_hash").alias(f"s_{name}")) for name, x in (("own", df), ("moved", df.repartition(7, "l_suppkey")), ("changed", changed))}
+    one = h["own"].crossJoin(h["moved"]).crossJoin(h["changed"])  # a row each
+    return one.select(F.col("n_own").alias("n_rows"), F.col("s_own").alias("schema_hash"), (F.col("own") == F.col("moved")).alias("same_in_other_order"), (F.col("own") == F.col("changed")).alias("same_after_change"))
 
 
 @query
 def rule_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    size = field(df, "p_size")
-    return bind.rules(df, ["p_brand"], {"small": compare("<", size, 5), "dear": compare(">", field(df, "p_retailprice"), 1500), "broken": compare("<", div(size, 0), 1)})
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    quantity = field(df, "l_quantity")
+    return bind.rules(df, ["l_orderkey"], {"small": compare("<", quantity, 5), "dear": compare(">", field(df, "l_extendedprice"), 50000), "broken": compare("<", div(quantity, 0), 1)})
 
 
 @query
@@ -362,8 +368,7 @@ def qr_version_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def event_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events land as two snapshots; the second changes some values and drops some rows."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-")
-    root = f"{root.rstrip('/')}/quire-refresh-{uuid.uuid4().hex}"
+    root = f"{shape.shared_folder(spark)}/quire-refresh-{uuid.uuid4().hex}"
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     after = e.where("event_id % 20 <> 0").withColumn("value", F.when(F.col("event_id") % 20 == 1, F.col("value") + 1).otherwise(F.col("value")))
     for frame in (e, after):

@@ -5,7 +5,10 @@ from datetime import date
 from quire.functions import REGISTRY, call
 from quire.functions.fx import add, compare, concat, display, div, equal
 
+# Calls and the results that have to come.
 CASES = [
+    ("ROUND", (0.49999999999999994,), "0"), ("ROUND", (-0.5,), "-1"), ("ROUND", (4503599627370497.5,), "4503599627370498"), ("LEFT", ("abc", 1e12), "abc"), ("RIGHT", ("abc", 1e12), "abc"), ("LEFT", ("abc", -1e12), ""), ("MID", ("abc", 1, 1e12), "abc"), ("MID", ("abc", 1e12, 1), ""),
+    ("FIND", ("b", "abc", 1e12), "#VALUE"), ("REPT", ("ab", 1e12), "#VALUE"), ("YEAR", (1e12,), "#VALUE"), ("MONTH", (-1e300,), "#VALUE"), ("DATEFMT", (1e12,), "#VALUE"), ("YEAR", (2932896,), "9999"),
     ("NUMBER", (1234.56, 2), "1,234.56"), ("NUMBER", (1000000,), "1,000,000"), ("NUMBER", (-5,), "-5"), ("NUMBER", (0.125, 2), "0.12"), ("NUMBER", (-0.001, 2), "0.00"), ("NUMBER", ("x",), "#TYPE"),
     ("CURRENCY", (1234.56,), "$1,234.56"), ("CURRENCY", (9.5, 2, "€"), "€9.50"), ("PERCENT", (0.125, 1), "12.5%"), ("PERCENT", (1,), "100%"), ("DATEFMT", ("2026-06-08", "DD/MM/YYYY"), "08/06/2026"), ("DATEFMT", ("2026-02-31",), "2026-03-03"),
     ("IF", (True, "a", "b"), "a"), ("IF", ("maybe", 1, 2), "#TYPE"), ("AND", (True, 1, "yes"), "TRUE"), ("AND", (False, "oops"), "FALSE"), ("OR", (0, "true"), "TRUE"), ("NOT", (0,), "TRUE"), ("ISBLANK", ("",), "TRUE"), ("ISBLANK", (None,), "TRUE"),
@@ -43,3 +46,11 @@ def test_sql_functions(spark):
     assert len(register(spark)) == 20
     row = spark.sql("SELECT fx_number(1234.567D, 2), fx_number(-0.001D, 2), fx_round(1.005D, 2), fx_datefmt(DATE'2026-06-08', 'DD/MM/YY'), fx_trim('  a '), fx_find('z', 'abc'), fx_rept('ab', -1), fx_proper('o''brien-sMITH'), fx_power(-8D, 0.5D), fx_left('abc', -1)").first()
     assert list(row) == ["1,234.57", "0.00", 1.0, "08/06/26", "a", None, None, "O'Brien-Smith", None, ""]
+
+
+def test_sql_functions_beyond_bigint(spark):
+    from quire.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT fx_floor(1e19D), fx_ceiling(-1e19D), fx_round(1e19D), fx_trunc(-1e19D), fx_round(0.49999999999999994D), fx_round(-2.5D), fx_mod(1e19D, 7D) < 7, fx_floor(-1.5D), fx_trunc(-2.9D)").first()
+    assert list(row) == [1e19, -1e19, 1e19, -1e19, 0.0, -3.0, True, -2.0, -2.0]

@@ -182,3 +182,18 @@ def test_event_refresh_lands_in_parallel(spark, tmp_path):
     (new,) = set(glob.glob(f"{root}/quire-refresh-*")) - old
     assert len(glob.glob(f"{new}/landed/*.parquet")) > 2
     assert {n for (_, kind), n in got.items() if kind == "removed"} == {50} and len({batch for batch, _ in got}) == 2, got
+
+
+def test_parameters_by_kind(spark):
+    decls = [shape.ParamDecl("b", "bool"), shape.ParamDecl("n", "number"), shape.ParamDecl("m", "number")]
+    row = shape.parameterised(spark, "SELECT :b AS b, :n AS n, :m AS m", decls, {"b": "false", "n": 2**53 + 1, "m": "1.5"}).first()
+    assert (row.b, row.n, row.m) == (False, 2**53 + 1, 1.5)
+    with pytest.raises(ValueError):
+        shape.parameterised(spark, "SELECT :b", decls, {"b": "perhaps"})
+
+
+def test_whole_row_diff(spark):
+    old = spark.createDataFrame([(1, None), (1, None), (2, "a"), (3, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, None), (2, "x"), (2, "x"), (3, "b"), (3, "b")], "k int, v string")
+    got = sorted((r.k, r.v or "", r.change_type) for r in sync.row_diff(old, new, []).collect())
+    assert got == [(1, "", "unchanged"), (2, "a", "removed"), (2, "x", "inserted"), (2, "x", "inserted"), (3, "b", "unchanged"), (3, "b", "unchanged")]
