@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.shared import written
+
 # The template's escapes; & comes first when writing and last when reading.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))
 TURN = r"\[TURN ([^\]]*)\]([^<]*)</s>"
@@ -68,6 +70,7 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     keys = ["cell", "long"]
     new = F.when(~F.col("first"), F.col("t")).otherwise(0)
     spans = placed.groupBy("conv", *keys).agg(F.min("seq").alias("window"), F.count("*").alias("n"), F.max("stop").alias("end"), (budget - F.max("sys") - F.sum(new)).alias("room"))
+    spans = written(spans, "spans")
     after = spans.select(F.col("conv").alias("a_conv"), F.col("window").alias("after"), F.col("room").alias("after_room"))
     spans = spans.join(after, F.col("conv").eqNullSafe(F.col("a_conv")) & (F.col("window") + F.col("n") == F.col("after")), "left").drop("a_conv", "room")
     s = spans.alias("s")
