@@ -43,6 +43,44 @@ def _de(x: str) -> str:
     return f"translate({x}, ',.', '.,')"
 
 
+def _pages(keys: str, order: str, records: str) -> str:
+    """CTEs of a catalogue of each ``p_type`` in frames of 400 pt, headers of 16, records and footers of 20: ``r`` numbers records,
+    ``walk`` places sections one after the other, ``placed`` has records, ``piece`` has all pieces. With two keys there are
+    header-only sections of the first one, and the last ones have footers."""
+    depth = keys.count(",") + 1
+    top, footer = 16 * depth, int(depth > 1)
+    each = (400 - top) // 20
+    outer = f"UNION ALL SELECT p_type, min(ord) - 1, 0, 0, 0 FROM leaf GROUP BY p_type, {keys.split(',')[0]}" if depth > 1 else ""
+    return f"""
+WITH RECURSIVE r AS (
+  SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY {keys}) * {depth} - 1 AS ord, row_number() OVER (PARTITION BY p_type, {keys} ORDER BY {order}) - 1 AS rec_no FROM (SELECT {records} FROM part)),
+leaf AS (SELECT p_type, {keys}, ord, count(*) AS n FROM r GROUP BY p_type, {keys}, ord),
+q AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY ord) AS i FROM (SELECT p_type, ord, {depth - 1} AS level, n, {footer} AS footer FROM leaf {outer})),
+walk AS (
+  SELECT p_type, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS ord, 0 AS level, CAST(0 AS BIGINT) AS n, 0 AS footer, CAST(0 AS BIGINT) AS hf, CAST(0 AS BIGINT) AS hy, CAST(0 AS BIGINT) AS room, CAST(0 AS BIGINT) AS more, CAST(0 AS BIGINT) AS ff, CAST(0 AS BIGINT) AS fy, CAST(0 AS BIGINT) AS used
+  FROM (SELECT DISTINCT p_type FROM part)
+  UNION ALL
+  SELECT p_type, i, ord, level, n, footer, hf, hy, room, more, hf + more + CAST(turn AS INTEGER), CASE WHEN turn THEN 0 ELSE u2 END, CASE WHEN turn THEN 0 ELSE u2 END + 20 * footer
+  FROM (SELECT *, footer = 1 AND u2 + 20 > 400 AS turn
+  FROM (SELECT *, CASE WHEN n <= room THEN 0 ELSE (n - room + {each - 1}) // {each} END AS more, CASE WHEN n <= room THEN hy + 16 + 20 * n ELSE {top} + 20 * (n - room - {each} * ((n - room - 1) // {each})) END AS u2
+  FROM (SELECT *, (384 - hy) // 20 AS room
+  FROM (SELECT q.*, w.ff + CAST(w.used + 16 > 400 AS INTEGER) AS hf, CASE WHEN w.used + 16 > 400 THEN 0 ELSE w.used END AS hy FROM walk w JOIN q ON q.p_type = w.p_type AND q.i = w.i + 1))))),
+placed AS (
+  SELECT r.*, CASE WHEN rec_no < room THEN hf ELSE hf + 1 + (rec_no - room) // {each} END AS frame_no, CAST(CASE WHEN rec_no < room THEN hy + 16 + 20 * rec_no ELSE {top} + 20 * ((rec_no - room) % {each}) END AS DOUBLE) AS y_pt
+  FROM r JOIN walk w ON r.p_type = w.p_type AND r.ord = w.ord),
+turned AS (SELECT *, unnest(range(1, more + 1)) AS j FROM walk WHERE more > 0),
+piece AS (
+  SELECT p_type, 'header' AS kind, level, 0 AS continued, hy AS y, hf AS f FROM walk WHERE i > 0
+  UNION ALL SELECT p_type, 'header', lv, CAST(room + {each} * (j - 1) > 0 AS INTEGER), 16 * lv, hf + j FROM turned, unnest(range({depth})) AS t(lv)
+  UNION ALL SELECT p_type, 'records', level, 0, hy + 16, hf FROM walk WHERE n > 0 AND room > 0
+  UNION ALL SELECT p_type, 'records', level, 0, {top}, hf + j FROM turned
+  UNION ALL SELECT p_type, 'footer', level, 0, fy, ff FROM walk WHERE footer = 1)"""
+
+
+_FRAME = "'f' || CAST(frame_no AS BIGINT) AS frame, 'p' || CAST(frame_no // 2 AS BIGINT) AS page, y_pt"
+_BY_BRAND = _pages("p_brand", "p_name, p_partkey", "p_type, p_brand, p_name, p_partkey")
+_NESTED = _pages("p_brand, p_size", "p_partkey", "p_type, p_brand, p_size, p_partkey")
+
 SQL: dict[str, str] = {
     "brand_sections": "SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY p_brand) - 1 AS section_ord, count(*) || ' items' AS label, format('{:,.2f}', sum(l_extendedprice)) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "section_aggregates": " UNION ALL ".join(f"SELECT p_brand, p_type, count(*) AS n, '{f}' AS agg, format('{{:,.2f}}', CAST({f}(p_size) AS DOUBLE)) AS total FROM part GROUP BY p_brand, p_type" for f in ("avg", "min", "max")),
@@ -155,4 +193,11 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN k = p_partkey % 10 TH
 WITH b AS (SELECT strlen(url) AS n FROM pages)
 SELECT CAST(CASE WHEN n = 0 THEN NULL WHEN 12 + 8 * n <= 128 THEN 1 WHEN 12 + 8 * n <= 224 THEN 2 WHEN 12 + 8 * n <= 352 THEN 3 WHEN 12 + 8 * n <= 512 THEN 4 WHEN 12 + 8 * n <= 688 THEN 5 WHEN 12 + 8 * n <= 864 THEN 6
   WHEN 12 + 8 * n <= 992 THEN 7 WHEN 12 + 8 * n <= 1232 THEN 8 WHEN 12 + 8 * n <= 1456 THEN 9 WHEN 20 + 8 * n <= 1728 THEN 10 END AS INTEGER) AS version, count(*) AS n FROM b GROUP BY 1""",
+    "paginate_catalog": _BY_BRAND + f" SELECT p_type, p_brand, p_partkey, ord AS section_ord, rec_no, {_FRAME} FROM placed",
+    "paginate_summary": _BY_BRAND + " SELECT p_type, CAST(sum(n) AS BIGINT) AS placed, CAST(sum(n) AS BIGINT) AS total, FALSE AS overflow, CAST(max(ff) + 1 AS BIGINT) AS frames FROM walk GROUP BY p_type",
+    "paginate_nested": _NESTED + f" SELECT p_type, p_brand, p_size, p_partkey, ord AS section_ord, rec_no, {_FRAME} FROM placed",
+    "paginate_pieces": _NESTED + " SELECT p_type, kind, level, count(*) AS n, CAST(sum(continued) AS BIGINT) AS n_continued, CAST(sum(y) AS DOUBLE) AS sum_y, CAST(max(f) AS BIGINT) AS last_frame FROM piece GROUP BY p_type, kind, level",
+    # A section alone has one header; 19 records fit under it, and a footer if there are 18 at most.
+    "batch_run_per_group": _NESTED + " SELECT p_type, ord AS section_ord, n AS placed, n AS total, FALSE AS overflow, CASE WHEN n = 0 THEN 1 ELSE (n + 18) // 19 + CAST(n % 19 = 0 AS INTEGER) END AS frames FROM q",
+    "batch_run_per_record": _NESTED + " SELECT p_type, p_brand, p_size, p_partkey, ord AS section_ord, rec_no, 'f0' AS frame, 'p0' AS page, CAST(16 AS DOUBLE) AS y_pt FROM r",
 }

@@ -1,6 +1,7 @@
 """Batches of documents: which unit each record belongs to, and running all of them in one job.
 
-``spark-submit batch.py --job job.json`` reads a job ``{table, format, by, unit, chain, record_pt, header_pt, out}``.
+``spark-submit batch.py --job job.json`` reads a job ``{table, format, by, unit, chain, record_pt, header_pt, footer_pt,
+mode, footer, out}``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.shape import grouped, known, stable_index, total_order
-from quire.plans.layout import FlowOptions, Frame, Pages, numbered_records, paginate, placed_records, section_rows
+from quire.plans.layout import FlowOptions, Frame, Pages, numbered_records, paginate, place_each, placed_records, section_rows
 from quire.sources.files import read_file, write_documents
 
 
@@ -40,11 +41,24 @@ def plan_per_group(df: DataFrame, by: list[str]) -> DataFrame:
     return indexed.join(units, same).select(*df.columns, "row_idx", "unit", "unit_label")
 
 
-def run_batch(df: DataFrame, unit: str, by: list[str], chain: list[Frame] | Pages, options: FlowOptions = FlowOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records placed in frames, the pieces, and the section rows, of all documents in one job."""
+#: What is a document, by mode: a unit, a section of a unit, or a record.
+DOCUMENTS = {"catalog": [], "group": ["section_ord"], "record": ["section_ord", "rec_no"]}
+
+
+def run_batch(df: DataFrame, unit: str, by: list[str], chain: list[Frame] | Pages, options: FlowOptions = FlowOptions(), mode: str = "catalog", footer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records placed in frames, the pieces, and the section rows, of all documents in one job.
+
+    Sections are nested by the keys ``by``. In mode ``catalog`` each unit is a document; in mode ``group`` each of its sections
+    is one, header-only ones too; in mode ``record`` each record is one, under the header of its section and without a footer.
+    """
     numbered = numbered_records(df, unit, by)
-    rows = section_rows(numbered, unit)
-    pieces = paginate(rows, unit, chain, options)
+    if mode == "record":
+        level = max(0, len(by) - 1)
+        placed, pieces = place_each(numbered, unit, bool(by), level, chain, options)
+        rows = numbered.select(unit, "section_ord", "rec_no", F.lit(bool(by)).alias("header"), F.lit(level).alias("level"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("footer"))
+        return placed, pieces, rows
+    rows = section_rows(numbered, unit, by, footer)
+    pieces = paginate(rows, [unit, *DOCUMENTS[mode]], chain, options)
     return placed_records(numbered, pieces, unit, options.record_pt), pieces, rows
 
 
@@ -56,7 +70,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("quire-batch").getOrCreate()
     chain = [Frame(**c) for c in job["chain"]]
     df = read_file(spark, job["table"], job.get("format", "parquet"))
-    placed, _, _ = run_batch(df, job["unit"], job["by"], chain, FlowOptions(job.get("record_pt", 20.0), job.get("header_pt", 16.0)))
+    placed, _, _ = run_batch(df, job["unit"], job["by"], chain, FlowOptions(job.get("record_pt", 20.0), job.get("header_pt", 16.0), job.get("footer_pt", 20.0)), job.get("mode", "catalog"), job.get("footer", False))
     write_documents(placed, job["unit"], job["out"])
 
 

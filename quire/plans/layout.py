@@ -75,6 +75,11 @@ def place_sections(sections: Iterator[tuple[int, bool, int, int, bool]], chain:
         out.append((ord_, kind, level, 0, 0, at, used[at], continued))
         used[at] += height
 
+    def fitting(n: int) -> tuple[int, np.ndarray]:
+        most = min(n, int(max(0.0, chain[at].height_pt - used[at]) // o.record_pt) + 2) if o.record_pt > 0 else n
+        sums = np.add.accumulate(np.concatenate(([used[at]], np.full(most, o.record_pt))))[1:]
+        return int(np.searchsorted(sums, chain[at].height_pt, side="right")), sums
+
     for ord_, header, level, n, footer in sections:
         if header:
             if n == 0:
@@ -86,11 +91,7 @@ def place_sections(sections: Iterator[tuple[int, bool, int, int, bool]], chain:
             put(ord_, "header", level, o.header_pt)
         done = 0
         while done < n:
-            room = 0
-            if at < len(chain):
-                most = min(n - done, int(max(0.0, chain[at].height_pt - used[at]) // o.record_pt) + 2) if o.record_pt > 0 else n - done
-                sums = np.add.accumulate(np.concatenate(([used[at]], np.full(most, o.record_pt))))[1:]
-                room = int(np.searchsorted(sums, chain[at].height_pt, side="right"))
+            room, sums = fitting(n - done) if at < len(chain) else (0, np.empty(0))
             if room == 0:
                 at += 1
                 if at >= len(chain):
@@ -101,7 +102,9 @@ def place_sections(sections: Iterator[tuple[int, bool, int, int, bool]], chain:
                     for parent_level, parent in above:
                         put(parent, "header", parent_level, o.header_pt, continued)
                     put(ord_, "header", level, o.header_pt, continued)
-                room, sums = 1, np.array([used[at] + o.record_pt])
+                room, sums = fitting(n - done)
+                if room == 0:
+                    room, sums = 1, np.array([used[at] + o.record_pt])
             out.append((ord_, "records", level, done, done + room, at, used[at], False))
             used[at] = float(sums[room - 1])
             done += room
@@ -119,14 +122,19 @@ BLOCK = 64
 PIECES = "section_ord long, kind string, level int, rec_from long, rec_to long, frame_no int, frame string, page string, y_pt double, continued boolean, overflow boolean"
 
 
-def paginate(sections: DataFrame, unit: str, chain: list[Frame] | Pages, o: FlowOptions = FlowOptions()) -> DataFrame:
-    """Pieces of every document (``unit``) from its section rows ``section_ord, header, level, n, footer``.
+def _columns(unit: str | list[str]) -> list[str]:
+    return [unit] if isinstance(unit, str) else unit
+
+
+def paginate(sections: DataFrame, unit: str | list[str], chain: list[Frame] | Pages, o: FlowOptions = FlowOptions()) -> DataFrame:
+    """Pieces of every document (``unit``, one column or several) from its section rows ``section_ord, header, level, n, footer``.
 
     Each document is walked on its own, in parallel; a walk sees a row for each section, never records, and its work is
     bounded by sections and frames. Documents without sections have no pieces. A list of frames may run out
     (``overflow``), ``Pages`` never do.
     """
-    kind = sections.schema[unit].dataType.simpleString()
+    units = [c for c in _columns(unit) if c != "section_ord"]
+    schema = ", ".join([*(f"`{c}` {sections.schema[c].dataType.simpleString()}" for c in units), PIECES])
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("section_ord")
@@ -137,18 +145,39 @@ def paginate(sections: DataFrame, unit: str, chain: list[Frame] | Pages, o: Flow
         out["frame"] = [frames[i].frame for i in out.frame_no]
         out["page"] = [frames[i].page for i in out.frame_no]
         out["overflow"] = overflow
-        out[unit] = rows[unit].iloc[0]
-        return out[[unit, *(c.split()[0] for c in PIECES.split(", "))]]
+        for c in units:
+            out[c] = rows[c].iloc[0]
+        return out[[*units, *(c.split()[0] for c in PIECES.split(", "))]]
+
+    return sections.groupBy(*_columns(unit)).applyInPandas(walk, schema)
 
-    return sections.groupBy(unit).applyInPandas(walk, f"`{unit}` {kind}, {PIECES}")
+
+def place_each(records: DataFrame, unit: str, header: bool, level: int, chain: list[Frame] | Pages, o: FlowOptions = FlowOptions()) -> tuple[DataFrame, DataFrame]:
+    """Records that are a document each, under their section's header, and their pieces. All such documents look alike, so one
+    walk places them all, and no record leaves its partition."""
+    one = [(0, header, level, 1, False)]
+    frames = chain.frames(one, o) if isinstance(chain, Pages) else chain
+    pieces, overflow = place_sections(iter(one), frames, o)
+    literal = [F.struct(F.lit(kind).alias("kind"), F.lit(lv).cast("int").alias("level"), F.lit(lo).cast("long").alias("rec_from"), F.lit(hi).cast("long").alias("rec_to"), F.lit(at).cast("long").alias("frame_no"), F.lit(frames[at].frame).alias("frame"), F.lit(frames[at].page).alias("page"), F.lit(y).alias("y_pt"), F.lit(continued).alias("continued"), F.lit(overflow).alias("overflow")) for _, kind, lv, lo, hi, at, y, continued in pieces]
+    every = F.array(*literal) if literal else F.from_json(F.lit("[]"), f"array<struct<{', '.join(c.replace(' ', ':') for c in PIECES.split(', ')[1:])}>>")
+    out = records.select(unit, "section_ord", "rec_no", F.inline(every))
+    placed = [(frames[at], at, y) for _, kind, _, _, _, at, y, _ in pieces if kind == "records"]
+    if not placed:
+        return records.withColumns({"frame_no": F.lit(0).cast("long"), "frame": F.lit(""), "page": F.lit(""), "y_pt": F.lit(0.0)}).where(F.lit(False)), out
+    frame, at, y = placed[0]
+    return records.withColumns({"frame_no": F.lit(at).cast("long"), "frame": F.lit(frame.frame), "page": F.lit(frame.page), "y_pt": F.lit(y)}), out
 
 
 def numbered_records(df: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    """``df`` with ``section_ord`` (by key order within the document) and ``rec_no`` (from 0 within the section)."""
+    """``df`` with ``section_ord`` (by key order within the document) and ``rec_no`` (from 0 within the section).
+
+    With several keys a section's number leaves room for the headers of the outer levels before it: see :func:`section_rows`.
+    """
     known(df, [unit, *keys])
+    depth, keys = max(1, len(keys)), [k for k in keys if k != unit]
     indexed = stable_index(df, total_order(df, [unit, *keys]))
     groups = indexed.groupBy(unit, *keys).agg(F.min("row_idx").alias("__first"), F.count("*").alias("__n"))
-    ranked = groups.withColumn("section_ord", F.row_number().over(Window.partitionBy(unit).orderBy("__first")) - 1)
+    ranked = groups.withColumn("section_ord", F.row_number().over(Window.partitionBy(unit).orderBy("__first")) * depth - 1)
     same = F.lit(True)
     g = ranked.select(*(F.col(c).alias(f"__g_{c}") for c in [unit, *keys]), "__first", "section_ord")
     for c in [unit, *keys]:
@@ -156,9 +185,22 @@ def numbered_records(df: DataFrame, unit: str, keys: list[str]) -> DataFrame:
     return indexed.join(g, same).select(*df.columns, F.col("section_ord").cast("long").alias("section_ord"), (F.col("row_idx") - F.col("__first")).alias("rec_no"))
 
 
-def section_rows(numbered: DataFrame, unit: str, footer: bool = False) -> DataFrame:
-    """Section summaries of one grouping level for :func:`paginate`."""
-    return numbered.groupBy(unit, "section_ord").agg(F.count("*").alias("n")).select(unit, "section_ord", F.lit(True).alias("header"), F.lit(0).alias("level"), "n", F.lit(footer).alias("footer"))
+def section_rows(numbered: DataFrame, unit: str, keys: list[str], footer: bool = False) -> DataFrame:
+    """Section summaries of the last key for :func:`paginate`, and before each one a row without records for every outer key
+    that differs from the section before. Without keys a document is one section without a header."""
+    groups = numbered.groupBy(unit, "section_ord", *(k for k in keys if k != unit)).agg(F.count("*").alias("n"))
+    if len(keys) < 2:
+        return groups.select(unit, "section_ord", F.lit(bool(keys)).alias("header"), F.lit(0).alias("level"), "n", F.lit(footer).alias("footer"))
+    last = len(keys) - 1
+    groups = groups.withColumn("__before", F.lag(F.struct(*keys)).over(Window.partitionBy(unit).orderBy("section_ord")))
+    first, same = F.lit(last), F.col("__before").isNotNull()
+    for i, k in enumerate(keys[:-1]):
+        # The first level that differs wins: a later one counts only where all before it are the same.
+        upper, same = same, same & F.col("__before")[k].eqNullSafe(F.col(k))
+        first = F.when(~same & (upper if i else F.lit(True)), F.lit(i)).otherwise(first)
+    rows = groups.withColumn("level", F.explode(F.sequence(first, F.lit(last))))
+    leaf = F.col("level") == last
+    return rows.select(unit, (F.col("section_ord") - last + F.col("level")).alias("section_ord"), F.lit(True).alias("header"), "level", F.when(leaf, F.col("n")).otherwise(0).alias("n"), (leaf & F.lit(footer)).alias("footer"))
 
 
 def placed_records(numbered: DataFrame, pieces: DataFrame, unit: str, record_pt: float) -> DataFrame:
@@ -170,8 +212,9 @@ def placed_records(numbered: DataFrame, pieces: DataFrame, unit: str, record_pt:
     return numbered.join(runs, on).withColumn("y_pt", F.col("y_pt") + (F.col("rec_no") - F.col("rec_from")) * record_pt).drop("__unit", "__ord", "__block", "rec_from", "rec_to")
 
 
-def flow_summary(pieces: DataFrame, sections: DataFrame, unit: str) -> DataFrame:
+def flow_summary(pieces: DataFrame, sections: DataFrame, unit: str | list[str]) -> DataFrame:
     """``unit, placed, total, overflow, frames`` of each document."""
-    total = sections.groupBy(unit).agg(F.sum("n").alias("total"))
-    p = pieces.groupBy(unit).agg(F.sum(F.when(F.col("kind") == "records", F.col("rec_to") - F.col("rec_from")).otherwise(0)).alias("placed"), F.max("overflow").alias("overflow"), F.countDistinct("frame_no").alias("frames"))
-    return total.join(p, unit, "left").select(unit, F.coalesce("placed", F.lit(0)).alias("placed"), "total", F.coalesce("overflow", F.lit(True)).alias("overflow"), F.coalesce("frames", F.lit(0)).alias("frames"))
+    units = _columns(unit)
+    total = sections.groupBy(*units).agg(F.sum("n").alias("total"))
+    p = pieces.groupBy(*units).agg(F.sum(F.when(F.col("kind") == "records", F.col("rec_to") - F.col("rec_from")).otherwise(0)).alias("placed"), F.max("overflow").alias("overflow"), F.countDistinct("frame_no").alias("frames"))
+    return total.join(p, units, "left").select(*units, F.coalesce("placed", F.lit(0)).alias("placed"), "total", F.coalesce("overflow", F.lit(True)).alias("overflow"), F.coalesce("frames", F.lit(0)).alias("frames"))

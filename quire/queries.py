@@ -315,6 +315,39 @@ def paginate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.flow_summary(pieces, rows, "p_type")
 
 
+def _nested(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part = load(spark, sf_dir, "part").select("p_type", "p_brand", "p_size", "p_partkey")
+    return batch.run_batch(part, "p_type", ["p_brand", "p_size"], CHAIN, mode=mode, footer=True)
+
+
+@query
+def paginate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of each type with brands and, within them, sizes; each size has a footer."""
+    placed, _, _ = _nested(spark, sf_dir, "catalog")
+    return placed.select("p_type", "p_brand", "p_size", "p_partkey", "section_ord", "rec_no", "frame", "page", "y_pt")
+
+
+@query
+def paginate_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where headers, runs of records and footers of those catalogues stand, by kind and level."""
+    _, pieces, _ = _nested(spark, sf_dir, "catalog")
+    return pieces.groupBy("p_type", "kind", "level").agg(F.count("*").alias("n"), F.sum(F.col("continued").cast("long")).alias("n_continued"), F.sum("y_pt").alias("sum_y"), F.max("frame_no").alias("last_frame"))
+
+
+@query
+def batch_run_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each section of those catalogues."""
+    _, pieces, rows = _nested(spark, sf_dir, "group")
+    return layout.flow_summary(pieces, rows, ["p_type", *batch.DOCUMENTS["group"]])
+
+
+@query
+def batch_run_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part, under the header of its size."""
+    placed, _, _ = _nested(spark, sf_dir, "record")
+    return placed.select("p_type", "p_brand", "p_size", "p_partkey", "section_ord", "rec_no", "frame", "page", "y_pt")
+
+
 @query
 def table_layout_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_widths(load(spark, sf_dir, "part"), {"p_partkey": "Part", "p_name": "Name", "p_brand": "Brand of the part", "p_type": "Type"})

@@ -86,6 +86,33 @@ def test_batch_places_every_record_once(spark):
     assert {(r.placed == r.total, r.overflow) for r in flow_summary(pieces, rows, "unit").collect()} == {(True, False)}
 
 
+def test_nested_sections_and_modes(spark):
+    df = spark.createDataFrame([("doc", "a", "x", 1), ("doc", "a", "x", 2), ("doc", "a", "y", 3), ("doc", None, "y", 4)], "unit string, k string, j string, i long")
+    chain = [Frame(f"f{i}", "p", 80.0) for i in range(9)]
+    _, _, rows = run_batch(df, "unit", ["k", "j"], chain, footer=True)
+    assert sorted((r.section_ord, r.level, r.n, r.footer) for r in rows.collect()) == [(0, 0, 0, False), (1, 1, 1, True), (2, 0, 0, False), (3, 1, 2, True), (5, 1, 1, True)]
+    placed, pieces, _ = run_batch(df, "unit", ["k", "j"], chain, footer=True)
+    # 16 + 16 + 20 + 20 fills the first frame to 72; the next two headers need a second one, and so on.
+    assert sorted((r.frame, r.y_pt, r.i) for r in placed.collect()) == [("f0", 32.0, 4), ("f1", 32.0, 1), ("f1", 52.0, 2), ("f2", 36.0, 3)]
+    assert {(r.frame, r.y_pt) for r in pieces.where("kind = 'footer'").collect()} == {("f0", 52.0), ("f2", 0.0), ("f2", 56.0)}
+    _, pieces, rows = run_batch(df, "unit", ["k", "j"], chain, mode="group", footer=True)
+    assert sorted((r.section_ord, r.placed, r.total, r.frames) for r in flow_summary(pieces, rows, ["unit", "section_ord"]).collect()) == [(0, 0, 0, 1), (1, 1, 1, 1), (2, 0, 0, 1), (3, 2, 2, 1), (5, 1, 1, 1)]
+    placed, pieces, rows = run_batch(df, "unit", ["k", "j"], chain, mode="record", footer=True)
+    assert sorted((r.i, r.frame, r.y_pt) for r in placed.collect()) == [(i, "f0", 16.0) for i in (1, 2, 3, 4)]
+    assert pieces.count() == 8 and {(r.placed, r.total, r.overflow) for r in flow_summary(pieces, rows, ["unit", "section_ord", "rec_no"]).collect()} == {(1, 1, False)}
+    placed, pieces, rows = run_batch(df, "unit", ["k"], [], mode="record")
+    assert placed.count() == 0 and {(r.placed, r.overflow) for r in flow_summary(pieces, rows, ["unit", "section_ord", "rec_no"]).collect()} == {(0, True)}
+    placed, _, rows = run_batch(df, "unit", [], chain)
+    assert placed.count() == 4 and [(r.header, r.n) for r in rows.collect()] == [(False, 4)]
+    assert run_batch(df.limit(0), "unit", ["k", "j"], chain)[0].count() == 0
+
+
+def test_a_frame_holds_one_run_of_a_section():
+    pieces, _ = place_sections(iter([(0, True, 0, 50, False)]), Pages(100.0).frames([(0, True, 0, 50, False)], FlowOptions()), FlowOptions())
+    runs = [p[5] for p in pieces if p[1] == "records"]
+    assert runs == sorted(set(runs))
+
+
 def test_catalog_of_any_length_is_whole(spark, tmp_path):
     """One type with more records than 200 frames hold, in sections of many frames."""
     rows = spark.range(9000).selectExpr("'t' AS p_type", "concat('b', id % 2) AS p_brand", "'n' AS p_name", "id AS p_partkey")
