@@ -124,6 +124,14 @@ def rules(df: DataFrame, order: list[str], predicates: dict[str, Fx], header_row
     return indexed.select(F.explode("__fired").alias("rule"), "row_idx", (F.col("row_idx") + header_rows).alias("table_row"))
 
 
+def styled_cells(fired: DataFrame, styles: dict[str, tuple[int, str]]) -> DataFrame:
+    """``row, col, style`` for each cell that a rule of ``fired`` (``rule, table_row``) styles: ``styles`` has the column and the
+    name of a cell style by rule. Rules without a style leave their rows as they are; a cell of several rules has several rows."""
+    col, style = (F.create_map(*(F.lit(x) for rule, cell in styles.items() for x in (rule, cell[i]))) for i in (0, 1))
+    named = fired.where(F.col("rule").isin(*styles))
+    return named.select(F.col("table_row").alias("row"), col[F.col("rule")].alias("col"), style[F.col("rule")].alias("style"))
+
+
 def rule_totals(df: DataFrame, predicates: dict[str, Fx]) -> DataFrame:
     """``rule, fired, total`` of each rule: one aggregate."""
     counts = df.agg(F.count("*").alias("total"), *(F.coalesce(F.sum(fires(p).cast("long")), F.lit(0)).alias(n) for n, p in predicates.items()))

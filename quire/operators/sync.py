@@ -71,19 +71,31 @@ def invalidated(bindings: DataFrame, changed_queries: DataFrame) -> DataFrame:
     return bindings.join(changed_queries.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def transition(state: DataFrame, changed_queries: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+def transition(state: DataFrame, changed_queries: DataFrame, actions: DataFrame | None = None, stamps: DataFrame | None = None) -> DataFrame:
     """The next state table (``binding_id, query_id, status``). New data makes bindings stale unless they are pinned or
-    overridden; then user actions (``binding_id, action``: pin, override, relink, resolve) apply, at most one each."""
+    overridden; then user actions (``binding_id, action``: pin, override, relink, resolve) apply, at most one each.
+
+    With ``stamps`` (``query_id, stamp``: the revision that each query's source has now) the state also has ``last_resolved``:
+    bindings that a resolve links take the stamp, all others keep theirs, null if ``state`` has none."""
     touched = changed_queries.select("query_id").distinct().withColumn("__hit", F.lit(True))
     s = state.join(touched, "query_id", "left")
     status = F.when(F.col("__hit") & ~F.col("status").isin(PINNED, OVERRIDDEN), STALE).otherwise(F.col("status"))
     s = s.withColumn("status", status).drop("__hit")
+    kept = ["binding_id", "query_id", "status"]
+    if stamps is not None:
+        kept.append("last_resolved")
+        s = s.join(stamps.select("query_id", F.col("stamp").alias("__stamp")), "query_id", "left")
+        if "last_resolved" not in state.columns:
+            s = s.withColumn("last_resolved", F.lit(None).cast(stamps.schema["stamp"].dataType))
     if actions is not None:
         s = s.join(actions.select("binding_id", "action"), "binding_id", "left")
         done = F.when(F.col("action") == "pin", PINNED).when(F.col("action") == "override", OVERRIDDEN).when(F.col("action") == "relink", STALE)
         done = done.when((F.col("action") == "resolve") & ~F.col("status").isin(PINNED, OVERRIDDEN), LINKED).otherwise(F.col("status"))
+        if stamps is not None:
+            links = (F.col("action") == "resolve") & ~F.col("status").isin(PINNED, OVERRIDDEN)
+            s = s.withColumn("last_resolved", F.when(links, F.col("__stamp")).otherwise(F.col("last_resolved")))
         s = s.withColumn("status", done).drop("action")
-    return s.select("binding_id", "query_id", "status")
+    return s.select(*kept)
 
 
 def sync_report(state: DataFrame) -> DataFrame:

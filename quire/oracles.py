@@ -4,19 +4,41 @@ from __future__ import annotations
 
 PART_ORDER = "p_brand, p_partkey, p_name, p_type, p_size, p_retailprice"
 
-_CATALOG = """
+# The columns of the given tables, as they stand in the files.
+_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _filled(table: str) -> str:
+    names = _COLUMNS[table].split()
+    return f"SELECT '{table}', unnest([{', '.join(repr(c) for c in names)}]), unnest([{', '.join(f'count({c})' for c in names)}]) FROM {table}"
+
+
+_CATALOG = f"""
 WITH live(table_name, ord, name, data_type) AS (
   SELECT table_name, column_index - 1, column_name,
          CASE WHEN data_type IN ('BIGINT','INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' THEN 'float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' WHEN data_type = 'DATE' THEN 'date' ELSE 'text' END
-  FROM duckdb_columns() WHERE table_name IN ('part','orders','customer','supplier')),
+  FROM duckdb_columns() WHERE table_name IN ({", ".join(repr(t) for t in _COLUMNS)})),
 side(table_name, name, label, description, data_type, provenance) AS (VALUES
   ('part','p_partkey','Part','Key of the part','int','erp'), ('part','p_name','Name',NULL,'text','erp'), ('part','p_retailprice','Price','List price','int','erp'), ('part','p_colour','Colour',NULL,'text','erp'),
-  ('orders','o_orderkey','Order',NULL,'int','shop'), ('orders','o_orderdate',NULL,'Day of order','datetime','shop'), ('customer','c_acctbal','Balance',NULL,'text','crm')),
-filled(name, n_filled) AS (
-  SELECT unnest(['p_partkey','p_name','p_brand','p_type','p_size','p_retailprice']), unnest([count(p_partkey), count(p_name), count(p_brand), count(p_type), count(p_size), count(p_retailprice)]) FROM part
-  UNION ALL SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']), unnest([count(o_orderkey), count(o_custkey), count(o_orderstatus), count(o_totalprice), count(o_orderdate), count(o_orderpriority)]) FROM orders
-  UNION ALL SELECT unnest(['c_custkey','c_name','c_nationkey','c_acctbal','c_mktsegment']), unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) FROM customer
-  UNION ALL SELECT unnest(['s_suppkey','s_name','s_nationkey','s_acctbal']), unnest([count(s_suppkey), count(s_name), count(s_nationkey), count(s_acctbal)]) FROM supplier)
+  ('orders','o_orderkey','Order',NULL,'int','shop'), ('orders','o_orderdate',NULL,'Day of order','datetime','shop'), ('customer','c_acctbal','Balance',NULL,'text','crm'),
+  ('events','ts','Time','When it happened','date','app'), ('documents','text','Text',NULL,'text','crawl'), ('embeddings','embedding','Vector',NULL,'float','model')),
+filled(table_name, name, n_filled) AS (
+  {" UNION ALL ".join(_filled(t) for t in _COLUMNS)})
 """
 
 _DIFF = """
@@ -129,6 +151,9 @@ WHERE p.p_size >= 10 AND l.l_shipdate >= DATE '1995-01-01' GROUP BY p.p_brand, n
     "rule_fires": """
 WITH r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS row_idx FROM lineitem)
 SELECT 'small' AS rule, row_idx, row_idx + 1 AS table_row FROM r WHERE l_quantity < 5 UNION ALL SELECT 'dear', row_idx, row_idx + 1 FROM r WHERE l_extendedprice > 50000""",
+    "rule_cells": """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY p_partkey, p_name, p_size, p_retailprice) + 1 AS row FROM part)
+SELECT row, 2 AS col, 'Compact' AS style FROM r WHERE p_size < 5 UNION ALL SELECT row, 3, 'Warning' FROM r WHERE p_retailprice > 1500""",
     "content_revision": """
 SELECT count(*) AS n_rows, (SELECT left(sha256('["' || string_agg(column_name, '", "' ORDER BY column_index) || '"]'), 16) FROM duckdb_columns() WHERE table_name = 'lineitem') AS schema_hash,
   TRUE AS same_in_other_order, count(*) FILTER (l_orderkey % 1000 = 1 AND l_quantity IS NOT NULL) = 0 AS same_after_change FROM lineitem""",
@@ -160,6 +185,10 @@ SELECT 'cust-' || coalesce(a.k, b.k) AS binding_id, CASE WHEN b.k IS NULL THEN '
 WITH s AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 5 WHEN 0 THEN 'pinned' WHEN 1 THEN 'overridden' ELSE CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) THEN 'stale' ELSE 'linked' END END AS status FROM customer)
 SELECT c_custkey AS binding_id, c_nationkey AS query_id, CASE WHEN c_custkey % 11 <> 0 THEN status WHEN c_custkey % 4 = 0 THEN 'pinned' WHEN c_custkey % 4 = 1 THEN 'overridden' WHEN c_custkey % 4 = 2 THEN 'stale'
   WHEN status IN ('pinned', 'overridden') THEN status ELSE 'linked' END AS status FROM s""",
+    "sync_stamps": """
+WITH t AS (SELECT s_nationkey, count(*) AS stamp FROM supplier GROUP BY s_nationkey), s AS (SELECT c_custkey, c_nationkey, c_custkey % 5 IN (0, 1) AS held, c_custkey % 3 = 0 AS asked, stamp FROM customer LEFT JOIN t ON c_nationkey = s_nationkey)
+SELECT c_custkey AS binding_id, c_nationkey AS query_id, CASE WHEN c_custkey % 5 = 0 THEN 'pinned' WHEN c_custkey % 5 = 1 THEN 'overridden' WHEN asked THEN 'linked' ELSE 'stale' END AS status,
+  CASE WHEN asked AND NOT held THEN stamp WHEN c_custkey % 2 = 0 THEN CAST(0 AS BIGINT) END AS last_resolved FROM s""",
     "invalidation_cut": "SELECT c_custkey AS binding_id, c_nationkey AS query_id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
     "minimal_refresh": """
 WITH r AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN p_brand ELSE p_name END AS value, p_name AS old, p_partkey % 9 <> 0 AS had FROM part WHERE p_partkey % 8 <> 0)
@@ -175,14 +204,14 @@ WITH w(ord, name, chars) AS (SELECT 0, 'p_partkey', greatest(4, max(length(CAST(
 SELECT CAST(ord AS INTEGER) AS ord, name, chars * 6.0::DOUBLE + 8 AS width_pt, coalesce(sum(chars * 6.0::DOUBLE + 8) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS x_pt FROM w""",
     "governed_columns": _CATALOG + """
 SELECT l.table_name, l.name, CAST(l.ord AS INTEGER) AS ord, l.data_type, coalesce(s.label, l.name) AS label, s.description, s.provenance, s.name IS NOT NULL AS documented, f.n_filled
-FROM live l LEFT JOIN side s ON l.table_name = s.table_name AND l.name = s.name JOIN filled f ON l.name = f.name""",
+FROM live l LEFT JOIN side s ON l.table_name = s.table_name AND l.name = s.name JOIN filled f ON l.table_name = f.table_name AND l.name = f.name""",
     "governance_drift": _CATALOG + """
 SELECT coalesce(l.table_name, s.table_name) AS table_name, coalesce(l.name, s.name) AS name, CASE WHEN s.name IS NULL THEN 'undocumentedColumn' WHEN l.name IS NULL THEN 'missingColumn' ELSE 'typeMismatch' END AS diagnostic,
-  s.data_type AS documented, l.data_type AS actual, f.n_filled FROM live l FULL JOIN side s ON l.table_name = s.table_name AND l.name = s.name LEFT JOIN filled f ON f.name = coalesce(l.name, s.name)
+  s.data_type AS documented, l.data_type AS actual, f.n_filled FROM live l FULL JOIN side s ON l.table_name = s.table_name AND l.name = s.name LEFT JOIN filled f ON f.table_name = coalesce(l.table_name, s.table_name) AND f.name = coalesce(l.name, s.name)
 WHERE s.name IS NULL OR l.name IS NULL OR s.data_type <> l.data_type""",
     "mapping_suggestions": _CATALOG + """
 SELECT l.table_name, l.name, array_to_string(list_transform(string_split(l.name, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS header, l.name AS expr, l.data_type, TRUE AS mappable, f.n_filled
-FROM live l JOIN filled f ON l.name = f.name""",
+FROM live l JOIN filled f ON l.table_name = f.table_name AND l.name = f.name""",
     "gtin_audit": """
 WITH c AS (SELECT p_partkey, right('444444444444' || (p_partkey * 7919), 12) AS base FROM part), d AS (SELECT *, (10 - (
   list_sum(list_transform(range(1, 13), lambda i: CAST(substr(base, CAST(i AS INTEGER), 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))) % 10) % 10 AS k FROM c)

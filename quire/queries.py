@@ -20,7 +20,7 @@ from quire.streaming.refresh import refresh
 RUN_DATE = date(2026, 6, 8)
 CHAIN = layout.Pages(400.0)
 ALLOWED = ("https://therin.example.net", "http://therha.example.com", "https://m.thther.example.org")
-DIMENSIONS = ("part", "orders", "customer", "supplier")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,10 +36,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sidecar(spark: SparkSession) -> DataFrame:
-    """Documentation of three tables, with gaps and errors on purpose."""
+    """Documentation of six tables, with gaps and errors on purpose."""
     rows = [
         ("part", "p_partkey", "Part", "Key of the part", "int", "erp"), ("part", "p_name", "Name", None, "text", "erp"), ("part", "p_retailprice", "Price", "List price", "int", "erp"), ("part", "p_colour", "Colour", None, "text", "erp"),
         ("orders", "o_orderkey", "Order", None, "int", "shop"), ("orders", "o_orderdate", None, "Day of order", "datetime", "shop"), ("customer", "c_acctbal", "Balance", None, "text", "crm"),
+        ("events", "ts", "Time", "When it happened", "date", "app"), ("documents", "text", "Text", None, "text", "crawl"), ("embeddings", "embedding", "Vector", None, "float", "model"),
     ]
     return spark.createDataFrame(rows, "table_name string, name string, label string, description string, data_type string, provenance string")
 
@@ -190,6 +191,14 @@ def rule_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.rules(df, ["l_orderkey"], {"small": compare("<", quantity, 5), "dear": compare(">", field(df, "l_extendedprice"), 50000), "broken": compare("<", div(quantity, 0), 1)})
 
 
+@query
+def rule_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a catalogue's table with the style that a rule gives them."""
+    df = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    fired = bind.rules(df, ["p_partkey"], {"small": compare("<", field(df, "p_size"), 5), "dear": compare(">", field(df, "p_retailprice"), 1500), "plain": compare(">", field(df, "p_size"), 45)}, header_rows=2)
+    return bind.styled_cells(fired, {"small": (2, "Compact"), "dear": (3, "Warning")})
+
+
 @query
 def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "lineitem")
@@ -264,6 +273,16 @@ def sync_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.transition(state, changed, actions)
 
 
+@query
+def sync_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings that a resolve links take the revision of their query's rows."""
+    c = load(spark, sf_dir, "customer")
+    state = c.select(F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").alias("query_id"), F.expr("CASE c_custkey % 5 WHEN 0 THEN 'pinned' WHEN 1 THEN 'overridden' ELSE 'stale' END").alias("status"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 0L END").alias("last_resolved"))
+    stamps = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("query_id")).agg(F.count("*").alias("stamp"))
+    actions = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("binding_id"), F.lit("resolve").alias("action"))
+    return sync.transition(state, stamps.where("query_id < 0"), actions, stamps)
+
+
 @query
 def invalidation_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").alias("query_id"))
@@ -354,7 +373,7 @@ def table_layout_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tables = {t: load(spark, sf_dir, t) for t in DIMENSIONS}
+    tables = {t: load(spark, sf_dir, t) for t in TABLES}
     return govern.column_catalog(spark, tables), govern.column_profile(tables)
 
 
