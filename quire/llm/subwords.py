@@ -14,6 +14,7 @@ as if every path of the lattice had been perturbed. The key of the best set left
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -100,6 +101,7 @@ class Units:
 
     def clear(self) -> None:
         self.index = Index()
+        self.room: dict[str, np.ndarray] = {}
         self.extra: list[list[int]] = []  # characters outside the vocabulary, as byte pieces
         self.extra_of: dict[int, int] = {}
         self.seen, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -109,6 +111,16 @@ class Units:
         self.cum, self.logp = np.empty(0, dtype=np.float32), np.empty(0, dtype=np.float32)
         self.best_at, self.best = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
 
+    def _append(self, name: str, new: np.ndarray) -> None:
+        """Add to one of the flat arrays, in room for half as much again, so that chunks don't copy the whole table each."""
+        old, room = getattr(self, name), self.room.get(name)
+        n = len(old)
+        if room is None or old.base is not room or len(room) < n + len(new):
+            room = self.room[name] = np.empty((n + len(new)) * 3 // 2, dtype=old.dtype)
+            room[:n] = old
+        room[n : n + len(new)] = new
+        setattr(self, name, room[: n + len(new)])
+
     def as_bytes(self, c: str) -> list[int]:
         return [self.bytes[f"<0x{b:02X}>"] for b in c.encode()]
 
@@ -144,6 +156,7 @@ class Units:
         new_at = np.concatenate(([0], np.cumsum(n)))
         self.best = self.best[np.repeat(self.best_at[keep] - new_at[:-1], n) + np.arange(n.sum())]
         self.best_at, self.state, self.size, self.seen = new_at, new_first, self.size[keep], self.seen[keep]
+        self.room.clear()
 
     def _best(self, new: list[str]) -> list[list[int]]:
         """The model's own segmentation of each unit."""
@@ -160,8 +173,8 @@ class Units:
 
     def _add(self, new: list[str]) -> None:
         best = self._best(new)
-        self.best_at = np.concatenate((self.best_at, self.best_at[-1] + np.cumsum([len(b) for b in best])))
-        self.best = np.concatenate((self.best, np.array([i for b in best for i in b], dtype=np.int32)))
+        self._append("best_at", self.best_at[-1] + np.cumsum([len(b) for b in best]))
+        self._append("best", np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32))
         table, states, edges = len(self.weight), len(self.begin), len(self.to)
         # All units' characters in one row, each unit with one more place for its end.
         points = _points("".join(new).replace(" ", SPACE))
@@ -205,18 +218,33 @@ class Units:
         # Backward sums, for all units at once: places by their distance from the unit's end.
         ends = np.repeat(first + sizes, sizes + 1)
         distance = ends - np.arange(base)
-        beta = np.full(base, -np.inf)
-        beta[first + sizes] = 0.0
-        order = np.argsort(distance, kind="stable")
-        cuts = np.searchsorted(distance[order], np.arange(1, sizes.max() + 2))
-        for d in range(int(sizes.max())):
-            s = order[cuts[d] : cuts[d + 1]]
-            n = counts[s]
-            start = np.cumsum(n) - n
-            e = np.repeat(begin[s] - start, n) + np.arange(n.sum())
-            x = w[e] + beta[dst[e]]
-            top = np.maximum.reduceat(x, start)
-            beta[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), start))
+        # The way by single characters bounds a unit's mass from below; where that is too small for doubles, logs are summed.
+        single = np.zeros(base)
+        single[found[0][0]] = found[0][2]
+        deep = np.repeat(np.add.reduceat(single, first) < -600.0, sizes + 1)
+        beta = np.zeros(base)
+        for part, logs in ((np.flatnonzero(~deep), False), (np.flatnonzero(deep), True)):
+            if not len(part):
+                continue
+            order = part[np.argsort(distance[part], kind="stable")]
+            n = counts[order]
+            at_edge = np.concatenate(([0], np.cumsum(n)))
+            e = np.repeat(begin[order] - at_edge[:-1], n) + np.arange(at_edge[-1])
+            weights, to = w[e] if logs else np.exp(w[e]), dst[e]
+            beta[order] = 0.0 if logs else 1.0
+            cuts = np.searchsorted(distance[order], np.arange(1, int(distance[order[-1]]) + 2)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                start, x = at_edge[lo:hi] - at_edge[lo], weights[at_edge[lo] : at_edge[hi]]
+                x = x + beta[to[at_edge[lo] : at_edge[hi]]] if logs else x * beta[to[at_edge[lo] : at_edge[hi]]]
+                if logs:
+                    top = np.maximum.reduceat(x, start)
+                    beta[order[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n[lo:hi])), start))
+                else:
+                    beta[order[lo:hi]] = np.add.reduceat(x, start)
+            if not logs:
+                beta[part] = np.log(beta[part])
         src = np.repeat(np.arange(base), counts)
         logp = np.minimum(w + beta[dst] - beta[src], 0.0)
         cum = np.exp(logp)
@@ -225,12 +253,14 @@ class Units:
             more = more[counts[more] > k]
             cum[begin[more] + k] += cum[begin[more] + k - 1]
         cum[(begin + counts - 1)[counts > 0]] = 2.0  # rounding never passes a state's last edge
-        self.state, self.size = np.concatenate((self.state, first + states)), np.concatenate((self.size, sizes))
-        self.seen = np.concatenate((self.seen, np.zeros(len(new), dtype=np.int64)))
-        self.begin = np.concatenate((self.begin, begin + edges))
-        self.to = np.concatenate((self.to, np.where(dst == ends[dst], -1, dst + states).astype(np.int32)))
-        self.piece = np.concatenate((self.piece, piece))
-        self.cum, self.logp = np.concatenate((self.cum, cum.astype(np.float32))), np.concatenate((self.logp, logp.astype(np.float32)))
+        self._append("state", first + states)
+        self._append("size", sizes)
+        self._append("seen", np.zeros(len(new), dtype=np.int64))
+        self._append("begin", begin + edges)
+        self._append("to", np.where(dst == ends[dst], -1, dst + states))
+        self._append("piece", piece)
+        self._append("cum", cum)
+        self._append("logp", logp)
 
     def _extra(self, point: int) -> int:
         """The number, among those after the vocabulary, of a character that is written as bytes."""
@@ -289,6 +319,19 @@ def uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def mix_one(x: int) -> int:
+    """:func:`mix` of one number."""
+    x &= 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 33)
+
+
+def uniform_one(key: int, step: int) -> float:
+    """:func:`uniform` of one key."""
+    return float((mix_one(key + (step + 1) * int(_ONE)) >> 11) + 0.5) * 2.0**-53
+
+
 def _below(phi: np.ndarray, u: np.ndarray, limit: float | np.ndarray) -> np.ndarray:
     """Gumbel variables of log mass ``phi``, truncated at ``limit``."""
     g = phi - np.log(-np.log(u))
@@ -322,7 +365,8 @@ class Search:
             last += 1
         rest = [e for e in range(first, last + 1) if e not in taken]
         p = np.cumsum(np.exp(units.logp[rest]))
-        u = uniform(np.array([mix(np.array([self.base + np.uint64(place)]))[0]]), 5000 + len(self.paths))[0]
+        key = mix_one(int(self.base) + place)
+        u = uniform_one(key, 5000 + len(self.paths))
         e = rest[min(int(np.searchsorted(p, u * p[-1])), len(rest) - 1)]
         taken.append(e)
         keys, before = self.sets[r]
@@ -330,8 +374,7 @@ class Search:
         keys[place] = -np.inf
         if left:
             phi = before[place] + np.logaddexp.reduce(units.logp[left])
-            u = uniform(np.array([mix(np.array([self.base + np.uint64(place)]))[0]]), 9000 + len(self.paths))
-            keys[place] = _below(np.array([phi]), u, value)[0]
+            keys[place] = _below(phi, uniform_one(key, 9000 + len(self.paths)), value)
         return e
 
 
