@@ -40,10 +40,12 @@ ESCAPED = 0x110000
 #: Units of a task's table; beyond it the most frequent quarter stays. Some 400 bytes each.
 UNITS_KEPT = 250_000
 #: Units that a worker keeps from one task to the next.
-UNITS_BETWEEN = 40_000
+UNITS_BETWEEN = 80_000
 #: Log mass, against a row's whole mass, below which sets of paths are not told from none: far under double precision.
 NONE_LEFT = -80.0
 CHUNK_CHARS = 1_000_000
+#: Leading bits of a hash that say where to look for it.
+SLOT_BITS = 17
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,14 +89,17 @@ class Units:
         # Beginnings of pieces by the hash of their code points (64 bits, for some ten thousands), by length, and the piece
         # that each one is, or -1.
         self.longest = max(map(len, self.pieces))
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
             own = sorted({p[:n] for p in self.pieces if len(p) >= n})
             points, h = _points("".join(own)), np.zeros(len(own), dtype=np.uint64)
             for i in range(n):
                 h = _further(h, points[i::n])
             order = np.argsort(h)
-            self.by_length.append((h[order], np.array([self.pieces.get(p, -1) for p in own], dtype=np.int32)[order]))
+            h = h[order]
+            # Where each run of leading bits begins: most hold one hash or none.
+            slots = np.searchsorted(h >> np.uint64(64 - SLOT_BITS), np.arange(1 << SLOT_BITS, dtype=np.uint64)).astype(np.int32)
+            self.by_length.append((h, np.array([self.pieces.get(p, -1) for p in own], dtype=np.int32)[order], np.minimum(slots, len(h) - 1)))
         mixed = re.compile(f"[{LETTER}][^{LETTER}]|[^{LETTER}▁][{LETTER}]")
         self.unit = UNIT if any(mixed.search(p) for p in self.pieces) else FINE_UNIT
         self.clear()
@@ -190,8 +195,12 @@ class Units:
             inside = left[at] >= n
             at, h = at[inside], h[inside]
             h = _further(h, points[at + n - 1])
-            hashes, ids = self.by_length[n - 1]
-            i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hashes, ids, slots = self.by_length[n - 1]
+            i = slots[h >> np.uint64(64 - SLOT_BITS)]
+            before = np.flatnonzero(hashes[i] < h)
+            while len(before := before[i[before] + 1 < len(hashes)]):
+                i[before] += 1
+                before = before[hashes[i[before]] < h[before]]
             begun = hashes[i] == h
             of = np.where(begun, ids[i], -1)
             src, of = (at[hit], of[hit]) if not (hit := of >= 0).all() else (at, of)
@@ -496,9 +505,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 every = units.lookup([u for s in split for u in s])
                 rows = [every[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 ids, n = units.encode(every)
-                ends = np.concatenate(([0], np.cumsum(n)))[cuts]
+                ends = np.concatenate(([0], np.cumsum(n)))[cuts].tolist()
+                plain = ids.tolist()
                 best = [ids[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                same = [a == b for a, b in zip(units.model.decode([x.tolist() for x in best]), texts, strict=True)]
+                same = [a == b for a, b in zip(units.model.decode([plain[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]), texts, strict=True)]
                 keys = mix(batch.column(2).slice(first, len(texts)).to_numpy().view(np.uint64))
                 drawn = sample(units, rows, keys, k)
                 flat = [x for s in drawn for x in s]
