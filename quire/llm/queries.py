@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.chat import read_back, windows
+from quire.llm.collocations import collocations
 from quire.llm.decontaminate import decontaminate
 from quire.llm.embedding_dedup import embedding_dedup
 from quire.llm.html_extract import extract
@@ -76,7 +77,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_embedding_dedup, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_embedding_dedup, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format, op13_collocations)
 }

@@ -62,4 +62,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM y GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_embedding_dedup": _OP4, "op5_near_dedup": _OP5, "op10_chat_format": _OP10}
+_OP13 = """
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+g AS (SELECT lang, z, w[i : i + z - 1] AS g FROM (SELECT lang, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM w, range(1, 4) AS t(z) WHERE len(w) >= z)),
+f AS (SELECT lang, z, g, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE z = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE z > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.z, c.g, c.a, k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+  FROM (SELECT *, unnest(range(1, z)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner2 AS (SELECT lang, g, max(a) AS m FROM (SELECT lang, g[1 : 2] AS g, a FROM c WHERE z = 3 UNION ALL SELECT lang, g[2 : 3], a FROM c WHERE z = 3) GROUP BY lang, g),
+kept AS (SELECT best.* FROM best LEFT JOIN inner2 USING (lang, g) WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_embedding_dedup": _OP4, "op5_near_dedup": _OP5, "op10_chat_format": _OP10, "op13_collocations": _OP13}
