@@ -15,8 +15,10 @@ from quire.llm.html_extract import extract
 from quire.llm.licenses import scan
 from quire.llm.near_dedup import near_dedup
 from quire.llm.pii import pseudonymise
+from quire.llm.prefix_trie import prefix_trie
 from quire.llm.shared import table
 from quire.llm.subwords import encode
+from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_counts import attribute
 from quire.llm.toxicity import toxicity
 
@@ -77,11 +79,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_embedding_dedup, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format, op13_collocations)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_embedding_dedup, op5_near_dedup, op6_toxicity, op7_pii, op8_token_counts, op9_html_text, op10_chat_format, op11_prefix_trie, op12_suffix_dedup, op13_collocations)
 }

@@ -62,6 +62,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM y GROUP BY conv_id
 """
 
+# crc32 of decimal ids, bit by bit: DuckDB has none. A fold over the digits' bytes.
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda s, c: list_reduce(list_prepend(xor(s, c), [CAST(0 AS UBIGINT) for i in range(8)]), lambda x, z: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1))))"
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(u ORDER BY i) AS us, CAST(xor({_CRC}, CAST(4294967295 AS UBIGINT)) % 4 AS BIGINT) AS h FROM t GROUP BY conv_id),
+c AS (SELECT o.conv_id, list_concat(coalesce(b.us[1 : o.h], []), o.us[o.h + 1 :]) AS us FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+p AS (SELECT conv_id, len(us) AS total, us, unnest(range(0, len(us) + 1)) AS depth FROM c),
+m AS (SELECT conv_id, depth, total, us[1 : depth] AS g, CASE WHEN depth > 0 THEN us[1 : depth - 1] END AS up, CASE WHEN depth > 0 THEN len(regexp_extract_all(us[depth].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT g, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS gain, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM m GROUP BY g, depth),
+k AS (SELECT up AS g, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (g)),
+s AS (SELECT a AS g, sum(gain) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT g[1 : unnest(range(0, depth + 1))] AS a, gain, n_children FROM x) GROUP BY a)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256 FROM x JOIN s USING (g) LEFT JOIN n y ON x.depth > 0 AND y.g = x.up
+"""
+
+# Strings of 200 bytes as 400 hexadecimal digits; `o` counts bytes from 0.
+_OP12 = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, o, md5_number(substr(x, 2 * o + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS o FROM doc WHERE len(x) >= 400)),
+twice AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, o FROM s SEMI JOIN twice USING (h)),
+mark AS (SELECT r, o, o - lag(o, 1, -1000) OVER (PARTITION BY r ORDER BY o) > 200 AS fresh FROM hit),
+run AS (SELECT r, min(o) AS a, max(o) + 200 AS z FROM (SELECT r, o, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY o) AS k FROM mark) GROUP BY r, k),
+gap AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS b FROM run),
+per AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS front, max(z) AS z FROM gap JOIN doc USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM doc LEFT JOIN per USING (r)
+"""
+
 _OP13 = """
 WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
@@ -78,4 +108,4 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
-SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_embedding_dedup": _OP4, "op5_near_dedup": _OP5, "op10_chat_format": _OP10, "op13_collocations": _OP13}
+SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_embedding_dedup": _OP4, "op5_near_dedup": _OP5, "op10_chat_format": _OP10, "op11_prefix_trie": _OP11, "op12_suffix_dedup": _OP12, "op13_collocations": _OP13}
