@@ -29,6 +29,9 @@ from quire.llm.textkit import chunks, mix, string_bytes
 SPAN = 128
 #: Strings of a run at the second level.
 BLOCK = 8
+#: Bytes of texts, and runs with bytes, that are handled at a time.
+CHUNK = 1 << 18
+RUNS = 2000
 #: Suffixes of a range, about.
 RANGE = 500_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,7 +127,9 @@ def ranged(suffixes: DataFrame, parts: int) -> DataFrame:
         out = table.take(pa.array(order[stay]))
         out = out.append_column("__n_c", pa.array(n_c[stay])).append_column("__n_f", pa.array(n_f[stay])).append_column("__first", pa.array(new_f[stay])).append_column("__end", pa.array(end[stay])).append_column("__edge", pa.array(edge[stay]))
         out = out.append_column("__part", pa.array(np.full(out.num_rows, TaskContext.get().partitionId(), np.int64)))
+        del held, table
         yield from out.to_batches()
+        pa.default_memory_pool().release_unused()
 
     dealt = suffixes.repartitionByRange(parts, "c", "f", "id", "key", "at", "lo")
     found = written(dealt.mapInArrow(bucket, SUFFIX + ", __n_c long, __n_f long, __first boolean, __end boolean, __edge boolean, __part long"), "ranges")
@@ -149,7 +154,7 @@ def first_level(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, at, data in chunks(batch.column(2)):
+            for row, _, at, data in chunks(batch.column(2), CHUNK):
                 r, p, lo, hi = anchors(at, data, length)
                 if len(r):
                     prints, base, took = Fingerprints(data), at[r], pa.array(r + row)
@@ -167,11 +172,16 @@ def with_bytes(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, runs = batch.column(2).cast(pa.binary()), batch.column(3)
+            raw: list[bytes] = []
+            since = 0
             for i in range(batch.num_rows):
-                raw, flat = text[i].as_py(), runs[i].values
-                lo, hi = flat.field("lo").to_pylist(), flat.field("hi").to_pylist()
-                n = len(flat)
-                yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array([i] * n)) for j in (0, 1)] + [flat.field(x) for x in ("at", "lo", "hi", "open")] + [pa.array([raw[a : b + length] for a, b in zip(lo, hi, strict=True)], pa.binary())], ["id", "key", "at", "lo", "hi", "open", "raw"])
+                whole, flat = text[i].as_py(), runs[i].values
+                raw += [whole[a : b + length] for a, b in zip(flat.field("lo").to_pylist(), flat.field("hi").to_pylist(), strict=True)]
+                if len(raw) >= RUNS or i == batch.num_rows - 1:
+                    part = batch.slice(since, i + 1 - since)
+                    flat, of = part.column(3).flatten(), pa.array(np.repeat(np.arange(part.num_rows), part.column(3).value_lengths().to_numpy()))
+                    yield pa.RecordBatch.from_arrays([part.column(j).take(of) for j in (0, 1)] + [flat.field(x) for x in ("at", "lo", "hi", "open")] + [pa.array(raw, pa.binary())], ["id", "key", "at", "lo", "hi", "open", "raw"])
+                    raw, since = [], i + 1
 
     return both.mapInArrow(run, "id long, key long, at int, lo int, hi int, open boolean, raw binary")
 
@@ -180,7 +190,7 @@ def shorter(rows: DataFrame, length: int, block: int) -> DataFrame:
     """Runs of ``rows`` (with bytes) cut where the distance to the anchor is a multiple of ``block``, as suffixes of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, RUNS) for b in batches for i in range(0, b.num_rows, RUNS)):
             at, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
             start, data = string_bytes(batch.column(6))
             data, start = data[start[0] : start[-1]], start - start[0]
