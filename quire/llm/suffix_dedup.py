@@ -125,21 +125,20 @@ def ranged(suffixes: DataFrame, parts: int) -> DataFrame:
         edge[[0, -1]] = True
         stay = (n_c > 1) | end
         out = table.take(pa.array(order[stay]))
-        out = out.append_column("__n_c", pa.array(n_c[stay])).append_column("__n_f", pa.array(n_f[stay])).append_column("__first", pa.array(new_f[stay])).append_column("__end", pa.array(end[stay])).append_column("__edge", pa.array(edge[stay]))
+        out = out.append_column("__n_c", pa.array(n_c[stay])).append_column("__n_f", pa.array(n_f[stay])).append_column("__first", pa.array(new_f[stay])).append_column("__edge", pa.array(edge[stay]))
         out = out.append_column("__part", pa.array(np.full(out.num_rows, TaskContext.get().partitionId(), np.int64)))
         del held, table
         yield from out.to_batches()
         pa.default_memory_pool().release_unused()
 
     dealt = suffixes.repartitionByRange(parts, "c", "f", "id", "key", "at", "lo")
-    found = written(dealt.mapInArrow(bucket, SUFFIX + ", __n_c long, __n_f long, __first boolean, __end boolean, __edge boolean, __part long"), "ranges")
+    found = written(dealt.mapInArrow(bucket, SUFFIX + ", __n_c long, __n_f long, __first boolean, __edge boolean, __part long"), "ranges")
     # Keys at the ends of ranges, two for each: those of more than one range are equal across a boundary.
     ends = found.where("__edge").select("c", "f", "__part").distinct()
     c2 = ends.groupBy("c").agg((F.countDistinct("__part") > 1).alias("__c2")).where("__c2")
     f2 = ends.groupBy("c", "f").agg((F.countDistinct("__part") > 1).alias("__f2")).where("__f2")
-    inner = found.where("not __end").withColumns({"__c2": F.lit(False), "__f2": F.lit(False)})
-    outer = found.where("__end").join(F.broadcast(c2), "c", "left").join(F.broadcast(f2), ["c", "f"], "left")
-    every = inner.unionByName(outer)
+    # At most two keys for each range, and only those that go on in another: few, whatever the rows.
+    every = found.join(F.broadcast(c2), "c", "left").join(F.broadcast(f2), ["c", "f"], "left")
     covered = (F.col("__n_f") > 1) | F.coalesce("__f2", F.lit(False))
     shared = (F.col("__n_c") > 1) | F.coalesce("__c2", F.lit(False))
     mixed = (F.col("__n_c") > F.col("__n_f")) | F.coalesce("__c2", F.lit(False))
