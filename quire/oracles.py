@@ -103,6 +103,26 @@ _FRAME = "'f' || CAST(frame_no AS BIGINT) AS frame, 'p' || CAST(frame_no // 2 AS
 _BY_BRAND = _pages("p_brand", "p_name, p_partkey", "p_type, p_brand, p_name, p_partkey")
 _NESTED = _pages("p_brand, p_size", "p_partkey", "p_type, p_brand, p_size, p_partkey")
 
+# Elements in order, placed one after the other: heights of parts follow their keys, those of footers the section's records.
+_HEIGHTS = """
+WITH RECURSIVE r AS (
+  SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY p_brand, p_size) * 2 - 1 AS ord, row_number() OVER (PARTITION BY p_type, p_brand, p_size ORDER BY p_partkey) - 1 AS rec_no FROM (SELECT p_type, p_brand, p_size, p_partkey FROM part)),
+leaf AS (SELECT p_type, p_brand, ord, count(*) AS n FROM r GROUP BY ALL),
+e AS (
+  SELECT p_type, min(ord) - 1 AS ord, 'header' AS kind, 0 AS level, 0 AS rec_no, 16 AS h, NULL AS p_partkey FROM leaf GROUP BY p_type, p_brand
+  UNION ALL SELECT p_type, ord, 'header', 1, 0, 16, NULL FROM leaf
+  UNION ALL SELECT p_type, ord, 'record', 1, rec_no, p_partkey * 7 % 39 + 1, p_partkey FROM r
+  UNION ALL SELECT p_type, ord, 'footer', 1, n, n % 20 + 10, NULL FROM leaf),
+q AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY ord, CASE kind WHEN 'header' THEN 0 WHEN 'record' THEN 1 ELSE 2 END, rec_no) AS i FROM e),
+w AS (
+  SELECT p_type, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT p_type FROM q)
+  UNION ALL
+  SELECT p_type, i, f, y, y + h FROM (
+    SELECT q.p_type, q.i, q.h, w.f + CAST(w.used + q.h > 400 AS INTEGER) AS f, CASE WHEN w.used + q.h <= 400 THEN w.used WHEN q.kind = 'record' AND 32 + q.h <= 400 THEN 32 ELSE 0 END AS y
+    FROM w JOIN q ON q.p_type = w.p_type AND q.i = w.i + 1)),
+place AS (SELECT q.*, w.f AS frame_no, w.y, coalesce(lag(w.f) OVER (PARTITION BY q.p_type ORDER BY q.i), 0) < w.f AND q.kind = 'record' AS turns FROM q JOIN w USING (p_type, i))
+"""
+
 SQL: dict[str, str] = {
     "brand_sections": "SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY p_brand) - 1 AS section_ord, count(*) || ' items' AS label, format('{:,.2f}', sum(l_extendedprice)) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "section_aggregates": " UNION ALL ".join(f"SELECT p_brand, p_type, count(*) AS n, '{f}' AS agg, format('{{:,.2f}}', CAST({f}(p_size) AS DOUBLE)) AS total FROM part GROUP BY p_brand, p_type" for f in ("avg", "min", "max")),
@@ -226,6 +246,10 @@ SELECT CAST(CASE WHEN n = 0 THEN NULL WHEN 12 + 8 * n <= 128 THEN 1 WHEN 12 + 8
     "paginate_summary": _BY_BRAND + " SELECT p_type, CAST(sum(n) AS BIGINT) AS placed, CAST(sum(n) AS BIGINT) AS total, FALSE AS overflow, CAST(max(ff) + 1 AS BIGINT) AS frames FROM walk GROUP BY p_type",
     "paginate_nested": _NESTED + f" SELECT p_type, p_brand, p_size, p_partkey, ord AS section_ord, rec_no, {_FRAME} FROM placed",
     "paginate_pieces": _NESTED + " SELECT p_type, kind, level, count(*) AS n, CAST(sum(continued) AS BIGINT) AS n_continued, CAST(sum(y) AS DOUBLE) AS sum_y, CAST(max(f) AS BIGINT) AS last_frame FROM piece GROUP BY p_type, kind, level",
+    "paginate_heights": _HEIGHTS + "SELECT p_type, CAST(ord AS BIGINT) AS section_ord, kind, CAST(level AS INTEGER) AS level, CAST(rec_no AS BIGINT) AS rec_no, p_partkey, frame_no, CAST(y AS DOUBLE) AS y_pt FROM place",
+    "paginate_heights_summary": _HEIGHTS + """
+SELECT p_type, count(*) FILTER (kind = 'record' AND frame_no < 8) AS placed, count(*) FILTER (kind = 'record') AS total, bool_or(frame_no >= 8) AS overflow, count(DISTINCT frame_no) FILTER (frame_no < 8) AS frames,
+  CAST(2 * count(*) FILTER (turns AND frame_no < 8) AS BIGINT) AS n_repeated, CAST(2 * count(*) FILTER (turns AND frame_no < 8 AND rec_no > 0) AS BIGINT) AS n_continued FROM place GROUP BY p_type""",
     # A section alone has one header; 19 records fit under it, and a footer if there are 18 at most.
     "batch_run_per_group": _NESTED + " SELECT p_type, ord AS section_ord, n AS placed, n AS total, FALSE AS overflow, CASE WHEN n = 0 THEN 1 ELSE (n + 18) // 19 + CAST(n % 19 = 0 AS INTEGER) END AS frames FROM q",
     "batch_run_per_record": _NESTED + " SELECT p_type, p_brand, p_size, p_partkey, ord AS section_ord, rec_no, 'f0' AS frame, 'p0' AS page, CAST(16 AS DOUBLE) AS y_pt FROM r",

@@ -13,7 +13,7 @@ from quire.functions import formats, logic, maths, temporal, text
 from quire.functions.fx import add, compare, concat, display, div, equal, field, mul
 from quire.functions.sql import register
 from quire.operators import bind, codes, govern, shape, sync
-from quire.plans import batch, layout
+from quire.plans import batch, flow, layout
 from quire.sources import files
 from quire.streaming.refresh import refresh
 
@@ -353,6 +353,27 @@ def paginate_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy("p_type", "kind", "level").agg(F.count("*").alias("n"), F.sum(F.col("continued").cast("long")).alias("n_continued"), F.sum("y_pt").alias("sum_y"), F.max("frame_no").alias("last_frame"))
 
 
+def _heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part").select("p_type", "p_brand", "p_size", "p_partkey")
+    return flow.run_flow(part, "p_type", ["p_brand", "p_size"], 400.0, (F.col("p_partkey") * 7 % 39 + 1).cast("double"), (F.col("n") % 20 + 10).cast("double"))
+
+
+@query
+def paginate_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those catalogues with a height for each part (1 to 39) and each footer (10 to 29)."""
+    placed = _heights(spark, sf_dir)
+    return placed.select(F.col("unit").alias("p_type"), "section_ord", "kind", "level", "rec_no", F.col("record.p_partkey").alias("p_partkey"), "frame_no", "y_pt")
+
+
+@query
+def paginate_heights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their documents in 8 frames each: placed and left over, and the headers that frames repeat."""
+    part = load(spark, sf_dir, "part").select("p_type", "p_brand", "p_size", "p_partkey")
+    placed = flow.run_flow(part, "p_type", ["p_brand", "p_size"], 400.0, (F.col("p_partkey") * 7 % 39 + 1).cast("double"), (F.col("n") % 20 + 10).cast("double"), frames=8)
+    repeated = flow.repeated_headers(placed).groupBy("unit").agg(F.count("*").alias("n_repeated"), F.count(F.when(F.col("continued"), 1)).alias("n_continued"))
+    return flow.run_summary(placed).join(repeated, "unit", "left").select(F.col("unit").alias("p_type"), "placed", "total", "overflow", "frames", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_continued", F.lit(0)).alias("n_continued"))
+
+
 @query
 def batch_run_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each section of those catalogues."""
