@@ -4,10 +4,10 @@ Unit vectors are turned into the principal axes of all of them, which keeps thei
 into the leading dimensions. Vectors of one label are dealt into tiles along the first axis, and tiles that are too far
 apart there cannot hold links. For two tiles, products are summed over leading dimensions; what the others can add is at most
 the product of the two vectors' suffix norms, so a pair ends as soon as its sum and that bound stay below the threshold.
-Pairs that come through have all dimensions added up: their cosine in double precision, since turning keeps products.
+Turning rounds, so pairs whose whole sum is within ``SLACK`` of the threshold are decided by the cosine of the vectors as given.
 
-Every pair of tiles is a task of its own, and only turned vectors are shuffled: a vector once for each tile of its label that
-is near enough. Tiles are as large as a task's memory allows, so a label needs few of them.
+Every pair of tiles is a task of its own, and vectors, turned and as given, are shuffled once for each tile of their label
+that is near enough. Tiles are as large as a task's memory allows, so a label needs few of them.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ SLACK = 1e-9
 
 
 def unit_vectors(classes: DataFrame) -> DataFrame:
-    """``classes`` (with vectors ``v``) with ``d``, their length, and ``u``, the unit vector, instead of ``v``. The largest
-    component is divided out first, so that norms neither overflow nor vanish."""
+    """``classes`` (with vectors ``v``) with ``d``, their length, ``u``, the unit vector, and ``w``, the vector as given but for a
+    power of two, instead of ``v``. That power brings the largest component to 1 or so and rounds nothing, so that norms
+    neither overflow nor vanish."""
     keep = [c for c in classes.columns if c != "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,14 +44,15 @@ def unit_vectors(classes: DataFrame) -> DataFrame:
             at = np.asarray(vectors.offsets)
             x = vectors.values.to_numpy()[at[0] : at[-1]]
             at = at - at[0]
+            given = x
             if len(x):
                 d = np.diff(at)
-                x = x / np.repeat(np.maximum.reduceat(np.abs(x), at[:-1]), d)
-                x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, at[:-1])), d)
-            units = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), units], [*keep, "d", "u"])
+                given = np.ldexp(x, -np.repeat(np.frexp(np.maximum.reduceat(np.abs(x), at[:-1]))[1], d))
+                x = given / np.repeat(np.sqrt(np.add.reduceat(given * given, at[:-1])), d)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(y, pa.float64())) for y in (x, given)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), *lists], [*keep, "d", "u", "w"])
 
-    schema = StructType([*(classes.schema[c] for c in keep), StructField("d", LongType()), StructField("u", ArrayType(DoubleType()))])
+    schema = StructType([*(classes.schema[c] for c in keep), StructField("d", LongType()), *(StructField(c, ArrayType(DoubleType())) for c in ("u", "w"))])
     return classes.select(*keep, "v").mapInArrow(run, schema)
 
 
@@ -99,8 +101,15 @@ def stages(d: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of two blocks of turned unit vectors whose product is ``least`` or more, strip by strip."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, sums in the order of components."""
+    product = [np.add.accumulate(x * y, axis=1)[:, -1] for x, y in ((a, b), (a, a), (b, b))]
+    return product[0] / (np.sqrt(product[1]) * np.sqrt(product[2]))
+
+
+def linked(a: np.ndarray, b: np.ndarray, given_a: np.ndarray, given_b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of two blocks of turned unit vectors whose product is ``least`` or more, strip by strip; near it the cosine of
+    the given vectors decides."""
     d = a.shape[1]
     norms = [(np.sqrt((a[:, z:] ** 2).sum(axis=1)), np.sqrt((b[:, z:] ** 2).sum(axis=1))) for _, z in stages(d)]
     for s in range(0, len(a), STRIP):
@@ -115,6 +124,10 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndar
                 stay = total + na[s + i] * nb[j] >= least - SLACK
                 i, j, total = i[stay], j[stay], total[stay]
         reach = total >= least
+        near = np.flatnonzero(np.abs(total - least) <= SLACK)
+        for k in range(0, len(near), STRIP * 16):
+            some = near[k : k + STRIP * 16]
+            reach[some] = cosines(given_a[s + i[some]], given_b[j[some]]) >= least
         yield i[reach] + s, j[reach]
 
 
@@ -144,8 +157,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest id reachable, itself included.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with
     nothing. Equal vectors of one label are one class that is compared once; repeated rows count as linked rows. Rows that
-    share an id but not the label or vector are linked each by its own. Ties at the threshold are links, as far as doubles
-    tell. An empty table gives no rows. Other columns are not read.
+    share an id but not the label or vector are linked each by its own. Ties at the threshold are links: the cosine there is
+    that of the given vectors, in doubles, summed in the order of their components. An empty table gives no rows. Other columns are not read.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
@@ -162,11 +175,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     quantiles = F.percentile_approx("x", F.array(*(F.lit(i / GRID) for i in range(1, GRID))), F.lit(2000))
     of = placed.groupBy("label", "d").agg(F.count("*").alias("n"), quantiles.alias("q"))
     share = F.aggregate("q", F.lit(0), lambda t, c: t + (F.col("x") > c).cast("int"))
-    room = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / (8 * F.col("d")))))
+    room = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / (16 * F.col("d")))))
     tiles = placed.join(written(of, "labels"), ["label", "d"]).withColumn("range", F.floor(share * F.least(F.ceil(F.col("n") / room), F.lit(GRID)) / GRID))
     full = written(tiles.groupBy("label", "d", "range").agg(F.count("*").alias("c")), "ranges")
     tiles = tiles.join(full, ["label", "d", "range"]).withColumn("tile", F.col("range") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / room)))
-    tiles = written(tiles.select("label", "d", "tile", "rep", "m", "x", "p"), "tiles")
+    tiles = written(tiles.select("label", "d", "tile", "rep", "m", "x", "p", "w"), "tiles")
     spans = tiles.groupBy("label", "d", "tile").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     # Unit vectors with cosine c are sqrt(2 - 2c) apart, and so are at most their first coordinates.
     gap = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
@@ -174,24 +187,28 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("b.lo") - F.col("a.hi") <= gap) & (F.col("a.lo") - F.col("b.hi") <= gap))
     near = near.select("a.label", "a.d", F.col("a.tile").alias("t"), F.col("b.tile").alias("o"))
     sides = near.select("label", "d", "t", "o", F.col("t").alias("tile")).union(near.where("t <> o").select("label", "d", "t", "o", F.col("o").alias("tile")))
-    dealt = tiles.join(sides, ["label", "d", "tile"]).select("label", "d", "t", "o", "tile", "rep", "m", "p")
+    dealt = tiles.join(sides, ["label", "d", "tile"]).select("label", "d", "t", "o", "tile", "rep", "m", "p", "w")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         d, t, o = (key[i].as_py() for i in (1, 2, 3))
         group = group.combine_chunks()
         side = group["tile"].to_numpy()
         ids, m = group["rep"].to_numpy(), group["m"].to_numpy()
-        p = group["p"].combine_chunks().values.to_numpy().reshape(-1, d)
+        p, w = (group[c].combine_chunks().flatten().to_numpy().reshape(-1, d) for c in ("p", "w"))
         left, right = np.flatnonzero(side == t), np.flatnonzero(side == o)
         links = np.zeros((len(left), len(right)), dtype=bool)
-        for i, j in linked(np.ascontiguousarray(p[left]), np.ascontiguousarray(p[right]), least):
+        for i, j in linked(p[left], p[right], w[left], w[right], least):
             links[i, j] = True
         if t == o:
             np.fill_diagonal(links, False)
         edges = forest(links)
-        counts = {int(ids[left[i]]): int(n) for i, n in enumerate(links @ m[right]) if n}
+        # Strip by strip: products with counts take eight bytes for each link.
+        strips = range(0, len(left), STRIP)
+        by_row = np.concatenate([links[s : s + STRIP] @ m[right] for s in strips]) if len(left) else left
+        counts = {int(ids[left[i]]): int(n) for i, n in enumerate(by_row) if n}
         if t != o:
-            for j, n in enumerate(m[left] @ links):
+            by_column = sum((m[left[s : s + STRIP]] @ links[s : s + STRIP] for s in strips), np.zeros(len(right), np.int64))
+            for j, n in enumerate(by_column):
                 if n:
                     counts[int(ids[right[j]])] = int(n)
         e = [(int(ids[left[i]]), int(ids[right[j]])) for i, j in edges]

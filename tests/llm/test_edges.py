@@ -429,3 +429,21 @@ def test_pipeline_against_its_operators(spark, sf):
     final = corpus_pipeline.run(spark, sf)
     got = {r.doc_id: r for r in final.collect()}
     assert set(got) == set(rows) and all(r.round_trip for r in got.values())
+
+
+def test_embeddings_exactly_at_the_threshold(spark):
+    """Cosines of 93 / 100, which doubles hold: each pair is linked. A few units in the last place below, none is."""
+    rng, rows = random.Random(3), []
+    for k in range(200):
+        order, signs = rng.sample(range(6), 6), [rng.choice([-1.0, 1.0]) for _ in range(6)]
+        turn = lambda v: [v[o] * s for o, s in zip(order, signs, strict=True)]
+        scale = rng.choice([1.0, 4.0, 2.0**300])
+        rows += [(2 * k, f"at{k}", turn([1.0, 0, 0, 0, 0, 0])), (2 * k + 1, f"at{k}", [x * scale for x in turn([93.0, 36.0, 7.0, 2.0, 1.0, 1.0])])]
+        rows += [(1000 + 2 * k, f"below{k}", turn([1.0, 0, 0, 0, 0, 0])), (1001 + 2 * k, f"below{k}", turn([93.0, 36.0, 7.0, 2.0, 1.0, 1.0 + 4e-12]))]
+    df = spark.createDataFrame([(i, v, label) for i, label, v in rows], "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: r.n_links for r in embedding_dedup(df).collect()} == {i: int(i < 1000) for i, _, _ in rows}
+    # In one label too, where turned vectors share a tile.
+    one = df.where("vec_id < 1000").withColumn("label", F.lit("one"))
+    plain = {i: np.array(v) for i, _, v in rows if i < 1000}
+    want = {i: sum(j != i and float(np.add.accumulate(v * w)[-1] / (np.sqrt(np.add.accumulate(v * v)[-1]) * np.sqrt(np.add.accumulate(w * w)[-1]))) >= 0.93 for j, w in plain.items()) for i, v in plain.items()}
+    assert {r.vec_id: r.n_links for r in embedding_dedup(one).collect()} == want
