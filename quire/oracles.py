@@ -193,6 +193,10 @@ SELECT page_id, p.origin, a.origin IS NOT NULL AS allowed, CASE WHEN a.origin IS
 SELECT CASE page_id % 6 WHEN 0 THEN 'badScheme' WHEN 1 THEN 'noScheme' WHEN 2 THEN 'embeddedCredentials' WHEN 3 THEN 'emptyHost' ELSE 'ok' END AS reason, count(*) AS n FROM pages GROUP BY ALL""",
     "row_diff": _DIFF + "SELECT o_orderkey, change_type FROM diff",
     "row_diff_summary": _DIFF + "SELECT change_type, count(*) AS n FROM diff GROUP BY change_type",
+    "merkle_diff": """
+SELECT o_orderkey, CASE o_orderkey % 50 WHEN 1 THEN 'inserted' WHEN 2 THEN 'removed' ELSE 'updated' END AS change_type FROM orders
+WHERE o_orderkey // 1000 % 5 = 0 AND (o_orderkey % 50 IN (1, 2) OR o_orderkey % 50 = 3 AND o_orderstatus IS DISTINCT FROM 'X')""",
+    "incremental_revision": "SELECT o_orderkey // 1000 AS leaf, count(*) AS n, TRUE AS same FROM orders WHERE o_orderkey // 1000 % 5 <> 0 OR o_orderkey % 50 <> 2 GROUP BY 1",
     "row_diff_multiset": """
 WITH old AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 40 <> 1), new AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 40 <> 2)
 SELECT * FROM (SELECT CASE WHEN o.l_orderkey IS NULL THEN 'inserted' ELSE 'unchanged' END AS change_type, count(*) AS n FROM new n LEFT JOIN old o USING (l_orderkey, l_linenumber) GROUP BY 1

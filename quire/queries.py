@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from quire.functions import formats, logic, maths, temporal, text
 from quire.functions.fx import add, compare, concat, display, div, equal, field, mul
 from quire.functions.sql import register
-from quire.operators import bind, codes, govern, shape, sync
+from quire.operators import bind, codes, govern, revisions, shape, sync
 from quire.plans import batch, flow, layout
 from quire.sources import files
-from quire.streaming.refresh import refresh
+from quire.streaming.refresh import land_marker, land_rows, refresh
 
 RUN_DATE = date(2026, 6, 8)
 CHAIN = layout.Pages(400.0)
@@ -246,6 +246,35 @@ def row_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.diff_summary(sync.row_diff(*_orders_before_and_after(spark, sf_dir), ["o_orderkey"]))
 
 
+def _revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and orders of which every fifth range of 1000 keys has changed in places."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    touched = F.floor(F.col("o_orderkey") / 1000) % 5 == 0
+    new = o.where(~touched | (F.col("o_orderkey") % 50 != 2)).withColumn("o_orderstatus", F.when(touched & (F.col("o_orderkey") % 50 == 3), "X").otherwise(F.col("o_orderstatus")))
+    return o.where(~touched | (F.col("o_orderkey") % 50 != 1)), new
+
+
+@query
+def merkle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two written revisions; ranges with like hashes are not read."""
+    root = f"{shape.shared_folder(spark)}/quire-revisions-{uuid.uuid4().hex}"
+    old, new = _revisions(spark, sf_dir)
+    for name, df in (("old", old), ("new", new)):
+        revisions.write_revision(df, f"{root}/{name}", revisions.range_leaf("o_orderkey", 1000))
+    return revisions.merkle_diff(spark, f"{root}/old", f"{root}/new", "o_orderkey long, o_custkey long, o_orderstatus string", ["o_orderkey"])
+
+
+@query
+def incremental_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each range after a delta, and whether the hash carried forward by the delta is that of the rows themselves."""
+    old, new = _revisions(spark, sf_dir)
+    leaf = revisions.range_leaf("o_orderkey", 1000)
+    delta = sync.row_diff(old, new, ["o_orderkey"]).where("change_type <> 'unchanged'").select("o_orderkey")
+    after = revisions.carried(revisions.leaf_hashes(old, leaf), old.join(delta, "o_orderkey", "left_semi"), new.join(delta, "o_orderkey", "left_semi"), leaf)
+    whole = revisions.leaf_hashes(new, leaf).select("leaf", F.struct("n", "s1", "s2").alias("__whole"))
+    return after.join(whole, "leaf", "full_outer").select("leaf", "n", F.struct("n", "s1", "s2").eqNullSafe(F.col("__whole")).alias("same"))
+
+
 @query
 def row_diff_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -444,8 +473,9 @@ def event_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shape.shared_folder(spark)}/quire-refresh-{uuid.uuid4().hex}"
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     after = e.where("event_id % 20 <> 0").withColumn("value", F.when(F.col("event_id") % 20 == 1, F.col("value") + 1).otherwise(F.col("value")))
-    for frame in (e, after):
-        frame.write.mode("append").parquet(f"{root}/landed")
-        refresh(spark, f"{root}/landed", e.schema, ["event_id"], f"{root}/state").awaitTermination()
+    for snapshot, frame in enumerate((e, after)):
+        land_rows(frame, f"{root}/landed", snapshot)
+        land_marker(spark, f"{root}/landed", snapshot)
+        refresh(spark, f"{root}/landed", e.schema, ["event_id"], f"{root}/state", leaves=32).awaitTermination()
     changes = spark.read.parquet(f"{root}/state/changes")
     return changes.select("batch", "change_type", "n")

@@ -180,7 +180,7 @@ def test_event_refresh_lands_in_parallel(spark, tmp_path):
     old = set(glob.glob(f"{root}/quire-refresh-*"))
     got = {(r.batch, r.change_type): r.n for r in QUERIES["event_refresh"](spark, str(tmp_path)).collect()}
     (new,) = set(glob.glob(f"{root}/quire-refresh-*")) - old
-    assert len(glob.glob(f"{new}/landed/*.parquet")) > 2
+    assert len(glob.glob(f"{new}/landed/rows/*/*.parquet")) > 2
     assert {n for (_, kind), n in got.items() if kind == "removed"} == {50} and len({batch for batch, _ in got}) == 2, got
 
 
