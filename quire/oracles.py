@@ -254,6 +254,12 @@ SELECT CAST(CASE WHEN n = 0 THEN NULL WHEN 12 + 8 * n <= 128 THEN 1 WHEN 12 + 8
     "paginate_heights_summary": _HEIGHTS + """
 SELECT p_type, count(*) FILTER (kind = 'record' AND frame_no < 8) AS placed, count(*) FILTER (kind = 'record') AS total, bool_or(frame_no >= 8) AS overflow, count(DISTINCT frame_no) FILTER (frame_no < 8) AS frames,
   CAST(2 * count(*) FILTER (turns AND frame_no < 8) AS BIGINT) AS n_repeated, CAST(2 * count(*) FILTER (turns AND frame_no < 8 AND rec_no > 0) AS BIGINT) AS n_continued FROM place GROUP BY p_type""",
+    # Each brand alone: its header, then its parts, under the header again in later frames.
+    "batch_runs": """
+WITH RECURSIVE r AS (SELECT p_type, p_brand, p_partkey * 7 % 39 + 1 AS h, dense_rank() OVER (PARTITION BY p_type ORDER BY p_brand) - 1 AS ord, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS i FROM part),
+w AS (SELECT p_type, ord, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS f, CAST(16 AS BIGINT) AS used FROM (SELECT DISTINCT p_type, ord FROM r)
+  UNION ALL SELECT r.p_type, r.ord, r.i, w.f + CAST(w.used + r.h > 60 AS INTEGER), CASE WHEN w.used + r.h > 60 THEN 16 ELSE w.used END + r.h FROM w JOIN r ON r.p_type = w.p_type AND r.ord = w.ord AND r.i = w.i + 1)
+SELECT p_type, ord AS section_ord, any_value(p_brand) AS label, count(*) FILTER (f < 2) AS placed, count(*) AS total, bool_or(f >= 2) AS overflow, count(DISTINCT f) FILTER (f < 2) AS frames FROM r JOIN w USING (p_type, ord, i) GROUP BY p_type, ord""",
     # A section alone has one header; 19 records fit under it, and a footer if there are 18 at most.
     "batch_run_per_group": _NESTED + " SELECT p_type, ord AS section_ord, n AS placed, n AS total, FALSE AS overflow, CASE WHEN n = 0 THEN 1 ELSE (n + 18) // 19 + CAST(n % 19 = 0 AS INTEGER) END AS frames FROM q",
     "batch_run_per_record": _NESTED + " SELECT p_type, p_brand, p_size, p_partkey, ord AS section_ord, rec_no, 'f0' AS frame, 'p0' AS page, CAST(16 AS DOUBLE) AS y_pt FROM r",

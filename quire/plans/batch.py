@@ -1,7 +1,10 @@
 """Batches of documents: which unit each record belongs to, and running all of them in one job.
 
 ``spark-submit batch.py --job job.json`` reads a job ``{table, format, by, unit, chain, record_pt, header_pt, footer_pt,
-mode, footer, out}``.
+mode, footer, out}``. Instead of a list of frames, ``chain`` may be ``{height_pt, frames}``: equal frames, as many as needed where
+``frames`` is absent; then ``height`` and ``footer_height`` may be SQL expressions, and ``label`` a column. Records in frames
+go to ``<out>/records``, and a row for each document, with records placed, all records and whether any is left over, to
+``<out>/runs``.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.shape import grouped, known, stable_index, total_order
-from quire.plans.layout import FlowOptions, Frame, Pages, numbered_records, paginate, place_each, placed_records, section_rows
+from quire.plans.flow import RECORD, run_flow, run_summary
+from quire.plans.layout import FlowOptions, Frame, Pages, flow_summary, numbered_records, paginate, place_each, placed_records, section_rows
 from quire.sources.files import read_file, write_documents
 
 
@@ -62,16 +66,30 @@ def run_batch(df: DataFrame, unit: str, by: list[str], chain: list[Frame] | Page
     return placed_records(numbered, pieces, unit, options.record_pt), pieces, rows
 
 
+def run_job(spark: SparkSession, job: dict) -> None:
+    """One job of the entry: see the module."""
+    df = read_file(spark, job["table"], job.get("format", "parquet"))
+    options = FlowOptions(job.get("record_pt", 20.0), job.get("header_pt", 16.0), job.get("footer_pt", 20.0))
+    mode, unit, chain = job.get("mode", "catalog"), job["unit"], job["chain"]
+    if isinstance(chain, dict):
+        height = F.expr(job["height"]) if "height" in job else None
+        foot = F.expr(job["footer_height"]) if "footer_height" in job else F.lit(options.footer_pt) if job.get("footer") else None
+        placed = run_flow(df, unit, job["by"], chain["height_pt"], height, foot, options, chain.get("frames"), mode, job.get("label"))
+        records = placed.where((F.col("kind") == RECORD) & F.col("placed")).select("record.*", "section_ord", "rec_no", "label", "frame_no", "y_pt")
+        runs = run_summary(placed, mode)
+    else:
+        records, pieces, rows = run_batch(df, unit, job["by"], [Frame(**c) for c in chain], options, mode, job.get("footer", False))
+        runs = flow_summary(pieces, rows, [unit, *DOCUMENTS[mode]])
+    write_documents(records, unit, f"{job['out']}/records")
+    runs.write.mode("overwrite").json(f"{job['out']}/runs")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser()
     parser.add_argument("--job", required=True)
     with open(parser.parse_args().job) as f:
         job = json.load(f)
-    spark = SparkSession.builder.appName("quire-batch").getOrCreate()
-    chain = [Frame(**c) for c in job["chain"]]
-    df = read_file(spark, job["table"], job.get("format", "parquet"))
-    placed, _, _ = run_batch(df, job["unit"], job["by"], chain, FlowOptions(job.get("record_pt", 20.0), job.get("header_pt", 16.0), job.get("footer_pt", 20.0)), job.get("mode", "catalog"), job.get("footer", False))
-    write_documents(placed, job["unit"], job["out"])
+    run_job(SparkSession.builder.appName("quire-batch").getOrCreate(), job)
 
 
 if __name__ == "__main__":

@@ -170,49 +170,67 @@ def placed_elements(elements: DataFrame, units: list[str], height_pt: float) ->
     return dealt.mapInArrow(place, fields)
 
 
-def flow_elements(df: DataFrame, unit: str, by: list[str], height: Column | None = None, footer_height: Column | None = None, options: FlowOptions = FlowOptions()) -> DataFrame:
+#: What is a document, by mode: a unit, a section of a unit, or a record.
+DOCUMENTS = {"catalog": ["unit"], "group": ["unit", "section_ord"], "record": ["unit", "section_ord", "record_no"]}
+
+
+def flow_elements(df: DataFrame, unit: str, by: list[str], height: Column | None = None, footer_height: Column | None = None, options: FlowOptions = FlowOptions(), mode: str = "catalog", label: str | None = None) -> DataFrame:
     """The elements of all documents: records of ``df`` (one struct column ``record``) in sections nested by ``by``.
 
     ``height`` is a record's height over the columns of ``df``; ``footer_height`` a footer's over its section's keys and ``n``, and
-    without it there are no footers. Sections without records are headers only.
+    without it there are no footers. Sections without records are headers only. In mode ``record`` each record is a
+    document under its section's header, without a footer. ``label`` is the document's: a unit as text, a section's header or
+    ``group-<number>``, or a record's column ``label`` or ``row-<number>``. ``above`` counts the headers over the section's own
+    that a frame repeats: documents that are sections or records repeat their own alone.
     """
-    known(df, [unit, *by])
+    known(df, [unit, *by, *([label] if label else [])])
     level, columns = max(0, len(by) - 1), df.columns
     numbered = numbered_records(df, unit, by)
-    rows = section_rows(numbered, unit, by, footer_height is not None)
-    lead = F.lit((level + 1) * options.header_pt if options.repeat_header and by else 0.0)
+    rows = section_rows(numbered, unit, by, footer_height is not None, labels=True)
+    above = level if mode == "catalog" else 0
+    lead = F.lit((above + 1) * options.header_pt if options.repeat_header and by else 0.0)
     none = F.lit(None).cast(StructType(df.schema.fields))
-    record = F.struct(*columns)
     pt = height if height is not None else F.lit(options.record_pt)
-    records = numbered.select(F.col(unit).alias("unit"), "section_ord", F.lit(RECORD).alias("kind"), F.lit(level).alias("level"), "rec_no", pt.cast("double").alias("height_pt"), lead.alias("lead_pt"), record.alias("record"))
-    zero = F.lit(0).cast("long")
-    headers = rows.where("header").select(F.col(unit).alias("unit"), "section_ord", F.lit(HEADER).alias("kind"), "level", zero.alias("rec_no"), F.lit(float(options.header_pt)).alias("height_pt"), F.lit(0.0).alias("lead_pt"), none.alias("record"))
-    out = records.unionByName(headers)
+    each = F.col("rec_no") if mode == "record" else F.lit(0).cast("long")
+    names = {
+        "catalog": lambda _: F.coalesce(F.col(unit).cast("string"), F.lit("")), "group": lambda text: F.coalesce(text, F.concat(F.lit("group-"), F.col("section_ord").cast("string"))),
+        "record": lambda _: F.coalesce(F.col(label).cast("string") if label else F.lit(None).cast("string"), F.concat(F.lit("row-"), F.col("rec_no").cast("string"))),
+    }
+    text = F.coalesce(F.col(by[-1]).cast("string"), F.lit("")) if by else F.lit(None).cast("string")
+
+    def element(x: DataFrame, kind: str, lv: Column, rec_no: Column, h: Column, top: Column, record: Column, name: Column, no: Column) -> DataFrame:
+        return x.select(F.col(unit).alias("unit"), "section_ord", no.alias("record_no"), F.lit(kind).alias("kind"), lv.alias("level"), F.lit(above).alias("above"), rec_no.alias("rec_no"), h.cast("double").alias("height_pt"), top.alias("lead_pt"), name.alias("label"), record.alias("record"))
+
+    zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
+    out = element(numbered, RECORD, F.lit(level), F.col("rec_no"), pt, lead, F.struct(*columns), names[mode](text), each)
+    head = F.lit(float(options.header_pt))
+    if mode == "record":
+        return out.unionByName(element(numbered, HEADER, F.lit(level), F.col("rec_no"), head, nothing, none, names[mode](text), each)) if by else out
+    out = out.unionByName(element(rows.where("header"), HEADER, F.col("level"), zero, head, nothing, none, names[mode](F.col("label")), zero))
     if footer_height is not None:
-        feet = rows.where("footer").select(F.col(unit).alias("unit"), "section_ord", F.lit(FOOTER).alias("kind"), "level", F.col("n").alias("rec_no"), footer_height.cast("double").alias("height_pt"), F.lit(0.0).alias("lead_pt"), none.alias("record"))
-        out = out.unionByName(feet)
+        out = out.unionByName(element(rows.where("footer"), FOOTER, F.col("level"), F.col("n"), footer_height, nothing, none, names[mode](F.col("label")), zero))
     return out
 
 
-def run_flow(df: DataFrame, unit: str, by: list[str], height_pt: float, height: Column | None = None, footer_height: Column | None = None, options: FlowOptions = FlowOptions(), frames: int | None = None) -> DataFrame:
-    """Every element with its frame: ``unit, section_ord, kind, level, rec_no, height_pt, record, frame_no, y_pt, begins, placed``.
+def run_flow(df: DataFrame, unit: str, by: list[str], height_pt: float, height: Column | None = None, footer_height: Column | None = None, options: FlowOptions = FlowOptions(), frames: int | None = None, mode: str = "catalog", label: str | None = None) -> DataFrame:
+    """Every element of :func:`flow_elements` with ``frame_no, y_pt, begins, placed``.
 
     Documents have as many frames as they need; with ``frames``, those beyond are not there, and what would be in them has
     ``placed`` false, so that nothing vanishes.
     """
-    done = placed_elements(flow_elements(df, unit, by, height, footer_height, options), ["unit"], height_pt).drop("lead_pt")
+    done = placed_elements(flow_elements(df, unit, by, height, footer_height, options, mode, label), DOCUMENTS[mode], height_pt).drop("lead_pt")
     return done.withColumn("placed", F.col("frame_no") < frames if frames is not None else F.lit(True))
 
 
 def repeated_headers(placed: DataFrame, options: FlowOptions = FlowOptions()) -> DataFrame:
-    """The headers on top of frames that begin within a section: ``unit, section_ord, level, frame_no, y_pt, continued``, one for
-    each level of the section's path; ``section_ord`` is the section that goes on."""
-    on_top = placed.where("begins and placed").withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("level"))))
-    return on_top.select("unit", "section_ord", F.col("__level").alias("level"), "frame_no", (F.col("__level") * float(options.header_pt)).alias("y_pt"), ((F.col("rec_no") > 0) & F.lit(options.continued_marker)).alias("continued"))
+    """The headers on top of frames that begin within a section: ``unit, section_ord, record_no, level, frame_no, y_pt,
+    continued``, one for each level that is repeated; ``section_ord`` is the section that goes on."""
+    on_top = placed.where("begins and placed").withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("above"))))
+    return on_top.select("unit", "section_ord", "record_no", (F.col("level") - F.col("above") + F.col("__at")).alias("level"), "frame_no", (F.col("__at") * float(options.header_pt)).alias("y_pt"), ((F.col("rec_no") > F.col("record_no")) & F.lit(options.continued_marker)).alias("continued"))
 
 
-def run_summary(placed: DataFrame) -> DataFrame:
-    """``unit, placed, total, overflow, frames`` of each document: records that have a frame, all records, whether anything is
-    left over, and frames that hold something."""
+def run_summary(placed: DataFrame, mode: str = "catalog") -> DataFrame:
+    """A row for each document: what it is, ``label``, ``placed`` (records that have a frame), ``total`` (all its records), ``overflow``
+    (something is left over) and ``frames`` that hold something."""
     is_record = F.col("kind") == RECORD
-    return placed.groupBy("unit").agg(F.count(F.when(is_record & F.col("placed"), 1)).alias("placed"), F.count(F.when(is_record, 1)).alias("total"), F.max(~F.col("placed")).alias("overflow"), F.countDistinct(F.when(F.col("placed"), F.col("frame_no"))).alias("frames"))
+    return placed.groupBy(*DOCUMENTS[mode]).agg(F.min("label").alias("label"), F.count(F.when(is_record & F.col("placed"), 1)).alias("placed"), F.count(F.when(is_record, 1)).alias("total"), F.max(~F.col("placed")).alias("overflow"), F.countDistinct(F.when(F.col("placed"), F.col("frame_no"))).alias("frames"))

@@ -185,12 +185,15 @@ def numbered_records(df: DataFrame, unit: str, keys: list[str]) -> DataFrame:
     return indexed.join(g, same).select(*df.columns, F.col("section_ord").cast("long").alias("section_ord"), (F.col("row_idx") - F.col("__first")).alias("rec_no"))
 
 
-def section_rows(numbered: DataFrame, unit: str, keys: list[str], footer: bool = False) -> DataFrame:
+def section_rows(numbered: DataFrame, unit: str, keys: list[str], footer: bool = False, labels: bool = False) -> DataFrame:
     """Section summaries of the last key for :func:`paginate`, and before each one a row without records for every outer key
-    that differs from the section before. Without keys a document is one section without a header."""
+    that differs from the section before. Without keys a document is one section without a header. With ``labels`` each row also
+    has ``label``, its header's text."""
+    texts = F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)) if keys else F.array(F.lit(None).cast("string"))
+    label = [F.element_at(texts, F.col("level") + 1).alias("label")] if labels else []
     groups = numbered.groupBy(unit, "section_ord", *(k for k in keys if k != unit)).agg(F.count("*").alias("n"))
     if len(keys) < 2:
-        return groups.select(unit, "section_ord", F.lit(bool(keys)).alias("header"), F.lit(0).alias("level"), "n", F.lit(footer).alias("footer"))
+        return groups.withColumn("level", F.lit(0)).select(unit, "section_ord", F.lit(bool(keys)).alias("header"), "level", "n", F.lit(footer).alias("footer"), *label)
     last = len(keys) - 1
     groups = groups.withColumn("__before", F.lag(F.struct(*keys)).over(Window.partitionBy(unit).orderBy("section_ord")))
     first, same = F.lit(last), F.col("__before").isNotNull()
@@ -200,7 +203,7 @@ def section_rows(numbered: DataFrame, unit: str, keys: list[str], footer: bool =
         first = F.when(~same & (upper if i else F.lit(True)), F.lit(i)).otherwise(first)
     rows = groups.withColumn("level", F.explode(F.sequence(first, F.lit(last))))
     leaf = F.col("level") == last
-    return rows.select(unit, (F.col("section_ord") - last + F.col("level")).alias("section_ord"), F.lit(True).alias("header"), "level", F.when(leaf, F.col("n")).otherwise(0).alias("n"), (leaf & F.lit(footer)).alias("footer"))
+    return rows.select(unit, (F.col("section_ord") - last + F.col("level")).alias("section_ord"), F.lit(True).alias("header"), "level", F.when(leaf, F.col("n")).otherwise(0).alias("n"), (leaf & F.lit(footer)).alias("footer"), *label)
 
 
 def placed_records(numbered: DataFrame, pieces: DataFrame, unit: str, record_pt: float) -> DataFrame:

@@ -403,6 +403,14 @@ def paginate_heights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.run_summary(placed).join(repeated, "unit", "left").select(F.col("unit").alias("p_type"), "placed", "total", "overflow", "frames", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_continued", F.lit(0)).alias("n_continued"))
 
 
+@query
+def batch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each brand of each type, of two frames at most, with its label and what is left over."""
+    part = load(spark, sf_dir, "part").select("p_type", "p_brand", "p_partkey")
+    placed = flow.run_flow(part, "p_type", ["p_brand"], 60.0, (F.col("p_partkey") * 7 % 39 + 1).cast("double"), frames=2, mode="group")
+    return flow.run_summary(placed, "group").select(F.col("unit").alias("p_type"), "section_ord", "label", "placed", "total", "overflow", "frames")
+
+
 @query
 def batch_run_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each section of those catalogues."""

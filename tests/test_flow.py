@@ -1,11 +1,13 @@
 """Distributed pagination against a walk, element by element."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.plans.batch import main
 from quire.plans.flow import Segments, applied, placed_elements, repeated_headers, run_flow, run_summary
 from quire.plans.layout import FlowOptions
 
@@ -77,3 +79,24 @@ def test_empty_and_zero(spark):
     assert run_flow(df, "u", ["k"], 60.0, F.col("h")).count() == 0
     df = spark.createDataFrame([("a", "k", None), ("a", "k", 0.0)], "u string, k string, h double")
     assert [(r.frame_no, r.y_pt) for r in run_flow(df, "u", ["k"], 60.0, F.col("h")).where("kind = 'record'").collect()] == [(0, 16.0), (0, 16.0)]
+
+
+@pytest.mark.parametrize("mode,labels", [("catalog", {"u0": 7, "u1": 6}), ("group", {"k0": 5, "k1": 4, "": 4}), ("record", {f"n{i}": 1 for i in range(12)} | {"row-0": 1})])
+def test_the_entry_tells_labels_and_what_is_left_over(spark, tmp_path, monkeypatch, mode, labels):
+    rows = [(f"u{i % 2}" if mode != "group" else "u", f"k{i % 3}" if i % 3 < 2 else None, f"n{i}" if i < 12 else None, i, 30.0) for i in range(13)]
+    spark.createDataFrame(rows, "u string, k string, name string, i long, h double").write.parquet(f"{tmp_path}/t")
+    job = {"table": f"{tmp_path}/t", "unit": "u", "by": ["k"], "chain": {"height_pt": 80.0, "frames": 2}, "height": "h", "mode": mode, "label": "name", "out": f"{tmp_path}/out"}
+    (tmp_path / "job.json").write_text(json.dumps(job))
+    monkeypatch.setattr("sys.argv", ["batch", "--job", str(tmp_path / "job.json")])
+    main()
+    runs = {r.label: r for r in spark.read.json(f"{tmp_path}/out/runs").collect()}
+    assert {label: r.total for label, r in runs.items()} == labels
+    assert all(r.overflow == (r.placed < r.total) for r in runs.values()) and any(r.overflow for r in runs.values()) == (mode != "record")
+    records = spark.read.json(f"{tmp_path}/out/records")
+    assert records.count() == sum(r.placed for r in runs.values()) and (mode != "record" or {(r.frame_no, r.y_pt) for r in records.collect()} == {(0, 16.0)})
+    # A list of frames reports the same way.
+    job |= {"chain": [{"frame": "a", "page": "1", "height_pt": 80.0}], "record_pt": 30.0}
+    (tmp_path / "job.json").write_text(json.dumps(job))
+    main()
+    runs = spark.read.json(f"{tmp_path}/out/runs").collect()
+    assert sum(r.total for r in runs) == 13 and any(r.overflow for r in runs) == (mode != "record")
