@@ -167,6 +167,8 @@ WHERE p.p_size >= 10 AND l.l_shipdate >= DATE '1995-01-01' GROUP BY p.p_brand, n
     "nth_record": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 41",
     "scalar_total": "SELECT count(*) AS value FROM orders WHERE o_orderstatus = (SELECT min(o_orderstatus) FROM orders)",
     "stable_row_index": "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_idx FROM lineitem",
+    "appended_row_index": "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_idx FROM lineitem",
+    "resolve_plan": "SELECT c_custkey AS binding_id FROM customer WHERE c_custkey % 10 = 0 OR c_nationkey % 5 = 1 OR c_custkey % 7 = 0 AND c_mktsegment <> 'all'",
     "grouped_first_seen": "SELECT o_orderpriority, count(*) AS n, min(i) AS first_seen FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_orderpriority) - 1 AS i FROM orders) GROUP BY o_orderpriority",
     "rule_fires": """
 WITH r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS row_idx FROM lineitem)

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quire.functions import formats, logic, maths, temporal, text
 from quire.functions.fx import add, compare, concat, display, div, equal, field, mul
 from quire.functions.sql import register
-from quire.operators import bind, codes, govern, revisions, shape, sync
+from quire.operators import bind, codes, govern, ordered, revisions, shape, sync
 from quire.plans import batch, flow, layout
 from quire.sources import files
 from quire.streaming.refresh import land_marker, land_rows, refresh
+from quire.streaming.state import BindingState
 
 RUN_DATE = date(2026, 6, 8)
 CHAIN = layout.Pages(400.0)
@@ -168,6 +169,17 @@ def stable_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.stable_index(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
 
 
+@query
+def appended_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers after two appends, of which each reads the ranges that it adds to."""
+    folder = f"{shape.shared_folder(spark)}/quire-ordered-{uuid.uuid4().hex}"
+    lines, keys = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"]
+    ordered.create(lines.where("l_orderkey % 2000 >= 100"), keys, folder, rows_per_range=20_000)
+    for part in (0, 1):
+        ordered.append(lines.where(f"l_orderkey % 2000 < 100 AND l_orderkey % 2 = {part}"), keys, folder, rows_per_range=20_000)
+    return ordered.read(spark, folder)
+
+
 @query
 def grouped_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape.stable_index(load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_orderpriority"), ["o_orderdate", "o_orderkey"])
@@ -312,6 +324,20 @@ def sync_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.transition(state, stamps.where("query_id < 0"), actions, stamps)
 
 
+@query
+def resolve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings that a second run resolves: those whose query's text or parameters changed since the first committed."""
+    state = BindingState(spark, f"{shape.shared_folder(spark)}/quire-state-{uuid.uuid4().hex}")
+    c = load(spark, sf_dir, "customer")
+
+    def wanted(text: str, param: str) -> DataFrame:
+        return c.select(F.col("c_custkey").cast("string").alias("binding_id"), F.sha2(F.expr(text), 256).alias("source_query_hash"), F.sha2(F.expr(param), 256).alias("param_hash"))
+
+    state.resolve(wanted("concat('nation ', c_nationkey)", "c_mktsegment").where("CAST(binding_id AS BIGINT) % 10 <> 0"), lambda todo: None)
+    done = state.resolve(wanted("concat('nation ', IF(c_nationkey % 5 = 1, -1, c_nationkey))", "IF(c_custkey % 7 = 0, 'all', c_mktsegment)"), lambda todo: None)
+    return done.select(F.col("binding_id").cast("long").alias("binding_id"))
+
+
 @query
 def invalidation_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").alias("query_id"))

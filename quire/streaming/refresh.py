@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from quire.operators.revisions import hashed_leaf, leaf_hashes
 from quire.operators.shape import row_hash
 from quire.operators.sync import diff_summary, row_diff
+from quire.streaming.state import committed, file_system
 
 _MANIFEST = "leaf long, n long, s1 decimal(38,0), s2 decimal(38,0), version long"
 
@@ -43,15 +44,6 @@ def land_marker(spark: SparkSession, folder: str, snapshot: int) -> None:
     spark.range(1).select(F.lit(str(snapshot)).alias("value")).coalesce(1).write.mode("append").text(f"{folder}/complete")
 
 
-def _versions(spark: SparkSession, folder: str) -> tuple[object, dict[int, object]]:
-    """The file system of a folder, and its folders ``v=<n>`` whose write has ended."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return fs, {int(p.getName()[2:]): p for p in found if p.getName().startswith("v=") and fs.exists(done(p, "_SUCCESS"))}
-
-
 def apply_snapshot(spark: SparkSession, rows: DataFrame, key: list[str], state: str, snapshot: int, leaves: int = 256, keep: int = 2, on_change: Callable[[DataFrame, int], None] | None = None) -> bool:
     """Compare a snapshot with the state and make it the state; false if it or a later one has been applied.
 
@@ -59,7 +51,7 @@ def apply_snapshot(spark: SparkSession, rows: DataFrame, key: list[str], state:
     Keys compare null-safely. Of a repeated key the state's largest hash counts. Versions that the last ``keep`` manifests don't
     name are deleted.
     """
-    fs, applied = _versions(spark, f"{state}/manifest")
+    applied = committed(spark, f"{state}/manifest")
     if applied and max(applied) >= snapshot:
         return False
     last = spark.read.schema(_MANIFEST).parquet(f"{state}/manifest/v={max(applied)}") if applied else spark.createDataFrame([], _MANIFEST)
@@ -91,12 +83,13 @@ def apply_snapshot(spark: SparkSession, rows: DataFrame, key: list[str], state:
 
 def prune(spark: SparkSession, state: str, keep: int) -> None:
     """Delete all manifests but the last ``keep`` and the versions of rows that none of those names."""
-    fs, manifests = _versions(spark, f"{state}/manifest")
+    fs, _ = file_system(spark, state)
+    manifests = committed(spark, f"{state}/manifest")
     stay = sorted(manifests)[-keep:]
     named = {r["version"] for r in spark.read.schema(_MANIFEST).parquet(*(f"{state}/manifest/v={v}" for v in stay)).select("version").distinct().collect()}
     for v in sorted(set(manifests) - set(stay)):
         fs.delete(manifests[v], True)
-    _, rows = _versions(spark, f"{state}/rows")
+    rows = committed(spark, f"{state}/rows")
     for v in sorted(set(rows) - named - set(stay)):
         fs.delete(rows[v], True)
 
