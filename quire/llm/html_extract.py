@@ -43,8 +43,15 @@ HOLDERS = frozenset("address article aside blockquote body center dd details dia
 ROOTS = frozenset("html body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words in classes and ids.
-#: Adverts, cookie notices and reader comments, whatever the element.
-NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr comment comments commentlist disqus notice".split())
+#: Adverts and cookie notices, whatever the element, and reader comments, unless a single paragraph is named so.
+NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr notice".split())
+COMMENTS = frozenset("comment comments commentlist disqus responses replies".split())
+#: Words that stand beside those in the names of such elements. With any other a name is about something else (``ads-enabled``).
+BESIDE = frozenset(
+    "box block slot unit bar list section area wrap wrapper container holder inner outer top bottom left right main site page global message alert dialog prompt policy privacy settings preferences law info warning title heading label count link text body content author meta metadata date item thread reply user reader readers google inline placeholder module label leaderboard skyscraper mobile desktop".split()
+)
+#: What readers comment on.
+OWNERS = frozenset("post article entry blog story news".split())
 #: Furniture of the page, where elements hold others. What holds the page's dominant text is a frame and not furniture.
 NAMED = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs notification banner promo footer copyright newsletter subscribe signup login popup modal overlay".split())
 #: The same outside articles alone: inside one they hold its heading.
@@ -81,6 +88,12 @@ class Page:
     roots: set[int] = field(default_factory=lambda: {0})
 
 
+def named(words: list[str], kind: frozenset[str], beside: frozenset[str]) -> bool:
+    """Whether a name, as its words, is that of a ``kind``: it has such a word, and no word that stands for anything else."""
+    bare = [w.rstrip("0123456789") for w in words]
+    return bool(kind.intersection(bare)) and all(w in kind or w in beside or w in NAMED or w in HEADER or w in LINKED or not w or w[0].isdigit() for w in bare)
+
+
 def furniture(name: str, attributes: str, inside: bool) -> int:
     """Whether an element and all in it are page furniture: ``SURE``; ``FRAME`` unless it holds the dominant text; ``SOFT`` if
     mostly links. A header inside an article may hold its heading."""
@@ -94,10 +107,10 @@ def furniture(name: str, attributes: str, inside: bool) -> int:
         words = re.split(r"[-_]+", token)
         if words[0] in ABOUT:
             continue
-        if NEVER.intersection(words[:1] if name in ("article", "main") else words):
+        if named(words, NEVER, BESIDE) or (name != "p" and named(words, COMMENTS, BESIDE | OWNERS)):
             return SURE
         if name in HOLDERS and name not in ("article", "main", "blockquote"):
-            if NAMED.intersection(words) or "side-bar" in token or (not inside and HEADER.intersection(words)):
+            if (named(words, NAMED, BESIDE) if inside else NAMED.intersection(words)) or "side-bar" in token or (not inside and HEADER.intersection(words)):
                 level = max(level, FRAME)
             elif LINKED.intersection(words):
                 level = max(level, SOFT)

@@ -447,3 +447,17 @@ def test_embeddings_exactly_at_the_threshold(spark):
     plain = {i: np.array(v) for i, _, v in rows if i < 1000}
     want = {i: sum(j != i and float(np.add.accumulate(v * w)[-1] / (np.sqrt(np.add.accumulate(v * v)[-1]) * np.sqrt(np.add.accumulate(w * w)[-1]))) >= 0.93 for j, w in plain.items()) for i, v in plain.items()}
     assert {r.vec_id: r.n_links for r in embedding_dedup(one).collect()} == want
+
+
+BODY = " ".join(f"Sentence {i} of the article says something about its matter." for i in range(8))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout ads-enabled"><article><p>{}</p></article></div>', '<div class="post comments-open"><article><p>{}</p></article></div>', '<div id="cookie-root"><article><p>{}</p></article></div>',
+    '<div class="page-ad-layout"><main><p>{}</p></main></div>', '<article class="sponsored-post"><p>{}</p></article>', '<article><div class="ad-hoc-analysis"><p>{}</p></div></article>',
+    '<article><div class="menu-items"><p>{}</p></div></article>', '<article><p class="comment">{}</p></article>', '<article><p>{}</p><div class="responses"><p>I disagree.</p></div></article>',
+    '<article><p>{}</p><div id="ad-300x250">Buy</div><div class="ad1">Buy</div><section class="post-comments"><p>First!</p></section><div class="cookie-notice">Cookies</div></article>',
+    '<article><p>{}</p><ul><li class="comment">First!</li></ul><div class="comments-area"><div class="comment-body"><p>Second!</p></div></div></article>',
+])
+def test_names_that_only_hold_a_word(page):
+    assert main_text(page.format(BODY)) == BODY
