@@ -137,6 +137,9 @@ r AS (SELECT *, row_number() OVER (ORDER BY {PART_ORDER}) - 1 AS row_idx FROM pa
 SELECT section_ord, CAST(0 AS INTEGER) AS kind, CAST(0 AS INTEGER) AS level, CAST(-1 AS BIGINT) AS row_idx, p_brand AS cells FROM g
 UNION ALL SELECT section_ord, CAST(1 AS INTEGER), CAST(0 AS INTEGER), row_idx, p_name || '|Price $' || format('{{:,.2f}}', p_retailprice) FROM r JOIN g USING (p_brand)
 UNION ALL SELECT section_ord, CAST(2 AS INTEGER), CAST(0 AS INTEGER), CAST(-1 AS BIGINT), n || ' items|' || format('{{:,.2f}}', s) FROM g""",
+    "text_export": """
+WITH l AS (SELECT 'o_orderkey' || chr(9) || 'o_orderstatus' AS line UNION ALL SELECT o_orderkey || chr(9) || coalesce(o_orderstatus, '') FROM orders)
+SELECT count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, count(*) FILTER (starts_with(line, 'o_')) AS n_headers, TRUE AS header_first FROM l""",
     "formatted_price_list": f"""
 SELECT row_number() OVER (ORDER BY {PART_ORDER}) - 1 AS row_idx, p_name AS name, '$' || format('{{:,.2f}}', p_retailprice) AS price, {_de("format('{:,.2f}', p_retailprice)")} || ' €' AS price_de,
   format('{{:,.0f}}', p_retailprice) AS rounded, format('{{:,.1f}}', p_size / 50.0::DOUBLE * 100) || '%' AS share FROM part""",

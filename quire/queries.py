@@ -75,6 +75,17 @@ def section_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("section_ord", "kind", "level", "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
+@query
+def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by date as one text in several files: its lines, bytes and headers."""
+    path = f"{shape.shared_folder(spark)}/quire-text-{uuid.uuid4().hex}"
+    o = load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_orderstatus")
+    files.write_ordered_text(o, ["o_orderdate", "o_orderkey"], path, ["o_orderkey", "o_orderstatus"], partitions=8)
+    size = spark.read.json(f"{path}/manifest").agg(F.max(F.col("offset") + F.col("n_bytes")).alias("n_bytes"), F.min("part").alias("__first"))
+    lines = files.read_text_lines(spark, path).agg(F.count("*").alias("n_lines"), F.count(F.when(F.col("line").startswith("o_"), 1)).alias("n_headers"), F.min(F.when(F.col("line").startswith("o_"), F.col("part"))).alias("__at"))
+    return lines.crossJoin(size).select("n_lines", "n_bytes", "n_headers", (F.col("__at") == F.col("__first")).alias("header_first"))  # a row each
+
+
 @query
 def formatted_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")

@@ -6,10 +6,12 @@ import hashlib
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.operators.shape import total_order
+
 
 def read_file(spark: SparkSession, path: str, fmt: str, schema: StructType | str | None = None, name: str | None = None) -> DataFrame:
     """A CSV, TSV, JSON or Parquet source, as a view if a name is given. Types of text formats are detected without a schema."""
@@ -110,10 +112,41 @@ def url_reason(url: Column) -> Column:
 
 
 def write_documents(df: DataFrame, unit: str, path: str, fmt: str = "json") -> None:
-    """One folder of output for each document, written by the executors. A hash of the label keeps folder names safe."""
-    df.withColumn("unit_hash", F.sha2(F.col(unit).cast("string"), 256)).repartition("unit_hash").write.partitionBy("unit_hash").mode("overwrite").format(fmt).save(path)
+    """One folder of output for each document, written by the executors; a large document is several files of several tasks. A
+    hash of the label keeps folder names safe."""
+    df.withColumn("unit_hash", F.sha2(F.col(unit).cast("string"), 256)).hint("rebalance", "unit_hash").write.partitionBy("unit_hash").mode("overwrite").format(fmt).save(path)
 
 
 def write_text_table(df: DataFrame, path: str, header: bool = True) -> None:
     """Tabs within rows, line feeds between them."""
     df.write.mode("overwrite").option("emptyValue", "").csv(path, sep="\t", header=header)
+
+
+def write_ordered_text(df: DataFrame, keys: list[str], path: str, columns: list[str] | None = None, header: bool = True, partitions: int | None = None) -> None:
+    """``df`` as text in the order of ``keys`` and then all other columns: tabs within rows, line feeds between them, nulls empty.
+
+    Parts under ``<path>/parts``, one after the other by their numbers, are the text; the header stands once, in the first one.
+    ``<path>/manifest`` tells of each part ``part, file, n_bytes, offset``: where its bytes are in the whole. Cells are written as
+    they are, tabs and line feeds in them too.
+    """
+    shown = columns or df.columns
+    order = total_order(df, keys)
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shown))
+    rows = df.select(F.lit(1).alias("__row"), *order, line.alias("__line"))
+    if header:
+        first = df.sparkSession.range(1).select(F.lit(0).alias("__row"), *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order), F.lit("\t".join(shown)).alias("__line"))
+        rows = rows.unionByName(first)
+    ranged = rows.repartitionByRange(*([partitions] if partitions else []), "__row", *order).sortWithinPartitions("__row", *order)
+    ranged.select(F.col("__line").alias("value")).write.mode("overwrite").text(f"{path}/parts")
+    # A row for each part.
+    files = df.sparkSession.read.format("binaryFile").load(f"{path}/parts").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"))
+    parts = files.withColumn("part", F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = parts.select("part", "file", "n_bytes", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("offset"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``part, line`` of a text from :func:`write_ordered_text`; within a part lines are read in any order."""
+    lines = spark.read.text(f"{path}/parts")
+    return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long").alias("part"), F.col("value").alias("line"))

@@ -1,10 +1,12 @@
-"""A kept order under appends, and binding states with one winner among writers."""
+"""A kept order under appends, binding states with one winner among writers, and texts in order."""
 
+import json
 import random
 
 import pytest
 
 from quire.operators import ordered, shape
+from quire.sources import files
 from quire.streaming.state import BindingState, Conflict
 
 SCHEMA = "a long, b string"
@@ -64,3 +66,17 @@ def test_two_writers_one_wins(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         state.resolve(bind(("c", "q", "p")), lambda t: 1 / 0)
     assert state.version() == 2
+
+
+def test_parts_in_order_are_the_text(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(rng.randrange(50), rng.choice(["é x", "", None, "b"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    files.write_ordered_text(df.repartition(5), ["a"], str(tmp_path / "t"), partitions=8)
+    parts = sorted((json.loads(x) for f in (tmp_path / "t/manifest").glob("*.json") for x in f.read_text().splitlines()), key=lambda r: r["part"])
+    whole = b"".join((tmp_path / "t/parts" / p["file"]).read_bytes() for p in parts)
+    want = ["a\tb"] + [f"{a}\t{b or ''}" for a, b in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))]
+    assert whole.decode() == "".join(f"{x}\n" for x in want) and len(parts) > 4
+    assert [p["offset"] for p in parts] == [sum(q["n_bytes"] for q in parts[:i]) for i in range(len(parts))]
+    files.write_ordered_text(df.limit(0), ["a"], str(tmp_path / "e"))
+    assert [r.line for r in files.read_text_lines(spark, str(tmp_path / "e")).collect()] == ["a\tb"]
