@@ -80,8 +80,9 @@ SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children,
 
 # Strings of 200 bytes as 400 hexadecimal digits; `o` counts bytes from 0.
 _OP12 = """
-WITH doc AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT r, o, md5_number(substr(x, 2 * o + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS o FROM doc WHERE len(x) >= 400)),
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part AS (SELECT r, b, substr(x, 2 * b + 1, 1422) AS y FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199, 512)) AS b FROM doc WHERE len(x) >= 400)),
+s AS (SELECT r, b + j AS o, md5_number(substr(y, 2 * j + 1, 400)) AS h FROM (SELECT r, b, y, unnest(range(0, least(512, len(y) // 2 - 199))) AS j FROM part)),
 twice AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
 hit AS (SELECT r, o FROM s SEMI JOIN twice USING (h)),
 mark AS (SELECT r, o, o - lag(o, 1, -1000) OVER (PARTITION BY r ORDER BY o) > 200 AS fresh FROM hit),
