@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -76,24 +78,40 @@ def _refill(pattern: str, digits: str) -> str:
 
 #: 1900-01-01 to 2099-12-31
 FIRST_DAY, DAYS = date(1900, 1, 1), 73049
-DATE_ORDERS = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}
+#: Where year, month and day stand if the year is last, in the order in which they are tried.
+DATE_ORDERS = {"-": ((2, 0, 1), (2, 1, 0)), "/": ((2, 0, 1), (2, 1, 0)), ".": ((2, 1, 0),)}
+
+
+def date_class(day: date) -> tuple[bool, int]:
+    """What a spelling without leading zeros, or with day and month in either order, shows of a date."""
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+DATE_CLASSES: dict[tuple[bool, int], list[int]] = {}
+for _i in range(DAYS):
+    DATE_CLASSES.setdefault(date_class(FIRST_DAY + timedelta(days=_i)), []).append(_i)
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?)@([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})")
 NUMBER = re.compile(
     r"(?<![\w+])(?<!\d\.)(?<!\w-)(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)"
     r"|(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|(?<!\d )[2-9]\d\d \d{3} \d{4}(?! \d))"
-    r"|(?P<abroad>\+\d(?:[ .-]?\(?\d\)?){6,14})"
+    r"|(?P<abroad>(?:\+|(?<![:,.])00(?=[1-9]\d{0,2}[ .-]))\d(?:[ .-]?\(?\d\)?){6,15})"
+    r"|(?P<ip6>[23Ff][0-9A-Fa-f]{3}(?::[0-9A-Fa-f]{1,4}){0,6}(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|:[0-9A-Fa-f]{1,4})(?!:[\w:]))"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
     r"|(?P<ssn>\d{3}(?P<gap>[ -])\d{2}(?P=gap)\d{4})"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
-    r"|(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})"
+    r"|(?P<date>\d{4}(?P<dash>[-/.])\d{2}(?P=dash)\d{2}|\d{1,2}(?P<dot>[/.])\d{1,2}(?P=dot)\d{4}|\d{2}-\d{2}-\d{4})"
+    r"|(?P<card>\d{13,19}|\d{4}(?P<sep>[ .-])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ .-]\d{6}[ .-]\d{5})"
+    r"|(?P<trunk>(?<!\d )(?:\(0[1-9]\d{1,3}\)|0[1-9]\d{1,3})[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?! \d))"
     r")(?:(?=T\d{2}:\d{2})|(?!\w|-\w|\.\d))",
     re.ASCII,
 )
-KINDS = ("iban", "phone", "abroad", "ip", "ssn", "date", "card")
-#: What every value has: a character of an address, two digits in a row or, in an IP of single digits, a dot between two.
-MAY_HOLD = r"@|[0-9]{2}|[0-9][.][0-9]"
+#: Groups of the pattern, and the kinds that are reported.
+KINDS = {"iban": "iban", "phone": "phone", "abroad": "phone", "ip6": "ip", "ip": "ip", "ssn": "ssn", "date": "date", "card": "card", "trunk": "phone"}
+#: What every value has: a character of an address, two digits in a row or, in an IP of single digits, a dot between two, or the
+#: first group of a longer IP.
+MAY_HOLD = r"@|[0-9]{2}|[0-9][./][0-9]|[0-9A-Fa-f]{4}:[0-9A-Fa-f:]"
+TRUNK_ZERO = re.compile(r"(?:\+|00)(\d{1,3})[ .-]?\(0\)", re.ASCII)
 # Lengths of IBANs by country, from the public registry.
 IBAN_LENGTHS = {
     c: n
@@ -114,7 +132,11 @@ CALLING_CODES = frozenset(
 
 
 def iban_valid(value: str) -> bool:
+    """Upper case with right check digits. Lower-case words look like groups more often, so there the country's length and a
+    half of digits are needed too."""
     plain = value.replace(" ", "")
+    if plain[:1].islower() and (len(plain) != IBAN_LENGTHS.get(plain[:2].upper()) or 2 * sum(c.isdigit() for c in plain) < len(plain)):
+        return False
     return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
 
 
@@ -122,7 +144,7 @@ def iban_in(match: str) -> str | None:
     """The IBAN that ``match`` begins with. The pattern takes words along that look like groups, so all borders of groups are
     tried: first the country's length, then the others from the longest."""
     ends = [i for i, c in enumerate(match) if c == " "] + [len(match)]
-    ends.sort(key=lambda e: (len(match[:e].replace(" ", "")) != IBAN_LENGTHS.get(match[:2]), -e))
+    ends.sort(key=lambda e: (len(match[:e].replace(" ", "")) != IBAN_LENGTHS.get(match[:2].upper()), -e))
     return next((match[:e] for e in ends if iban_valid(match[:e])), None)
 
 
@@ -162,13 +184,59 @@ class Pseudonyms:
         return _refill(value, d[:-10] + self._national(d[-10:]))
 
     def _abroad(self, value: str) -> str | None:
-        """A number of 8 to 15 digits with an assigned country code, which stays; one of ten digits in North America is the
-        same there as without a code."""
-        d = re.sub(r"\D", "", value)
-        code = next((d[:n] for n in (1, 2, 3) if d[:n] in CALLING_CODES), None)
+        """A number of 8 to 15 digits after ``+`` or ``00``, with an assigned country code, which stays, as does a trunk zero in
+        brackets after it; one of ten digits in North America is the same there as without a code."""
+        trunk = TRUNK_ZERO.match(value)
+        shape = value.replace("(0)", "(_)", 1) if trunk and trunk[1] in CALLING_CODES else value
+        d = re.sub(r"\D", "", shape)
+        d = d if value[0] == "+" else d[2:]
+        code = trunk[1] if shape != value else next((d[:n] for n in (1, 2, 3) if d[:n] in CALLING_CODES), None)
         if code is None or not 8 <= len(d) <= 15 or (code == "1" and len(d) != 11):
             return None
-        return _refill(value, code + (self._national(d[1:]) if code == "1" else self._digits("abroad" + code, d[len(code) :])))
+        while True:
+            rest = d[len(code) :]
+            d = code + (self._national(rest) if code == "1" else self._digits("abroad" + code, rest))
+            new = _refill(shape, d if value[0] == "+" else "00" + d).replace("(_)", "(0)")
+            if shape != value or not TRUNK_ZERO.match(new):  # else a digit in brackets would turn into a trunk zero
+                return new
+
+    def _trunk(self, value: str) -> str | None:
+        """A national number of 9 to 12 digits with its trunk zero, which stays; what follows it does not begin with a zero."""
+        d = re.sub(r"\D", "", value)
+        if not 9 <= len(d) <= 12:
+            return None
+        least = 10 ** (len(d) - 2)
+        return _refill(value, f"0{least + self._move(f'trunk{len(d)}', 9 * least, int(d) - least)}")
+
+    def _ip6(self, value: str) -> str | None:
+        """An address of the assigned, private or link-local ranges. Its first group stays; digits of the others change to digits,
+        letters to letters, and none gets or loses leading zeros, so that all its spellings stay its spellings."""
+        try:
+            address = IPv6Address(value)
+        except AddressValueError:
+            return None
+        top = int(address) >> 112
+        groups = [f"{int(address) >> 16 * i & 0xFFFF:x}" for i in reversed(range(8))]
+        if not (top >> 13 == 1 or top >> 9 == 0x7E or top >> 6 == 0x3FA) or not any(int(g, 16) for g in groups[1:]):
+            return None
+        x, size, places = 0, 1, []
+        for i, group in enumerate(groups[1:], 1):
+            for j, c in enumerate(group):
+                if group != "0":
+                    low, base = ("a", 6) if c.isalpha() else ("0", 10) if j else ("1", 9)
+                    x, size = x * base + ord(c) - ord(low), size * base
+                    places.append((i, j, low, base))
+        x, new = self._move("ip6" + groups[0] + ":".join(re.sub("[a-f]", "a", re.sub(r"\d", "0", g)) if g != "0" else "" for g in groups[1:]), size, x), [list(g) for g in groups]
+        for i, j, low, base in reversed(places):
+            x, r = divmod(x, base)
+            new[i][j] = chr(ord(low) + r)
+        head, gap, tail = value.partition("::")
+        written = [head.split(":") if head else [], tail.split(":") if tail else []]
+        for part, first in ((written[0], 0), (written[1], 8 - len(written[1]))):
+            for i, old in enumerate(part):
+                fresh = "".join(new[first + i]).rjust(len(old), "0")
+                part[i] = "".join(c.upper() if o.isupper() else c for o, c in zip(old, fresh, strict=True))
+        return ":".join(written[0]) + gap + ":".join(written[1])
 
     def _ip(self, value: str) -> str | None:
         """An address; the three that name no one (any, this host, all) stay, and are no pseudonyms."""
@@ -195,20 +263,27 @@ class Pseudonyms:
         return f"{area + 1 + (area + 1 >= 666):03d}{gap}{group + 1:02d}{gap}{serial + 1:04d}"
 
     def _date(self, value: str) -> str | None:
-        """Year-month-day, month/day/year or day.month.year between 1900 and 2099."""
+        """A date between 1900 and 2099: the year first, day.month.year, or month and day in either order before the year. If both
+        orders are dates, the month is first. Dates change among those that are written alike in all of these (one or two
+        digits of month and day, day above 12 or not), so that a date in one spelling stays linked with its others."""
         sep = next(c for c in value if not c.isdigit())
-        order, parts = DATE_ORDERS[sep], value.split(sep)
-        try:
-            x = (date(*(int(parts[i]) for i in order)) - FIRST_DAY).days
-        except ValueError:
-            return None
-        if not 0 <= x < DAYS:
-            return None
-        new = FIRST_DAY + timedelta(days=self._move("date", DAYS, x))
-        fields = [""] * 3
-        for place, text in zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"), strict=True):
-            fields[place] = text
-        return sep.join(fields)
+        parts = value.split(sep)
+        for order in ((0, 1, 2),) if len(parts[0]) == 4 else DATE_ORDERS[sep]:
+            try:
+                day = date(*(int(parts[i]) for i in order))
+            except ValueError:
+                continue
+            if not 0 <= (day - FIRST_DAY).days < DAYS:
+                return None
+            kind = date_class(day)
+            days = DATE_CLASSES[kind]
+            place = self._move(f"date{kind}", len(days), bisect_left(days, (day - FIRST_DAY).days))
+            new = FIRST_DAY + timedelta(days=days[place])
+            fields = [""] * 3
+            for at, number in zip(order, (new.year, new.month, new.day), strict=True):
+                fields[at] = f"{number:0{len(parts[at])}d}"
+            return sep.join(fields)
+        return None
 
     def _iban(self, value: str) -> str | None:
         """Country and letters stay, the digits of the account are permuted, the check digits are made anew."""
@@ -272,7 +347,7 @@ def replace_in(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
                 # What looks like one kind and isn't valid may begin with a sign or a number that another value follows.
                 at = m.start() + next((i for i, c in enumerate(value) if not c.isdigit() and i), len(value)) if kind == "abroad" else at
                 continue
-            kinds.append("phone" if kind == "abroad" else kind)
+            kinds.append(KINDS[kind])
         out += (text[done : m.start()], new)
         done = at
     return "".join([*out, text[done:]]), kinds
@@ -283,8 +358,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
 
     All columns and rows stay (a clashing ``kinds_col`` is replaced). A null text stays null and an empty one empty, with
     no kinds. Values that are not valid in their format stay as they are. Texts of any length are read whole; repeated rows
-    stay, all with the same pseudonyms, and an empty table gives no rows. Values that overlap are taken from the left. ``key``
-    must be secret and at most 64 bytes; ``back=True`` undoes the pseudonyms.
+    stay, all with the same pseudonyms, and an empty table gives no rows. Values that overlap are taken from the left. National
+    numbers without a separator, or in pairs of digits, and dates in words stay. ``key`` must be secret and at most 64 bytes; ``back=True`` undoes the pseudonyms.
     """
     keep = [c for c in docs.columns if c != kinds_col]
     at = keep.index(text_col)

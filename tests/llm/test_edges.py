@@ -221,6 +221,34 @@ def test_pii_spellings():
     assert len({digits(t) for t in ("+15551234567", "555 123 4567", "(555) 123-4567", "+1-555-123-4567", "555.123.4567")}) == 1
 
 
+def test_pii_more_spellings():
+    """Dates in every order, foreign and national numbers, lower-case IBANs, cards with dots and long IPs keep their format; one
+    value in several spellings gets one pseudonym."""
+    names, back = Pseudonyms(b"secret"), Pseudonyms(b"secret", back=True)
+    for text, kind in (
+        ("31/12/1999", "date"), ("2024/02/29", "date"), ("29.2.2024", "date"), ("1/2/2024", "date"), ("31-12-1999", "date"), ("2024.02.29", "date"), ("1/02/2024", "date"),
+        ("0049 30 12345678", "phone"), ("030 12345678", "phone"), ("(030) 12345678", "phone"), ("0171/1234567", "phone"), ("+49 (0)30 12345678", "phone"), ("+44 (0) 20 7946 0958", "phone"),
+        ("4111.1111.1111.1111", "card"), ("de89370400440532013000", "iban"), ("de89 3704 0044 0532 0130 00", "iban"), ("2001:db8::1", "ip"), ("2001:0DB8:0000::0001", "ip"), ("fe80::1ff:fe23:4567:890a", "ip"),
+    ):
+        for before, after in (("", ""), ("x ", " y"), ("(", ")."), ("at ", ": ok")):
+            new, found = replace_in(before + text + after, names)
+            assert found == [kind] and new != before + text + after and re.sub(r"[0-9a-z]", "0", new.lower()) == re.sub(r"[0-9a-z]", "0", (before + text + after).lower()), (text, new, found)
+            assert replace_in(new, back)[0] == before + text + after
+    for text in ("13/13/2020", "30.2.2024", "12:30:45", "std::abc", "aa:bb:cc:dd:ee:ff", "2001::", "::1", "1,00 20 30 40 50 60", "no12 word then four five", "4111.1111.1111.1112", "0012345678"):
+        assert replace_in(text, names) == (text, [])
+    of = lambda t: replace_in(t, names)[0]
+    day = of("1999-12-31")
+    y, m, d = day.split("-")
+    assert (of("31/12/1999"), of("12/31/1999"), of("31.12.1999"), of("31-12-1999")) == (f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{d}-{m}-{y}")
+    digits = lambda t: re.sub(r"\D", "", of(t).replace("(0)", ""))[-10:]
+    assert len({digits(t) for t in ("+49 30 12345678", "+49 (0)30 12345678", "0049 30 12345678", "+49 (30) 12345678")}) == 1
+    assert of("de89370400440532013000")[-18:] == re.sub(" ", "", of("de89 3704 0044 0532 0130 00"))[-18:]
+    assert [int(g or "0", 16) for g in of("2001:0DB8:0000::0001").split(":")[:2]] == [int(g, 16) for g in of("2001:db8::1").split(":")[:2]]
+    for first in range(1, 29):  # digits in brackets never turn into a trunk zero
+        text = f"+49 ({first % 9 + 1}){first} 1234{first:03d}"
+        assert replace_in(of(text), back)[0] == text
+
+
 def test_feistel_permutes():
     for size in (1, 2, 7, 100, 366, 1000):
         net = Feistel(b"k", "t", size)
