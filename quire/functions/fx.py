@@ -2,11 +2,12 @@
 
 An :class:`Fx` is a value column, a column with an error code (null where there is none) and the value's kind, which is known
 when the plan is built. Kinds are ``num`` (double), ``int`` (bigint), ``bool``, ``text``, ``date``, ``time`` (timestamp),
-``bytes`` and ``null``. A value with an error is null. Everything stays inside whole-stage code generation.
+``bytes``, ``null`` and ``mixed``: a VARIANT column, whose cells have kinds of their own. A value with an error is null. Everything stays inside whole-stage code generation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,6 +60,8 @@ def kind_of(dtype: T.DataType) -> str:
             return "bytes"
         case T.NullType():
             return "null"
+        case T.VariantType():
+            return "mixed"
         case _:
             return "text"
 
@@ -69,6 +72,8 @@ def field(df: DataFrame, name: str) -> Fx:
         return const(None)
     kind = kind_of(df.schema[name].dataType)
     c = df[name]
+    if kind == "mixed":
+        return Fx(F.when(~F.is_variant_null(c), c), no_error(), kind)
     return Fx(c.cast("bigint") if kind == "int" else c.cast("double") if kind == "num" else c if kind in ("bool", "date", "time", "bytes") else c.cast("string"), no_error(), kind)
 
 
@@ -80,6 +85,27 @@ def of(x: object) -> Fx:
     return x if isinstance(x, Fx) else const(x)
 
 
+#: Kinds of cells of a VARIANT column: how Spark's name of the cell's type begins, and the type the cell is read as. Objects and
+#: arrays are their JSON text.
+CELL_KINDS = {"bool": ("BOOLEAN", "boolean"), "int": ("BIGINT", "bigint"), "num": ("DECIMAL|DOUBLE|FLOAT", "double"), "date": ("DATE", "date"), "time": ("TIMESTAMP", "timestamp"), "bytes": ("BINARY", "binary"), "text": ("STRING|OBJECT|ARRAY", "string")}
+
+
+def of_cells(f: Callable[[Fx], Column], x: Fx) -> Column:
+    """``f`` of each cell of a mixed value by the cell's own kind; absent cells and JSON's null are of kind ``null``."""
+    told = F.schema_of_variant(x.value)
+    out = None
+    for kind, (names, dtype) in CELL_KINDS.items():
+        here = told.rlike(f"^(?:{names})")
+        part = f(Fx(F.when(here, F.try_variant_get(x.value, "$", dtype)), x.err, kind))
+        out = F.when(here, part) if out is None else out.when(here, part)
+    return out.otherwise(f(Fx(F.lit(None).cast("string"), x.err, "null")))
+
+
+def mixed(f: Callable[[Fx], Fx], x: Fx, kind: str) -> Fx:
+    """A coercion ``f`` to ``kind`` of mixed cells."""
+    return Fx(of_cells(lambda c: f(c).value, x), of_cells(lambda c: f(c).err, x), kind)
+
+
 def first_error(*xs: Fx) -> Column:
     return F.coalesce(*(x.err for x in xs), no_error())
 
@@ -101,6 +127,8 @@ def number_text(x: Column) -> Column:
 def display(x: object) -> Column:
     """The text shown for a value: null is empty, an error its code."""
     x = of(x)
+    if x.kind == "mixed":
+        return of_cells(display, x)
     shown = {
         "num": lambda: number_text(x.value),
         "int": lambda: x.value.cast("string"),
@@ -115,6 +143,8 @@ def display(x: object) -> Column:
 def as_number(x: object) -> Fx:
     """bool 1/0, null 0, dates as day number, times as milliseconds, numeric text parsed, other text ``#TYPE``."""
     x = of(x)
+    if x.kind == "mixed":
+        return mixed(as_number, x, "num")
     if x.kind in ("num", "int"):
         return made(F.coalesce(x.value.cast("double"), F.lit(0.0)), x.err, "num")
     if x.kind == "bool":
@@ -136,6 +166,8 @@ def as_number(x: object) -> Fx:
 def as_bool(x: object) -> Fx:
     """Numbers other than 0, text true/1/yes against false/0/no/empty, null false; other text ``#TYPE``."""
     x = of(x)
+    if x.kind == "mixed":
+        return mixed(as_bool, x, "bool")
     if x.kind == "bool":
         return made(F.coalesce(x.value, F.lit(False)), x.err, "bool")
     if x.kind in ("num", "int"):
@@ -153,6 +185,8 @@ def as_date(x: object) -> Fx:
     """Dates, the day of a time, day numbers of the years 1 to 9999 (others ``#VALUE``) and lenient ISO text (31 February is
     3 March); null ``#MISSING``."""
     x = of(x)
+    if x.kind == "mixed":
+        return mixed(as_date, x, "date")
     missing = F.when(x.value.isNull(), F.lit(MISSING))
     if x.kind == "date":
         return made(x.value, F.coalesce(x.err, missing), "date")

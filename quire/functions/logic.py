@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.fx import Fx, as_bool, display, made, no_error, of
+from quire.functions.fx import Fx, as_bool, display, made, no_error, of, of_cells
 
 
 def _common(xs: list[Fx]) -> tuple[list[Column], str]:
@@ -15,7 +15,7 @@ def _common(xs: list[Fx]) -> tuple[list[Column], str]:
         return [x.value.cast("double") for x in xs], "num"
     if len(kinds) <= 1:
         kind = next(iter(kinds), "null")
-        types = {"bool": "boolean", "date": "date", "time": "timestamp", "bytes": "binary"}
+        types = {"bool": "boolean", "date": "date", "time": "timestamp", "bytes": "binary", "mixed": "variant"}
         return [x.value if x.kind == kind else F.lit(None).cast(types.get(kind, "string")) for x in xs], kind
     return [F.when(x.value.isNotNull(), display(Fx(x.value, no_error(), x.kind))) for x in xs], "text"
 
@@ -51,6 +51,8 @@ def not_(x: object) -> Fx:
 
 def isblank(x: object) -> Fx:
     x = of(x)
+    if x.kind == "mixed":
+        return made(of_cells(lambda c: isblank(c).value, x), x.err, "bool")
     blank = x.value.isNull() | (x.value == "") if x.kind == "text" else x.value.isNull()
     return made(blank, x.err, "bool")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+# Widths of three columns and the number of parts.
+_BOX = """
+WITH box AS (SELECT greatest(17, max(length(p_brand))) * 6.0::DOUBLE + 8 AS a, greatest(4, max(length(p_name))) * 6.0::DOUBLE + 8 AS b, greatest(4, max(length(CAST(p_partkey AS VARCHAR)))) * 6.0::DOUBLE + 8 AS c, count(*) AS n FROM part)
+"""
 PART_ORDER = "p_brand, p_partkey, p_name, p_type, p_size, p_retailprice"
 
 # The columns of the given tables, as they stand in the files.
@@ -218,6 +222,18 @@ SELECT c_custkey AS binding_id, c_nationkey AS query_id, CASE WHEN c_custkey % 1
 WITH t AS (SELECT s_nationkey, count(*) AS stamp FROM supplier GROUP BY s_nationkey), s AS (SELECT c_custkey, c_nationkey, c_custkey % 5 IN (0, 1) AS held, c_custkey % 3 = 0 AS asked, stamp FROM customer LEFT JOIN t ON c_nationkey = s_nationkey)
 SELECT c_custkey AS binding_id, c_nationkey AS query_id, CASE WHEN c_custkey % 5 = 0 THEN 'pinned' WHEN c_custkey % 5 = 1 THEN 'overridden' WHEN asked THEN 'linked' ELSE 'stale' END AS status,
   CASE WHEN asked AND NOT held THEN stamp WHEN c_custkey % 2 = 0 THEN CAST(0 AS BIGINT) END AS last_resolved FROM s""",
+    "sync_report": """
+WITH hit AS (SELECT DISTINCT c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT')
+SELECT c_custkey AS binding_id, CASE c_custkey % 7 WHEN 0 THEN 'pinned' WHEN 1 THEN 'overridden' ELSE 'stale' END AS status FROM customer WHERE c_custkey % 7 < 2 OR c_nationkey IN (SELECT c_nationkey FROM hit)""",
+    "inline_seed": """
+SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END AS word, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag""",
+    "bound_parameters": "SELECT p_partkey, p_size * 1.5::DOUBLE AS price, 'net ' || p_size AS shown, TRUE AS absent FROM part",
+    "mixed_cells": """
+WITH e AS (SELECT event_id, event_id % 6 AS m, value, CAST(value AS VARCHAR) AS v, event_type, props, CAST(regexp_extract(props, ': (\\d+)', 1) AS DOUBLE) AS k, regexp_extract(props, ': (\\d+)', 1) AS kt FROM events),
+c AS (SELECT *, CASE m WHEN 0 THEN value WHEN 1 THEN value WHEN 2 THEN CAST(event_id % 12 = 2 AS INTEGER) WHEN 3 THEN 0 END AS x,
+  CASE m WHEN 0 THEN regexp_replace(v, '\\.0$', '') WHEN 1 THEN v WHEN 2 THEN CASE WHEN event_id % 12 = 2 THEN 'TRUE' ELSE 'FALSE' END WHEN 3 THEN '' WHEN 4 THEN event_type ELSE replace(props, ': ', ':') END AS shown FROM e)
+SELECT event_id, shown, x + k AS total, CASE WHEN m > 3 THEN '#TYPE' END AS total_error, CASE WHEN m = 3 THEN FALSE WHEN m > 3 THEN shown = kt ELSE x = k END AS same, CASE WHEN m > 3 THEN shown < kt ELSE x < k END AS less, m = 3 AS blank FROM c""",
+    "batch_plan_catalog": "SELECT c_custkey, c_name, CAST(0 AS BIGINT) AS unit, 'catalog' AS unit_label FROM customer",
     "invalidation_cut": "SELECT c_custkey AS binding_id, c_nationkey AS query_id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
     "minimal_refresh": """
 WITH r AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN p_brand ELSE p_name END AS value, p_name AS old, p_partkey % 9 <> 0 AS had FROM part WHERE p_partkey % 8 <> 0)
@@ -227,6 +243,13 @@ SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE 'n/a' END AS sho
   CASE WHEN c_custkey % 4 <> 0 THEN 'ok' ELSE 'flagged' END AS code_status FROM customer""",
     "batch_plan_per_group": "SELECT c_custkey, dense_rank() OVER (ORDER BY c_nationkey, c_mktsegment) - 1 AS unit, c_nationkey || ' / ' || c_mktsegment AS unit_label FROM customer",
     "batch_plan_per_record": "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS unit, c_name AS unit_label FROM customer",
+    "table_layout_rows": """
+SELECT row_number() OVER (ORDER BY p_brand, p_partkey, p_name, p_type) AS row_no, FALSE AS header, 14.0::DOUBLE * row_number() OVER (ORDER BY p_brand, p_partkey, p_name, p_type) AS y_pt, 14.0::DOUBLE AS height_pt, concat_ws(chr(9), p_brand, p_name, p_partkey) AS text FROM part
+UNION ALL SELECT 0, TRUE, 0, 14, concat_ws(chr(9), 'Brand of the part', 'Name', 'Part')""",
+    "table_layout_rules": _BOX + """
+SELECT 'row' AS rule, 0.0::DOUBLE AS x1_pt, 14.0::DOUBLE * i AS y1_pt, a + b + c AS x2_pt, 14.0::DOUBLE * i AS y2_pt FROM box, LATERAL (SELECT unnest(range(n + 2)) AS i)
+UNION ALL SELECT 'column', x, 0, x, 14.0::DOUBLE * (n + 1) FROM box, LATERAL (SELECT unnest([0.0::DOUBLE, a, a + b, a + b + c]) AS x)""",
+    "table_layout_box": _BOX + "SELECT CAST(3 AS BIGINT) AS n_columns, n + 1 AS n_rows, a + b + c AS width_pt, 14.0::DOUBLE * (n + 1) AS height_pt FROM box",
     "table_layout_widths": """
 WITH w(ord, name, chars) AS (SELECT 0, 'p_partkey', greatest(4, max(length(CAST(p_partkey AS VARCHAR)))) FROM part UNION ALL SELECT 1, 'p_name', greatest(4, max(length(p_name))) FROM part
   UNION ALL SELECT 2, 'p_brand', greatest(17, max(length(p_brand))) FROM part UNION ALL SELECT 3, 'p_type', greatest(4, max(length(p_type))) FROM part)

@@ -46,6 +46,47 @@ class Pages:
         return [Frame(f"f{i}", f"p{i // self.per_page}", self.height_pt) for i in range(int(n))]
 
 
+@dataclass(frozen=True)
+class TableOptions:
+    row_pt: float = 14.0
+    char_pt: float = 6.0
+    pad_pt: float = 4.0
+    header: bool = True
+
+
+@dataclass(frozen=True)
+class Table:
+    """``columns`` (``ord, name, width_pt, x_pt``), ``rows`` (``row_no, header, y_pt, height_pt, text``: cells joined by tabs),
+    ``rules`` (``rule, x1_pt, y1_pt, x2_pt, y2_pt``: lines at all borders of rows and columns) and the content ``box``
+    (``n_columns, n_rows, width_pt, height_pt``, the header counted) of one table. Places are from its upper left corner."""
+
+    columns: DataFrame
+    rows: DataFrame
+    rules: DataFrame
+    box: DataFrame
+
+
+def table_layout(df: DataFrame, columns: dict[str, str], keys: list[str], o: TableOptions = TableOptions()) -> Table:
+    """A whole table in the order of ``keys`` and then its other columns; ``columns`` gives headers by name. Null cells are empty;
+    an empty table has its header alone."""
+    spark, top = df.sparkSession, int(o.header)
+    widths = column_widths(df, columns, o.char_pt, o.pad_pt)
+    cells = F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), "\t")
+    body = row_offsets(stable_index(df, total_order(df, keys)), o.row_pt, top)
+    rows = body.select((F.col("row_idx") + top).alias("row_no"), F.lit(False).alias("header"), "y_pt", F.lit(o.row_pt).alias("height_pt"), cells.alias("text"))
+    if o.header:
+        rows = rows.unionByName(spark.range(1).select(F.col("id").alias("row_no"), F.lit(True).alias("header"), F.lit(0.0).alias("y_pt"), F.lit(o.row_pt).alias("height_pt"), F.lit("\t".join(columns.values())).alias("text")))
+    # Two scalars, each of an aggregate with partial sums.
+    width = widths.agg(F.sum("width_pt")).scalar()
+    n_rows = df.agg(F.count("*") + top).scalar()
+    box = spark.range(1).select(F.lit(len(columns)).cast("long").alias("n_columns"), n_rows.alias("n_rows"), width.alias("width_pt"), (n_rows * o.row_pt).alias("height_pt"))
+    across = rows.select("y_pt").unionByName(spark.range(1).select((n_rows * o.row_pt).alias("y_pt")))
+    across = across.select(F.lit("row").alias("rule"), F.lit(0.0).alias("x1_pt"), F.col("y_pt").alias("y1_pt"), width.alias("x2_pt"), F.col("y_pt").alias("y2_pt"))
+    edges = widths.select((F.col("x_pt") + F.col("width_pt")).alias("x_pt")).unionByName(spark.range(1).select(F.lit(0.0).alias("x_pt")))
+    down = edges.select(F.lit("column").alias("rule"), F.col("x_pt").alias("x1_pt"), F.lit(0.0).alias("y1_pt"), F.col("x_pt").alias("x2_pt"), (n_rows * o.row_pt).alias("y2_pt"))
+    return Table(widths, rows, across.unionByName(down), box)
+
+
 def column_widths(df: DataFrame, columns: dict[str, str], char_pt: float = 6.0, pad_pt: float = 4.0) -> DataFrame:
     """``ord, name, width_pt, x_pt`` from column name to header: the longest text of header and cells, in one aggregate."""
     longest = [F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0))).alias(c) for c, h in columns.items()]

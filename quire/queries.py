@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import formats, logic, maths, temporal, text
-from quire.functions.fx import add, compare, concat, display, div, equal, field, mul
+from quire.functions.fx import add, compare, concat, display, div, equal, field, mul, param
 from quire.functions.sql import register
 from quire.operators import bind, codes, govern, ordered, revisions, shape, sync
 from quire.plans import batch, flow, layout
@@ -237,6 +237,36 @@ def image_reference_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("i.kind", "i.status").agg(F.count("*").alias("n"), F.count(bind.placeable(F.col("i"))).alias("placeable"), F.countDistinct("i.ref").alias("refs"))
 
 
+@query
+def inline_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines under the words of a lookup table that comes with the recipe; codes that it has not are kept without."""
+    words = files.seed(spark, [("A", "accepted"), ("R", "returned")], "flag string, word string")
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.join(words, lines.l_returnflag == words.flag, "left").groupBy("l_returnflag", "word").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query
+def bound_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters in expressions: one that is bound, and one that is not and so is null."""
+    p, given = load(spark, sf_dir, "part"), {"rate": 1.5, "note": "net"}
+    price = mul(field(p, "p_size"), param(given, "rate"))
+    return p.select("p_partkey", price.value.alias("price"), display(concat(param(given, "note"), " ", field(p, "p_size"), param(given, "absent"))).alias("shown"), equal(param(given, "absent"), None).value.alias("absent"))
+
+
+@query
+def mixed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one JSON column that are numbers, numeric texts, booleans, nulls, texts and objects, in expressions with another."""
+    m, value = F.col("event_id") % 6, F.col("value").cast("string")
+    cell = (
+        F.when(m == 0, value).when(m == 1, F.concat(F.lit('"'), value, F.lit('"'))).when(m == 2, (F.col("event_id") % 12 == 2).cast("string"))
+        .when(m == 3, "null").when(m == 4, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("props"))
+    )
+    e = load(spark, sf_dir, "events").select("event_id", F.try_parse_json(cell).alias("a"), F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").alias("b"))
+    a, b = field(e, "a"), field(e, "b")
+    total = add(a, b)
+    return e.select("event_id", display(a).alias("shown"), total.value.alias("total"), total.err.alias("total_error"), equal(a, b).value.alias("same"), compare("<", a, b).value.alias("less"), logic.isblank(a).value.alias("blank"))
+
+
 @query
 def origin_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
@@ -349,6 +379,16 @@ def resolve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("binding_id").cast("long").alias("binding_id"))
 
 
+@query
+def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not linked after each nation's orders of one customer segment changed."""
+    c = load(spark, sf_dir, "customer")
+    state = c.select(F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").alias("query_id"), F.expr("CASE c_custkey % 7 WHEN 0 THEN 'pinned' WHEN 1 THEN 'overridden' ELSE 'linked' END").alias("status"))
+    late = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    changed = c.where("c_mktsegment = 'BUILDING'").join(late, c.c_custkey == late.o_custkey, "left_semi").select(F.col("c_nationkey").alias("query_id"))
+    return sync.sync_report(sync.transition(state, changed))
+
+
 @query
 def invalidation_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").alias("query_id"))
@@ -372,6 +412,11 @@ def variable_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", v.display.alias("shown"), h.display.alias("or_blank"), h.hidden.alias("hidden"), bind.barcode_value(nick).status.alias("code_status"))
 
 
+@query
+def batch_plan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.plan_catalog(load(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+
+
 @query
 def batch_plan_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey")
@@ -467,6 +512,26 @@ def table_layout_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_widths(load(spark, sf_dir, "part"), {"p_partkey": "Part", "p_name": "Name", "p_brand": "Brand of the part", "p_type": "Type"})
 
 
+def _table(spark: SparkSession, sf_dir: str) -> layout.Table:
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return layout.table_layout(part, {"p_brand": "Brand of the part", "p_name": "Name", "p_partkey": "Part"}, ["p_brand", "p_partkey"])
+
+
+@query
+def table_layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).rows
+
+
+@query
+def table_layout_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).rules
+
+
+@query
+def table_layout_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).box
+
+
 def _catalog_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tables = {t: load(spark, sf_dir, t) for t in TABLES}
     return govern.column_catalog(spark, tables), govern.column_profile(tables)

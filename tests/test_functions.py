@@ -54,3 +54,33 @@ def test_sql_functions_beyond_bigint(spark):
     register(spark)
     row = spark.sql("SELECT fx_floor(1e19D), fx_ceiling(-1e19D), fx_round(1e19D), fx_trunc(-1e19D), fx_round(0.49999999999999994D), fx_round(-2.5D), fx_mod(1e19D, 7D) < 7, fx_floor(-1.5D), fx_trunc(-2.9D)").first()
     assert list(row) == [1e19, -1e19, 1e19, -1e19, 0.0, -3.0, True, -2.0, -2.0]
+
+
+def test_mixed_cells_are_as_typed_ones(spark):
+    """Operators over cells of VARIANT columns against the same values with kinds known beforehand."""
+    import json
+
+    from quire.functions.fx import as_bool, as_date, field
+
+    cells = [None, True, False, 0, 7, -3, 2.5, "7", "2.50", "", "yes", "abc", "2026-06-08", "2026-02-31", 1e300, 20_000]
+    ops = {
+        "display": display, "add": lambda a: add(a, 7).value, "add_error": lambda a: add(a, 7).err, "equal": lambda a: equal(a, "7").value, "less": lambda a: compare("<", a, 7).value,
+        "bool": lambda a: as_bool(a).value, "date": lambda a: as_date(a).value, "date_error": lambda a: as_date(a).err, "blank": lambda a: call("ISBLANK", a).value, "upper": lambda a: display(call("UPPER", a)),
+    }
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(cells)], "i int, a string").selectExpr("i", "parse_json(a) AS a")
+    got = {n: {r.i: r.x for r in df.select("i", f(field(df, "a")).alias("x")).collect()} for n, f in ops.items()}
+    kinds = {type(None): "string", bool: "boolean", int: "bigint", float: "double", str: "string"}
+    for kind, dtype in kinds.items():
+        typed = spark.createDataFrame([(i, a) for i, a in enumerate(cells) if type(a) is kind], f"i int, a {dtype}")
+        for r in typed.select("i", *(f(None if a is None else field(typed, "a")).alias(n) for n, f in ops.items() for a in [None if kind is type(None) else "a"])).collect():
+            assert r.asDict() == {"i": r.i} | {n: got[n][r.i] for n in ops}, cells[r.i]
+
+
+def test_mixed_cells_of_other_kinds(spark):
+    """Dates, times, bytes, objects, absent columns' nulls and a whole column without cells."""
+    from quire.functions.fx import as_date, field
+
+    df = spark.sql("SELECT variant_get(to_variant_object(named_struct('d', DATE'2026-06-08', 't', TIMESTAMP'2026-06-08 10:00:00', 'b', X'0102', 'o', named_struct('k', 1))), p, 'variant') AS v FROM VALUES ('$.d'), ('$.t'), ('$.b'), ('$.o'), ('$.none') AS t(p)")
+    rows = df.select(display(field(df, "v")), display(as_date(field(df, "v"))), display(add(field(df, "v"), 1))).collect()
+    assert [tuple(r) for r in rows] == [("2026-06-08", "2026-06-08", "20613"), ("2026-06-08 10:00:00", "2026-06-08", "1780912800001"), ("<2 bytes>", "#TYPE", "#TYPE"), ('{"k":1}', "#PARSE", "#TYPE"), ("", "#MISSING", "1")]
+    assert spark.sql("SELECT parse_json('1') AS v WHERE false").transform(lambda d: d.select(display(field(d, "v")))).count() == 0

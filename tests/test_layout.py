@@ -2,6 +2,7 @@
 
 import random
 
+from quire.plans import layout
 from quire.plans.batch import run_batch
 from quire.plans.layout import FlowOptions, Frame, Pages, column_widths, flow_summary, paginate, place_sections
 from quire.queries import QUERIES
@@ -135,3 +136,19 @@ def test_pages_are_enough():
 def test_widths(spark):
     df = spark.createDataFrame([("abc", 1), ("", 12345)], "a string, b long")
     assert [(r.name, r.width_pt, r.x_pt) for r in column_widths(df, {"a": "A", "b": "B"}).orderBy("ord").collect()] == [("a", 26.0, 0.0), ("b", 38.0, 26.0)]
+
+
+def test_table_layout(spark):
+    """Rows, rules and box of a small table against a plain walk; tables without rows or header."""
+    rows = [(2, "bb", None), (1, "a", "long cell"), (2, "bb", None)]
+    df = spark.createDataFrame(rows, "k int, name string, note string")
+    for frame, header in ((df, True), (df, False), (df.where("k > 9"), True), (df.where("k > 9"), False)):
+        o = layout.TableOptions(row_pt=10.0, char_pt=5.0, pad_pt=1.0, header=header)
+        table = layout.table_layout(frame, {"k": "Key", "note": "Note"}, ["k"], o)
+        kept = sorted(rows, key=lambda r: r[0]) if frame is df else []
+        lines = ["Key\tNote"] * header + [f"{k}\t{note or ''}" for k, _, note in kept]
+        widths = [17.0, 5.0 * max([4, *(len(n or "") for _, _, n in kept)]) + 2]
+        assert [(r.row_no, r.header, r.y_pt, r.height_pt, r.text) for r in table.rows.orderBy("row_no").collect()] == [(i, header and i == 0, 10.0 * i, 10.0, t) for i, t in enumerate(lines)]
+        assert tuple(table.box.first()) == (2, len(lines), sum(widths), 10.0 * len(lines))
+        want = [("row", 0.0, 10.0 * i, sum(widths), 10.0 * i) for i in range(len(lines) + 1)] + [("column", x, 0.0, x, 10.0 * len(lines)) for x in (0.0, widths[0], sum(widths))]
+        assert sorted(tuple(r) for r in table.rules.collect()) == sorted(want)
