@@ -29,6 +29,8 @@ class Fx:
     value: Column
     err: Column
     kind: str
+    #: Of a mixed value: columns that hold its cells by kind, and their kind.
+    cells: dict[str, Column] | None = None
 
 
 def no_error() -> Column:
@@ -73,7 +75,8 @@ def field(df: DataFrame, name: str) -> Fx:
     kind = kind_of(df.schema[name].dataType)
     c = df[name]
     if kind == "mixed":
-        return Fx(F.when(~F.is_variant_null(c), c), no_error(), kind)
+        held = {k: df[f"{name}__{k}"] for k in (KIND, *CELL_KINDS)} if f"{name}__{KIND}" in df.columns else None
+        return Fx(F.when(~F.is_variant_null(c), c), no_error(), kind, held)
     return Fx(c.cast("bigint") if kind == "int" else c.cast("double") if kind == "num" else c if kind in ("bool", "date", "time", "bytes") else c.cast("string"), no_error(), kind)
 
 
@@ -90,14 +93,30 @@ def of(x: object) -> Fx:
 CELL_KINDS = {"bool": ("BOOLEAN", "boolean"), "int": ("BIGINT", "bigint"), "num": ("DECIMAL|DOUBLE|FLOAT", "double"), "date": ("DATE", "date"), "time": ("TIMESTAMP", "timestamp"), "bytes": ("BINARY", "binary"), "text": ("STRING|OBJECT|ARRAY", "string")}
 
 
+KIND = "cell_kind"
+
+
+def cells_of(v: Column) -> dict[str, Column]:
+    told = F.schema_of_variant(v)
+    kind = F.lit(None).cast("string")
+    for k, (names, _) in CELL_KINDS.items():
+        kind = F.when(told.rlike(f"^(?:{names})"), k).otherwise(kind)
+    return {KIND: kind} | {k: F.when(told.rlike(f"^(?:{names})"), F.try_variant_get(v, "$", dtype)) for k, (names, dtype) in CELL_KINDS.items()}
+
+
+def unpacked(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the cells of VARIANT columns in columns ``<name>__<kind>``, so that expressions read each cell's kind and value once
+    and stay small enough for generated code; :func:`field` finds them."""
+    return df.withColumns({f"{n}__{k}": c for n in names for k, c in cells_of(F.col(n)).items()})
+
+
 def of_cells(f: Callable[[Fx], Column], x: Fx) -> Column:
     """``f`` of each cell of a mixed value by the cell's own kind; absent cells and JSON's null are of kind ``null``."""
-    told = F.schema_of_variant(x.value)
+    held = x.cells or cells_of(x.value)
     out = None
-    for kind, (names, dtype) in CELL_KINDS.items():
-        here = told.rlike(f"^(?:{names})")
-        part = f(Fx(F.when(here, F.try_variant_get(x.value, "$", dtype)), x.err, kind))
-        out = F.when(here, part) if out is None else out.when(here, part)
+    for kind in CELL_KINDS:
+        part = f(Fx(held[kind], x.err, kind))
+        out = F.when(held[KIND] == kind, part) if out is None else out.when(held[KIND] == kind, part)
     return out.otherwise(f(Fx(F.lit(None).cast("string"), x.err, "null")))
 
 

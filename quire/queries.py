@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import formats, logic, maths, temporal, text
-from quire.functions.fx import add, compare, concat, display, div, equal, field, mul, param
+from quire.functions.fx import add, compare, concat, display, div, equal, field, mul, param, unpacked
 from quire.functions.sql import register
 from quire.operators import bind, codes, govern, ordered, revisions, shape, sync
 from quire.plans import batch, flow, layout
@@ -262,6 +262,7 @@ def mixed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 3, "null").when(m == 4, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("props"))
     )
     e = load(spark, sf_dir, "events").select("event_id", F.try_parse_json(cell).alias("a"), F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").alias("b"))
+    e = unpacked(e, "a", "b")
     a, b = field(e, "a"), field(e, "b")
     total = add(a, b)
     return e.select("event_id", display(a).alias("shown"), total.value.alias("total"), total.err.alias("total_error"), equal(a, b).value.alias("same"), compare("<", a, b).value.alias("less"), logic.isblank(a).value.alias("blank"))

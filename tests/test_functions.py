@@ -60,14 +60,14 @@ def test_mixed_cells_are_as_typed_ones(spark):
     """Operators over cells of VARIANT columns against the same values with kinds known beforehand."""
     import json
 
-    from quire.functions.fx import as_bool, as_date, field
+    from quire.functions.fx import as_bool, as_date, field, unpacked
 
     cells = [None, True, False, 0, 7, -3, 2.5, "7", "2.50", "", "yes", "abc", "2026-06-08", "2026-02-31", 1e300, 20_000]
     ops = {
         "display": display, "add": lambda a: add(a, 7).value, "add_error": lambda a: add(a, 7).err, "equal": lambda a: equal(a, "7").value, "less": lambda a: compare("<", a, 7).value,
         "bool": lambda a: as_bool(a).value, "date": lambda a: as_date(a).value, "date_error": lambda a: as_date(a).err, "blank": lambda a: call("ISBLANK", a).value, "upper": lambda a: display(call("UPPER", a)),
     }
-    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(cells)], "i int, a string").selectExpr("i", "parse_json(a) AS a")
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(cells)], "i int, a string").selectExpr("i", "parse_json(a) AS a").transform(lambda d: unpacked(d, "a"))
     got = {n: {r.i: r.x for r in df.select("i", f(field(df, "a")).alias("x")).collect()} for n, f in ops.items()}
     kinds = {type(None): "string", bool: "boolean", int: "bigint", float: "double", str: "string"}
     for kind, dtype in kinds.items():
