@@ -144,6 +144,14 @@ UNION ALL SELECT section_ord, CAST(2 AS INTEGER), CAST(0 AS INTEGER), CAST(-1 AS
     "text_export": """
 WITH l AS (SELECT 'o_orderkey' || chr(9) || 'o_orderstatus' AS line UNION ALL SELECT o_orderkey || chr(9) || coalesce(o_orderstatus, '') FROM orders)
 SELECT count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, count(*) FILTER (starts_with(line, 'o_')) AS n_headers, TRUE AS header_first FROM l""",
+    "packed_orders": """
+SELECT l_orderkey, count(*) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS line_numbers FROM lineitem GROUP BY l_orderkey""",
+    "landed_tree_keys": """
+WITH t AS (SELECT o_orderkey // 8192 AS export, string_agg(o_orderkey || chr(9) || o_custkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1),
+b AS (SELECT export, body, unnest(range(0, CAST((length(body) + 4095) // 4096 AS BIGINT))) AS node FROM t),
+leaf AS (SELECT export, length(body) AS n_bytes, node, sha256(substr(body, CAST(node * 4096 + 1 AS BIGINT), 4096)) AS digest FROM b),
+up AS (SELECT export, n_bytes, node // 4 AS node, count(*) AS n, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM leaf GROUP BY export, n_bytes, node // 4)
+SELECT export, n_bytes, CAST(sum(n) AS BIGINT) AS n_blocks, sha256(string_agg(digest, '' ORDER BY node)) AS root FROM up GROUP BY export, n_bytes""",
     "formatted_price_list": f"""
 SELECT row_number() OVER (ORDER BY {PART_ORDER}) - 1 AS row_idx, p_name AS name, '$' || format('{{:,.2f}}', p_retailprice) AS price, {_de("format('{:,.2f}', p_retailprice)")} || ' €' AS price_de,
   format('{{:,.0f}}', p_retailprice) AS rounded, format('{{:,.1f}}', p_size / 50.0::DOUBLE * 100) || '%' AS share FROM part""",

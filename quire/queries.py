@@ -14,12 +14,15 @@ from quire.functions.fx import add, compare, concat, display, div, equal, field,
 from quire.functions.sql import register
 from quire.operators import bind, codes, govern, ordered, revisions, shape, sync
 from quire.plans import batch, flow, layout
-from quire.sources import files
+from quire.sources import blocks, files, packed
 from quire.streaming.refresh import land_marker, land_rows, refresh
 from quire.streaming.state import BindingState
 
 RUN_DATE = date(2026, 6, 8)
 CHAIN = layout.Pages(400.0)
+#: Keys of an exported file, and bytes of a block of its hash tree.
+EXPORT_KEYS = 8192
+EXPORT_BLOCK = 4096
 ALLOWED = ("https://therin.example.net", "http://therha.example.com", "https://m.thther.example.org")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -86,6 +89,29 @@ def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.crossJoin(size).select("n_lines", "n_bytes", "n_headers", (F.col("__at") == F.col("__first")).alias("header_first"))  # a row each
 
 
+@query
+def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed as a document for each order, and read back: rows, quantity, the line numbers in order, pieces."""
+    path = f"{shape.shared_folder(spark)}/quire-packed-{uuid.uuid4().hex}"
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    packed.pack_documents(lines, "l_orderkey", ["l_linenumber"], path)
+    back = packed.read_packed(spark, path, lines.schema)
+    placed = F.array_sort(F.collect_list(F.struct("__part", "__pos", "l_linenumber")))
+    return back.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.sum("l_quantity").cast("double").alias("quantity"), F.array_join(F.transform(placed, lambda x: x["l_linenumber"].cast("string")), ",").alias("line_numbers"))
+
+
+@query
+def landed_tree_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as one text for each ``EXPORT_KEYS`` keys, and the hash tree of each of these files, from ranges of four blocks."""
+    path = f"{shape.shared_folder(spark)}/quire-exports-{uuid.uuid4().hex}"
+    o = load(spark, sf_dir, "orders")
+    lines = o.select(F.floor(F.col("o_orderkey") / EXPORT_KEYS).cast("long").alias("export"), "o_orderkey", F.concat_ws("\t", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"))
+    lines = lines.repartition("export").sortWithinPartitions("export", "o_orderkey", "value").select("export", "value")
+    lines.write.partitionBy("export").text(path)
+    trees = blocks.tree_hashes(spark, path, block=EXPORT_BLOCK, fanout=4, levels=1, split=4 * EXPORT_BLOCK)
+    return trees.select(F.regexp_extract("path", r"export=(\d+)", 1).cast("long").alias("export"), "n_bytes", "n_blocks", "root")
+
+
 @query
 def formatted_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")

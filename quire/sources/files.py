@@ -49,8 +49,9 @@ def governed_extract(spark: SparkSession, path: str, fmt: str, sidecar_path: str
 
 
 def landed_fingerprints(spark: SparkSession, folder: str, url: str, fmt: str, params: dict[str, str] | None = None, whole: bool = True) -> DataFrame:
-    """``path, key`` of landed files: a hash of the descriptor and of the content. ``whole=False`` hashes path, length and
-    time instead, for files over 2 GB, which Spark does not read as one value."""
+    """``path, key`` of landed files: a hash of the descriptor and of the content. Spark does not read
+    files over 2 GB as one value: :func:`quire.sources.blocks.tree_fingerprints` hashes those, and ``whole=False`` only their path,
+    length and time."""
     descriptor = hashlib.sha256(json.dumps([url, fmt, sorted((params or {}).items())]).encode()).hexdigest()
     files = spark.read.format("binaryFile").load(folder)
     content = F.sha2("content", 256) if whole else F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256)
