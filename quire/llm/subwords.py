@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import fresh
-from quire.llm.textkit import mix
+from quire.llm.textkit import mix, release
 
 #: A unit begins at each run of spaces; a line feed, and the character that stands for a space, are units of their own.
 UNIT = re.compile(" +[^ \n▁]*|[^ \n▁]+|\n|▁")
@@ -43,7 +43,8 @@ UNITS_KEPT = 250_000
 UNITS_BETWEEN = 80_000
 #: Log mass, against a row's whole mass, below which sets of paths are not told from none: far under double precision.
 NONE_LEFT = -80.0
-CHUNK_CHARS = 1_000_000
+#: Characters that are worked on at once; more take memory and save no time.
+CHUNK_CHARS = 250_000
 #: Leading bits of a hash that say where to look for it.
 SLOT_BITS = 17
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -517,6 +518,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 columns = [batch.column(0).slice(first, len(texts)), lists(best), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), parts)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "round_trip", "samples"])
         units.shrink(UNITS_BETWEEN)
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     seeded = docs.select(id_col, F.col(text_col), F.xxhash64(id_col).alias(*fresh(docs, "seed")))

@@ -6,6 +6,7 @@ longest text) and not the batch. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Give memory that a task no longer holds back to the system: workers stay for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def byte_class(separators: bytes) -> np.ndarray:
     """Which bytes belong to words, when all others are given."""
     keep = np.ones(256, dtype=bool)
