@@ -16,8 +16,9 @@
    merely are both altered share no rare edit.
 5. Lists of edits are treated as lists of values were: the member with the fewest edits is tested with all others, round by
    round as long as that links something, so a family of N altered copies costs N pairs. Where two components of several
-   texts still meet, the texts that meet are compared with one centre of the two, as in 4. Only pairs of texts that are in
-   different components after all that, and share enough rare edits, are compared one by one.
+   texts still meet, the texts that meet are compared with one centre of the two, as in 4. Pairs of texts that are in
+   different components after all that, share enough rare edits and were not both compared with such a centre are compared
+   one by one. What is compared how is a matter of cost; the components are those of all links either way.
 """
 
 from __future__ import annotations
@@ -37,8 +38,7 @@ from quire.llm.textkit import SPACED, Words, chain, mix, words
 SHINGLE = 5
 #: Retained values, and how many of them two linked sketches of full length share at least.
 SKETCH = 128
-#: Where parts have more pairs of texts that share edits than so many a text, those with ``SEVERAL`` texts each get a centre.
-MEETINGS = 16
+#: Two parts that have so many texts each in one list of edits get a centre. Which pairs are compared depends on it, links don't.
 SEVERAL = 4
 
 
@@ -173,7 +173,7 @@ def may_share(x: str, y: str, percent: int) -> Column:
 def within_centres(tested: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int, deeper: bool = True) -> DataFrame:
     """``links`` and those that connect texts of one group: rows ``a, b`` of ``tested`` have their edits against the centre of
     group b. ``labels`` (``node, part``) tell what is known to be connected. ``deeper`` allows a centre for each two parts
-    that still meet."""
+    with ``SEVERAL`` texts each in a list that still meet; pairs of texts that it doesn't decide are compared one by one."""
     lists = written(edit_lists(tested, percent), "edits")
     if lists.isEmpty():
         return links
@@ -203,25 +203,29 @@ def within_centres(tested: DataFrame, links: DataFrame, labels: DataFrame, sets:
         used = written(heads if used is None else used.union(heads).distinct(), "used")
     # What is left are members of different parts. Of parts with several texts in a list, some meet in very many pairs.
     still = still.drop("s")
-    large = written(still.groupBy("b", "h", "part").agg(F.count("*").alias("m")).where(F.col("m") >= SEVERAL), "large")
-    sizes = large.groupBy("b", "h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-    most, texts = sizes.agg(F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("same")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    done = F.array().cast("array<bigint>")
-    if deeper and most > MEETINGS * texts:
+    done = F.lit(False)
+    if deeper:
+        large = written(still.groupBy("b", "h", "part").agg(F.count("*").alias("m")).where(F.col("m") >= SEVERAL), "large")
         x, y = large.alias("x"), large.alias("y")
         meet = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")))
         meet = written(meet.select("x.b", "x.h", "x.part", F.least("x.part", "y.part").alias("lo"), F.greatest("x.part", "y.part").alias("hi")), "meet")
-        both = still.join(meet, ["b", "h", "part"]).groupBy("lo", "hi", "a").agg(F.min("e").alias("e"), F.min("linked").alias("linked"))
+        deeper = not meet.isEmpty()
+    if deeper:
+        both = still.join(meet, ["b", "h", "part"]).groupBy("lo", "hi", "part", "a").agg(F.min("e").alias("e"), F.min("linked").alias("linked"))
+        both = written(both, "both")
         centres = written(both.where("not linked").groupBy("lo", "hi").agg(F.min(F.struct("e", "a"))["a"].alias("b")), "centres")
-        members = written(both.join(centres, ["lo", "hi"]).where("a <> b").select("a", "b", F.struct("lo", "hi").alias("two")), "pairs")
+        both = both.join(centres, ["lo", "hi"])
+        members = written(both.where("a <> b").select("a", "b", F.struct("lo", "hi").alias("two")), "pairs")
         again = written(verified(written(members.select("a", "b").distinct(), "pairs"), sets, k, percent, edits=True), "stars")
         linked = again.where("linked").select("a", "b")
         again = again.join(members, ["a", "b"]).select("a", F.col("two").alias("b"), "na", "nb", "linked", "edits")
         links = within_centres(again, links.union(linked), written(joined(labels, linked), "labels"), sets, k, percent, deeper=False)
-        sides = centres.select(F.col("lo").alias("part"), F.col("hi").alias("other")).union(centres.select("hi", "lo"))
-        still = still.join(written(sides.groupBy("part").agg(F.collect_set("other").alias("done")), "done"), "part", "left")
-        done = F.coalesce("x.done", done)
-    apart = (F.col("x.b") == F.col("y.b")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & ~F.array_contains(done, F.col("y.part")) & may_share("x.", "y.", percent)
+        # Decided are pairs of which both texts were compared with the centre of their parts: a text may also be in lists without it.
+        other = F.when(F.col("part") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+        seen = written(both.groupBy("a").agg(F.collect_set(other).alias("seen")), "seen")
+        still = still.join(seen, "a", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
+        done = F.array_contains("x.seen", F.col("y.part")) & F.array_contains("y.seen", F.col("x.part"))
+    apart = (F.col("x.b") == F.col("y.b")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & ~done & may_share("x.", "y.", percent)
     strong = still.where("not linked and left >= strong")
     pairs = still.where("not linked").alias("x").join(still.where("linked").alias("y"), apart).select("x.a", F.col("y.a").alias("b"))
     pairs = pairs.union(strong.alias("x").join(strong.alias("y"), apart & (F.col("x.a") < F.col("y.a"))).select("x.a", F.col("y.a").alias("b"))).distinct()

@@ -102,6 +102,25 @@ def test_near_dedup_families(spark, monkeypatch, n_families, n):
     assert sum(compared) <= 16 * len(rows)
 
 
+@pytest.mark.parametrize("n", [2, 5, 20])
+def test_near_dedup_parts_that_meet(spark, n):
+    """Parts 1 and 2 meet in lists of n texts of each; the one link between them is of two texts that are in none of these lists.
+    It is found whatever n is. Texts are the centre's 100 shingles and 40 more, so two are linked if they share 20 of these."""
+    extras = {1: [*range(1000, 1019), *range(2000, 2021)], 2: [*range(3000, 3020), *range(4000, 4020)], 3: [*range(1000, 1019), *range(3000, 3020), 9000]}
+    parts = {1: 3, 2: 2, 3: 1}
+    for i in range(21):  # so that all that text 1 holds is shared
+        extras[50 + i], parts[50 + i] = [2000 + i, *range(20_000 + 40 * i, 20_039 + 40 * i)], 3
+    for i in range(2 * n):
+        extras[100 + i], parts[100 + i] = [*range(5000, 5005), *range(50_000 + 40 * i, 50_035 + 40 * i)], 1 + i % 2
+    sets = spark.createDataFrame([(0, list(range(100))), *((a, [*range(100), *x]) for a, x in extras.items())], "id long, hashes array<long>")
+    pairs = near_dedup_module.written(spark.createDataFrame([(a, 0) for a in extras], "a long, b long"), "pairs")
+    sets = near_dedup_module.written(sets, "sets")
+    labels = near_dedup_module.written(spark.createDataFrame(list(parts.items()), "node long, part long"), "labels")
+    tested = near_dedup_module.written(near_dedup_module.verified(pairs, sets, 128, 75, edits=True), "stars")
+    found = near_dedup_module.within_centres(tested, tested.where("linked").select("a", "b"), labels, sets, 128, 75)
+    assert {tuple(sorted(r)) for r in found.collect()} == {(2, 3)}
+
+
 def test_near_dedup_shared_ids(spark):
     """Rows that share an id but not the text are linked each by its own text."""
     x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
