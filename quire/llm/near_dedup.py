@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.shared import written
+from quire.llm.shared import discard, written
 from quire.llm.textkit import SPACED, Words, chain, mix, words
 
 SHINGLE = 5
@@ -110,13 +110,15 @@ def alike(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, edits: bool = False) -> DataFrame:
-    """Those of ``a, b`` whose full sets are alike; with ``edits`` all of them, ``linked`` or not, and where they differ.
+    """Those of ``a, b`` whose full sets are alike, written; with ``edits`` all of them, ``linked`` or not, and where they differ.
 
-    ``b`` may be the centre of very many pairs. ``pairs`` and ``sets`` are written tables, so a partition of that join with a hot
-    ``b`` can be split; the second join is on ``a``, which has few.
+    ``b`` may be the centre of very many pairs. ``pairs`` and the sets that they need are written tables, so a partition of that
+    join with a hot ``b`` can be split; the second join is on ``a``, which has few. Rounds with few pairs don't shuffle all sets.
     """
-    right = pairs.join(sets, pairs.b == sets.id).select("a", "b", F.col("hashes").alias("hb"))
-    both = right.join(sets, right.a == sets.id).select("a", "b", F.col("hashes").alias("ha"), "hb")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    some = written(sets.join(ids, "id", "left_semi"), "some")
+    right = pairs.join(some, pairs.b == some.id).select("a", "b", F.col("hashes").alias("hb"))
+    both = right.join(some, right.a == some.id).select("a", "b", F.col("hashes").alias("ha"), "hb")
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,9 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, edits: boo
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(ok, pa.bool_()), apart], ["a", "b", "na", "nb", "linked", "edits"])
             yield out if edits else out.filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, linked boolean, edits array<long>")
+    out = written(both.mapInArrow(run, "a long, b long, na long, nb long, linked boolean, edits array<long>"), "stars" if edits else "links")
+    discard(some)
+    return out
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ def within_centres(tested: DataFrame, links: DataFrame, labels: DataFrame, sets:
         pairs = written(met.groupBy("b", "a").agg(F.max(F.struct("c", (-F.col("se")).alias("few"), "head")).alias("x")).select("b", "a", F.col("x.head").alias("head")), "pairs")
         if pairs.isEmpty():
             break
-        linked = written(verified(written(pairs.select("a", F.col("head").alias("b")).distinct(), "pairs"), sets, k, percent).select("a", "b"), "links")
+        linked = verified(written(pairs.select("a", F.col("head").alias("b")).distinct(), "pairs"), sets, k, percent).select("a", "b")
         if linked.isEmpty():
             break
         links = links.union(linked)
@@ -216,7 +220,7 @@ def within_centres(tested: DataFrame, links: DataFrame, labels: DataFrame, sets:
         centres = written(both.where("not linked").groupBy("lo", "hi").agg(F.min(F.struct("e", "a"))["a"].alias("b")), "centres")
         both = both.join(centres, ["lo", "hi"])
         members = written(both.where("a <> b").select("a", "b", F.struct("lo", "hi").alias("two")), "pairs")
-        again = written(verified(written(members.select("a", "b").distinct(), "pairs"), sets, k, percent, edits=True), "stars")
+        again = verified(written(members.select("a", "b").distinct(), "pairs"), sets, k, percent, edits=True)
         linked = again.where("linked").select("a", "b")
         again = again.join(members, ["a", "b"]).select("a", F.col("two").alias("b"), "na", "nb", "linked", "edits")
         links = within_centres(again, links.union(linked), written(joined(labels, linked), "labels"), sets, k, percent, deeper=False)
@@ -230,7 +234,7 @@ def within_centres(tested: DataFrame, links: DataFrame, labels: DataFrame, sets:
     pairs = still.where("not linked").alias("x").join(still.where("linked").alias("y"), apart).select("x.a", F.col("y.a").alias("b"))
     pairs = pairs.union(strong.alias("x").join(strong.alias("y"), apart & (F.col("x.a") < F.col("y.a"))).select("x.a", F.col("y.a").alias("b"))).distinct()
     pairs = written(pairs, "pairs")
-    return links if pairs.isEmpty() else links.union(written(verified(pairs, sets, k, percent).select("a", "b"), "links"))
+    return links if pairs.isEmpty() else links.union(verified(pairs, sets, k, percent).select("a", "b"))
 
 
 def postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -260,8 +264,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent:
     """Links ``a, b`` that connect whatever is connected by similarity, between rows of ``nodes`` (``id, n, sketch``).
 
     ``docs`` (``id, text``) holds the texts. Not all links are returned: members of one component are not compared again.
+    ``nodes`` is a table from ``written``; it is deleted when its values are listed.
     """
     lists = written(postings(nodes, k, percent), "lists")
+    discard(nodes)
     centre = F.max(F.struct("score", (-F.col("id")).alias("neg"), "n", "left")).alias("c")
     heads = written(lists.groupBy("value").agg(F.count("*").alias("m"), centre).where("m > 1").select("value", "c"), "heads")
     lists = lists.join(heads, "value").select("value", "id", "n", "score", "left", (-F.col("c.neg")).alias("b"), F.col("c.score").alias("cs"), F.col("c.n").alias("c_n"), F.col("c.left").alias("c_left"))
@@ -269,7 +275,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent:
     sets = sets_of(docs, lists.select("id").distinct(), size)
     stars = lists.where((F.col("id") != F.col("b")) & may_link("", "c_", k, percent)).groupBy("id", "b").agg(F.count("*").alias("c"), F.max("cs").alias("cs"))
     first = written(stars.groupBy("id").agg(F.max(F.struct("c", "cs", "b")).alias("x")).select(F.col("id").alias("a"), "x.b", "x.cs"), "pairs")
-    tested = written(verified(first.select("a", "b"), sets, k, percent, edits=True), "stars")
+    tested = verified(first.select("a", "b"), sets, k, percent, edits=True)
     links = written(tested.where("linked").select("a", "b"), "links")
     # Parts: a text is with its centre, and with the centre of that if it has one.
     up = links.select(F.col("a").alias("b"), F.col("b").alias("up"))
@@ -284,13 +290,16 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent:
     groups = ranged.groupBy("value", "range").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.struct("own_cs", "own"))["own"].alias("b")).where("lo <> hi")
     members = written(ranged.join(written(groups.select("value", "range", "b"), "open"), ["value", "range"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "members")
     if members.isEmpty():
+        discard(sets)
         return links
     known = tested.join(members, ["a", "b"], "left_semi")
     fresh_pairs = written(members.join(first, ["a", "b"], "left_anti"), "pairs")
-    again = written(verified(fresh_pairs, sets, k, percent, edits=True), "stars")
+    again = verified(fresh_pairs, sets, k, percent, edits=True)
     linked = again.where("linked").select("a", "b")
     labels = written(joined(labels.where("part is not null").select("node", "part"), linked), "labels")
-    return within_centres(written(known.union(again), "stars"), links.union(linked), labels, sets, k, percent)
+    links = within_centres(written(known.union(again), "stars"), links.union(linked), labels, sets, k, percent)
+    discard(sets)
+    return links
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -299,16 +308,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def labelled(plain: DataFrame, made: DataFrame, size: int, percent: int, k: int) -> DataFrame:
-    """``id, n, label`` for every row of ``made`` (sketches of ``plain``): the smallest id reachable. Equal ids have equal texts."""
+    """``id, n, label`` for every row of ``made`` (sketches of ``plain``): the smallest id reachable. Equal ids have equal texts.
+    ``made`` is a table from ``written``; it is deleted when the sketches of the classes have been taken from it."""
     known = "n > 0 and id is not null"
-    classes = made.where(known).groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    keys = written(made.select("id", "n", "k1", "k2"), "keys")
+    classes = keys.where(known).groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     nodes = made.alias("m").join(classes.alias("c"), (F.col("m.id") == F.col("c.rep")) & (F.col("m.k1") == F.col("c.k1")) & (F.col("m.k2") == F.col("c.k2")))
     nodes = written(nodes.select("m.id", "m.n", "m.sketch", "m.k1", "m.k2").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "sketch"), "nodes")
+    discard(made)
     labels = components(near_links(plain, nodes, size, percent, k))
     # Written, so that both sides of the last join come from shuffles: a class with very many copies can be split.
     placed = written(classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", F.coalesce("label", "rep").alias("label")), "classes")
-    rows = made.where(known).select("id", "n", "k1", "k2").join(placed, ["k1", "k2"], "left").select("id", "n", "label")
-    return rows.union(made.where(f"not ({known})").select("id", "n", F.col("id").alias("label")))
+    rows = keys.where(known).join(placed, ["k1", "k2"], "left").select("id", "n", "label")
+    return rows.union(keys.where(f"not ({known})").select("id", "n", F.col("id").alias("label")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 75, k: int = SKETCH) -> DataFrame:
@@ -328,6 +340,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = labelled(plain, made, size, percent, k).select("id", "n", F.col("label").alias("component_id"))
     else:  # ids that stand for several texts: link by a key of both, and take the smallest id of each component
         keyed = plain.select(F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")).alias("id"), "text", F.col("id").alias("own"))
+        discard(made)
         made = written(sketches(keyed.select("id", "text"), size, k), "sketches")
         owner = keyed.where("id is not null").select(F.col("id").alias("key"), "own").distinct()
         rows = written(labelled(keyed.select("id", "text"), made, size, percent, k), "rows")

@@ -116,11 +116,19 @@ def test_near_dedup_parts_that_meet(spark, n):
     pairs = near_dedup_module.written(spark.createDataFrame([(a, 0) for a in extras], "a long, b long"), "pairs")
     sets = near_dedup_module.written(sets, "sets")
     labels = near_dedup_module.written(spark.createDataFrame(list(parts.items()), "node long, part long"), "labels")
-    tested = near_dedup_module.written(near_dedup_module.verified(pairs, sets, 128, 75, edits=True), "stars")
+    tested = near_dedup_module.verified(pairs, sets, 128, 75, edits=True)
     found = near_dedup_module.within_centres(tested, tested.where("linked").select("a", "b"), labels, sets, 128, 75)
     assert {tuple(sorted(r)) for r in found.collect()} == {(2, 3)}
 
 
+def test_near_dedup_leaves_no_sketches(spark, monkeypatch, tmp_path):
+    """Tables of hashes, as large as the texts, are deleted as soon as nothing reads them; keys and classes stay for the result."""
+    monkeypatch.setattr("quire.llm.shared.shared_folder", lambda spark: str(tmp_path))
+    assert near_dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in families(2, 8)], "doc_id long, text string")).count() == 16
+    names = {p.name.split("-")[1] for p in tmp_path.iterdir()}
+    assert {"keys", "classes"} <= names and not names & {"sketches", "nodes", "sets", "some"}
+
+
 def test_near_dedup_shared_ids(spark):
     """Rows that share an id but not the text are linked each by its own text."""
     x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
