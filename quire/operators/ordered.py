@@ -18,6 +18,14 @@ from quire.operators.shape import total_order
 from quire.streaming.state import committed
 
 _PLACES = (1 << 33) - 1
+#: Up to so many ranges have the rows that are asked for; of larger tables both the ranges and their rows grow with the square root.
+_RANGES = 100
+
+
+def _rows(total: int, rows_per_range: int) -> int:
+    """Rows of a range of a table of ``total`` rows. Bounds are found from a sample that the driver takes for each range, and each is
+    a folder whose files the driver lists, so the number of ranges must not grow as the rows do."""
+    return math.ceil(rows_per_range * max(1.0, math.sqrt(total / rows_per_range / _RANGES)))
 
 
 def _write(rows: DataFrame, order: list[str], folder: str, version: int, parts: int) -> DataFrame:
@@ -37,9 +45,10 @@ def _manifest(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
 
 
 def create(df: DataFrame, keys: list[str], folder: str, rows_per_range: int = 1_000_000) -> None:
-    """Write ``df`` in the order of ``keys`` and then all other columns."""
+    """Write ``df`` in the order of ``keys`` and then all other columns. Beyond ``_RANGES`` ranges ``rows_per_range`` is the least."""
     order = total_order(df, keys)
-    new = _write(df.withColumn("__old", F.lit("new")), order, folder, 0, max(1, math.ceil(df.count() / rows_per_range)))
+    total = df.count()
+    new = _write(df.withColumn("__old", F.lit("new")), order, folder, 0, max(1, math.ceil(total / _rows(total, rows_per_range))))
     new.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v=0")
 
 
@@ -70,14 +79,16 @@ def append(df: DataFrame, keys: list[str], folder: str, rows_per_range: int = 1_
         return []
     new = _located(df, order, ranges).select(*df.columns, F.col("range").alias("__old"))
     gets = {r["__old"]: r["n"] for r in new.groupBy("__old").agg(F.count("*").alias("n")).collect()}
-    touched = [r for r in ranges.select("range", "version", "n").collect() if r["range"] in gets]
+    every = ranges.select("range", "version", "n").collect()
+    touched = [r for r in every if r["range"] in gets]
     if not touched:
         return []
     size = sum(gets.values()) + sum(r["n"] for r in touched)
     schema = StructType([*df.schema.fields]).add("__place", LongType())
     held = spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*(f"{folder}/rows/v={r['version']}/range={r['range']}" for r in touched))
     old = held.select(*df.columns, F.col("range").cast(StringType()).alias("__old"))
-    fresh = _write(old.unionByName(new), order, folder, version + 1, max(1, math.ceil(size / rows_per_range)))
+    per_range = _rows(sum(gets.values()) + sum(r["n"] for r in every), rows_per_range)
+    fresh = _write(old.unionByName(new), order, folder, version + 1, max(1, math.ceil(size / per_range)))
     kept = ranges.where(~F.col("range").isin(list(gets)))
     kept.select(*fresh.columns).unionByName(fresh).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v={version + 1}")
     return [r["range"] for r in touched]

@@ -37,6 +37,17 @@ def test_untouched_ranges_are_not_read(spark, tmp_path):
     assert versions.count(0) >= 8 and 1 <= versions.count(1) <= 4 and ordered.read(spark, folder).where("a = 999").first().row_idx == 1001
 
 
+def test_ranges_grow_slower_than_rows(spark, tmp_path):
+    """Four times the rows make twice the ranges beyond a hundred, so that what reaches the driver for each stays small."""
+    made = {}
+    for n in (4_000, 16_000):
+        folder = str(tmp_path / str(n))
+        ordered.create(spark.range(n).selectExpr("id AS a", "'x' AS b"), ["a"], folder, rows_per_range=10)
+        made[n] = ordered._manifest(spark, folder)[1].count()
+        assert ordered.read(spark, folder).where("a <> row_idx").isEmpty()
+    assert 150 <= made[4_000] <= 250 and 300 <= made[16_000] <= 500
+
+
 def test_an_empty_order(spark, tmp_path):
     folder = str(tmp_path / "o")
     ordered.create(spark.createDataFrame([], SCHEMA), ["a"], folder)
