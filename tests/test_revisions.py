@@ -113,3 +113,13 @@ def test_a_run_that_broke_off_is_repeated(spark, tmp_path):
     assert apply_snapshot(spark, b, ["k"], state, 1, leaves=4, on_change=lambda d, n: seen.append(Counter(r.change_type for r in d.collect())))
     assert seen[0]["updated"] == 1 and changes(spark, state)[1, "updated"] == 1
     assert sync.diff_summary(sync.row_diff(a, b, ["k"])).count() == 2
+
+
+def test_rows_in_another_order_are_dealt_by_size(spark):
+    """Partitions of the moved rows are cut by their size; no fixed number of tasks reads the whole table."""
+    from quire.queries import QUERIES
+
+    query = QUERIES["content_revision"](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "RepartitionByExpression" not in plan
+    assert tuple(query.first())[2:] == (True, False)
