@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.decontaminate import bitmap
+from quire.llm.decontaminate import members as held
 from quire.llm.graph import components
 from quire.llm.shared import discard, written
 from quire.llm.textkit import SPACED, Words, chain, mix, words
@@ -83,16 +85,17 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``id, hashes``: the whole sorted set of each text."""
+def full_sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
+    """``id, hashes``: the whole sorted set of each text of which the bitmap may hold the hash of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(held(batch.column(2).to_numpy().view(np.uint64), bits)))
             for w in words(batch.column(1), SPACED):
                 sets = list(shingle_sets(w, size))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(sets)), _lists(sets)], ["id", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes array<long>")
+    return docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(run, "id long, hashes array<long>")
 
 
 def alike(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
@@ -272,7 +275,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent:
     heads = written(lists.groupBy("value").agg(F.count("*").alias("m"), centre).where("m > 1").select("value", "c"), "heads")
     lists = lists.join(heads, "value").select("value", "id", "n", "score", "left", (-F.col("c.neg")).alias("b"), F.col("c.score").alias("cs"), F.col("c.n").alias("c_n"), F.col("c.left").alias("c_left"))
     lists = written(lists, "lists")
-    sets = sets_of(docs, lists.select("id").distinct(), size)
+    sets = sets_of(docs, written(lists.select("id").distinct(), "wanted"), size)
     stars = lists.where((F.col("id") != F.col("b")) & may_link("", "c_", k, percent)).groupBy("id", "b").agg(F.count("*").alias("c"), F.max("cs").alias("cs"))
     first = written(stars.groupBy("id").agg(F.max(F.struct("c", "cs", "b")).alias("x")).select(F.col("id").alias("a"), "x.b", "x.cs"), "pairs")
     tested = verified(first.select("a", "b"), sets, k, percent, edits=True)
@@ -303,8 +306,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The full sets of all wanted ids, written: texts are read once, whatever is compared."""
-    return written(full_sets(docs.join(wanted, "id", "left_semi").select("id", "text"), size), "sets")
+    """The full sets of all wanted ids, written: texts are read once, whatever is compared. A bitmap of bounded size keeps most
+    other texts from being hashed; the join then leaves exactly the wanted ids, and it shuffles sets, not texts."""
+    bits = bitmap(wanted.select(F.xxhash64("id").alias("shingle")))
+    return written(full_sets(docs, size, bits).join(wanted, "id", "left_semi"), "sets")
 
 
 def labelled(plain: DataFrame, made: DataFrame, size: int, percent: int, k: int) -> DataFrame:

@@ -121,6 +121,16 @@ def test_near_dedup_parts_that_meet(spark, n):
     assert {tuple(sorted(r)) for r in found.collect()} == {(2, 3)}
 
 
+def test_sets_of_wanted_texts(spark):
+    """Exactly the wanted ids have sets, null ids none; texts don't pass a shuffle."""
+    docs = spark.createDataFrame([(i if i % 50 else None, f"a{i} b c d e f") for i in range(3000)], "id long, text string")
+    sets = near_dedup_module.sets_of(docs, spark.range(1, 9000, 7).union(spark.range(-3, 0)).select("id"), 5)
+    got = {r.id: len(r.hashes) for r in sets.collect()}
+    assert got == {i: 2 for i in range(1, 3000, 7) if i % 50} and sets.count() == len(got)
+    texts = near_dedup_module.full_sets(docs, 5, np.zeros(1 << 10, dtype=np.uint8))
+    assert texts.count() <= 3000 // 1000  # ids whose hash ends in zeros always pass
+
+
 def test_near_dedup_leaves_no_sketches(spark, monkeypatch, tmp_path):
     """Tables of hashes, as large as the texts, are deleted as soon as nothing reads them; keys and classes stay for the result."""
     monkeypatch.setattr("quire.llm.shared.shared_folder", lambda spark: str(tmp_path))
