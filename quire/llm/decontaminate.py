@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import written
-from quire.llm.textkit import ALPHANUMERIC, Words, chain, words
+from quire.llm.textkit import ALPHANUMERIC, Words, chain, tidy, words
 
 SHINGLE = 5
 #: Log of the bits of the bitmap, which follow the benchmark's size: 1 to 64 MB. A fuller one lets more through to the join.
@@ -43,7 +43,7 @@ def window_table(items: DataFrame, window: int) -> DataFrame:
                         out += [(item, length, w.text(at, at + length), off, x) for off, x in enumerate(h)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["item", "length", "window", "off", "shingle"])
 
-    return items.mapInArrow(run, "item long, length int, window string, off int, shingle long")
+    return items.mapInArrow(tidy(run), "item long, length int, window string, off int, shingle long")
 
 
 def bitmap(shingles: DataFrame) -> np.ndarray:
@@ -87,7 +87,7 @@ def frequencies(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFram
             h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    return docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    return docs.mapInArrow(tidy(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
 
 
 def candidates(docs: DataFrame, sizes: list[int], window: int, bits: np.ndarray) -> DataFrame:
@@ -114,7 +114,7 @@ def candidates(docs: DataFrame, sizes: list[int], window: int, bits: np.ndarray)
                     ["id", "key", "n_words", "at", "shingle", "size", "lead", "context"],
                 )
 
-    return docs.mapInArrow(run, "id long, key long, n_words long, at int, shingle long, size int, lead int, context string")
+    return docs.mapInArrow(tidy(run), "id long, key long, n_words long, at int, shingle long, size int, lead int, context string")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, key_col: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ from quire.llm.decontaminate import bitmap
 from quire.llm.decontaminate import members as held
 from quire.llm.graph import components
 from quire.llm.shared import discard, written
-from quire.llm.textkit import SPACED, Words, chain, mix, words
+from quire.llm.textkit import SPACED, Words, chain, mix, tidy, words
 
 SHINGLE = 5
 #: Retained values, and how many of them two linked sketches of full length share at least.
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                 ids = batch.column(0).slice(w.first, len(sets))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one), pa.array(two), _lists([x[:k] for x in sets])], ["id", "n", "k1", "k2", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, k1 long, k2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
@@ -95,7 +95,7 @@ def full_sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
                 sets = list(shingle_sets(w, size))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(sets)), _lists(sets)], ["id", "hashes"])
 
-    return docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(run, "id long, hashes array<long>")
+    return docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(tidy(run), "id long, hashes array<long>")
 
 
 def alike(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, edits: boo
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(ok, pa.bool_()), apart], ["a", "b", "na", "nb", "linked", "edits"])
             yield out if edits else out.filter(pa.array(ok, pa.bool_()))
 
-    out = written(both.mapInArrow(run, "a long, b long, na long, nb long, linked boolean, edits array<long>"), "stars" if edits else "links")
+    out = written(both.mapInArrow(tidy(run), "a long, b long, na long, nb long, linked boolean, edits array<long>"), "stars" if edits else "links")
     discard(some)
     return out
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quire.llm.textkit import chunks, tidy
+
 ROUNDS = 8
 
 
@@ -367,7 +369,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
-        for batch in batches:
+        for batch in (b.slice(first, past - first) for b in batches for first, past, _, _ in chunks(b.column(at))):
             column = batch.column(at)
             kinds: list[list[str]] = [[] for _ in range(batch.num_rows)]
             rows = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, MAY_HOLD), False)).to_pylist()
@@ -379,7 +381,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
             columns = [*batch.columns[:at], column, *batch.columns[at + 1 :], pa.array(kinds, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, kinds_col])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def counted(found: DataFrame, kinds_col: str = "pii_kinds") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Seconds between collections on the driver.
 COLLECT_EVERY = 2.0
 _collected = [0.0]
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Rows go to Python in batches of about ``size`` bytes, for the rest of the session and unless it has a bound of its own. A
+    batch is held several times on each side, and 10 000 texts, Spark's bound, may have any size."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(size))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table from :func:`written` that no later step reads."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import fresh
-from quire.llm.textkit import mix, release
+from quire.llm.textkit import mix, tidy
 
 #: A unit begins at each run of spaces; a line feed, and the character that stands for a space, are units of their own.
 UNIT = re.compile(" +[^ \n▁]*|[^ \n▁]+|\n|▁")
@@ -478,7 +478,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         yield first, texts
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, path: str | None = None, units_kept: int = UNITS_KEPT) -> DataFrame:
     """``<id>, ids, round_trip, samples`` for every row: the model's segmentation of the whole text, whether decoding it gives
     the text again, and ``k`` distinct sampled ones (``ids, log_prob, log_inclusion``), from the largest perturbed down.
 
@@ -486,7 +486,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     length are read whole, and an empty table gives no rows. Segmentations that tie in probability are told apart by their noise. A text that
     holds the character that stands for a space has it as bytes, so that it comes back. Noise is seeded by the id: repeated
     rows and rows with one id and text get the same samples. ``theta`` sharpens (above 1) or flattens the distribution.
-    ``path`` is a model file that executors can open. Other columns are not read.
+    ``path`` is a model file that executors can open. ``units_kept`` bounds a worker's memory at the cost of time, not the results.
+    Other columns are not read.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     sampled = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())])
@@ -499,8 +500,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         units = units_of(path, theta)
         for batch in batches:
             for first, texts in _rows(batch):
-                if len(units.index) > UNITS_KEPT:
-                    units.shrink(UNITS_KEPT // 4)
+                if len(units.index) > units_kept:
+                    units.shrink(units_kept // 4)
                 split = [units.unit.findall(" " + t) if t else [] for t in texts]
                 cuts = np.cumsum([0, *map(len, split)])
                 every = units.lookup([u for s in split for u in s])
@@ -517,12 +518,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 parts = pa.StructArray.from_arrays([lists([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())], fields=list(sampled))
                 columns = [batch.column(0).slice(first, len(texts)), lists(best), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), parts)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "round_trip", "samples"])
-        units.shrink(UNITS_BETWEEN)
-        release()
+        units.shrink(min(UNITS_BETWEEN, units_kept // 2))
 
     kind = docs.schema[id_col].dataType.simpleString()
     seeded = docs.select(id_col, F.col(text_col), F.xxhash64(id_col).alias(*fresh(docs, "seed")))
-    return seeded.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, round_trip boolean, samples array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>")
+    return seeded.mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, round_trip boolean, samples array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

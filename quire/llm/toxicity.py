@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import fresh, written
-from quire.llm.textkit import _TABLE, ALPHANUMERIC, Words, mix, powers, words
+from quire.llm.textkit import _TABLE, ALPHANUMERIC, Words, mix, powers, tidy, words
 
 BUCKET_BITS = 20
 PREFIXES = (3, 4, 5, 6, 7)
@@ -83,7 +83,7 @@ def bucket_counts(texts: DataFrame, table: np.ndarray | None = None) -> DataFram
         on = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(counts[on])], ["bucket", "n"])
 
-    return texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["bits"])
 
     def matrix(rows: DataFrame) -> np.ndarray:
-        packed = b"".join(bytes(r[0]) for r in rows.mapInArrow(bits, "bits binary").collect())
+        packed = b"".join(bytes(r[0]) for r in rows.mapInArrow(tidy(bits), "bits binary").collect())
         return np.unpackbits(np.frombuffer(packed, dtype=np.uint8).reshape(-1, -(-len(best) // 8)), axis=1)[:, : len(best)]
 
     return Model(table, *fit(matrix(toxic_rows), matrix(other_rows), prior))
@@ -160,19 +160,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str, *keep: str, out: str = "score") -> DataFrame:
     """``keep`` columns and ``out``, the score, of every row, from the whole text alone; null and empty texts score as wordless."""
     table, weights, bias = model.table, model.weights, model.bias
+    sent = [F.col(c) for c in keep] if text_col in keep else [*map(F.col, keep), F.col(text_col).alias(*fresh(docs, "text"))]
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.full(batch.num_rows, bias)
-            for w in words(batch.column(len(keep)), ALPHANUMERIC):
+            for w in words(batch.column(at), ALPHANUMERIC):
                 row, feature = present(w, table)
-                z[w.first : w.first + len(w.begins)] += np.bincount(row, weights=weights[feature], minlength=len(w.begins))
-            s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            s[np.isneginf(z)] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*keep, out])
+                z = np.full(len(w.begins), bias)
+                z += np.bincount(row, weights=weights[feature], minlength=len(w.begins))
+                s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                s[np.isneginf(z)] = 0.0
+                rows = batch.slice(w.first, len(w.begins))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(s)], [*keep, out])
 
     schema = docs.select(*keep).schema.add(out, "double")
-    return docs.select(*keep, F.col(text_col).alias(*fresh(docs, "text"))).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **bounds: int) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from quire.llm.near_dedup import near_dedup
 from quire.llm.pii import DATE_ORDERS, Feistel, Pseudonyms, luhn_digit, pseudonymise, replace_in
 from quire.llm.subwords import decode, encode
 from quire.llm.token_counts import attribute
-from quire.llm.toxicity import toxicity
+from quire.llm.textkit import tidy
+from quire.llm.toxicity import Model, blank_table, score, toxicity
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 TEXTS = [
@@ -496,6 +498,53 @@ def test_pipeline_against_its_operators(spark, sf):
     assert set(got) == set(rows) and all(r.round_trip for r in got.values())
 
 
+def test_pipeline_batches_are_bounded(spark, sf):
+    """What a stage sends to Python at once follows neither the length of texts nor the 10 000 rows of Spark's default."""
+    long_texts = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    stage = dict(corpus_pipeline.STAGES)["pii"]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = stage(spark, long_texts, sf).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 200
+    assert max(r.bytes for r in got) < 6 << 20
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Once a task is through, and not before what it held is gone."""
+    events = []
+    monkeypatch.setattr("quire.llm.textkit.release", lambda: events.append("released"))
+
+    def run(batches):
+        try:
+            yield from batches
+        finally:
+            events.append("gone")
+
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert events == ["gone", "released"]
+
+
+def test_units_kept_do_not_change_segmentations(docs):
+    want, got = (sorted(map(str, encode(docs, **more).collect())) for more in ({}, {"units_kept": 40}))
+    assert got == want
+
+
+def test_rows_of_a_batch_in_several_pieces(spark):
+    """Batches of over a megabyte are worked on in pieces: no row is lost or shifted, null and empty ones included."""
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else f"bad{i % 2} mail{i}@example.org " * 15_000 for i in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    names = Pseudonyms(b"k")
+    assert {r.doc_id: r.text for r in pseudonymise(frame, b"k").collect()} == {i: t and replace_in(t, names)[0] for i, t in enumerate(texts)}
+    model = Model(blank_table(), np.ones(1), -1.0)
+    model.table[::3] = 0
+    alone = {r.doc_id: r.score for r in score(frame, model, "text", "doc_id").collect()}
+    beside = {r.doc_id: (r.text, r.score) for r in score(frame, model, "text", "doc_id", "text").collect()}
+    assert beside == {i: (t, alone[i]) for i, t in enumerate(texts)} and len({*alone.values()}) > 1
+
+
 def test_embeddings_exactly_at_the_threshold(spark):
     """Cosines of 93 / 100, which doubles hold: each pair is linked. A few units in the last place below, none is."""
     rng, rows = random.Random(3), []
