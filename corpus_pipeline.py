@@ -23,6 +23,8 @@ from quire.llm.toxicity import score, train
 TOXIC = 0.3
 #: Units that a task of the last stage keeps: its workers share an executor with a heap that earlier stages have grown.
 UNITS_KEPT = 100_000
+#: Ids of near-duplicates that may be broadcast (some tens of bytes each), so that no text is shuffled; beyond it all are.
+BROADCAST_IDS = 1_000_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     bounded_batches(spark)
     found = written(near_dedup(docs).where("doc_id is not null"), "components")
     known, repeated = fresh(docs, "known", "repeated")
-    dropped = found.groupBy(F.col("doc_id").alias(known)).agg(F.max("kept").alias("kept")).where("not kept").select(known)
-    out = docs.join(dropped, docs.doc_id == F.col(known), "left_anti")
+    dropped = written(found.groupBy(F.col("doc_id").alias(known)).agg(F.max("kept").alias("kept")).where("not kept").select(known), "dropped")
+    out = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, docs.doc_id == F.col(known), "left_anti")
     twice = written(found.groupBy(F.col("doc_id").alias(repeated)).agg(F.count("*").alias("n")).where("n > 1").select(repeated), "repeated")
     if twice.isEmpty():
         return out

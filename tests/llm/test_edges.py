@@ -512,6 +512,23 @@ def test_pipeline_batches_are_bounded(spark, sf):
     assert max(r.bytes for r in got) < 6 << 20
 
 
+def test_near_dedup_stage_shuffles_no_texts(spark, docs, sf, monkeypatch):
+    """Texts meet the ids of those that go by a broadcast; where these are too many, the rows are the same."""
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    plain = docs.where("doc_id is null or doc_id <> 6")  # no repeated id, so that the plan has that one join
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        few = stage(spark, plain, sf)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
+        many = stage(spark, plain, sf)
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_tasks_give_memory_back(monkeypatch):
     """Once a task is through, and not before what it held is gone."""
     events = []
