@@ -35,6 +35,8 @@ UNIT = re.compile(" +[^ \n▁]*|[^ \n▁]+|\n|▁")
 LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏͰ-῿"
 FINE_UNIT = re.compile(f" *[{LETTER}]+| *[^{LETTER} \n▁]+| +|\n|▁")
 SPACE = "▁"
+#: Kinds of characters: a space, one that is a unit of its own, a letter, any other.
+BLANK, LONE, LETTERS, REST = range(4)
 #: Stands for a text's own ▁; past the last code point.
 ESCAPED = 0x110000
 #: Units of a task's table; beyond it the most frequent quarter stays. Some 400 bytes each.
@@ -73,7 +75,8 @@ class Index(dict):
 
 
 class Units:
-    """The unit lattices of one model, as flat arrays of states and edges. Edges of a state go from likely to unlikely."""
+    """The unit lattices of one model, as flat arrays of edges, unit by unit. Edges of a state are in one run, from likely to unlikely;
+    a state is named by the first of them."""
 
     def __init__(self, path: str, theta: float) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -82,6 +85,12 @@ class Units:
         plain = [i for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         self.pieces = {self.model.id_to_piece(i): i for i in plain}
         self.bytes = {self.model.id_to_piece(i): i for i in ids if self.model.is_byte(i)}
+        # The bytes that each id stands for.
+        spelled = [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
+        for i in ids:
+            if self.model.is_control(i) or self.model.is_unknown(i):
+                spelled[i] = self.model.decode([i]).encode()
+        self.spelled = pa.array(spelled, pa.large_binary())
         score = np.array([self.model.get_score(i) for i in ids])
         ranks = bool(np.all(score[plain] <= 0) and np.all(score[plain] == np.round(score[plain])))
         # A merge list has ranks for scores: the chance of a piece then falls as one over its rank.
@@ -103,6 +112,11 @@ class Units:
             self.by_length.append((h, np.array([self.pieces.get(p, -1) for p in own], dtype=np.int32)[order], np.minimum(slots, len(h) - 1)))
         mixed = re.compile(f"[{LETTER}][^{LETTER}]|[^{LETTER}▁][{LETTER}]")
         self.unit = UNIT if any(mixed.search(p) for p in self.pieces) else FINE_UNIT
+        # The same rule by pairs of neighbours: kinds of code points (all past the last one are of its kind), and which of two begins one.
+        letter = re.compile(f"[{LETTER}]")
+        self.kinds = np.array([LETTERS if self.unit is UNIT or letter.match(chr(c)) else REST for c in range(ord(SPACE) + 2)], dtype=np.uint8)
+        self.kinds[[ord(" "), ord("\n"), ord(SPACE)]] = BLANK, LONE, LONE
+        self.breaks = np.array([b == LONE or a not in (b, BLANK) for a in range(4) for b in range(4)])
         self.clear()
 
     def clear(self) -> None:
@@ -110,9 +124,8 @@ class Units:
         self.room: dict[str, np.ndarray] = {}
         self.extra: list[list[int]] = []  # characters outside the vocabulary, as byte pieces
         self.extra_of: dict[int, int] = {}
-        self.seen, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self.state = np.empty(0, dtype=np.int64)
-        self.begin = np.empty(0, dtype=np.int64)
+        self.seen = np.empty(0, dtype=np.int64)
+        self.state = np.empty(0, dtype=np.int64)  # where each unit begins
         self.to, self.piece = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
         self.cum, self.logp = np.empty(0, dtype=np.float32), np.empty(0, dtype=np.float32)
         self.best_at, self.best = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
@@ -132,13 +145,42 @@ class Units:
 
     def lookup(self, units: list[str]) -> np.ndarray:
         """Numbers of the units; new ones enter the table."""
+        out = self._numbers(units)
+        self.seen += np.bincount(out, minlength=len(self.seen))
+        return out
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
         if self.index.new:
             new, self.index.new = self.index.new, []
             self._add(new)
-        self.seen += np.bincount(out, minlength=len(self.seen))
         return out
 
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, each text after a space, and where each text's begin (with the end of the last). Only
+        different units are made strings and looked up."""
+        text = "".join([" " + t for t in texts if t])
+        cuts = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        if not text:
+            return np.empty(0, dtype=np.int64), cuts
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        kind = self.kinds[np.minimum(points, len(self.kinds) - 1)]
+        begins = np.empty(len(points), dtype=bool)
+        begins[1:] = self.breaks[kind[:-1] * 4 + kind[1:]]
+        begins[cuts[:-1][np.diff(cuts) > 0]] = True
+        first = np.flatnonzero(begins)
+        raw, at = text.encode(), np.append(first, len(points))
+        if len(raw) > len(points):
+            size = np.ones(len(points), dtype=np.uint8)
+            for least in (0x80, 0x800, 0x10000):
+                size += points >= least
+            at = np.concatenate(([0], np.cumsum(np.add.reduceat(size, first, dtype=np.int64))))
+        units = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(raw)).dictionary_encode()
+        codes = units.indices.to_numpy()
+        numbers = self._numbers(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self.seen[numbers] += np.bincount(codes, minlength=len(numbers))
+        return numbers[codes], np.searchsorted(first, cuts)
+
     def shrink(self, most: int) -> None:
         """Keep the most frequent units only. What a unit's lattice holds doesn't depend on the others."""
         if len(self.index) <= most:
@@ -147,21 +189,18 @@ class Units:
         names = list(self.index)
         self.index = Index()
         self.index.update((names[i], n) for n, i in enumerate(keep.tolist()))
-        edge_at = np.append(self.begin, len(self.to))
-        first, states = self.state[keep], self.size[keep] + 1
-        lo = edge_at[first]
-        edges = edge_at[first + states] - lo
-        new_first, new_lo = np.cumsum(states) - states, np.cumsum(edges) - edges
-        s = np.repeat(first - new_first, states) + np.arange(states.sum())
-        e = np.repeat(lo - new_lo, edges) + np.arange(edges.sum())
-        self.begin = self.begin[s] - np.repeat(lo - new_lo, states)
+        lo = self.state[keep]
+        edges = np.append(self.state, len(self.to))[keep + 1] - lo
+        new_lo = np.cumsum(edges) - edges
+        moved = np.repeat(lo - new_lo, edges)
+        e = moved + np.arange(len(moved))
         to = self.to[e]
-        self.to = np.where(to < 0, to, to - np.repeat(first - new_first, edges)).astype(np.int32)
+        self.to = np.where(to < 0, to, to - moved).astype(np.int32)
         self.piece, self.cum, self.logp = self.piece[e], self.cum[e], self.logp[e]
         n = self.best_at[keep + 1] - self.best_at[keep]
         new_at = np.concatenate(([0], np.cumsum(n)))
         self.best = self.best[np.repeat(self.best_at[keep] - new_at[:-1], n) + np.arange(n.sum())]
-        self.best_at, self.state, self.size, self.seen = new_at, new_first, self.size[keep], self.seen[keep]
+        self.best_at, self.state, self.seen = new_at, new_lo, self.seen[keep]
         self.room.clear()
 
     def _best(self, new: list[str]) -> list[list[int]]:
@@ -181,7 +220,7 @@ class Units:
         best = self._best(new)
         self._append("best_at", self.best_at[-1] + np.cumsum([len(b) for b in best]))
         self._append("best", np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32))
-        table, states, edges = len(self.weight), len(self.begin), len(self.to)
+        table, edges = len(self.weight), len(self.to)
         # All units' characters in one row, each unit with one more place for its end.
         points = _points("".join(new).replace(" ", SPACE))
         sizes = np.array([len(u) for u in new], dtype=np.int64)
@@ -263,11 +302,9 @@ class Units:
             more = more[counts[more] > k]
             cum[begin[more] + k] += cum[begin[more] + k - 1]
         cum[(begin + counts - 1)[counts > 0]] = 2.0  # rounding never passes a state's last edge
-        self._append("state", first + states)
-        self._append("size", sizes)
+        self._append("state", begin[first] + edges)
         self._append("seen", np.zeros(len(new), dtype=np.int64))
-        self._append("begin", begin + edges)
-        self._append("to", np.where(dst == ends[dst], -1, dst + states))
+        self._append("to", np.where(dst == ends[dst], -1, begin[dst] + edges))
         self._append("piece", piece)
         self._append("cum", cum)
         self._append("logp", logp)
@@ -287,40 +324,49 @@ class Units:
 
     def draw(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each state to its unit's end, drawn in proportion to mass: edges in order, and how many each has."""
-        active, s, steps = np.arange(len(states)), states, []
-        step = 0
+        active, e, steps = np.arange(len(states)), states.astype(np.int64), []
+        n = np.empty(len(states), dtype=np.int64)
         while len(active):
-            u = uniform(keys[active], step)
-            e = self.begin[s]
+            u = uniform(keys, len(steps))
             open_ = np.flatnonzero(self.cum[e] < u)
+            at, u = e[open_], u[open_]
             while len(open_):
-                e[open_] += 1
-                open_ = open_[self.cum[e[open_]] < u[open_]]
+                at += 1
+                more = self.cum[at] < u
+                e[open_] = at
+                open_, at, u = open_[more], at[more], u[more]
             steps.append((active, e))
-            nxt = self.to[e]
-            go = nxt >= 0
-            active, s = active[go], nxt[go]
-            step += 1
-        n = np.zeros(len(states), dtype=np.int64)
-        for a, _ in steps:
-            n[a] += 1
+            to = self.to[e]
+            n[active] = len(steps)
+            go = np.flatnonzero(to >= 0)
+            active, keys, e = active[go], keys[go], to[go].astype(np.int64)
         at = np.cumsum(n) - n
         out = np.empty(n.sum(), dtype=np.int64)
         for i, (a, e) in enumerate(steps):
             out[at[a] + i] = e
         return out, n
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        of = self.piece[edges]
-        table = len(self.weight)
-        if not len(of) or of.max() < table:
-            return of
+    def ids(self, edges: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids along paths that lie one after the other, and how many each path has; ``n``: how many edges it has."""
+        of, table = self.piece[edges], len(self.weight)
         odd = np.flatnonzero(of >= table)
-        parts, last = [], 0
-        for i in odd.tolist():
-            parts += [of[last:i], self.extra[of[i] - table]]
-            last = i + 1
-        return np.concatenate([*parts, of[last:]]).astype(np.int32)
+        if not len(odd):
+            return of, n
+        size = np.ones(len(of), dtype=np.int64)
+        extra = [self.extra[x] for x in (of[odd] - table).tolist()]
+        size[odd] = [len(x) for x in extra]
+        ends = np.cumsum(size)
+        out = np.repeat(of, size)
+        first = ends[odd] - size[odd]
+        for i, x in zip(first.tolist(), extra, strict=True):
+            out[i : i + len(x)] = x
+        return out, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))])
+
+    def spells(self, ids: np.ndarray, cuts: list[int], texts: list[str]) -> list[bool]:
+        """Whether ids ``cuts[i]`` to ``cuts[i + 1]`` decode to text ``i``. The space before each text is compared as well."""
+        _, at, data = self.spelled.take(pa.array(ids)).buffers()
+        at = np.frombuffer(at, dtype=np.int64)[cuts].tolist()
+        return [bytes(data[a:z]) == (" " + t if t else "").encode() for a, z, t in zip(at[:-1], at[1:], texts, strict=True)]
 
 
 def uniform(keys: np.ndarray, step: int) -> np.ndarray:
@@ -393,24 +439,26 @@ def opened(units: Units, searches: list[Search], paths: list[np.ndarray], fresh:
     variable of its mass, truncated at the path's value. Places that next to no mass reaches have no sets."""
     sizes = np.array([len(p) for p in paths])
     begin = np.cumsum(sizes) - sizes
-    logp = units.logp[np.concatenate(paths)].astype(np.float64)
-    run = np.empty(len(logp))
-    for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):  # row by row: sums don't depend on the rows around
-        np.cumsum(logp[a : a + n], out=run[a : a + n])
-    before = run - logp
-    place = np.arange(len(logp)) - np.repeat(begin, sizes)
-    near = np.flatnonzero((before > NONE_LEFT) | (place < np.repeat(fresh, sizes)))
-    row = np.searchsorted(begin, near, side="right") - 1
-    lead, before_near = logp[near], before[near]
+    cost = -units.logp[np.concatenate(paths)].astype(np.float64)
+    run = np.empty(len(cost))
+    reached = np.empty(len(paths), dtype=np.int64)
+    for i, (a, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):  # row by row: sums don't depend on the rows around
+        np.cumsum(cost[a : a + n], out=run[a : a + n])
+        reached[i] = run[a : a + n].searchsorted(-NONE_LEFT) + 1
+    reached = np.minimum(np.maximum(reached, fresh), sizes)
+    cuts = np.concatenate(([0], np.cumsum(reached)))
+    row = np.repeat(np.arange(len(paths)), reached)
+    place = np.arange(len(row)) - cuts[row]
+    near = begin[row] + place
+    lead, before_near = -cost[near], cost[near] - run[near]
     base = np.array([s.base for s in searches], dtype=np.uint64)[row]
     turn = len(searches[0].paths)
     with np.errstate(divide="ignore", invalid="ignore"):
         phi = before_near + np.log(-np.expm1(lead))
-        phi[place[near] < np.array(fresh)[row]] = -np.inf
-        u = uniform(mix(base + place[near].astype(np.uint64) * _ONE), 1000 + turn)
+        phi[place < np.array(fresh)[row]] = -np.inf
+        u = uniform(mix(base + place.astype(np.uint64) * _ONE), 1000 + turn)
         keys = np.where(np.isneginf(phi), -np.inf, _below(phi, u, np.array(values)[row]))
-    total = run[begin + sizes - 1]
-    cuts = np.searchsorted(row, np.arange(len(paths) + 1))
+    total = -run[begin + sizes - 1]
     for s, path, p, v, a, z in zip(searches, paths, total.tolist(), values, cuts[:-1], cuts[1:], strict=True):
         s.paths.append((path, p, v))
         s.sets.append((keys[a:z].copy(), before_near[a:z]))
@@ -449,13 +497,19 @@ def sample(units: Units, rows: list[np.ndarray], keys: np.ndarray, k: int) -> li
             done = int((units.to[path[:place]] < 0).sum())  # units that end before the place
             state = int(units.to[e])
             todo.append((i, np.append(path[:place], e), state, rows[i][done + 1 :], place + 1, value))
+    edges = [x[0] for s in searches for x in s.paths]
+    if not edges:
+        return [[] for _ in searches]
+    ids, n = units.ids(np.concatenate(edges), np.array([len(x) for x in edges]))
+    ends = np.cumsum(n).tolist()
+    each = (ids[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True))
     out = []
     for s in searches:
         threshold = s.best()[2] if s.paths else -np.inf
         scores = []
-        for edges, logp, _ in s.paths:
+        for _, logp, _ in s.paths:
             gap = logp - threshold
-            scores.append((units.ids(edges), logp, 0.0 if gap > 6 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))))
+            scores.append((next(each), logp, 0.0 if gap > 6 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))))
         out.append(scores)
     return out
 
@@ -502,21 +556,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             for first, texts in _rows(batch):
                 if len(units.index) > units_kept:
                     units.shrink(units_kept // 4)
-                split = [units.unit.findall(" " + t) if t else [] for t in texts]
-                cuts = np.cumsum([0, *map(len, split)])
-                every = units.lookup([u for s in split for u in s])
+                every, cuts = units.split(texts)
                 rows = [every[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 ids, n = units.encode(every)
-                ends = np.concatenate(([0], np.cumsum(n)))[cuts].tolist()
-                plain = ids.tolist()
-                best = [ids[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                same = [a == b for a, b in zip(units.model.decode([plain[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]), texts, strict=True)]
+                ends = np.concatenate(([0], np.cumsum(n)))[cuts]
+                same = units.spells(ids, ends, texts)
+                best = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 keys = mix(batch.column(2).slice(first, len(texts)).to_numpy().view(np.uint64))
                 drawn = sample(units, rows, keys, k)
                 flat = [x for s in drawn for x in s]
                 at = np.cumsum([0, *map(len, drawn)]).astype(np.int32)
                 parts = pa.StructArray.from_arrays([lists([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())], fields=list(sampled))
-                columns = [batch.column(0).slice(first, len(texts)), lists(best), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), parts)]
+                columns = [batch.column(0).slice(first, len(texts)), best, pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), parts)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "round_trip", "samples"])
         units.shrink(min(UNITS_BETWEEN, units_kept // 2))
 

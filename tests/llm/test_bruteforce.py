@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from quire.llm.licenses import NOTICES
 from quire.llm.pii import Pseudonyms
 from quire.llm.queries import DEMO_KEY, QUERIES
-from quire.llm.subwords import Units, sample
+from quire.llm.subwords import LETTERS, REST, UNIT, Units, sample
 from quire.llm.textkit import mix
 from quire.llm.toxicity import fit, score, train
 
@@ -210,3 +210,28 @@ def test_a_smaller_table_changes_nothing():
     units.shrink(100)
     row = units.lookup([" new", *text])[1:]
     assert (str(sample(units, [row] * 50, keys, 2)), units.encode(row)[0].tolist()) == before and len(units.index) <= 105
+
+
+def test_units_of_texts_are_looked_up_once():
+    """Units of texts cut in one go are those of the regular expression, each different one is looked up once, and what ids spell is
+    what the model decodes."""
+    units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    texts = ["the cat " * 500, "", None, " ", "  two  spaces ", "\n\n a\n", "▁a ▁", "x▁", "é×÷ÿ ɏɐͯͰ \u1fff\u2000", "日本語 😀a\u0000b\t c", "Ab1,2;c  ", "a\n ", "-", " x"]
+    pattern, asked, numbers = units.unit, [], units._numbers
+    units._numbers = lambda x: asked.extend(x) or numbers(x)
+    for unit in (pattern, UNIT):
+        again = [t or "" for t in texts]
+        if unit is UNIT and unit is not pattern:
+            units.kinds[units.kinds == REST] = LETTERS
+        every, cuts = units.split(again)
+        names = list(units.index)
+        assert [[names[i] for i in every[a:z]] for a, z in zip(cuts[:-1], cuts[1:], strict=True)] == [unit.findall(" " + t) if t else [] for t in again]
+        assert len(asked) == len(set(asked)) < 80
+        asked.clear()
+    units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    every, cuts = units.split(again)
+    ids, n = units.encode(every)
+    ends = np.concatenate(([0], np.cumsum(n)))[cuts]
+    assert units.spells(ids, ends, again) == [units.model.decode(ids[a:z].tolist()) == t for a, z, t in zip(ends[:-1], ends[1:], again, strict=True)] == [True] * len(again)
+    assert not any(units.spells(ids, ends, [t + "?" for t in again]))
+    assert units.seen.sum() == len(every) and units.split([""])[0].tolist() == []
