@@ -296,6 +296,7 @@ class Units:
                 beta[part] = np.log(beta[part])
         src = np.repeat(np.arange(base), counts)
         logp = np.minimum(w + beta[dst] - beta[src], 0.0)
+        logp[begin[counts == 1]] = 0.0  # rounding gives no mass to leaving a state by an edge that it doesn't have
         cum = np.exp(logp)
         more = np.flatnonzero(counts > 1)
         for k in range(1, int(counts.max())):  # state by state, so that sums don't depend on what else is in the table

@@ -235,3 +235,19 @@ def test_units_of_texts_are_looked_up_once():
     assert units.spells(ids, ends, again) == [units.model.decode(ids[a:z].tolist()) == t for a, z, t in zip(ends[:-1], ends[1:], again, strict=True)] == [True] * len(again)
     assert not any(units.spells(ids, ends, [t + "?" for t in again]))
     assert units.seen.sum() == len(every) and units.split([""])[0].tolist() == []
+
+
+def test_texts_with_a_single_segmentation():
+    """Digits and characters outside the vocabulary have one path each, whatever rounding says of its edges: it is drawn, alone."""
+    units = Units(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    texts = [str(i) for i in range(300)] + ["2024-0", "日本語", "\n", "♪♪", "ψ5", "\n7\n日"] + [chr(c) for c in range(0x4E00, 0x4F00)]
+    every, cuts = units.split(texts)
+    rows = [every[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    only = np.diff(np.append(units.state, len(units.to))) == np.array([len(u) for u in units.index])  # units of as many edges as places
+    assert sum(only[row].all() for row in rows) > 300
+    for k in (2, 3):
+        for row, drawn in zip(rows, sample(units, rows, mix(np.arange(len(rows), dtype=np.uint64)), k), strict=True):
+            ways = [tuple(ids.tolist()) for ids, _, _ in drawn]
+            assert len(set(ways)) == len(ways) >= 1
+            if only[row].all():
+                assert [(ids.tolist(), p, inclusion) for ids, p, inclusion in drawn] == [(units.encode(row)[0].tolist(), 0.0, 0.0)]
