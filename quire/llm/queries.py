@@ -16,7 +16,7 @@ from quire.llm.licenses import scan
 from quire.llm.near_dedup import near_dedup
 from quire.llm.pii import pseudonymise
 from quire.llm.prefix_trie import prefix_trie
-from quire.llm.shared import table
+from quire.llm.shared import bounded_batches, table
 from quire.llm.subwords import encode
 from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_counts import attribute
@@ -35,6 +35,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return encode(table(spark, sf_dir, "documents"))
 
 

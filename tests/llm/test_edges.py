@@ -19,6 +19,8 @@ from quire.llm.html_extract import extract, kept, lines_of, main_text, regions
 from quire.llm.licenses import NOTICES, scan
 from quire.llm.near_dedup import near_dedup
 from quire.llm.pii import DATE_ORDERS, Feistel, Pseudonyms, luhn_digit, pseudonymise, replace_in
+from quire.llm.queries import QUERIES
+from quire.llm.shared import BATCH_BYTES, BATCH_SETTING
 from quire.llm.subwords import decode, encode
 from quire.llm.token_counts import attribute
 from quire.llm.textkit import tidy
@@ -498,6 +500,12 @@ def test_pipeline_against_its_operators(spark, sf):
     assert set(got) == set(rows) and all(r.round_trip for r in got.values())
 
 
+def test_op2_batches_are_bounded(spark, sf):
+    spark.conf.unset(BATCH_SETTING)
+    QUERIES["op2_sentencepiece"](spark, sf)
+    assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
+
+
 def test_pipeline_batches_are_bounded(spark, sf):
     """What a stage sends to Python at once follows neither the length of texts nor the 10 000 rows of Spark's default."""
     long_texts = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
