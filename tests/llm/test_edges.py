@@ -500,6 +500,14 @@ def test_pipeline_against_its_operators(spark, sf):
     assert set(got) == set(rows) and all(r.round_trip for r in got.values())
 
 
+def test_pipeline_ends_with_single_segmentations(spark, sf):
+    """Numbers have one segmentation each; the last stage returns it for every row."""
+    numbers = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, numbers, sf).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000)) and all(r.round_trip for r in got)
+    assert all([(s.ids, s.log_prob) for s in r.samples] == [(r.ids, 0.0)] for r in got)
+
+
 def test_op2_batches_are_bounded(spark, sf):
     spark.conf.unset(BATCH_SETTING)
     QUERIES["op2_sentencepiece"](spark, sf)
